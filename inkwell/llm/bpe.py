@@ -23,7 +23,7 @@ from inkwell.llm.tokens import _BYTE, _LOW, mix, slices, text_buffers
 LONG = 64
 SHIFT = 32
 NONE = np.int64(1) << np.int64(62)
-CACHE = 400_000
+CACHE = 600_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -78,7 +78,6 @@ class Tokenizer:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
         self.flat = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
 
@@ -87,24 +86,29 @@ class Tokenizer:
         i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[i] == key, self.rank_at[i], -1)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def encode_words(self, words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the words, all their ids in that order, and the count of each."""
+        order: list[int] = []
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         by_leaves: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if len(w) == 1:
-                out[i] = self.of_byte[[w[0]]].astype(np.int32)
-            elif len(w) > LONG:
-                out[i] = self._encode_long(w)
-            elif w:
+            if len(w) > LONG:
+                order.append(i)
+                ids.append(self._encode_long(w))
+                counts.append(np.array([len(ids[-1])]))
+            else:
                 by_leaves.setdefault(1 << (len(w) - 1).bit_length(), []).append(i)
         for leaves, members in by_leaves.items():
             for k in range(0, len(members), 16384):
                 part = members[k : k + 16384]
-                for i, ids in zip(part, self._encode_batch([words[i] for i in part], leaves)):
-                    out[i] = ids
-        return out
+                flat, count = self._encode_batch([words[i] for i in part], leaves)
+                order += part
+                ids.append(flat)
+                counts.append(count)
+        return order, np.concatenate(ids), np.concatenate(counts)
 
-    def _encode_batch(self, words: list[bytes], leaves: int) -> list[np.ndarray]:
+    def _encode_batch(self, words: list[bytes], leaves: int) -> tuple[np.ndarray, np.ndarray]:
         n, width = len(words), leaves + 1
         size = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -148,8 +152,7 @@ class Tokenizer:
                 r = self.rank(sym[rows[has], before[has]], sym[rows[has], p[has]])
                 put(rows[has], before[has], np.where(r >= 0, r << SHIFT | before[has], NONE))
             rows = rows[tree[rows, 1] < NONE]
-        flat = sym[alive].astype(np.int32)
-        return np.split(flat, np.cumsum(alive.sum(axis=1))[:-1])
+        return sym[alive].astype(np.int32), alive.sum(axis=1)
 
     def _encode_long(self, word: bytes) -> np.ndarray:
         sym = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
@@ -198,10 +201,10 @@ class Tokenizer:
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
             base = len(known)
-            known.update((w, base + i) for i, w in enumerate(new))
-            ids = self.encode_words(new)
-            self.flat = np.concatenate([self.flat, *ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
+            order, ids, counts = self.encode_words(new)
+            known.update((new[i], base + k) for k, i in enumerate(order))
+            self.flat = np.concatenate([self.flat, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
         return np.array([known[w] for w in words], np.int64)
 
     def encode_buffers(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty text, or text without words: ``n_shingles`` 0, a component of its own, kept.
     A null id can't name a component: ``component_id`` null, kept. Rows that repeat an id stay, one
-    output row each, and share its component. Other columns are ignored whatever their names; an
+    output row each, judged by their own text. Other columns are ignored whatever their names; an
     empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
@@ -223,6 +223,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    # rows of one id but other texts share the id's smallest component
     whole = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("id"), F.lit(True)).alias("kept"))
