@@ -1,10 +1,59 @@
-"""Placeholder of stages; filled below."""
-STAGES = []
+"""The corpus pipeline: quality selection, line dedup, near-dedup, source mixing, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and re-read as the next one's
+``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.llm import bpe, linedup, minhash, mixing, quality
+from inkwell.llm.queries import token_digests, tokenizer_spec
+from inkwell.llm.scratch import Scratch, semi_join_ids
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards good labels keeps."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier in the corpus; those with no text left go."""
+    return linedup.without_lines(docs, linedup.line_decisions(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    scratch = Scratch(spark, "near")
+    found = minhash.near_duplicates(docs)
+    gone = scratch.save(found.where(~F.col("kept")).select("doc_id"), "gone")
+    if gone.count() <= 2_000_000:  # 16 bytes each when hashed
+        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of the mix of sources, one for each epoch that reads a document."""
+    return mixing.mix_sources(docs, keep=docs.columns).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the mixed rows."""
+    return token_digests(bpe.tokenize(docs, tokenizer_spec()))
+
+
+STAGES = [("quality classifier", select_quality), ("line dedup", drop_lines), ("MinHash near-dedup", drop_near_duplicates), ("mixing sources", mix), ("BPE encoding and decoding", encode)]
+
+#: Near-dedup, importance resampling and BPE merges aren't expressible in SQL; the tests hold each stage
+#: against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

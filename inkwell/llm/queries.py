@@ -22,12 +22,43 @@ def tokenizer_spec(path: str | None = None) -> str:
         return f.read()
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.linedup import line_decisions
+
+    return line_decisions(_read(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.mixing import mix_sources
+
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.quality import select
+
+    out = select(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.withColumn("log_weight", F.round("log_weight", 6))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.minhash import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.lm import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+def op6_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.rabitq import similar_vectors
+
+    return similar_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.secrets import scan_paths
 
@@ -61,5 +92,5 @@ def token_digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return coded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_minhash, op7_secrets, op8_media, op9_langid, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_linededup, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_rabitq, op7_secrets, op8_media, op9_langid, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
