@@ -129,13 +129,15 @@ def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x), np.arange(width)[:, None] < size[None, :]
 
 
-def train(words: list[bytes], labels: np.ndarray, n_labels: int, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam over shuffled batches; the same input gives the same network."""
+def train(words: list[bytes], labels: np.ndarray, n_labels: int, epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 7) -> Network:
+    """Adam over shuffled batches of words of like length; the same input gives the same network."""
     net, rng = Network(n_labels, seed=seed), np.random.Generator(np.random.PCG64(seed + 1))
+    size = np.array([len(w) for w in words])
     m, v, step = {k: 0.0 for k in net.w}, {k: 0.0 for k in net.w}, 0
     for _ in range(epochs):
         order = rng.permutation(len(words))
-        for k in range(0, len(order), batch):
+        order = order[np.argsort(size[order], kind="stable")]
+        for k in rng.permutation(-(-len(order) // batch)) * batch:
             part = order[k : k + batch]
             _, g = net.gradient(*pad([words[i] for i in part]), labels[part])
             step += 1
