@@ -1,8 +1,9 @@
 """Quality selection by importance resampling over hashed n-grams (Xie et al., 2023).
 
 Two generative models share one table of hashed byte n-grams: the raw model counts all documents, the
-target model a bounded sample of rows labelled good. A document's log weight is the sum of log
-ratios of its n-grams. Rows are drawn without replacement by Gumbel top-k: the k rows of largest
+target model a bounded sample of rows labelled good. A document's log weight is the mean log ratio
+of its n-grams times ``LENGTH``, the weight of a text of that many such n-grams: sums would rank
+documents by their lengths first. Rows are drawn without replacement by Gumbel top-k: the k rows of largest
 log weight plus a Gumbel variate of their own hash, k being the labelled share of good rows.
 """
 
@@ -23,6 +24,8 @@ WIDTH = 3
 #: Bound of the labelled rows that fit the target model; the least hashes of the key are taken.
 LABELLED = 200_000
 SEED = 0x5EED
+#: Length, in n-grams, to which the weights of all texts are brought.
+LENGTH = 1000.0
 
 
 def ngram_buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +84,7 @@ class Ratio:
         for a, b in slices(column):
             at, off = ngram_buckets(*text_buffers(column.slice(a, b - a)))
             total = np.concatenate([[0.0], np.cumsum(self.table[at])])
-            out.append(total[off[1:]] - total[off[:-1]])
+            out.append(LENGTH * (total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off), 1))
         return np.concatenate(out) if out else np.zeros(0)
 
 
