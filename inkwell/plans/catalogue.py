@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicons as L
 from inkwell.functions import text as T
+from inkwell.functions import typology as K
+from inkwell.functions.typology import PARAPHRASES
 from inkwell.operators import bibliography as B
 from inkwell.operators import rules as R
 from inkwell.operators import similarity as S
 from inkwell.operators import structure as X
 from inkwell.operators import style as Y
+from inkwell.operators import typing as V
 from inkwell.plans import samples as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,9 +98,6 @@ def clean_papers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("long").alias("clean_chars"))
 
 
-PARAPHRASES = [("method", "approach"), ("study", "investigation"), ("shows", "demonstrates"), ("important", "significant"), ("uses", "employs"), ("the ", "this ")]
-
-
 def _nested_replace(text: str) -> str:
     for a, b in PARAPHRASES:
         text = f"replace({text}, {P.literal(a)}, {P.literal(b)})"
@@ -435,12 +435,56 @@ def paper_type_keywords(spark, sf_dir):
     return X.paper_types(papers(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))))
 
 
-FIELD_CHAIN = [("computer_science", ["algorithm", "software", "machine learning", "data"]), ("medicine", ["clinical", "patient", "health"]), ("business", ["market", "management"]), ("social_sciences", ["social", "survey"])]
+_HITS = lambda ws: "(" + " + ".join(f"contains(lo, {P.literal(w)})::BIGINT" for w in ws) + ")"
+
+
+def _vote(table: dict[str, list[str]]) -> str:
+    return "list_max([" + ", ".join(f"{{'n': {_HITS(ws)}, 'o': {-i}, 'k': {P.literal(k)}}}" for i, (k, ws) in enumerate(table.items())) + "]).k"
+
+
+def _chain(chain: list[tuple[str, list[str]]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_HITS(ws)} > 0 THEN {P.literal(k)}" for k, ws in chain) + f" ELSE {P.literal(otherwise)} END"
+
+
+_LOW = "lw AS (SELECT doc_id, lower(coalesce(text, '')) AS lo FROM docs)"
+
+
+@query(f"WITH {P.DOCS}, {_LOW} SELECT doc_id, {_vote(K.CONTENT_TYPES)} AS type_vote, {_vote(K.CONTENT_FIELDS)} AS field_vote, {_chain(K.TYPE_CHAIN, 'empirical')} AS type_chain, {_chain(K.FIELD_CHAIN, 'computer_science')} AS field_chain FROM lw")
+def type_and_field_rules(spark, sf_dir):
+    return V.votes(papers(spark, sf_dir))
+
+
+_SHARE = lambda groups: "greatest(" + ", ".join(f"{_HITS(g)} / {len(g)}.0::DOUBLE" for g in groups) + ")"
+
+
+@query(rf"""WITH {P.DOCS}, {_LOW}, a AS (SELECT doc_id, lo, {words_sql('lo')} AS n, len(list_filter(string_split(regexp_replace(lo, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS s, len(list_distinct(regexp_extract_all(lo, '\S+'))) AS u,
+list_reverse_sort([{', '.join(_HITS(ws) for ws in K.TOPIC_TYPES.values())}]) AS c, {_vote(K.TOPIC_TYPES)} AS best, {', '.join(f'{_HITS(ws)} / 5.0::DOUBLE AS {k}' for k, ws in K.INDICATORS.items())}, {_SHARE(K.FIELD_HINTS)} AS field, {_SHARE(K.APPROACH_HINTS)} AS ap FROM lw)
+SELECT doc_id, CASE WHEN n = 0 THEN 'unknown' ELSE best END AS predicted, CASE WHEN n = 0 THEN 0 ELSE round(least(greatest(0.6::DOUBLE * c[1] / greatest(n, 1) + 0.2::DOUBLE * (1 - CASE WHEN c[1] > 0 THEN c[2]::DOUBLE / c[1] ELSE 0 END) + 0.2::DOUBLE * field, 0.1::DOUBLE), 0.95::DOUBLE), 6) END AS confidence,
+round(c[1]::DOUBLE / greatest(n, 1), 6) AS density, CASE WHEN n = 0 OR s = 0 THEN 0 ELSE round(least(0.3::DOUBLE * n / s + 0.4::DOUBLE * u / n, 1.0::DOUBLE), 6) END AS complexity, specificity, methodology, analysis, field, round(ap, 6) AS approach FROM a""")
+def topic_type_features(spark, sf_dir):
+    return V.topic_features(papers(spark, sf_dir))
+
+
+_ENH = r"regexp_replace(regexp_replace(regexp_replace(lower(text), '\([^)]*\)', '', 'g'), '\[\d+\]', '', 'g'), '[a-z]+ et al\.', '', 'g')"
+for _a, _b in [*K.ABBREVIATIONS, *((p, "") for p in K.STOCK_PHRASES)]:
+    _ENH = f"replace({_ENH}, {P.literal(_a)}, {P.literal(_b)})"
+
+
+@query(f"WITH {P.DOCS} SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all({_ENH}, '{W}+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w)), ' ')) AS enhanced_md5 FROM docs")
+def enhanced_normal_forms(spark, sf_dir):
+    return papers(spark, sf_dir).select("doc_id", F.md5(V.enhanced_normal(F.col("text"))).alias("enhanced_md5"))
+
+
+@query(f"SELECT paper_type, section, CAST(greatest(120, least(coalesce(hi, 250), 350)) AS BIGINT) AS target FROM {P.values(L.templates(), 'paper_type, ord, section, lo, hi')}")
+def section_targets(spark, sf_dir):
+    from inkwell.operators.prompts import section_limits
+
+    return spark.createDataFrame(section_limits(), "paper_type string, section string, target long")
 
 
-@query(f"WITH {P.DOCS} SELECT doc_id, CASE {' '.join('WHEN ' + ' OR '.join(f'contains(lower(text), {P.literal(w)})' for w in ws) + f' THEN {P.literal(k)}' for k, ws in FIELD_CHAIN)} ELSE 'general' END AS field FROM docs")
-def field_rules(spark, sf_dir):
-    return papers(spark, sf_dir).select("doc_id", X.first_match(F.lower("text"), FIELD_CHAIN, "general").alias("field"))
+@query(f"SELECT * FROM {P.values([(k, s, ', '.join(x)) for k, (s, x) in K.GUIDANCE.items()], 'paper_type, content_style, key_sections')}")
+def type_guidance(spark, sf_dir):
+    return spark.createDataFrame([(k, s, ", ".join(x)) for k, (s, x) in K.GUIDANCE.items()], "paper_type string, content_style string, key_sections string")
 
 
 # references and review
