@@ -92,3 +92,19 @@ def forest_accuracy(docs: DataFrame, label_col: str) -> DataFrame:
     model = fit(rows.where(~held_out()), label_col, "forest", features=1 << 10)
     got = predict(model, rows.where(held_out())).join(rows.select("doc_id", label_col), "doc_id")
     return got.groupBy(label_col).agg(F.count("*").alias("support"), F.count_if(F.col("predicted") == F.col(label_col)).alias("correct"))
+
+
+def paraphrase_pairs(docs: DataFrame, pairs: list[tuple[str, str]], text_col: str = "text", least: int = 30) -> DataFrame:
+    """``(doc_id, text, label)``: each text of at least ``least`` characters, original and paraphrased."""
+    from inkwell.functions.text import paraphrase
+
+    rows = docs.where(F.length(text_col) >= least)
+    return rows.select("doc_id", F.explode(F.array(F.struct(F.col(text_col).alias("text"), F.lit("original").alias("label")), F.struct(paraphrase(F.col(text_col), pairs).alias("text"), F.lit("paraphrased").alias("label")))).alias("x")).select("doc_id", "x.*")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

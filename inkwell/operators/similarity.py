@@ -200,3 +200,21 @@ def fuse(lexical: DataFrame, dense: DataFrame, keys: list[str], item: str, k: in
     rows = rows.withColumn("fused", F.round(1.0 / (constant + F.col("lexical_rank")) + 1.0 / (constant + F.col("dense_rank")), 9))
     order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fused"), item))
     return rows.withColumn("rank", order.cast("long")).where(F.col("rank") <= k).select(*keys, item, F.round(F.greatest("dense", F.lit(0.0)), 6).alias("score"), "fused", "rank")
+
+
+def rerank(items: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Items with a ``similarity`` in order of it; without one they keep their ``place``."""
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("similarity"), "place", item))
+    return items.withColumn("rank", order.cast("long"))
+
+
+def keep_first(rows: DataFrame, key: Column, order: str, partition: list[str] | None = None) -> DataFrame:
+    """The first row of each key."""
+    rank = F.row_number().over(Window.partitionBy(*(partition or []), key).orderBy(order))
+    return rows.withColumn("_r", rank).where("_r = 1").drop("_r")
+
+
+def corpus_statistics(refs: DataFrame, ref_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Documents and comparable sentences of a reference corpus."""
+    s = clean_sentences(refs, ref_id, text_col).groupBy(ref_id).agg(F.count("*").alias("n"))
+    return refs.select(ref_id).join(s, ref_id, "left").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("sentences"))

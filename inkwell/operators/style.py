@@ -162,3 +162,9 @@ def grade_band(grade: Column, low: float, high: float) -> Column:
 
 def to_target(n: Column, low: Column, high: Column) -> Column:
     return F.when(n < low, "under").when(n > high, "over").otherwise("ok")
+
+
+def perplexity_spread(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Mean, spread and 0-to-100 score of sentence perplexities (``perplexity``) by document; null where none is known."""
+    rows = scored.groupBy(id_col).agg(F.avg("perplexity").alias("mean"), F.stddev_pop("perplexity").alias("spread"))
+    return rows.withColumn("score", perplexity_score(F.col("mean")))
