@@ -9,6 +9,11 @@ bucket, so a frequent n-gram costs one entry a chunk and no key is hot. A bucket
 entries of all chunks, which is its partition of the count table, and answers each chunk with the
 counts of what it sent. The chunk then scores its documents. Row by row, the same join would move
 some 30 bytes for each word of the corpus twice; packed, it moves about 5.
+
+A chunk sends one row to each bucket. Rows of r entries need chunks of r times as many entries as there
+are buckets, so for n words in all, chunk size times bucket size is about r * n: the defaults hold rows of
+100 entries up to 2e10 words; beyond, both constants grow with the square root of n (for 2e13 words, chunks
+and buckets of 5e7 entries, which a task holds in about 1 GB).
 """
 
 from __future__ import annotations
