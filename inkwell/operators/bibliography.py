@@ -59,7 +59,7 @@ def best_records(refs: DataFrame, id_col: str = "id") -> DataFrame:
     Untitled records stay. ``(id, place)``: the chosen record and its group's first id.
     """
     key = T.title_key(F.col("title"))
-    rows = refs.withColumn("_key", F.when(key == "", F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(key))
+    rows = refs.withColumn("_key", F.md5(F.when(key == "", F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(key)))
     rank = F.struct((F.coalesce(F.col("doi"), F.lit("")) != "").alias("doi"), F.coalesce(F.size("authors"), F.lit(0)).alias("n"), (-F.col(id_col)).alias("neg"))
     return rows.groupBy("_key").agg(F.max(rank).alias("b"), F.min(id_col).alias("place")).select((-F.col("b.neg")).alias(id_col), "place")
 

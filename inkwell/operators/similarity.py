@@ -183,23 +183,37 @@ def pair_similarity(pairs: DataFrame, pair_id: str, left: str, right: str) -> Da
     return rows.select(pair_id, F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"), F.round("structure", 6).alias("structure"), F.round("jaccard", 6).alias("jaccard"), "score", "threshold", category.alias("category"), F.round(F.least(1.2 * s, F.lit(0.95)), 6).alias("confidence"))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` vectors of largest dot product for each of a stated, bounded set of queries, ties by id."""
+def dense_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Dot products of all vectors with each other vector of a stated, bounded set of queries."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
     dot = F.aggregate(F.zip_with("q", vector_col, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    rows = vectors.join(F.broadcast(q), F.col("query_id") != F.col(id_col)).select("query_id", id_col, F.round(dot, 6).alias("similarity"))
+    return vectors.join(F.broadcast(q), F.col("query_id") != F.col(id_col)).select("query_id", id_col, F.round(dot, 6).alias("similarity"))
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The ``k`` vectors of largest dot product for each query, ties by id."""
+    rows = dense_scores(queries, vectors, id_col, vector_col)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, keys: list[str], item: str, k: int = 4, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two scorings of the same items, ranks from 0, ties by item."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), item)) - 1
+    """Reciprocal rank fusion of two scorings of the same items, ranks from 0, ties by item.
+
+    The k best of one list score at least 1 / (constant + k - 1), so an item that is in both lists behind
+    place constant + 2 * (k - 1) can't be among the k best of the fusion. Only the items before that place
+    in a list, a bounded number, are ranked, each by counting the items ahead of it: no list is sorted
+    in one task.
+    """
     rows = lexical.join(dense, [*keys, item], "full").fillna(0.0, ["lexical", "dense"])
-    rows = rows.withColumns({"lexical_rank": rank("lexical"), "dense_rank": rank("dense")})
-    rows = rows.withColumn("fused", F.round(1.0 / (constant + F.col("lexical_rank")) + 1.0 / (constant + F.col("dense_rank")), 9))
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fused"), item))
-    return rows.withColumn("rank", order.cast("long")).where(F.col("rank") <= k).select(*keys, item, F.round(F.greatest("dense", F.lit(0.0)), 6).alias("score"), "fused", "rank")
+    reach = constant + 2 * (k - 1) + 1
+    first = lambda c: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), item))).where(F.col("_r") <= reach).drop("_r")
+    near = first("lexical").unionByName(first("dense")).distinct().select(*keys, F.col(item).alias("_i"), F.col("lexical").alias("_l"), F.col("dense").alias("_d"))
+    ahead = lambda c, own: F.count_if((F.col(c) > F.col(own)) | ((F.col(c) == F.col(own)) & (F.col(item) < F.col("_i"))))
+    ranks = rows.join(F.broadcast(near), keys).groupBy(*keys, "_i", "_d").agg(ahead("lexical", "_l").alias("lexical_rank"), ahead("dense", "_d").alias("dense_rank"))
+    rows = ranks.withColumn("fused", F.round(1.0 / (constant + F.col("lexical_rank")) + 1.0 / (constant + F.col("dense_rank")), 9))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fused"), "_i"))
+    return rows.withColumn("rank", order.cast("long")).where(F.col("rank") <= k).select(*keys, F.col("_i").alias(item), F.round(F.greatest("_d", F.lit(0.0)), 6).alias("score"), "fused", "rank")
 
 
 def rerank(items: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -356,7 +356,7 @@ def hybrid_retrieval_rrf(spark, sf_dir):
     a = S.weigh(docs, ["doc_id"], F.col("text"), vocab, 1)
     b = S.weigh(q, ["query_id"], F.col("question"), vocab, 1).withColumnRenamed("w", "v")
     lexical = a.join(F.broadcast(b), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("lexical"))
-    dense = S.dense_topk(v.join(F.broadcast(q), F.col("vec_id") == F.col("query_id")).select("vec_id", "embedding"), v, 1 << 30).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("dense"))
+    dense = S.dense_scores(v.join(F.broadcast(q), F.col("vec_id") == F.col("query_id")).select("vec_id", "embedding"), v).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("dense"))
     return S.fuse(lexical, dense, ["query_id"], "doc_id")
 
 
