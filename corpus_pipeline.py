@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of the mix of sources, one for each epoch that reads a document."""
-    return mixing.mix_sources(docs, keep=docs.columns).select(docs.columns)
+    return mixing.mix_sources(docs, keep=docs.columns, report=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,8 +209,11 @@ def without_lines(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id",
     A document that had text and has none but white space left goes. ``size_col``, if there is such a
     column, follows the new text. Lines to drop are gathered by document, which its own text bounds.
     """
-    gone = decisions.where(~F.col("kept")).groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
-    rows = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_id"], "left").drop("_id")
+    key, lines = "_id", "_gone"
+    while {key, lines} & set(docs.columns):
+        key, lines = key + "_", lines + "_"
+    gone = decisions.where(~F.col("kept")).groupBy(F.col(id_col).alias(key)).agg(F.array_sort(F.collect_set("line_no")).alias(lines))
+    rows = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone[key], "left").drop(key)
     names, t = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,8 +106,8 @@ def _with_sources(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table, "_source")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy_share: float = 0.5, repetition: float = 4.0, budget_tokens: int | None = None, keep: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """The mixed rows: columns ``keep`` (default id and source), ``n_tokens``, ``weight``, ``epoch`` and ``block``.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy_share: float = 0.5, repetition: float = 4.0, budget_tokens: int | None = None, keep: list[str] | None = None, report: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """The mixed rows: columns ``keep`` (default id and source) and, with ``report``, ``n_tokens``, ``weight``, ``epoch``, ``block``.
 
     A row comes once for each epoch that reads it. The budget is by default the tokens at hand, counted
     over whole texts. ``block`` is the row's block in the part epoch and 0 in a whole one.
@@ -130,5 +130,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     part = (F.col("rest") > 0) & F.coalesce(whole | before | ((F.col("_block") == F.col("edge")) & (F.col("_key") <= F.col("last_key"))), F.lit(False))
     times = F.col("epochs") + F.when(part, 1).otherwise(0)
     rows = rows.where(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    if not report:
+        return rows.select("_kept.*")
     block = F.when(F.col("_epoch") == F.col("epochs"), F.col("_block")).otherwise(0).cast("long")
     return rows.select("_kept.*", F.col("_tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.col("_epoch").alias("epoch"), block.alias("block"))

@@ -47,6 +47,22 @@ def test_stages(spark, tmp_path):
     assert all(r.decoded_sha256 == hashlib.sha256(before[r.doc_id].text.encode()).hexdigest() for r in after)
 
 
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Extra columns of internal names, nulls, repeated rows and an empty table pass through every stage."""
+    extra = {n: F.lit(k).cast("string") for k, n in enumerate(("_id", "_gone", "epoch", "weight", "block", "kept", "place", "ids", "component", "_kept", "_source"))}
+    whole = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns(extra)
+    odd = spark.createDataFrame([(None, "a null id", None, None, 9), (900, None, "en", "src0", None), (901, "", None, "src1", 0)], "doc_id long, text string, lang string, source string, n_chars long").withColumns(extra)
+    whole = whole.unionByName(odd).unionByName(whole.limit(1))
+    for case, docs in (("odd", whole), ("empty", whole.where("false"))):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(str(tmp_path / f"{case}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{case}{k}"))
+            if k < 4:
+                assert docs.columns == columns
+        assert (docs.count() > 0) == (case == "odd")
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
