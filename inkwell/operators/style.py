@@ -168,3 +168,19 @@ def perplexity_spread(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Mean, spread and 0-to-100 score of sentence perplexities (``perplexity``) by document; null where none is known."""
     rows = scored.groupBy(id_col).agg(F.avg("perplexity").alias("mean"), F.stddev_pop("perplexity").alias("spread"))
     return rows.withColumn("score", perplexity_score(F.col("mean")))
+
+
+#: What each analysis needs of a document.
+GATES = {"ai_style": "needs 25 words and 2 sentences", "tone": "needs 20 words", "cohesion": "needs 2 paragraphs", "repetition": "needs 2 sentences of 8 words"}
+
+
+def gate_errors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, analysis, error)`` for each analysis that a document is too short for; such documents have no result rows."""
+    c = F.coalesce(text_col, F.lit(""))
+    lens = F.filter(F.transform(T.sentence_array(c), lambda s: T.words(s)), lambda n: n > 0)
+    got = F.size(F.filter(T.tokens(F.lower(c)), lambda w: w.rlike("[a-z]")))
+    long = lambda parts: F.size(F.filter(parts, lambda p: T.words(p) >= 5))
+    blocks, lines = long(F.split(F.trim(c), r"\n\s*\n")), long(F.split(F.trim(c), "\n"))
+    fails = {"ai_style": (got < 25) | (F.size(lens) < 2), "tone": T.words(c) < 20, "cohesion": F.when(blocks < 2, lines).otherwise(blocks) < 2, "repetition": F.size(F.filter(lens, lambda n: n >= 8)) < 2}
+    found = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(k).alias("analysis"), F.lit(GATES[k]).alias("error"))) for k, bad in fails.items()]))
+    return docs.select(id_col, F.explode(found).alias("f")).select(id_col, "f.*")

@@ -606,3 +606,14 @@ def language_forest(spark, sf_dir):
     from inkwell.operators.models import forest_accuracy
 
     return forest_accuracy(table(spark, sf_dir, "documents"), "lang")
+
+
+_GATES = {"ai_style": "w < 25 OR len(lens) < 2", "tone": "n < 20", "cohesion": "CASE WHEN bl < 2 THEN li ELSE bl END < 2", "repetition": "len(list_filter(lens, lambda x: x >= 8)) < 2"}
+_LONG = lambda split: f"len(list_filter({split}, lambda p: {words_sql('p')} >= 5))"
+
+
+@query(rf"""WITH {P.DOCS}, c AS (SELECT doc_id, coalesce(text, '') AS t FROM docs), a AS (SELECT doc_id, {words_sql('t')} AS n, len(list_filter(regexp_extract_all(lower(t), '{TOKEN}'), lambda w: regexp_matches(w, '[a-z]'))) AS w,
+list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {words_sql('s')}), lambda x: x > 0) AS lens, {_LONG(r"string_split_regex(trim(t), '\n\s*\n')")} AS bl, {_LONG("string_split(trim(t), chr(10))")} AS li FROM c)
+{' UNION ALL '.join(f"SELECT doc_id, {P.literal(k)} AS analysis, {P.literal(Y.GATES[k])} AS error FROM a WHERE {g}" for k, g in _GATES.items())}""")
+def applicability_errors(spark, sf_dir):
+    return Y.gate_errors(papers(spark, sf_dir))
