@@ -24,6 +24,7 @@ HIDDEN = 16
 CACHE = 400_000
 #: Bound of the training sample: documents and, of each, leading words.
 TRAIN_DOCS, TRAIN_WORDS = 6000, 60
+STEPS = 600
 
 
 def cut_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,11 @@ def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(words: list[bytes], labels: np.ndarray, n_labels: int, epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam over shuffled batches of words of like length; the same input gives the same network."""
+    """Adam over shuffled batches of words of like length; the same input gives the same network.
+
+    Small inputs get as many passes as ``STEPS`` steps take.
+    """
+    epochs = max(epochs, -(-STEPS // max(1, -(-len(words) // batch))))
     net, rng = Network(n_labels, seed=seed), np.random.Generator(np.random.PCG64(seed + 1))
     size = np.array([len(w) for w in words])
     m, v, step = {k: 0.0 for k in net.w}, {k: 0.0 for k in net.w}, 0
@@ -151,12 +156,16 @@ def train(words: list[bytes], labels: np.ndarray, n_labels: int, epochs: int = 3
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", order_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS, epochs: int = 3) -> tuple[Network, list[str]] | None:
     """A network and its labels from rows with text and label; None if there are none.
 
-    At most ``max_docs`` rows, those of least hash of ``order_col``, and ``max_words`` leading words of each
-    are used to fit; prediction knows no such bound.
+    At most ``max_docs`` rows, drawn by the hash of ``order_col`` at a rate that their count gives, and
+    ``max_words`` leading words of each are used to fit; prediction knows no such bound. Only the drawn
+    rows reach the driver.
     """
-    sample = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    from inkwell.llm.scratch import drawn
+
+    named = docs.where(F.col(label_col).isNotNull())
+    sample = named.where(drawn(F.col(order_col), named.count(), max_docs) & F.col(text_col).isNotNull())
     sample = sample.select(F.substring(F.col(text_col).cast("string"), 1, 16 * max_words).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
-    rows = sample.orderBy("h", "label", "text").limit(max_docs).collect()
+    rows = sorted(sample.collect(), key=lambda r: (r.h, r.label, r.text))[:max_docs]
     labels = sorted({r.label for r in rows})
     words: list[bytes] = []
     y: list[int] = []

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.scratch import Scratch
+from inkwell.llm.scratch import Scratch, drawn
 from inkwell.llm.tokens import mix, slices, text_buffers
 
 BUCKETS = 1 << 16
 WIDTH = 3
-#: Bound of the labelled rows that fit the target model; the least hashes of the key are taken.
+#: Bound of the labelled rows that fit the target model, drawn by the hash of their ids.
 LABELLED = 200_000
 SEED = 0x5EED
 #: Length, in n-grams, to which the weights of all texts are brought.
@@ -94,9 +94,8 @@ def labelled_good(labels: DataFrame, id_col: str, good: str, bound: int = LABELL
     ``good`` is an SQL predicate over ``labels``; an id counts once, as good only if all its rows are.
     """
     marked = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.coalesce(F.expr(good).cast("int"), F.lit(0))).alias("good"))
-    share = marked.agg(F.avg("good")).first()[0]
-    ids = marked.where("good = 1").select(id_col, F.xxhash64(id_col).alias("h")).orderBy("h", id_col).limit(bound)
-    return ids.select(id_col), share
+    share, good_rows = marked.agg(F.avg("good"), F.sum("good")).first()
+    return marked.where((F.col("good") == 1) & drawn(F.col(id_col), good_rows or 0, bound)).select(id_col), share
 
 
 def fit_ratio(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratio:

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +53,17 @@ def semi_join_ids(rows: DataFrame, column: str, ids: DataFrame, broadcast_rows:
     The ids are broadcast only if counted to be at most ``broadcast_rows`` (16 bytes each when
     hashed, so 32 MB); beyond that the join shuffles both sides.
     """
-    from pyspark.sql import functions as F
-
     ids = ids.select(F.col(ids.columns[0]).alias(column))
     if ids.count() <= broadcast_rows:
         return rows.join(F.broadcast(ids), column, "left_semi")
     return rows.join(ids.hint("shuffle_hash"), column, "left_semi")
+
+
+def drawn(key: Column, rows: int, bound: int) -> Column:
+    """Whether a row belongs to a sample of at most ``bound`` of ``rows`` rows, drawn by the hash of its key.
+
+    The rate leaves five standard deviations of room, so the bound holds but for a chance of 3e-7; rows of one
+    key are drawn together.
+    """
+    rate = 1.0 if rows <= bound else max(0.0, bound - 5 * bound**0.5) / rows
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) < int(rate * (1 << 30))
