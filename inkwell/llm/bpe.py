@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.scratch import small_batches
 from inkwell.llm.tokens import _BYTE, _LOW, mix, slices, text_buffers
 
 LONG = 64
 SHIFT = 32
 NONE = np.int64(1) << np.int64(62)
-CACHE = 600_000
+CACHE = 300_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -323,6 +324,7 @@ def tokenize(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     columns are ignored; an empty table gives an empty result. A row depends on nothing but its
     own text, so a lost task is simply run again.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

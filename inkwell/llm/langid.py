@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.scratch import drawn, small_batches
 from inkwell.llm.tokens import _BYTE, _LOW, _SPACE, mix, slices, text_buffers
 
 SPAN = 24
@@ -160,8 +161,6 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", order_
     ``max_words`` leading words of each are used to fit; prediction knows no such bound. Only the drawn
     rows reach the driver.
     """
-    from inkwell.llm.scratch import drawn
-
     named = docs.where(F.col(label_col).isNotNull())
     sample = named.where(drawn(F.col(order_col), named.count(), max_docs) & F.col(text_col).isNotNull())
     sample = sample.select(F.substring(F.col(text_col).cast("string"), 1, 16 * max_words).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
@@ -232,6 +231,7 @@ def predict(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: st
     rows = rows.withColumn("spoken", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model[0].w, model[0].hidden, model[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.scratch import Scratch, semi_join_ids
+from inkwell.llm.scratch import Scratch, semi_join_ids, small_batches
 from inkwell.llm.tokens import mix
 
 MIN_CHARS = 24
@@ -209,6 +209,7 @@ def without_lines(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id",
     A document that had text and has none but white space left goes. ``size_col``, if there is such a
     column, follows the new text. Lines to drop are gathered by document, which its own text bounds.
     """
+    small_batches(docs.sparkSession)
     key, lines = "_id", "_gone"
     while {key, lines} & set(docs.columns):
         key, lines = key + "_", lines + "_"

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.scratch import small_batches
+
 UNIT = 192
 RATE = 8000
 
@@ -196,6 +198,7 @@ def inspect_media(rows: DataFrame, id_col: str, media_col: str, declared_col: st
             carved = [[{"start": a, "length": n, "media_type": k, "bytes": v[a : a + n]} for a, n, k in more] for v, (_, more) in zip(values, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in kinds], pa.string()), pa.array([k != d for (k, _), d in zip(kinds, declared)], pa.bool_()), pa.array(carved, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("media_type", pa.string()), ("bytes", pa.binary())])))], names=["id", "media_type", "corrected", "carved"])
 
+    small_batches(rows.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
     declared = F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")
     out = rows.select(F.col(id_col), F.col(media_col).cast("binary"), declared).mapInArrow(run, f"id {kind}, media_type string, corrected boolean, carved array<struct<start:long,length:long,media_type:string,bytes:binary>>")
@@ -244,6 +247,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 padded = [pad_payload(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in padded], pa.int64()), pa.array([len(p) for _, p in padded], pa.int64()), pa.array([wave(p) for _, p in padded], pa.binary())], names=["id", "n_bytes", "payload_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, media binary")
     return out.withColumnRenamed("id", id_col)
@@ -271,6 +275,7 @@ def media_features(stored: DataFrame, id_col: str = "doc_id", declared: str = "a
             types = {"payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media_type": pa.string()}
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(v, types[k]) for k, v in out.items())], names=["id", "n_bytes", "payload_bytes", *out])
 
+    small_batches(stored.sparkSession)
     kind = stored.schema[id_col].dataType.simpleString()
     out = stored.select(id_col, "n_bytes", "payload_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string")
     return out.withColumnRenamed("id", id_col)

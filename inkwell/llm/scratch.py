@@ -22,11 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir") + "/_inkwell_scratch"
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the batches that tasks exchange with Python to 8 MB, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH, None) in (None, "67108864b", "64m", "64MB"):  # Spark's default
+        spark.conf.set(BATCH, "8m")
+
+
 class Scratch:
     """Tables of one operator run under one fresh folder of the shared directory."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
