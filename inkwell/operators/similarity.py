@@ -6,12 +6,20 @@ by pair. Vocabularies with a cap are broadcast, since the cap bounds them.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as T
 
+#: Queries and vectors of a block of the dense search, and vectors multiplied at once.
+QUERY_BLOCK, VECTOR_BLOCK, STRIP = 1024, 16384, 1024
+
 
 def term_counts(units: DataFrame, keys: list[str], text: Column, n_max: int = 1, stop: bool = True) -> DataFrame:
     """``(keys, term, tf)``."""
@@ -184,17 +192,59 @@ def pair_similarity(pairs: DataFrame, pair_id: str, left: str, right: str) -> Da
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Dot products of all vectors with each other vector of a stated, bounded set of queries."""
+    """Dot products of all vectors with each other vector of a few given queries, which are broadcast."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
     dot = F.aggregate(F.zip_with("q", vector_col, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     return vectors.join(F.broadcast(q), F.col("query_id") != F.col(id_col)).select("query_id", id_col, F.round(dot, 6).alias("similarity"))
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` vectors of largest dot product for each query, ties by id."""
-    rows = dense_scores(queries, vectors, id_col, vector_col)
+    """The ``k`` vectors of largest dot product for each query, ties by id.
+
+    Both sides are dealt by hash into blocks of about ``QUERY_BLOCK`` queries and ``VECTOR_BLOCK`` vectors. A
+    task holds one block of each and a running top ``k`` of every query, so it returns ``k`` rows a query
+    and block of vectors instead of the products. Null vectors and those of another length have no product.
+    """
+    blocks, chunks = (max(1, math.ceil(rows.count() / size)) for rows, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    dealt = lambda rows, name, n: rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name))
+    with_each = lambda rows, name, n: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    q = with_each(dealt(queries, "block", blocks), "chunk", chunks).groupBy("block", "chunk")
+    v = with_each(dealt(vectors, "chunk", chunks), "block", blocks).groupBy("block", "chunk")
+    kind = vectors.schema[id_col].dataType.simpleString()
+    best = q.cogroup(v).applyInArrow(_best_of_block(k, id_col), f"query_id {kind}, {id_col} {kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def _by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids, ascending, and matrix of the vectors of each length."""
+    table = table.sort_by("id").combine_chunks()
+    ids, sizes = table.column("id").to_numpy(), pc.list_value_length(table.column("x")).to_numpy()
+    return {int(n): (ids[sizes == n], np.array(table.column("x").filter(pa.array(sizes == n)).to_pylist(), np.float64)) for n in np.unique(sizes)}
+
+
+def _best_of_block(k: int, id_col: str):
+    def work(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found, vs = [], _by_length(vectors)
+        for n, (q_ids, q) in _by_length(queries).items():
+            row, item, sim = np.zeros(0, np.int64), np.zeros(0, q_ids.dtype), np.zeros(0)
+            v_ids, v = vs.get(n, (q_ids[:0], q[:0]))
+            for at in range(0, len(v_ids), STRIP):
+                ids = v_ids[at : at + STRIP]
+                s = np.round(q @ v[at : at + STRIP].T, 6) + 0.0
+                s[(q_ids[:, None] == ids[None, :]) | np.isnan(s)] = -np.inf
+                least = np.partition(s, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
+                r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                row, item, sim = np.concatenate([row, r]), np.concatenate([item, ids[c]]), np.concatenate([sim, s[r, c]])
+                order = np.lexsort((item, -sim, row))
+                row, item, sim = row[order], item[order], sim[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, item, sim = row[first], item[first], sim[first]
+            found.append((q_ids[row], item, sim))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", id_col, "similarity"), columns)))
+
+    return work
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, keys: list[str], item: str, k: int = 4, constant: int = 60) -> DataFrame:

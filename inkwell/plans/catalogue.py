@@ -335,7 +335,7 @@ _DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product
 @query(f"WITH {_DENSE} SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM dn QUALIFY rank <= 4")
 def dense_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return S.dense_topk(v.where("vec_id % 100 = 0"), v)
+    return S.dense_topk(v.where("vec_id % 20 = 0"), v)
 
 
 QUESTIONS = [(1, "the data and the results of a method"), (2, "thition and oner the inea"), (3, "de la elle queux")]
