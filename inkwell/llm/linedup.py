@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line of at least ``MIN_CHARS`` characters goes if an equal line, or one within an edit distance of 1
-(insertion, deletion or substitution of a character), stands earlier in the order of (document, line).
+A line that isn't blank goes if an equal line stands earlier in the order of (document, line); one of at
+least ``MIN_CHARS`` characters also goes if a line of that length within an edit distance of 1 (insertion,
+deletion or substitution of a character) does.
 
 Equal lines meet by a 128-bit hash. For the others, every line emits the hashes of all its variants with
 one character deleted. Two lines of one length that share a variant with the same position deleted
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.scratch import Scratch, semi_join_ids, small_batches
 from inkwell.llm.tokens import mix
 
+#: Shorter lines are compared for equality only.
 MIN_CHARS = 24
 #: Up to so many rows (about 64 bytes each) a side is broadcast, after it was counted.
 BROADCAST_ROWS = 300_000
@@ -81,8 +83,11 @@ def whole_hash(line: str) -> np.uint64:
     return mix(np.array([(mix(code + np.uint64(0xA24BAED4963EE407)) * power).sum(dtype=np.uint64) + np.uint64(len(code))], np.uint64))[0]
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``id, line_no, key, again, h``: eligible lines; ``again`` marks those after the first in their document."""
+def _occurrences(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """``id, line_no, key, again, h``: eligible lines; ``again`` marks those after the first in their document.
+
+    With ``short``, lines under ``min_chars`` that aren't blank are eligible too, without half-line keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,13 +95,13 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen: set[bytes] = set()
                 for i, line in enumerate((text or "").split("\n")):
-                    if len(line) >= min_chars:
+                    if len(line) >= min_chars or (short and line.strip()):
                         k = _key(line)
                         ids.append(d)
                         no.append(i)
                         keys.append(k)
                         again.append(k in seen)
-                        hs.append(None if k in seen else halves(line))
+                        hs.append(None if k in seen or len(line) < min_chars else halves(line))
                         seen.add(k)
                 if len(ids) >= 4096:
                     yield _batch(ids, no, keys, again, hs)
@@ -110,12 +115,13 @@ def _batch(ids: list, no: list, keys: list, again: list, hs: list) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(keys, pa.binary()), pa.array(again, pa.bool_()), pa.array(hs, pa.list_(pa.int64()))], names=["id", "line_no", "key", "again", "h"])
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
-    """``(<id_col>, line_no, kept, reason)`` of every line of at least ``min_chars`` characters.
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """``(<id_col>, line_no, kept, reason)`` of every line that isn't blank or has ``MIN_CHARS`` characters.
 
-    Lines are what newlines separate, numbered from 0; shorter ones stay and aren't listed. ``reason`` is
-    ``exact`` or ``near`` where a line goes, else null; a line with an equal earlier one is ``exact``.
-    The first of its kind always stays.
+    Lines are what newlines separate, numbered from 0; blank ones under ``MIN_CHARS`` stay and aren't listed.
+    With ``min_chars`` given, shorter lines stay and aren't listed, and all others are near candidates.
+    ``reason`` is ``exact`` or ``near`` where a line goes, else null; a line with an equal earlier one is
+    ``exact``. The first of its kind always stays.
 
     Null or empty text has no line. Rows with a null id are listed and kept, and count as no one's
     earlier line. Rows that repeat an id are one document: line numbers of both are compared, and a line
@@ -123,12 +129,13 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = scratch.save(_occurrences(rows, min_chars), "lines")
+    short, min_chars = min_chars is None, MIN_CHARS if min_chars is None else min_chars
+    every = scratch.save(_occurrences(rows, min_chars, short), "lines")
     named = every.where("id is not null and not again")
     lines = named.groupBy("key").agg(F.min("id").alias("first_id"), *(F.min(F.col("h")[i]).alias(f"h{i}") for i in range(4)))
     lines = scratch.save(lines, "distinct")
 
-    half = lines.select("key", "first_id", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("role", "h"))
+    half = lines.select("key", "first_id", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("role", "h")).where("h is not null")
     shared = scratch.save(half.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "halves")
     suspect = semi_join_ids(half, "h", shared).groupBy("first_id", "key").agg(F.bit_or(F.expr("shiftleft(1, role)")).alias("roles"))
     suspect = scratch.save(suspect.groupBy("first_id").agg(F.collect_list(F.struct("key", "roles")).alias("wanted")), "suspects")

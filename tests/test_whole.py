@@ -3,9 +3,12 @@
 import duckdb
 import numpy as np
 
+from inkwell.llm import linedup, oracles
+from inkwell.llm.queries import QUERIES
 from inkwell.operators import similarity as S
 from inkwell.plans import catalogue
 
+from .llm import brute
 from .test_catalogue import SF, rows_of
 
 
@@ -38,3 +41,31 @@ def test_dense_topk_in_blocks(spark, monkeypatch):
     for name, size in (("QUERY_BLOCK", 4), ("VECTOR_BLOCK", 20), ("STRIP", 3)):
         monkeypatch.setattr(S, name, size)
     assert whole == sorted(want) == sorted(map(tuple, S.dense_topk(v.where("vec_id % 5 = 0"), v).collect()))
+
+
+def all_lines(texts):
+    """(id, line) -> reason: near lines of 24 characters or more, exact ones of any length."""
+    out, seen = brute.lines(texts, 24), set()
+    for d, t in sorted(texts.items()):
+        for n, x in enumerate((t or "").split("\n")):
+            if len(x) < 24 and x.strip():
+                out[d, n] = "exact" if x in seen else None
+                seen.add(x)
+    return out
+
+
+def test_short_lines_are_compared(spark):
+    texts = {1: "All rights reserved.\n\n}\n" + "a" * 24, 2: "All rights reserved.\nAll rights reserved!\n  \n}", 3: "a" * 23 + "\n" + "a" * 25 + "\n" + "a" * 23}
+    got = {(r.doc_id, r.line_no): r.reason for r in linedup.line_decisions(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == all_lines(texts) and got[2, 0] == got[2, 3] == got[3, 2] == "exact" and got[3, 1] == "near" and got[2, 1] is got[3, 0] is None
+
+
+def test_every_line_of_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got, texts = QUERIES["op1_linededup"](spark, SF).collect(), {r.doc_id: r.text for r in docs.collect()}
+    assert {(r.doc_id, r.line_no): r.reason for r in got} == all_lines(texts)
+    assert sum(r.reason == "exact" and len(texts[r.doc_id].split("\n")[r.line_no]) < 24 for r in got) == 74
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rel = con.sql(oracles.SQL["op1_linededup"])
+    assert rows_of(got[0].__fields__, [r for r in got if len(texts[r.doc_id].split("\n")[r.line_no]) >= 24]) == rows_of(rel.columns, rel.fetchall())
