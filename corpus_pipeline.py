@@ -13,6 +13,9 @@ from inkwell.llm import bpe, linedup, minhash, mixing, quality
 from inkwell.llm.queries import token_digests, tokenizer_spec
 from inkwell.llm.scratch import Scratch, semi_join_ids
 
+#: Least similarity of near-duplicates in the pipeline; op4_minhash has its own.
+NEAR_PERCENT = 80
+
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards good labels keeps."""
@@ -25,9 +28,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates (similarity of 0.8 or more), that of the smallest id."""
     scratch = Scratch(spark, "near")
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = scratch.save(found.where(~F.col("kept")).select("doc_id"), "gone")
     if gone.count() <= 2_000_000:  # 16 bytes each when hashed
         return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(docs.columns)

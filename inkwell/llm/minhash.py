@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import comb
+from functools import lru_cache
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -25,42 +26,52 @@ from inkwell.llm.scratch import Scratch, semi_join_ids
 from inkwell.llm.tiles import in_tiles, over_groups, pairs_within
 from inkwell.llm.tokens import mix, shingle_sets, slices, text_buffers
 
-BANDS, ROWS = 25, 5
-PERMUTATIONS = BANDS * ROWS
+ROWS = 5
+#: Probability with which a pair at the threshold shares no band.
+BAND_MISS = 5e-7
 TILE = 256
 
-_rng = np.random.Generator(np.random.PCG64(41))
-_A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
-_BAND = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
+_BAND = np.random.Generator(np.random.PCG64(43)).integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """32-bit minima of ``PERMUTATIONS`` multiply-shift hashes of a non-empty set."""
-    out = np.full(PERMUTATIONS, 0xFFFFFFFF, dtype=np.uint32)
+def bands_for(percent: int) -> int:
+    """The fewest bands of ``ROWS`` rows that a pair at the threshold escapes with at most ``BAND_MISS``: 25 for 85, 37 for 80."""
+    return ceil(log(BAND_MISS) / log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
+
+
+@lru_cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(41))
+    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+
+
+def signature(shingles: np.ndarray, permutations: int) -> np.ndarray:
+    """32-bit minima of multiply-shift hashes of a non-empty set."""
+    out = np.full(permutations, 0xFFFFFFFF, dtype=np.uint32)
+    a, b = _hashes(permutations)
     for i in range(0, len(shingles), 2048):
-        h = (shingles[None, i : i + 2048] * _A[:, None] + _B[:, None]) >> np.uint64(32)
+        h = (shingles[None, i : i + 2048] * a[:, None] + b[:, None]) >> np.uint64(32)
         np.minimum(out, h.min(axis=1).astype(np.uint32), out=out)
     return out
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """(n, BANDS) 64-bit keys of (n, PERMUTATIONS) signatures."""
-    rows = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    """(n, bands) 64-bit keys of (n, bands * ROWS) signatures."""
+    rows = signatures.reshape(len(signatures), signatures.shape[1] // ROWS, ROWS).astype(np.uint64)
     acc = np.zeros(rows.shape[:2], np.uint64)
     for r in range(ROWS):
         acc = mix(acc + rows[:, :, r] * _BAND[r])
     return acc
 
 
-def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
+def least_matches(threshold: float, miss: float, permutations: int | None = None) -> list[tuple[int, int]]:
     """For each batch end n, the fewest matches m with P(J >= threshold | m of n) >= miss.
 
     With a uniform prior the posterior is Beta(m + 1, n - m + 1); its upper tail at t equals
     P(Binomial(n + 1, t) <= m).
     """
-    out = []
-    for n in range(ROWS * 5, PERMUTATIONS + 1, ROWS * 5):
+    out, permutations = [], permutations or ROWS * bands_for(round(100 * threshold))
+    for n in [*range(ROWS * 5, permutations, ROWS * 5), permutations]:
         tail, m = 0.0, 0
         while True:
             tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -106,7 +117,7 @@ def _matrix(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, with_set: bool = False) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, permutations: int, with_set: bool = False) -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``set_key``, ``sig`` and, if asked for, ``members`` (the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +130,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, with
                     "id": part.column(0).cast(pa.int64()),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "set_key": pa.array([hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw], pa.binary()),
-                    "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    "sig": pa.array([signature(s, permutations).tobytes() if len(s) else None for s in sets], pa.binary()),
                 }
                 if with_set:
                     out["members"] = pa.array(raw, pa.binary())
@@ -129,9 +140,9 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, with
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _bucket_forest(limits: list[tuple[int, int]]):
+def _bucket_forest(limits: list[tuple[int, int]], permutations: int):
     def work(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        ids, sig = table.column("id").to_numpy(), _matrix(table.column("sig"), np.uint32, PERMUTATIONS)
+        ids, sig = table.column("id").to_numpy(), _matrix(table.column("sig"), np.uint32, permutations)
         lo, hi, side, band = (table.column(c).to_numpy() for c in ("lo", "hi", "side", "band"))
         keys, forest, found = band_keys(sig), Forest(len(ids)), []
         for i, j in pairs_within(bounds, lo, hi, side):
@@ -149,9 +160,9 @@ def _bucket_forest(limits: list[tuple[int, int]]):
     return work
 
 
-def _verified_forest(limits: list[tuple[int, int]], percent: int):
+def _verified_forest(limits: list[tuple[int, int]], percent: int, permutations: int):
     def work(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        ids, sig = table.column("id").to_numpy(), _matrix(table.column("sig"), np.uint32, PERMUTATIONS)
+        ids, sig = table.column("id").to_numpy(), _matrix(table.column("sig"), np.uint32, permutations)
         lo, hi, side = (table.column(c).to_numpy() for c in ("lo", "hi", "side"))
         sets = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
         n, keys, forest, found = np.array([len(s) for s in sets]), band_keys(sig), Forest(len(ids)), []
@@ -184,8 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed on the full sets. ``component_id`` is the smallest id reachable by links, ``kept`` says
     that it is the row's own.
 
-    A pair at the threshold is missed by the bands with probability (1 - .85^5)^25 < 5e-7, and by each
-    pruning step with the posterior probability ``miss``.
+    There are as many bands as it takes for a pair at the threshold to be missed by all of them with at most
+    ``BAND_MISS``; each pruning step misses it with the posterior probability ``miss``.
 
     Null or empty text, or text without words: ``n_shingles`` 0, a component of its own, kept.
     A null id can't name a component: ``component_id`` null, kept. Rows that repeat an id stay, one
@@ -193,8 +204,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
-    limits = least_matches(percent / 100, miss)
-    rows = scratch.save(sketch(docs, id_col, text_col, shingle_words), "sketch")
+    n_bands = bands_for(percent)
+    permutations = n_bands * ROWS
+    limits = least_matches(percent / 100, miss, permutations)
+    rows = scratch.save(sketch(docs, id_col, text_col, shingle_words, permutations), "sketch")
     named = rows.where("n_shingles > 0 and id is not null")
     classes = scratch.save(named.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
     own = rows.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi")
@@ -203,22 +216,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(_matrix(batch.column(1), np.uint32, PERMUTATIONS)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), "bucket": pa.array(keys.ravel())})
+                keys = band_keys(_matrix(batch.column(1), np.uint32, permutations)).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(batch.column(0).to_numpy(), n_bands)), "band": pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(keys))), "bucket": pa.array(keys.ravel())})
 
     banded = scratch.save(reps.mapInArrow(bands, "id long, band int, bucket long"), "bands")
     sizes = scratch.save(banded.groupBy("band", "bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "buckets")
     tiled = in_tiles(banded, ["band", "bucket"], "id", TILE, sizes).join(reps, "id")
     group = ["band", "bucket", "lo", "hi"]
-    candidates = over_groups(tiled.select("id", "sig", "side", *group), group, _bucket_forest(limits), "a long, b long")
+    candidates = over_groups(tiled.select("id", "sig", "side", *group), group, _bucket_forest(limits, permutations), "a long, b long")
     blocks = scratch.save(connected_components(candidates, scratch), "blocks")
 
     spaced = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    full = sketch(semi_join_ids(spaced, "id", blocks.select("id")), "id", "text", shingle_words, with_set=True)
+    full = sketch(semi_join_ids(spaced, "id", blocks.select("id")), "id", "text", shingle_words, permutations, with_set=True)
     full = full.where("n_shingles > 0").join(blocks, "id")
     group = ["component", "lo", "hi"]
     tiled = in_tiles(full.select("id", "component", "sig", "members"), ["component"], "id", TILE, blocks.groupBy("component").agg(F.count("*").alias("_n")))
-    links = over_groups(tiled.select("id", "sig", "members", "side", *group), group, _verified_forest(limits, percent), "a long, b long", chunk_rows=512)
+    links = over_groups(tiled.select("id", "sig", "members", "side", *group), group, _verified_forest(limits, percent, permutations), "a long, b long", chunk_rows=512)
     linked = scratch.save(connected_components(links, scratch), "linked")
 
     of_class = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

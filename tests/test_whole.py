@@ -3,7 +3,8 @@
 import duckdb
 import numpy as np
 
-from inkwell.llm import linedup, oracles
+import corpus_pipeline
+from inkwell.llm import linedup, minhash, oracles
 from inkwell.llm.queries import QUERIES
 from inkwell.operators import similarity as S
 from inkwell.plans import catalogue
@@ -69,3 +70,17 @@ def test_every_line_of_the_table(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     rel = con.sql(oracles.SQL["op1_linededup"])
     assert rows_of(got[0].__fields__, [r for r in got if len(texts[r.doc_id].split("\n")[r.line_no]) >= 24]) == rows_of(rel.columns, rel.fetchall())
+
+
+def test_near_stage_links_from_80_percent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 1000 and n_chars < 6000")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    comp, _ = brute.near(texts, 80)
+    assert comp != brute.near(texts)[0]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i in texts if comp[i] == i)
+
+
+def test_bands_follow_the_threshold():
+    assert (minhash.bands_for(85), minhash.bands_for(80)) == (25, 37)
+    assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands_for(p) <= minhash.BAND_MISS for p in range(50, 100))
