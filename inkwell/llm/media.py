@@ -108,7 +108,8 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
+    after = b.find(b"%PDF-", at + 5)  # each saved revision ends with a mark of its own: the last one counts
+    end = b.rfind(b"%%EOF", at, after if after >= 0 else len(b))
     return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
 
 
@@ -127,12 +128,19 @@ def _zip(b: bytes, at: int) -> int:
 
 
 def _gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
+    d, p = zlib.decompressobj(31), at
     try:
-        d.decompress(b[at:], 1 << 24)
+        while not d.eof:
+            part = d.unconsumed_tail
+            if not part:
+                part = b[p : p + (1 << 16)]
+                p += len(part)
+            if not part:
+                return 0
+            d.decompress(part, 1 << 20)
     except zlib.error:
         return 0
-    return len(b) - at - len(d.unused_data) if d.eof else 0
+    return p - at - len(d.unused_data)
 
 
 #: Magic bytes, type, validator.

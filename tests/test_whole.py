@@ -1,10 +1,12 @@
 """Whole results where the queries' SQL states a part of them."""
 
+import gzip
+
 import duckdb
 import numpy as np
 
 import corpus_pipeline
-from inkwell.llm import linedup, minhash, oracles
+from inkwell.llm import linedup, media, minhash, oracles
 from inkwell.llm.queries import QUERIES
 from inkwell.operators import similarity as S
 from inkwell.plans import catalogue
@@ -84,3 +86,14 @@ def test_near_stage_links_from_80_percent(spark):
 def test_bands_follow_the_threshold():
     assert (minhash.bands_for(85), minhash.bands_for(80)) == (25, 37)
     assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands_for(p) <= minhash.BAND_MISS for p in range(50, 100))
+
+
+def test_large_gzip_and_revised_pdf():
+    raw = gzip.compress(b"ab" * (10 << 20))
+    assert media.sniff(b"x" + raw + b"tail") == [(1, len(raw), "application/gzip")]
+    assert media.sniff(raw[:-1]) == []
+    noise = np.random.default_rng(1).bytes(300_000)
+    stored = gzip.compress(noise)
+    assert (0, len(stored), "application/gzip") in media.sniff(stored + noise)
+    pdf = b"%PDF-1.4\nstartxref\n9\n%%EOF\n1 0 obj\nendobj\nstartxref\n30\n%%EOF"
+    assert media.sniff(pdf + b"tail" + pdf) == [(0, len(pdf), "application/pdf"), (len(pdf) + 4, len(pdf), "application/pdf")]
