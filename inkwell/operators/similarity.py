@@ -19,6 +19,7 @@ from inkwell.functions import text as T
 
 #: Queries and vectors of a block of the dense search, and vectors multiplied at once.
 QUERY_BLOCK, VECTOR_BLOCK, STRIP = 1024, 16384, 1024
+TECHNICAL = ["ML", "AI", "DL", "NN", "NLP", "CV", "RL"]
 
 
 def term_counts(units: DataFrame, keys: list[str], text: Column, n_max: int = 1, stop: bool = True) -> DataFrame:
@@ -169,11 +170,20 @@ def keywords(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", to
     return rows.select(doc_id, F.posexplode(chosen).alias("place", "term")).withColumn("place", F.col("place").cast("long"))
 
 
+def complexity(text: Column) -> Column:
+    """0.3 words per sentence + 0.4 share of distinct words + 0.3 share of ``TECHNICAL`` words, at most 1; 0 without words."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"{T.WORD}+(?:[-'’.]{T.WORD}+)*"), F.lit(0))
+    n, sents = F.size(tokens), F.size(F.filter(T.sentence_array(text), lambda s: F.trim(s) != ""))
+    technical = F.size(F.filter(tokens, lambda w: w.isin(TECHNICAL)))
+    return F.when(n > 0, F.least(0.3 * n / sents + 0.4 * F.size(F.array_distinct(tokens)) / n + 0.3 * technical / n, F.lit(1.0))).otherwise(0.0)
+
+
 def pair_similarity(pairs: DataFrame, pair_id: str, left: str, right: str) -> DataFrame:
     """0.5 cosine + 0.3 structure + 0.2 Jaccard of each pair of texts, its adaptive threshold and category.
 
     The cosine's model (one- and two-word terms) is fitted on the pair. Structure is the share of
     sentence positions, up to the shorter text's end, whose word counts differ by under 0.3 of the larger.
+    The threshold is 0.6 for a left text of under 100 words, else 0.75 if its complexity is over 0.8, else 0.7.
     """
     units = pairs.select(pair_id, F.posexplode(F.array(left, right)).alias("side", "text"))
     w = scoped_weights(units, [pair_id], [pair_id, "side"], F.col("text"), 2)
@@ -183,9 +193,9 @@ def pair_similarity(pairs: DataFrame, pair_id: str, left: str, right: str) -> Da
     near = F.size(F.filter(F.zip_with(F.slice(lens(left), 1, n), F.slice(lens(right), 1, n), lambda a, b: F.abs(a - b) / F.greatest(a, b, F.lit(1)) < 0.3), lambda x: x))
     a, b = F.array_distinct(T.analysed(F.col(left))), F.array_distinct(T.analysed(F.col(right)))
     union = F.size(F.array_union(a, b))
-    rows = pairs.select(pair_id, F.when(n > 0, near / n).otherwise(0.0).alias("structure"), F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0).alias("jaccard"), T.words(F.col(left)).alias("n"))
+    rows = pairs.select(pair_id, F.when(n > 0, near / n).otherwise(0.0).alias("structure"), F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0).alias("jaccard"), T.words(F.col(left)).alias("n"), complexity(F.col(left)).alias("complexity"))
     rows = rows.join(dot, pair_id, "left").withColumn("score", F.round(F.least(0.5 * F.coalesce("cosine", F.lit(0.0)) + 0.3 * F.col("structure") + 0.2 * F.col("jaccard"), F.lit(1.0)), 6))
-    rows = rows.withColumn("threshold", F.when(F.col("n") < 100, 0.6).otherwise(0.7))
+    rows = rows.withColumn("threshold", F.when(F.col("n") < 100, 0.6).when(F.col("complexity") > 0.8, 0.75).otherwise(0.7))
     s, t = F.col("score"), F.col("threshold")
     category = F.when(s >= F.round(t + 0.1, 6), "high").when(s >= t, "medium").when(s >= F.round(t - 0.2, 6), "low").otherwise("none")
     return rows.select(pair_id, F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"), F.round("structure", 6).alias("structure"), F.round("jaccard", 6).alias("jaccard"), "score", "threshold", category.alias("category"), F.round(F.least(1.2 * s, F.lit(0.95)), 6).alias("confidence"))

@@ -97,3 +97,9 @@ def test_large_gzip_and_revised_pdf():
     assert (0, len(stored), "application/gzip") in media.sniff(stored + noise)
     pdf = b"%PDF-1.4\nstartxref\n9\n%%EOF\n1 0 obj\nendobj\nstartxref\n30\n%%EOF"
     assert media.sniff(pdf + b"tail" + pdf) == [(0, len(pdf), "application/pdf"), (len(pdf) + 4, len(pdf), "application/pdf")]
+
+
+def test_threshold_follows_complexity(spark):
+    long, short = "one two three four five six seven eight nine ten. " * 12, "Go on. " * 60
+    rows = spark.createDataFrame([(1, long, long), (2, short, long), (3, "Go on.", long)], "pair_id long, a string, b string")
+    assert {r.pair_id: r.threshold for r in S.pair_similarity(rows, "pair_id", "a", "b").collect()} == {1: 0.75, 2: 0.7, 3: 0.6}
