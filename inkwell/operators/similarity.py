@@ -150,12 +150,13 @@ def summary_sentences(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "
     return rows.select(doc_id, F.col("pos").cast("long").alias("pos"), "score", place.cast("long").alias("place"))
 
 
-def keyword_scores(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", candidates: int = 64) -> DataFrame:
-    """``(id, term, score, rank)``: one- and two-word terms by their TF-IDF sum over sentences, the first ``candidates``."""
+def keyword_scores(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", candidates: int | None = None) -> DataFrame:
+    """``(id, term, score, rank)``: all one- and two-word terms by their TF-IDF sum over sentences; the first ``candidates``, if given."""
     w = scoped_weights(T.sentences(docs, doc_id, text_col), [doc_id], [doc_id, "pos"], F.col("sent"), 2)
     rows = w.groupBy(doc_id, "term").agg(F.round(F.sum("w"), 6).alias("score"))
     order = Window.partitionBy(doc_id).orderBy(F.desc("score"), F.desc(F.size(F.split("term", " "))), "term")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= candidates)
+    rows = rows.withColumn("rank", F.row_number().over(order).cast("long"))
+    return rows if candidates is None else rows.where(F.col("rank") <= candidates)
 
 
 def keywords(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", top: int = 8) -> DataFrame:

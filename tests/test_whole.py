@@ -103,3 +103,17 @@ def test_threshold_follows_complexity(spark):
     long, short = "one two three four five six seven eight nine ten. " * 12, "Go on. " * 60
     rows = spark.createDataFrame([(1, long, long), (2, short, long), (3, "Go on.", long)], "pair_id long, a string, b string")
     assert {r.pair_id: r.threshold for r in S.pair_similarity(rows, "pair_id", "a", "b").collect()} == {1: 0.75, 2: 0.7, 3: 0.6}
+
+
+def test_keyword_scores_lists_every_term(spark):
+    text = " ".join(f"term{i}" for i in range(150)) + "."
+    rows = S.keyword_scores(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert {r.term for r in rows} == {f"term{i}" for i in range(150)} | {f"term{i} term{i + 1}" for i in range(149)}
+    assert sorted(r["rank"] for r in rows) == list(range(1, 300))
+
+
+def test_first_keyword_scores_match_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got, rel = catalogue.QUERIES["keyword_scores"](spark, SF), con.sql(catalogue.SQL["keyword_scores"])
+    assert rows_of(got.columns, got.where("rank <= 64").collect()) == rows_of(rel.columns, rel.fetchall())
