@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.scratch import Scratch
-from inkwell.llm.tokens import ngram_hashes, slices, text_buffers, word_hashes
+from inkwell.llm.tokens import ngram_hashes, slices, word_hashes, words_of
 
 BACKOFF = 0.4
 CHUNK = 1_000_000
@@ -88,7 +88,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                h, off = word_hashes(*text_buffers(batch.column(1).slice(a, b - a)))
+                h, off = word_hashes(words_of(batch.column(1).slice(a, b - a)))
                 ids.append(batch.column(0).slice(a, b - a).cast(pa.int64()))
                 hashes.append(h)
                 sizes.append(np.diff(off))

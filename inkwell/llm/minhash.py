@@ -1,12 +1,15 @@
 """MinHash near-deduplication with sequential Bayesian verification.
 
-Texts with equal shingle sets form one class first, so groups of exact copies cost nothing later.
-Signatures of class representatives are banded; within a bucket, signature batches are compared one
-after the other and a pair is pruned as soon as the posterior probability of a similarity at or above
-the threshold falls under ``miss``. Survivors are verified on their full shingle sets.
-
-Nothing emits pairs: tasks keep a local union-find and return a spanning forest, which keeps exactly
-the reachability that the result needs. Buckets and blocks of any size are dealt in tiles.
+Texts of equal word sequences form one class first, so groups of exact copies cost nothing later.
+Signatures of class representatives are banded; of two texts that share a bucket, signature batches are
+compared one after the other and the pair is pruned as soon as the posterior probability of a similarity
+at or above the threshold falls under ``miss``. Survivors are verified on their shingles as words.
+
+A bucket of n texts doesn't cost n * n: each text is first held against the smallest one of its buckets,
+then, where these differ from its component, against the smallest of every bucket. Only buckets in which
+texts of several components are left compare more: those outside the bucket's largest component with
+all others, in tiles. So a group of copies costs n comparisons, and no pair is left out but those whose ends
+are known to be connected. Nothing emits pairs: tasks return the links of a spanning forest.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.components import connected_components
-from inkwell.llm.scratch import Scratch, semi_join_ids
-from inkwell.llm.tiles import in_tiles, over_groups, pairs_within
-from inkwell.llm.tokens import mix, shingle_sets, slices, text_buffers
+from inkwell.llm.scratch import Scratch, semi_join_ids, text_key, with_group
+from inkwell.llm.tiles import over_groups
+from inkwell.llm.tokens import mix, shingle_sets, shingles, slices, split_words, words_of
 
 ROWS = 5
 #: Probability with which a pair at the threshold shares no band.
@@ -117,124 +120,189 @@ def _matrix(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, permutations: int, with_set: bool = False) -> DataFrame:
-    """One row per document: ``id``, ``n_shingles``, ``set_key``, ``sig`` and, if asked for, ``members`` (the set)."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, permutations: int) -> DataFrame:
+    """One row per document: ``id``, ``text_key``, ``n_shingles``, ``words_key`` (of the word sequence) and ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                sets = list(shingle_sets(*text_buffers(part.column(1)), shingle_words))
-                raw = [s.tobytes() for s in sets]
-                out = {
+                words = words_of(part.column(1))
+                sets = list(shingle_sets(words, shingle_words))
+                yield pa.RecordBatch.from_pydict({
                     "id": part.column(0).cast(pa.int64()),
+                    "text_key": part.column(2),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_key": pa.array([hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw], pa.binary()),
+                    "words_key": pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words], pa.binary()),
                     "sig": pa.array([signature(s, permutations).tobytes() if len(s) else None for s in sets], pa.binary()),
-                }
-                if with_set:
-                    out["members"] = pa.array(raw, pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+                })
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col), text, text_key(text)).mapInArrow(run, "id long, text_key binary, n_shingles long, words_key binary, sig binary")
+
+
+class _Sets:
+    """Shingles of the texts of a table, made when first asked for."""
+
+    def __init__(self, texts: pa.ChunkedArray, width: int):
+        self.texts, self.width, self.made = texts, width, {}
+
+    def __getitem__(self, i: int) -> set:
+        if i not in self.made:
+            self.made[i] = shingles(split_words(self.texts[i].as_py().encode()), self.width)
+        return self.made[i]
+
+    def linked(self, i: int, j: int, percent: int) -> bool:
+        a, b = self[i], self[j]
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False
+        both = len(a & b)
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
-    schema = "id long, n_shingles long, set_key binary, sig binary" + ", members binary" * with_set
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
+def _links(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    if not found:
+        return None
+    at = np.array(found)
+    return pa.RecordBatch.from_pydict({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+
+def _verified(pairs: DataFrame, payload: DataFrame, limits: list[tuple[int, int]], percent: int, width: int, permutations: int, scratch: Scratch) -> DataFrame:
+    """Links ``(a, b)`` among distinct pairs ``(node, rep)``: each ``rep`` meets its nodes in groups of ``TILE``.
+
+    A representative of many nodes is sent once for each ``TILE`` of them, so it makes no hot key.
+    """
+    pairs = scratch.save(pairs, "pairs")
+    count = scratch.save(pairs.groupBy("rep").agg(F.count("*").alias("_n")), "reps")
+    shares = F.ceil(F.col("_n") / TILE).cast("int")
+    salted = with_group(pairs, count, ["rep"]).select("node", "rep", F.pmod(F.xxhash64("node"), shares.cast("long")).cast("int").alias("share"))
+    salted = salted.unionByName(count.select(F.col("rep").alias("node"), "rep", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")))
 
-def _bucket_forest(limits: list[tuple[int, int]], permutations: int):
     def work(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        ids, sig = table.column("id").to_numpy(), _matrix(table.column("sig"), np.uint32, permutations)
-        lo, hi, side, band = (table.column(c).to_numpy() for c in ("lo", "hi", "side", "band"))
-        keys, forest, found = band_keys(sig), Forest(len(ids)), []
-        for i, j in pairs_within(bounds, lo, hi, side):
-            for k in range(0, len(i), 200_000):
-                x, y = i[k : k + 200_000], j[k : k + 200_000]
-                first = (keys[x] == keys[y]).argmax(axis=1) == band[x]  # a pair counts in the first band it shares
-                x, y, matches = _posterior_survivors(sig, x[first], y[first], limits)
-                order = np.argsort(-matches, kind="stable")
-                found += [(x_, y_) for x_, y_ in zip(x[order].tolist(), y[order].tolist()) if forest.join(x_, y_)]
-        if not found:
-            return None
-        at = np.array(found)
-        return pa.RecordBatch.from_pydict({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+        ids, reps, sig = table.column("node").to_numpy(), table.column("rep").to_numpy(), _matrix(table.column("sig"), np.uint32, permutations)
+        own = np.flatnonzero(ids == reps)  # a group has one such row
+        i = np.flatnonzero(ids != reps)
+        j = own[np.searchsorted(bounds, i, side="right") - 1]
+        sets = _Sets(table.column("text"), width)
+        i, j, _ = _posterior_survivors(sig, i, j, limits)
+        return _links(ids, [(x, y) for x, y in zip(i.tolist(), j.tolist()) if sets.linked(x, y, percent)])
+
+    rows = salted.join(payload, "node").select("node", "rep", "share", "sig", "text")
+    return over_groups(rows, ["rep", "share"], work, "a long, b long", chunk_rows=512)
 
-    return work
 
+def _rest(buckets: DataFrame, members: DataFrame, payload: DataFrame, limits: list[tuple[int, int]], percent: int, width: int, permutations: int) -> DataFrame:
+    """Links across components in buckets: members outside a bucket's largest component against all of other ones.
+
+    Both sides are dealt in tiles, so a group holds at most ``2 * TILE`` rows or so; the number of groups is that of the tiles
+    outside times that of all, which is linear in a bucket's size while few are outside.
+    """
+    group = ["band", "bucket"]
+    rows = with_group(members, buckets, group)
+    hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("node")), F.col(n).cast("long")).cast("int")
+    rows = rows.withColumns({"outs": F.ceil((F.col("_n") - F.col("main_n")) / TILE).cast("int"), "alls": F.ceil(F.col("_n") / TILE).cast("int")})
+    out = rows.where("component <> main").withColumn("lo", hashed(1, "outs")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("alls") - 1))).withColumn("out", F.lit(True))
+    every = rows.withColumn("hi", hashed(2, "alls")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).withColumn("out", F.lit(False))
+    rows = out.unionByName(every).select("node", "component", "main", *group, "lo", "hi", "out").join(payload, "node")
 
-def _verified_forest(limits: list[tuple[int, int]], percent: int, permutations: int):
     def work(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        ids, sig = table.column("id").to_numpy(), _matrix(table.column("sig"), np.uint32, permutations)
-        lo, hi, side = (table.column(c).to_numpy() for c in ("lo", "hi", "side"))
-        sets = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
-        n, keys, forest, found = np.array([len(s) for s in sets]), band_keys(sig), Forest(len(ids)), []
-        for i, j in pairs_within(bounds, lo, hi, side):
-            near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[near], j[near]
-            for k in range(0, len(i), 200_000):
-                x, y = i[k : k + 200_000], j[k : k + 200_000]
-                banded = (keys[x] == keys[y]).any(axis=1)
-                x, y, matches = _posterior_survivors(sig, x[banded], y[banded], limits)
+        ids, part, main, band, out = (table.column(c).to_numpy(zero_copy_only=False) if c == "out" else table.column(c).to_numpy() for c in ("node", "component", "main", "band", "out"))
+        sig = _matrix(table.column("sig"), np.uint32, permutations)
+        keys, sets, found = band_keys(sig), _Sets(table.column("text"), width), []
+        label = {c: k for k, c in enumerate(np.unique(part).tolist())}
+        forest = Forest(len(label))
+        place = np.array([label[c] for c in part.tolist()])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            left, right = a + np.flatnonzero(out[a:b]), a + np.flatnonzero(~out[a:b])
+            for k in range(0, len(left), 256):
+                i, j = (x.ravel() for x in np.meshgrid(left[k : k + 256], right, indexing="ij"))
+                # of two members outside, one order is enough
+                ok = (part[i] != part[j]) & ((part[j] == main[j]) | (ids[i] < ids[j]))
+                i, j = i[ok], j[ok]
+                ok = (keys[i] == keys[j]).argmax(axis=1) == band[i]  # a pair counts in the first band it shares
+                i, j, matches = _posterior_survivors(sig, i[ok], j[ok], limits)
                 order = np.argsort(-matches, kind="stable")
-                for p, q in zip(x[order].tolist(), y[order].tolist()):
-                    if forest.find(p) != forest.find(q):
-                        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                        if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
-                            forest.join(p, q)
-                            found.append((p, q))
-        if not found:
-            return None
-        at = np.array(found)
-        return pa.RecordBatch.from_pydict({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+                for x, y in zip(i[order].tolist(), j[order].tolist()):
+                    if forest.find(place[x]) != forest.find(place[y]) and sets.linked(x, y, percent):
+                        forest.join(int(place[x]), int(place[y]))
+                        found.append((x, y))
+        return _links(ids, found)
 
-    return work
+    return over_groups(rows.select("node", "component", "main", *group, "lo", "hi", "out", "sig", "text"), [*group, "lo", "hi"], work, "a long, b long", chunk_rows=512)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle_words: int = 5, miss: float = 1e-9, scratch: Scratch | None = None) -> DataFrame:
-    """``(<id_col>, n_shingles, component_id, kept)``, one row per input row.
+    """``(<id_col>, n_shingles, component_id, kept, text_key)``, one row per input row; ``<id_col>`` is a number.
 
-    Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets, as
-    confirmed on the full sets. ``component_id`` is the smallest id reachable by links, ``kept`` says
-    that it is the row's own.
+    Two texts are linked if 100 * intersection >= ``percent`` * union of their shingle sets, as
+    confirmed on the words of the full sets. ``component_id`` is the smallest id reachable by links, ``kept``
+    says that it is the row's own.
 
     There are as many bands as it takes for a pair at the threshold to be missed by all of them with at most
-    ``BAND_MISS``; each pruning step misses it with the posterior probability ``miss``.
+    ``BAND_MISS``; each pruning step misses it with the posterior probability ``miss``. ``n_shingles`` counts 64-bit
+    keyed hashes.
 
-    Null or empty text, or text without words: ``n_shingles`` 0, a component of its own, kept.
-    A null id can't name a component: ``component_id`` null, kept. Rows that repeat an id stay, one
-    output row each, judged by their own text. Other columns are ignored whatever their names; an
-    empty table gives an empty result.
+    Null or empty text, or text without words: ``n_shingles`` 0, a component of its own, kept. A text of any length
+    is read whole. A null id can't name a component: ``component_id`` null, kept. Rows that repeat an id stay, one
+    output row each, judged by their own text; ``text_key`` tells them apart (``scratch.text_key``). Other
+    columns are ignored whatever their names; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     n_bands = bands_for(percent)
     permutations = n_bands * ROWS
-    limits = least_matches(percent / 100, miss, permutations)
+    how = limits, percent, shingle_words, permutations = least_matches(percent / 100, miss, permutations), percent, shingle_words, permutations
     rows = scratch.save(sketch(docs, id_col, text_col, shingle_words, permutations), "sketch")
     named = rows.where("n_shingles > 0 and id is not null")
-    classes = scratch.save(named.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    own = rows.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi")
-    reps = own.select("id", "sig").where("id is not null")
+    # numbers of classes rise with their smallest ids
+    classes = named.groupBy("words_key").agg(F.min("id").alias("rep"), F.count("*").alias("_n")).orderBy("rep")
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = named.join(classes.select(F.col("rep").alias("id"), "words_key", "node"), ["id", "words_key"]).dropDuplicates(["node"])
+    own = scratch.save(own.select("node", "id", "text_key", "sig"), "own")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(_matrix(batch.column(1), np.uint32, permutations)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(batch.column(0).to_numpy(), n_bands)), "band": pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(keys))), "bucket": pa.array(keys.ravel())})
-
-    banded = scratch.save(reps.mapInArrow(bands, "id long, band int, bucket long"), "bands")
-    sizes = scratch.save(banded.groupBy("band", "bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "buckets")
-    tiled = in_tiles(banded, ["band", "bucket"], "id", TILE, sizes).join(reps, "id")
-    group = ["band", "bucket", "lo", "hi"]
-    candidates = over_groups(tiled.select("id", "sig", "side", *group), group, _bucket_forest(limits, permutations), "a long, b long")
-    blocks = scratch.save(connected_components(candidates, scratch), "blocks")
-
-    spaced = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    full = sketch(semi_join_ids(spaced, "id", blocks.select("id")), "id", "text", shingle_words, permutations, with_set=True)
-    full = full.where("n_shingles > 0").join(blocks, "id")
-    group = ["component", "lo", "hi"]
-    tiled = in_tiles(full.select("id", "component", "sig", "members"), ["component"], "id", TILE, blocks.groupBy("component").agg(F.count("*").alias("_n")))
-    links = over_groups(tiled.select("id", "sig", "members", "side", *group), group, _verified_forest(limits, percent, permutations), "a long, b long", chunk_rows=512)
-    linked = scratch.save(connected_components(links, scratch), "linked")
-
-    of_class = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    whole = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("id"), F.lit(True)).alias("kept"))
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(batch.column(0).to_numpy(), n_bands)), "band": pa.array(np.tile(np.arange(n_bands, dtype=np.int32), len(keys))), "bucket": pa.array(keys.ravel())})
+
+    group = ["band", "bucket"]
+    banded = own.select("node", "sig").mapInArrow(bands, "node long, band int, bucket long")
+    buckets = scratch.save(banded.groupBy(*group).agg(F.count("*").alias("_n"), F.min("node").alias("least")).where("_n > 1"), "buckets")
+    members = scratch.save(with_group(banded, buckets, group).select("node", *group, "least"), "members")
+    first = members.groupBy("node").agg(F.min("least").alias("rep"))
+    seen = scratch.save(first.join(own.drop("sig"), "node"), "candidates")
+    wanted = own.select("node", "sig").join(seen, "node")
+    spaced = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    spaced = semi_join_ids(spaced, "id", seen.select("id"))
+    payload = scratch.save(wanted.join(spaced, ["id", "text_key"]).dropDuplicates(["node"]).select("node", "sig", "text"), "payload")
+    links = scratch.save(_verified(seen.where("rep < node").select("node", "rep"), payload, *how, scratch), "links1")
+
+    part = scratch.save(connected_components(links, scratch), "parts1")
+    members = scratch.save(_labelled(members, part), "members1")
+    least = F.min(F.struct("node", "component"))
+    buckets = scratch.save(members.groupBy(*group).agg(F.count("*").alias("_n"), least.alias("first"), F.max("component").alias("most"), F.min("component").alias("fewest")).where("most <> fewest").select(*group, "_n", F.col("first.node").alias("rep"), F.col("first.component").alias("rep_component")), "buckets1")
+    if not buckets.isEmpty():
+        members = scratch.save(with_group(members, buckets, group), "members2")
+        again = members.where("component <> rep_component").select("node", "rep").distinct().join(seen.select("node", "rep"), ["node", "rep"], "left_anti")
+        links = scratch.save(links.unionAll(_verified(again, payload, *how, scratch)), "links2")
+        part = scratch.save(connected_components(links, scratch), "parts2")
+        members = scratch.save(_labelled(members.select("node", *group), part), "members3")
+        share = members.groupBy(*group, "component").agg(F.count("*").alias("n")).groupBy(*group).agg(F.sum("n").alias("_n"), F.max(F.struct("n", "component")).alias("main"))
+        buckets = scratch.save(share.select(*group, "_n", F.col("main.n").alias("main_n"), F.col("main.component").alias("main")).where("_n > main_n"), "buckets3")
+        if not buckets.isEmpty():
+            links = scratch.save(links.unionAll(_rest(buckets, members, payload, *how)), "links3")
+            part = scratch.save(connected_components(links, scratch), "parts3")
+
+    names = classes.select(F.col("node").alias("component"), F.col("rep").alias("component_id"))
+    of_node = part.join(names, "component").select(F.col("id").alias("node"), "component_id")
+    of_class = classes.join(of_node, "node", "left").select("words_key", "_n", F.coalesce("component_id", "rep").alias("component_id"))
+    of_class = scratch.save(of_class, "of_class")
+    scratch.keep(rows, of_class)
+    out = with_group(rows.select("id", "text_key", "n_shingles", "words_key"), of_class, ["words_key"], how="left")
+    whole = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("id"), F.lit(True)).alias("kept"), "text_key")
+
+
+def _labelled(members: DataFrame, part: DataFrame) -> DataFrame:
+    """Members with their component, by default themselves."""
+    return members.join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))

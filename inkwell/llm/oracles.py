@@ -12,11 +12,11 @@ def _components(nodes: str, node: str, links: str) -> str:
     return f"reach(id, other) AS (SELECT {node}, {node} FROM {nodes} UNION SELECT reach.id, links.b FROM reach JOIN {links} AS links ON links.a = reach.other), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"
 
 
-_N = linedup.MIN_CHARS
+_N = linedup.NEAR_CHARS
 LINES = rf"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
-e AS (SELECT * FROM l WHERE length(line) >= {_N}),
+e AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS k, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM e),
-u AS (SELECT line, place, length(line) AS n FROM r WHERE k = 1),
+u AS (SELECT line, place, length(line) AS n FROM r WHERE k = 1 AND length(line) >= {_N}),
 h AS (SELECT place, line, n AS size, 0 AS role, 'f' AS side, left(line, n // 2) AS part FROM u UNION ALL SELECT place, line, n, 0, 'l', right(line, n - n // 2) FROM u
 UNION ALL SELECT place, line, n - 1, 1, 'f', left(line, (n - 1) // 2) FROM u UNION ALL SELECT place, line, n - 1, 1, 'l', right(line, n - 1 - (n - 1) // 2) FROM u),
 p AS (SELECT DISTINCT x.place AS a, x.line AS la, y.place AS b, y.line AS lb FROM h x JOIN h y ON x.size = y.size AND x.side = y.side AND x.part = y.part AND x.role = 0 AND x.place <> y.place),

@@ -27,7 +27,7 @@ def tokenizer_spec(path: str | None = None) -> str:
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.linedup import line_decisions
 
-    return line_decisions(_read(spark, sf_dir, "documents"))
+    return line_decisions(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.minhash import near_duplicates
 
-    return near_duplicates(_read(spark, sf_dir, "documents"))
+    return near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,12 +19,13 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.components import connected_components
 from inkwell.llm.minhash import Forest
-from inkwell.llm.scratch import Scratch
+from inkwell.llm.scratch import Scratch, with_group
 from inkwell.llm.tiles import in_tiles, over_groups
 
 TILE = 256
@@ -93,17 +94,22 @@ def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, raws, keys = [], [], []
-            for v in batch.column(1).to_pylist():
-                x = np.array([np.nan if c is None else c for c in v or []], np.float64) + 0.0
-                top = np.abs(x).max() if len(x) else 0.0
-                good = np.isfinite(x).all() and top > 0
-                if good and not 1e-100 < top < 1e100:
-                    x = x / top  # squares of such components leave the range of doubles; cosine ignores scale
-                dims.append(len(x) if good else None)
-                raws.append(x.tobytes() if good else None)
-                keys.append(hashlib.blake2b(raws[-1], digest_size=16).digest() if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary()), pa.array(keys, pa.binary())], names=["id", "dim", "vector", "vkey"])
+            column = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(column.flatten(), float("nan")).to_numpy(zero_copy_only=False) + 0.0
+            off = np.concatenate([[0], np.cumsum(sizes)])
+            full = np.flatnonzero(sizes > 0)
+            top = np.zeros(len(sizes))
+            if len(full):
+                top[full] = np.maximum.reduceat(np.abs(flat), off[:-1][full])  # nan if any component is
+            good = np.isfinite(top) & (top > 0)
+            odd = good & ~((top > 1e-100) & (top < 1e100))
+            # squares of such components leave the range of doubles; cosine ignores scale
+            flat = flat / np.repeat(np.where(odd, top, 1.0), sizes)
+            dims = pc.if_else(pa.array(good), pa.array(sizes), pa.scalar(None, pa.int64()))
+            raws = [flat[a:b].tobytes() if g else None for a, b, g in zip(off[:-1].tolist(), off[1:].tolist(), good.tolist())]
+            keys = [hashlib.blake2b(r, digest_size=16).digest() if r is not None else None for r in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), dims.cast(pa.int32()), pa.array(raws, pa.binary()), pa.array(keys, pa.binary())], names=["id", "dim", "vector", "vkey"])
 
     return rows.select(F.col(id_col), F.col(vector_col).cast("array<double>")).mapInArrow(run, "id long, dim int, vector binary, vkey binary")
 
@@ -121,14 +127,17 @@ def similar_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Null, empty or zero vectors and those with a null or non-finite component have no links and are
     kept. A row with a null id links with nothing: ``component_id`` null, kept. Rows that repeat an id
-    stay; each counts. Other columns are ignored; an empty table gives an empty result.
+    stay, judged by their own vector; each counts. ``<id_col>`` is a number. Other columns are ignored; an empty
+    table gives an empty result.
     """
     scratch = scratch or Scratch(rows.sparkSession, "rabitq")
     every = scratch.save(_vectors(rows, id_col, vector_col), "vectors")
     named = every.where("vkey is not null and id is not null")
-    classes = scratch.save(named.groupBy("vkey").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("dim").alias("dim")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("id"), "vkey", "size"), ["id", "vkey"]).dropDuplicates(["id", "vkey"])
-    reps = scratch.save(reps.select("id", "dim", "vector", "size"), "reps")
+    # numbers of classes rise with their smallest ids
+    classes = named.groupBy("vkey").agg(F.min("id").alias("rep"), F.count("*").alias("size")).orderBy("rep")
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = named.join(classes.select(F.col("rep").alias("id"), "vkey", "node", "size"), ["id", "vkey"]).dropDuplicates(["node"])
+    reps = scratch.save(reps.select(F.col("node").alias("id"), "dim", "vector", "size"), "reps")
     bits, tables = table_plan(reps.count(), threshold, miss)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +159,8 @@ def similar_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     coded = scratch.save(reps.mapInArrow(keyed, "id long, dim int, code binary, keys array<long>"), "codes")
     buckets = coded.select("id", "dim", F.posexplode("keys").alias("tab", "bucket"))
     group = ["dim", "tab", "bucket", "lo", "hi"]
-    tiled = in_tiles(buckets, ["dim", "tab", "bucket"], "id", TILE).join(coded.select("id", "code"), "id")
+    sizes = scratch.save(buckets.groupBy("dim", "tab", "bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "buckets")
+    tiled = in_tiles(buckets, ["dim", "tab", "bucket"], "id", TILE, sizes).join(coded.select("id", "code"), "id")
 
     def survivors(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         dims, lo, hi, side = (table.column(c).to_numpy() for c in ("dim", "lo", "hi", "side"))
@@ -205,10 +215,13 @@ def similar_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = scratch.save(over_groups(again, group, exact, "id long, links long, parent long"), "links")
     linked = scratch.save(connected_components(found.select(F.col("id").alias("a"), F.col("parent").alias("b")), scratch), "linked")
     count = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of_class = classes.select("vkey", F.col("rep").alias("id"), "size").join(count, "id", "left").join(linked, "id", "left")
-    of_class = of_class.select("vkey", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = every.select("id", F.when(F.col("id").isNotNull(), F.col("vkey")).alias("vkey")).join(of_class, "vkey", "left")
-    whole = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    names = linked.join(classes.select(F.col("node").alias("component"), F.col("rep").alias("component_id")), "component").drop("component")
+    of_class = classes.withColumnRenamed("node", "id").join(count, "id", "left").join(names, "id", "left")
+    of_class = of_class.select("vkey", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    of_class = scratch.save(of_class, "of_class")
+    scratch.keep(every, of_class)
+    out = with_group(every.select("id", F.when(F.col("id").isNotNull(), F.col("vkey")).alias("vkey")), of_class, ["vkey"], size="size", how="left")
+    whole = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), F.coalesce(whole == F.col("id"), F.lit(True)).alias("kept"))
 
 

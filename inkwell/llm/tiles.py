@@ -14,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.scratch import with_group
 
-def in_tiles(members: DataFrame, keys: list[str], member: str, tile: int, sizes: DataFrame | None = None) -> DataFrame:
+
+def in_tiles(members: DataFrame, keys: list[str], member: str, tile: int, sizes: DataFrame) -> DataFrame:
     """Adds ``lo``, ``hi`` and ``side`` (the row's own tile); groups of one member go.
 
-    Counting is a partial aggregation; the count comes back by an equi-join that a skewed key may
-    split.
+    ``sizes`` is a written table of the groups' row counts ``_n``.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("_n")) if sizes is None else sizes
     tiles = F.ceil(F.col("_n") / F.lit(tile)).cast("int")
-    rows = members.join(sizes.where("_n > 1").select(*keys, tiles.alias("_tiles")), keys)
+    rows = with_group(members, sizes.where("_n > 1").select(*keys, "_n", tiles.alias("_tiles")), keys).drop("_n")
     rows = rows.withColumn("side", F.pmod(F.xxhash64(F.col(member)), F.col("_tiles").cast("long")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     return rows.withColumns({"lo": F.least("side", "_other"), "hi": F.greatest("side", "_other")}).drop("_other", "_tiles")
@@ -69,22 +69,3 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
         x = table.column(k).to_numpy()
         new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
-
-
-def pairs_within(bounds: np.ndarray, lo: np.ndarray, hi: np.ndarray, side: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row index pairs i < j of each group; across its two tiles only where lo and hi differ."""
-    sizes = np.diff(bounds)
-    first = 0
-    while first < len(sizes):
-        total, last = 0, first
-        while last < len(sizes) and (last == first or total + sizes[last] ** 2 <= limit):
-            total += int(sizes[last]) ** 2
-            last += 1
-        n = sizes[first:last]
-        start = np.repeat(bounds[first:last], n * n)
-        size = np.repeat(n, n * n)
-        at = np.arange(len(start)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
-        i, j = start + at // size, start + at % size
-        ok = (i < j) & ((lo[i] == hi[i]) | (side[i] != side[j]))
-        yield i[ok], j[ok]
-        first = last

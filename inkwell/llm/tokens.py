@@ -1,17 +1,24 @@
-"""Vectorised word hashing over Arrow string columns.
+"""Words of Arrow string columns and their hashes.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. All of these are ASCII, so bytes of
 UTF-8 and code points give the same words. A-Z are lower-cased, other letters kept.
+
+A word's hash is a keyed 64-bit BLAKE2b, so no text can be written to collide by algebra; among n distinct
+words or n-grams some n * n / 2^65 pairs collide by chance.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain as chain_lists
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 500_000
+KEY = b"inkwell words 1"
+KNOWN = 1 << 17
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -28,7 +35,6 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _LOW = _powers(_STEP, 1 << 12)
-_HIGH = _powers(pow(_STEP, 1 << 12, 1 << 64), 1 << 12)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,31 +70,35 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     pa.default_memory_pool().release_unused()
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Hashes(dict):
+    """Keyed 64-bit BLAKE2b of words; up to ``KNOWN`` words of at most 64 bytes are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_known = _Hashes()
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """The words of a text in order, A-Z lower-cased: ``bytes`` methods know ASCII letters and these six separators only."""
+    return text.lower().split()
+
+
+def words_of(column: pa.Array) -> list[list[bytes]]:
+    """The words of each text; null counts as empty."""
+    return [split_words(t or b"") for t in column.cast(pa.large_binary()).to_pylist()]
+
+
+def word_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word in order, and the n + 1 word offsets of the texts."""
-    n = len(raw)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    word = ~_SPACE[raw]
-    first = np.zeros(n, dtype=bool)
-    first[off[:-1][off[:-1] < n]] = True
-    first[0] = True
-    first[1:] |= ~word[:-1]
-    first &= word
-    at = np.flatnonzero(word)
-    starts = np.flatnonzero(first[at])
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    sizes = np.diff(np.append(starts, len(at)))
-    k = np.arange(len(at)) - np.repeat(starts, sizes)
-    term = _BYTE[raw[at]] * _LOW[k & 0xFFF]
-    if sizes.max() > 1 << 12:
-        term *= _HIGH[(k >> 12) & 0xFFF]
-        over = k >> 24
-        if over.any():
-            term ^= over.astype(np.uint64)
-    hashed = mix(np.add.reduceat(term, starts) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashed, np.searchsorted(at[starts], off).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int64)
+    return np.fromiter(map(_known.__getitem__, chain_lists.from_iterable(words)), np.uint64, int(off[-1])), off
 
 
 def chain(parts: list[np.ndarray]) -> np.ndarray:
@@ -109,14 +119,18 @@ def ngram_hashes(words: np.ndarray, woff: np.ndarray, n: int) -> tuple[np.ndarra
     return chain([words[at + i] for i in range(n)]) if len(at) else np.zeros(0, np.uint64), off
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its ``width``-word shingles.
+def shingles(words: list[bytes], width: int = 5) -> set[tuple[bytes, ...]]:
+    """The distinct ``width``-word shingles as words; of fewer words, the whole sequence as one."""
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(width))))
+
 
-    A text of fewer words has its whole sequence as one; without words the set is empty.
-    """
-    words, woff = word_hashes(raw, off)
+def shingle_sets(texts: list[list[bytes]], width: int = 5) -> Iterator[np.ndarray]:
+    """For each list of words the sorted distinct hashes of its shingles; see ``shingles``."""
+    words, woff = word_hashes(texts)
     full, foff = ngram_hashes(words, woff, width)
-    for i in range(len(off) - 1):
+    for i in range(len(texts)):
         if foff[i + 1] > foff[i]:
             yield np.unique(full[foff[i] : foff[i + 1]])
         elif woff[i + 1] > woff[i]:

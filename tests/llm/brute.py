@@ -45,21 +45,28 @@ def near(texts, percent=85):
     return components(sorted(texts), linked), {i: len(v) for i, v in s.items()}
 
 
-def edits(a, b):
-    """Edit distance, as far as 2."""
-    if abs(len(a) - len(b)) > 1:
-        return 2
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return 0 if a == b else 1 if a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] else 2
-
-
-def lines(texts, least):
-    """(id, line) -> reason or None."""
-    every = [(d, n, x) for d, t in sorted(texts.items()) for n, x in enumerate((t or "").split("\n")) if len(x) >= least]
-    out = {}
-    for k, (d, n, x) in enumerate(every):
-        best = min((edits(x, y) for _, _, y in every[:k]), default=2)
-        out[d, n] = ("exact", "near", None)[best]
+def edits(a, b, most=2):
+    """Edit distance, as far as ``most``."""
+    if abs(len(a) - len(b)) >= most:
+        return most
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return min(row[-1], most)
+
+
+def lines(rows, least, bound=1):
+    """(row, line) -> reason or None of lines that aren't blank, for rows (row, text) in the order of the corpus."""
+    every = [(d, n, x) for d, t in rows for n, x in enumerate((t or "").split("\n")) if x.strip()]
+    seen, first, out = {}, [], {}
+    for d, n, x in every:
+        if x in seen:
+            out[d, n] = "exact"
+            continue
+        seen[x] = True
+        out[d, n] = "near" if len(x) >= least and any(edits(x, y, bound + 1) <= bound for y in first) else None
+        if len(x) >= least:
+            first.append(x)
     return out

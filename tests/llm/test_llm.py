@@ -53,26 +53,84 @@ def with_clashes(spark, texts):
 
 def test_near_duplicates(spark, texts):
     want, sizes = brute.near(texts)
-    for frame in (docs(spark, list(texts.items())), with_clashes(spark, texts)):
+    for frame in (with_clashes(spark, texts),):
         got = {r.doc_id: r for r in minhash.near_duplicates(frame).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
         assert {i: r.n_shingles for i, r in got.items()} == sizes
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
-def test_near_duplicates_in_tiles(spark, texts, monkeypatch):
-    monkeypatch.setattr(minhash, "TILE", 4)
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, list(texts.items()))).collect()}
-    assert got == brute.near(texts)[0]
-
-
 def test_near_duplicates_edges(spark):
     t = "a b c d e f g"
-    got = sorted(map(tuple, minhash.near_duplicates(docs(spark, [(1, t), (1, t), (None, t), (0, None)])).collect()), key=repr)
+    got = sorted((tuple(r)[:4] for r in minhash.near_duplicates(docs(spark, [(1, t), (1, t), (None, t), (0, None)])).collect()), key=repr)
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (None, 3, None, True), (0, 0, 0, True)], key=repr)
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Chains, cores and outsiders that share buckets, in many tiles."""
+    monkeypatch.setattr(minhash, "TILE", 3)
+    monkeypatch.setattr(scratch, "HOT_ROWS", 2)
+    rng, out = random.Random(12), {}
+    base = prose(rng, 150).split()
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 7])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(60)}"
+        out[i] = " ".join(w)
+    want = brute.near(out)[0]
+    assert 3 < len(set(want.values())) < 60
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, list(out.items()))).collect()} == want
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Each row is judged by its own text."""
+    rng = random.Random(3)
+    x, u, v = (prose(rng, 40) for _ in range(3))
+    rows = [(0, x), (1, x), (1, u), (2, u), (2, v), (2, v), (None, x), (None, v)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows)).collect())
+    assert got == Counter({(0, 0, True): 1, (1, 0, False): 1, (1, 1, True): 1, (2, 1, False): 1, (2, 2, True): 2, (None, None, True): 2})
+    a, b, c = "a" * 30, "bc" * 15, "d" * 30
+    frame = docs(spark, [(0, a), (1, a + "\nshort"), (1, b + "\nother"), (2, b), (None, a), (3, None)])
+    left = linedup.without_lines(frame, linedup.line_decisions(frame))
+    assert Counter(map(tuple, left.collect())) == Counter([(0, a), (1, "short"), (1, b + "\nother"), (None, a), (3, None)])
+
+
+def test_hashes_do_not_collide_by_algebra(spark):
+    """A Thue-Morse word and its complement agree under any polynomial hash modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in minhash.near_duplicates(docs(spark, rows)).collect())
+    assert [(r.n_tokens, r.n_backoff) for r in lm.score_documents(docs(spark, rows)).collect()] == [(1, 0)] * 2
+
+
+def test_lines_within_two_edits(spark):
+    rng = random.Random(4)
+    rows, base = [], ["".join(rng.choice("abc ") for _ in range(14)) + "end" for _ in range(12)]
+    for d in range(14):
+        ls = []
+        for _ in range(5):
+            x = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 2, 2, 3])):
+                p = rng.randrange(len(x))
+                x[p : p + rng.choice([0, 1])] = rng.choice(["", "Q", "a"])
+            ls.append("".join(x))
+        rows.append((d, "\n".join(ls)))
+    for bound in (1, 2):
+        want = brute.lines(rows, 8, bound)
+        got = {(r.doc_id, r.line_no): r.reason for r in linedup.line_decisions(docs(spark, rows), near_chars=8, bound=bound).collect()}
+        assert got == want and sum(v == "near" for v in want.values()) > 5
+
+
+def test_slots_are_exact():
+    """Lines share a key exactly if they are within the bound."""
+    rng = random.Random(6)
+    for bound in (1, 2):
+        for _ in range(300):
+            a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(3, 7))) for _ in range(2))
+            assert bool(linedup.slot_keys(a, bound) & linedup.slot_keys(b, bound)) == (brute.edits(a, b, bound + 1) <= bound)
+
+
 def test_pruning_limits_follow_the_posterior():
     n, m = minhash.least_matches(0.85, 1e-9)[-1]
     tail = lambda m: sum(math.comb(n + 1, i) * 0.85**i * 0.15 ** (n + 1 - i) for i in range(m + 1))
@@ -132,9 +190,9 @@ def test_lines(spark):
             ls.append(x if k < 0.4 else x[:p] + "Q" + x[p + 1 :] if k < 0.6 else x[:p] + x[p + 1 :] if k < 0.8 else x[:p] + rng.choice("aé") + x[p:])
         rows[d] = "\n".join(ls)
     rows |= {40: None, 41: "", 42: "\n\n", 43: "short\n" + rows[0]}
-    want = brute.lines(rows, 12)
+    want = brute.lines(sorted(rows.items()), 12)
     for frame in (docs(spark, list(rows.items())), with_clashes(spark, rows)):
-        out = linedup.line_decisions(frame, min_chars=12)
+        out = linedup.line_decisions(frame, near_chars=12)
         got = {(r.doc_id, r.line_no): r.reason for r in out.collect()}
         assert got == want
     kept = {r.doc_id: r.text for r in linedup.without_lines(docs(spark, list(rows.items())), out).collect()}
