@@ -1,11 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network runs over each word (maximal run of non-space bytes, cut after ``SPAN`` bytes), forwards
-and backwards from a zero state, and labels every byte. Its state ends with the word, so equal words
-get equal labels wherever they stand: a task labels each distinct word once and pools the label
-probabilities of all positions of a document, whole texts included, by word counts.
+A text is read in windows of ``WINDOW`` bytes; the network runs over each, forwards and backwards from a zero
+state, across words and spaces, and labels every byte. The log probabilities of all positions of a
+document, whole texts included, are averaged.
 
-Training is backpropagation through time in numpy on a bounded sample of labelled words.
+Training is backpropagation through time in numpy on windows at random places of a bounded, stratified sample
+of labelled documents.
 """
 
 from __future__ import annotations
@@ -17,35 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.scratch import drawn, small_batches
-from inkwell.llm.tokens import _BYTE, _LOW, _SPACE, mix, slices, text_buffers
+from inkwell.llm.scratch import small_batches
+from inkwell.llm.tokens import mix, slices, text_buffers
 
-SPAN = 24
+WINDOW = 128
 HIDDEN = 16
-CACHE = 400_000
-#: Bound of the training sample: documents and, of each, leading words.
-TRAIN_DOCS, TRAIN_WORDS = 6000, 60
-STEPS = 600
-
-
-def cut_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words of at most ``SPAN`` bytes."""
-    n = len(raw)
-    word = ~_SPACE[raw]
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[off] = True
-    first = word.copy()
-    first[1:] &= ~word[:-1] | edge[1:n]
-    at = np.flatnonzero(first)
-    last = word.copy()
-    last[:-1] &= ~word[1:] | edge[1:n]
-    end = np.flatnonzero(last) + 1
-    parts = -(-(end - at) // SPAN)
-    if len(parts) and parts.max() > 1:
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = np.repeat(at, parts) + k * SPAN
-        return start, np.minimum(start + SPAN, np.repeat(end, parts))
-    return at, end
+#: Windows that are labelled at once.
+BATCH = 1024
+#: Bound of the training sample: documents, dealt evenly to the labels, and windows of each.
+TRAIN_DOCS, TRAIN_WINDOWS = 6000, 2
+STEPS = 400
+FLOOR = float(np.log(1e-6))
+
+
+def windows(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and text numbers of the windows of texts with offsets ``off``."""
+    size = np.diff(off)
+    count = -(-size // WINDOW)
+    text = np.repeat(np.arange(len(size)), count)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = off[:-1][text] + k * WINDOW
+    return start, np.minimum(WINDOW, off[1:][text] - start), text
 
 
 class Network:
@@ -59,36 +51,49 @@ class Network:
         self.w |= {"O": draw(2 * hidden, n_labels), "o": np.zeros(n_labels, np.float32)}
         self.hidden = hidden
 
-    def states(self, x: np.ndarray, live: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """(T, B, H) states of one direction over (T, B) bytes; ``keep`` gathers what backpropagation needs."""
+    def states(self, x: np.ndarray, live: np.ndarray | None, d: str, keep: list | None = None) -> np.ndarray:
+        """(T, B, H) states of one direction over (T, B) bytes; ``keep`` gathers what backpropagation needs.
+
+        ``live`` masks the positions inside a window; None says that all are.
+        """
         h_n, E, Z, C = self.hidden, self.w[d + "E"], self.w[d + "Z"], self.w[d + "C"]
-        h = np.zeros((x.shape[1], h_n), np.float32)
-        out = np.zeros((*x.shape, h_n), np.float32)
+        h = np.zeros((x.shape[1], h_n), E.dtype)
+        out = np.zeros((*x.shape, h_n), E.dtype)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             e = E[x[t]]
             g = 1 / (1 + np.exp(-(e[:, : 2 * h_n] + h @ Z)))
             z, r = g[:, :h_n], g[:, h_n:]
             c = np.tanh(e[:, 2 * h_n :] + (r * h) @ C)
-            new = np.where(live[t][:, None], h + z * (c - h), h)
+            new = h + z * (c - h)
+            if live is not None:
+                new = np.where(live[t][:, None], new, h)
             if keep is not None:
                 keep.append((t, h, z, r, c))
             h = out[t] = new
         return out
 
-    def label(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """(T, B, L) label probabilities of every position."""
-        s = np.concatenate([self.states(x, live, "f"), self.states(x, live, "b")], axis=2) @ self.w["O"] + self.w["o"]
-        p = np.exp(s - s.max(axis=2, keepdims=True))
-        return p / p.sum(axis=2, keepdims=True)
-
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """(n, L) log probabilities of words, summed over their positions."""
-        out = np.zeros((len(words), len(self.w["o"])))
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for k in range(0, len(order), 4096):
-            part = order[k : k + 4096]
-            x, live = pad([words[i] for i in part])
-            out[part] = (np.log(self.label(x, live) + 1e-6) * live[:, :, None]).sum(axis=0)
+    def label(self, x: np.ndarray, live: np.ndarray | None) -> np.ndarray:
+        """(T, B, L) log probabilities of the labels at every position."""
+        s = self.states(x, live, "f") @ self.w["O"][: self.hidden]
+        s += self.states(x, live, "b") @ self.w["O"][self.hidden :]
+        s += self.w["o"]
+        s -= s.max(axis=2, keepdims=True)
+        return s - np.log(np.exp(s).sum(axis=2, keepdims=True))
+
+    def pooled(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """(n, L) log probabilities of texts in a buffer, no less than ``FLOOR``, summed over their positions."""
+        start, size, text = windows(off)
+        out = np.zeros((len(off) - 1, len(self.w["o"])))
+        full = size == WINDOW
+        for group in (np.flatnonzero(full), np.flatnonzero(~full)[np.argsort(size[~full], kind="stable")]):
+            for k in range(0, len(group), BATCH):
+                part = group[k : k + BATCH]
+                width = int(size[part].max())
+                at = np.arange(width)[:, None]
+                live = None if full[part[0]] else at < size[part][None, :]
+                x = raw[np.minimum(start[part][None, :] + at, len(raw) - 1)]
+                p = np.maximum(self.label(x, live), FLOOR)
+                np.add.at(out, text[part], (p if live is None else p * live[:, :, None]).sum(axis=0, dtype=np.float64))
         return out
 
     def gradient(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -106,8 +111,9 @@ class Network:
         g = {"O": np.einsum("tbh,tbl->hl", both, ds), "o": ds.sum(axis=(0, 1))}
         dboth = ds @ self.w["O"].T
         for d, lo in (("f", 0), ("b", h_n)):
-            E, Z, C = np.zeros((256, 3 * h_n), np.float32), np.zeros_like(self.w[d + "Z"]), np.zeros_like(self.w[d + "C"])
-            dh = np.zeros((x.shape[1], h_n), np.float32)
+            E, Z, C = np.zeros((256, 3 * h_n), dboth.dtype), np.zeros_like(self.w[d + "Z"]), np.zeros_like(self.w[d + "C"])
+            dh = np.zeros((x.shape[1], h_n), dboth.dtype)
+            into = np.zeros((*x.shape, 3 * h_n), dboth.dtype)
             for t, h, z, r, c in reversed(keep[d]):
                 dh = dh + dboth[t, :, lo : lo + h_n]
                 on = live[t][:, None]
@@ -117,114 +123,90 @@ class Network:
                 dg = np.concatenate([dn * (c - h) * z * (1 - z), drh * h * r * (1 - r)], axis=1)
                 C += (r * h).T @ da
                 Z += h.T @ dg
-                np.add.at(E, x[t], np.concatenate([dg, da], axis=1))
+                into[t] = np.concatenate([dg, da], axis=1)
                 dh = np.where(on, dn * (1 - z) + drh * r + dg @ self.w[d + "Z"].T, dh)
+            flat, order = x.ravel(), np.argsort(x, axis=None, kind="stable")
+            used, first = np.unique(flat[order], return_index=True)
+            E[used] = np.add.reduceat(into.reshape(-1, 3 * h_n)[order], first)
             g |= {d + "E": E, d + "Z": Z, d + "C": C}
         return float(loss), g
 
 
-def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(T, B) bytes and the mask of those inside the words."""
-    size = np.array([len(w) for w in words])
+def pad(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(T, B) bytes and the mask of those inside the texts."""
+    size = np.array([len(w) for w in texts])
     width = int(size.max())
-    x = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width).T
+    x = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in texts), np.uint8).reshape(len(texts), width).T
     return np.ascontiguousarray(x), np.arange(width)[:, None] < size[None, :]
 
 
-def train(words: list[bytes], labels: np.ndarray, n_labels: int, epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam over shuffled batches of words of like length; the same input gives the same network.
-
-    Small inputs get as many passes as ``STEPS`` steps take.
-    """
-    epochs = max(epochs, -(-STEPS // max(1, -(-len(words) // batch))))
+def train(texts: list[bytes], labels: np.ndarray, n_labels: int, steps: int = STEPS, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+    """Adam over batches that draw every label alike; the same input gives the same network."""
     net, rng = Network(n_labels, seed=seed), np.random.Generator(np.random.PCG64(seed + 1))
-    size = np.array([len(w) for w in words])
-    m, v, step = {k: 0.0 for k in net.w}, {k: 0.0 for k in net.w}, 0
-    for _ in range(epochs):
-        order = rng.permutation(len(words))
-        order = order[np.argsort(size[order], kind="stable")]
-        for k in rng.permutation(-(-len(order) // batch)) * batch:
-            part = order[k : k + batch]
-            _, g = net.gradient(*pad([words[i] for i in part]), labels[part])
-            step += 1
-            for key, d in g.items():
-                m[key] = 0.9 * m[key] + 0.1 * d
-                v[key] = 0.99 * v[key] + 0.01 * d * d
-                net.w[key] = (net.w[key] - rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    of = [np.flatnonzero(labels == k) for k in range(n_labels)]
+    m, v = {k: 0.0 for k in net.w}, {k: 0.0 for k in net.w}
+    for step in range(1, steps + 1):
+        part = [int(rng.choice(of[(step * batch + i) % n_labels])) for i in range(batch)]
+        _, g = net.gradient(*pad([texts[i] for i in part]), labels[part])
+        for key, d in g.items():
+            m[key] = 0.9 * m[key] + 0.1 * d
+            v[key] = 0.99 * v[key] + 0.01 * d * d
+            net.w[key] = (net.w[key] - rate * (1 - 0.9 * step / steps) * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", order_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS, epochs: int = 3) -> tuple[Network, list[str]] | None:
+def sample(docs: DataFrame, text_col: str, label_col: str, order_col: str, max_docs: int, max_windows: int) -> list:
+    """Rows ``(h, label, window)`` of a stratified sample: about ``max_docs`` documents in all, alike for each label.
+
+    Documents are drawn by the hash of id and text, at a rate that the label's count gives; of each, windows at
+    places drawn by that hash from the whole text. Only windows reach the driver.
+    """
+    named = docs.where(F.col(label_col).isNotNull() & (F.length(F.col(text_col).cast("string")) > 0))
+    rows = named.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(order_col).cast("string"), F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # one row for each language
+    if not counts:
+        return []
+    most = max(1, max_docs // len(counts))
+    room = max(1.0, most - 5 * most**0.5)
+    # a rate leaves five standard deviations of room; a label of few rows has them all
+    rates = [(label, int((1.0 if n <= most else room / n) * (1 << 30))) for label, n in counts.items()]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(rates, "label string, rate long"))
+    rows = rows.join(chosen, "label").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate")).select("h", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for h, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = text.encode()
+                spots = mix(np.arange(max_windows, dtype=np.uint64) + np.uint64(h & (2**64 - 1))) % np.uint64(max(1, len(raw) - WINDOW + 1))
+                for a in sorted(set(spots.tolist())):
+                    for col, x in zip(out, (h, label, raw[a : a + WINDOW])):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.binary()))], names=["h", "label", "window"])
+
+    return sorted((r.h, r.label, bytes(r.window)) for r in rows.mapInArrow(run, "h long, label string, window binary").collect())
+
+
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", order_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_windows: int = TRAIN_WINDOWS, steps: int = STEPS) -> tuple[Network, list[str]] | None:
     """A network and its labels from rows with text and label; None if there are none.
 
-    At most ``max_docs`` rows, drawn by the hash of ``order_col`` at a rate that their count gives, and
-    ``max_words`` leading words of each are used to fit; prediction knows no such bound. Only the drawn
-    rows reach the driver.
+    The sample (see ``sample``) has every label that the table has and bounds what the driver holds; prediction knows
+    no such bound. Null and empty texts and null labels teach nothing; rows that repeat id and text are drawn together.
     """
-    named = docs.where(F.col(label_col).isNotNull())
-    sample = named.where(drawn(F.col(order_col), named.count(), max_docs) & F.col(text_col).isNotNull())
-    sample = sample.select(F.substring(F.col(text_col).cast("string"), 1, 16 * max_words).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
-    rows = sorted(sample.collect(), key=lambda r: (r.h, r.label, r.text))[:max_docs]
-    labels = sorted({r.label for r in rows})
-    words: list[bytes] = []
-    y: list[int] = []
-    for r in rows:
-        raw = np.frombuffer(r.text.encode(), np.uint8)
-        a, b = cut_words(raw, np.array([0, len(raw)]))
-        data = raw.tobytes()
-        part = [data[i:j] for i, j in zip(a[:max_words].tolist(), b[:max_words].tolist())]
-        words += part
-        y += [labels.index(r.label)] * len(part)
-    if not words:
+    rows = sample(docs, text_col, label_col, order_col, max_docs, max_windows)
+    if not rows:
         return None
-    return train(words, np.array(y), len(labels), epochs), labels
-
-
-class Pooler:
-    """Sums per-word log probabilities over texts; the words of a task are labelled once."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((0, len(self.net.w["o"])))
-
-    def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n, L) sums over all positions and the n counts of positions."""
-        n_labels = len(self.net.w["o"])
-        a, b = cut_words(raw, off)
-        if len(a) == 0:
-            return np.zeros((len(off) - 1, n_labels)), np.zeros(len(off) - 1, np.int64)
-        if len(self.known) > CACHE:
-            self._clear()
-        word = ~_SPACE[raw]
-        at = np.flatnonzero(word)
-        size = b - a
-        term = _BYTE[raw[at]] ^ (raw[at].astype(np.uint64) << np.uint64(17))
-        k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        key = mix(np.add.reduceat(term * _LOW[k], np.cumsum(size) - size) + size.astype(np.uint64))
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        words = [data[i:j] for i, j in zip(a[first].tolist(), b[first].tolist())]
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.known.update((w, len(self.rows) + i) for i, w in enumerate(new))
-            self.rows = np.concatenate([self.rows, self.net.pooled(new)])
-        value = self.rows[[self.known[w] for w in words]][inverse]
-        total = np.concatenate([np.zeros((1, n_labels)), np.cumsum(value, axis=0)])
-        bound = np.searchsorted(a, off)
-        length = np.concatenate([[0], np.cumsum(size)])
-        return total[bound[1:]] - total[bound[:-1]], length[bound[1:]] - length[bound[:-1]]
+    labels = sorted({label for _, label, _ in rows})
+    return train([w for _, _, w in rows], np.array([labels.index(label) for _, label, _ in rows]), len(labels), steps), labels
 
 
 def predict(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(<id_col>, lang_pred, score)`` of every row from its text alone.
 
     ``lang_pred`` is the label of the largest pooled probability, the first in order on a tie, and ``score``
-    its softmax over mean log probabilities of a position. Null text, text without a letter, or no
-    model: ``und`` and 0. Repeated rows and null ids stay; other columns are ignored.
+    its softmax over mean log probabilities of a position, to six digits. Null text, text without a letter, or no
+    model: ``und`` and 0. Texts of any length are labelled whole. Repeated rows and null ids stay; other columns are
+    ignored; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -238,14 +220,13 @@ def predict(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: st
         weights, hidden, labels = shared.value
         net = Network(len(labels), hidden)
         net.w = weights
-        pool = Pooler(net)
         for batch in batches:
             for x, y in slices(batch.column(1)):
                 part = batch.slice(x, y - x)
-                sums, count = pool(*text_buffers(part.column(1)))
-                mean = sums / np.maximum(count, 1)[:, None]
+                raw, off = text_buffers(part.column(1))
+                mean = net.pooled(raw, off) / np.maximum(np.diff(off), 1)[:, None]
                 best = mean.argmax(axis=1)
-                score = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
+                score = np.round(1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1), 6)
                 spoken = part.column(2).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([labels[b] if s else "und" for b, s in zip(best, spoken)], pa.string()), pa.array([float(v) if s else 0.0 for v, s in zip(score, spoken)], pa.float64())], names=["id", "lang_pred", "score"])
 

@@ -4,16 +4,15 @@ S(w | v) = c(vw) / c(v) if c(vw) > 0, else BACKOFF * c(w) / N; a document's scor
 words. The counts a document is scored with are those of all other documents: its own are taken off.
 
 The join of n-grams with their counts moves packed rows. Documents are gathered in chunks of about
-``CHUNK`` words; a chunk sends each of its distinct n-grams once, as sorted hashes delta-coded by hash
+``CHUNK`` words or more; a chunk sends each of its distinct n-grams once, as sorted hashes delta-coded by hash
 bucket, so a frequent n-gram costs one entry a chunk and no key is hot. A bucket's task adds up the
 entries of all chunks, which is its partition of the count table, and answers each chunk with the
 counts of what it sent. The chunk then scores its documents. Row by row, the same join would move
 some 30 bytes for each word of the corpus twice; packed, it moves about 5.
 
-A chunk sends one row to each bucket. Rows of r entries need chunks of r times as many entries as there
-are buckets, so for n words in all, chunk size times bucket size is about r * n: the defaults hold rows of
-100 entries up to 2e10 words; beyond, both constants grow with the square root of n (for 2e13 words, chunks
-and buckets of 5e7 entries, which a task holds in about 1 GB).
+A chunk sends one row to each bucket. For rows of ``ROW`` entries, chunk size times bucket size must be about
+``ROW`` times the corpus, so both follow the square root of its size, which is estimated from its bytes
+in a pass of their own: 1e6 words a chunk up to 2e10 words, 3e7 at 2e13 (1 GB in a task).
 """
 
 from __future__ import annotations
@@ -30,9 +29,14 @@ from inkwell.llm.scratch import Scratch
 from inkwell.llm.tokens import ngram_hashes, slices, word_hashes, words_of
 
 BACKOFF = 0.4
-CHUNK = 1_000_000
-#: Entries of a hash bucket, on average; the number of buckets grows with the corpus.
-BUCKET_ENTRIES = 2_000_000
+#: Least words of a chunk and least entries of a hash bucket; entries of a row where the corpus asks for more of both.
+CHUNK, BUCKET_ENTRIES, ROW = 1_000_000, 2_000_000, 100
+
+
+def plan(words: int) -> tuple[int, int]:
+    """Words of a chunk and entries of a bucket for a corpus: their product is ``ROW`` times its entries, or more."""
+    grow = max(1.0, (ROW * 2 * words / (CHUNK * BUCKET_ENTRIES)) ** 0.5)
+    return int(CHUNK * grow), int(BUCKET_ENTRIES * grow)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -69,8 +73,8 @@ class Chunk:
         return distinct, place, off
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """``chunk, ids, sizes, words, vocabulary`` rows of about ``CHUNK`` words; a document is never cut."""
+def _chunks(rows: DataFrame, most: int) -> DataFrame:
+    """``chunk, ids, sizes, words, vocabulary`` rows of about ``most`` words; a document is never cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -93,7 +97,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
                 hashes.append(h)
                 sizes.append(np.diff(off))
                 held += len(h) + (b - a)
-                if held >= CHUNK:
+                if held >= most:
                     yield out()
                     ids, hashes, sizes, held, serial = [], [], [], 0, serial + 1
         if ids:
@@ -114,14 +118,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words of the other documents, at least 1. ``n_backoff`` counts the words whose bigram no other
     document has; ``score`` is the mean of ln S over the words.
 
-    Null or empty text, or text without words: 0 words and a null score. Null ids and repeated rows
-    stay, each row a document of its own. Other columns are ignored; an empty table gives an empty
+    Null or empty text, or text without words: 0 words and a null score. A text of any length is one
+    document of one chunk. Null ids and repeated rows stay, each row a document of its own. Ids are numbers. Other columns are ignored; an empty table gives an empty
     result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lm")
-    chunks = scratch.save(_chunks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))), "chunks")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk, bucket = plan(size // 5)
+    chunks = scratch.save(_chunks(rows, chunk), "chunks")
     stats = chunks.mapInArrow(_sizes, "words long").agg(F.sum("words")).first()[0] or 0
-    buckets = max(8, -(-2 * stats // BUCKET_ENTRIES))
+    buckets = max(8, -(-2 * stats // bucket))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

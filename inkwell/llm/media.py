@@ -8,8 +8,10 @@ they confirmed, which bounds the carved span.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -114,17 +116,36 @@ def _pdf(b: bytes, at: int) -> int:
 
 
 def _zip(b: bytes, at: int) -> int:
-    p = at
-    while b[p : p + 4] == b"PK\x03\x04" and p + 30 <= len(b):
+    """An archive from a local header on: its entries up to one of unknown size, and the next end record.
+
+    The walk from one entry passes all later ones, so the end of each entry is kept while a value is read.
+    """
+    p, passed = at, []
+    while p not in _ends and b[p : p + 4] == b"PK\x03\x04" and p + 30 <= len(b):
         flags, packed, name, extra = struct.unpack_from("<H", b, p + 6)[0], *struct.unpack_from("<I", b, p + 18), *struct.unpack_from("<HH", b, p + 26)
         if flags & 8:
             break
+        passed.append(p)
         p += 30 + name + extra + packed
-    end = b.find(b"PK\x05\x06", p)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    stop = end + 22 + struct.unpack_from("<H", b, end + 20)[0]
-    return stop - at if stop <= len(b) else 0
+    if p in _ends:
+        stop = _ends[p]
+    else:
+        end = _next(b, b"PK\x05\x06", p)
+        stop = end + 22 + struct.unpack_from("<H", b, end + 20)[0] if 0 <= end <= len(b) - 22 else -1
+    _ends.update((q, stop) for q in (*passed, p))
+    return stop - at if at < stop <= len(b) else 0
+
+
+_ends: dict[int, int] = {}
+_places: dict[bytes, list[int]] = {}
+
+
+def _next(b: bytes, what: bytes, at: int) -> int:
+    """``b.find(what, at)``, by one search of the value."""
+    if what not in _places:
+        _places[what] = [m.start() for m in re.finditer(re.escape(what), b)]
+    i = bisect_left(_places[what], at)
+    return _places[what][i] if i < len(_places[what]) else -1
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -175,6 +196,8 @@ def _automaton():
 def sniff(value: bytes | None) -> list[tuple[int, int, str]]:
     """(start, length, type) of every validated medium in a value; one inside another is listed too."""
     found = []
+    _ends.clear()
+    _places.clear()
     for end, (n, which) in _automaton().iter((value or b"").decode("latin-1")):
         for i in which:
             if length := FORMATS[i][2](value, end - n + 1):
@@ -245,7 +268,8 @@ def _describe(media_type: str, samples: bytes, carved: list[tuple[int, int, str]
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(<id_col>, n_bytes, payload_bytes, media, declared)``: each text as the samples of a WAV file.
 
-    Null text counts as empty; every row has a medium, equal texts the same one.
+    Null text counts as empty; every row has a medium, equal texts the same one. A text of any length is one medium;
+    repeated rows and null ids stay, other columns are ignored, an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +289,7 @@ def media_features(stored: DataFrame, id_col: str = "doc_id", declared: str = "a
     """Reads the stored bytes back: ``(<id_col>, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_type)``.
 
     The stored form's type is sniffed and its structure validated before the samples are read; a
-    value that fails has null payload columns.
+    value that fails, null included, has null payload columns. Repeated rows and null ids stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +300,8 @@ def media_features(stored: DataFrame, id_col: str = "doc_id", declared: str = "a
                 samples = read_wave(value) if media_type == "audio/wav" else None
                 out["payload_sha256"].append(samples and hashlib.sha256(samples).hexdigest())
                 out["tail_crc32"].append(samples and zlib.crc32(samples[-16:]))
-                out["media_bytes"].append(len(value))
-                out["media_sha256"].append(hashlib.sha256(value).hexdigest())
+                out["media_bytes"].append(len(value or b""))
+                out["media_sha256"].append(hashlib.sha256(value or b"").hexdigest())
                 out["feature"].append(_describe(media_type, samples, carved) if samples else media_type)
                 out["media_type"].append(media_type)
             types = {"payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media_type": pa.string()}

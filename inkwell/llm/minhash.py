@@ -33,6 +33,8 @@ ROWS = 5
 #: Probability with which a pair at the threshold shares no band.
 BAND_MISS = 5e-7
 TILE = 256
+#: Up to so many row keys (about 64 bytes each when hashed) are broadcast, after they were counted.
+BROADCAST_ROWS = 1_000_000
 
 _BAND = np.random.Generator(np.random.PCG64(43)).integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -232,7 +234,7 @@ def _rest(buckets: DataFrame, members: DataFrame, payload: DataFrame, limits: li
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle_words: int = 5, miss: float = 1e-9, scratch: Scratch | None = None) -> DataFrame:
-    """``(<id_col>, n_shingles, component_id, kept, text_key)``, one row per input row; ``<id_col>`` is a number.
+    """``(<id_col>, n_shingles, component_id, kept, text_key, words_key, first)``, one row per input row; ``<id_col>`` is a number.
 
     Two texts are linked if 100 * intersection >= ``percent`` * union of their shingle sets, as
     confirmed on the words of the full sets. ``component_id`` is the smallest id reachable by links, ``kept``
@@ -244,7 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or empty text, or text without words: ``n_shingles`` 0, a component of its own, kept. A text of any length
     is read whole. A null id can't name a component: ``component_id`` null, kept. Rows that repeat an id stay, one
-    output row each, judged by their own text; ``text_key`` tells them apart (``scratch.text_key``). Other
+    output row each, judged by their own text; ``text_key`` tells them apart (``scratch.text_key``), and
+    ``first`` says that the row's word sequence is the first of its component, whatever ids repeat. Other
     columns are ignored whatever their names; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
@@ -294,13 +297,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             part = scratch.save(connected_components(links, scratch), "parts3")
 
     names = classes.select(F.col("node").alias("component"), F.col("rep").alias("component_id"))
-    of_node = part.join(names, "component").select(F.col("id").alias("node"), "component_id")
-    of_class = classes.join(of_node, "node", "left").select("words_key", "_n", F.coalesce("component_id", "rep").alias("component_id"))
+    of_node = part.join(names, "component").select(F.col("id").alias("node"), "component_id", (F.col("id") == F.col("component")).alias("first"))
+    of_class = classes.join(of_node, "node", "left").select("words_key", "_n", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
     of_class = scratch.save(of_class, "of_class")
     scratch.keep(rows, of_class)
     out = with_group(rows.select("id", "text_key", "n_shingles", "words_key"), of_class, ["words_key"], how="left")
     whole = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("id"), F.lit(True)).alias("kept"), "text_key")
+    return out.select(F.col("id").alias(id_col), "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("id"), F.lit(True)).alias("kept"), "text_key", "words_key", F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """One row of each group of ``near_duplicates``, with all columns: that of the smallest id, then of the smallest ``text_key``.
+
+    Rows are matched by id and text, so a repeated id takes no other text along; of rows that repeat both, one stays. Rows
+    with a null id and rows without words stay.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "copies")
+    key, row = "_id", "_row"
+    while {key, row} & set(docs.columns):
+        key, row = key + "_", row + "_"
+    judged = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(F.col(id_col).alias(key), F.col("text_key").alias(row), "words_key", (F.col("kept") & F.col("first")).alias("stays"))
+    judged = scratch.save(judged, "judged")
+    gone = judged.where("not stays").select(key, row)
+    several = scratch.save(judged.where("stays").groupBy(key, "words_key").agg(F.count("*").alias("n"), F.min(row).alias("least")).where("n > 1"), "several")
+    again = None
+    if not several.isEmpty():  # ids that repeat with the same words
+        same = judged.where("stays").join(several.select(key, "words_key", "least"), [key, "words_key"])
+        gone = gone.unionAll(same.select(key, row))
+        again = same.where(F.col(row) == F.col("least")).select(key, row).distinct()
+        again = scratch.save(again, "again")
+    gone = scratch.save(gone.distinct(), "gone")
+    scratch.keep(gone, *([again] if again is not None else []))
+
+    def match(keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if small else keys
+        return docs.join(keys, (docs[id_col].cast("long") == keys[key]) & (text_key(docs[text_col]) == keys[row]), how)
+
+    small = gone.count() <= BROADCAST_ROWS
+    left = match(gone, "left_anti")
+    if again is None:
+        return left
+    one = match(again, "left_semi").withColumn(row, text_key(F.col(text_col))).dropDuplicates([id_col, row]).drop(row)
+    return left.unionByName(one)
 
 
 def _labelled(members: DataFrame, part: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ the entropy of w falls from that of even weights to that of the shares, and so d
 repetition of a source. The exponent is the least one, found by bisection in [0, 1], at which the
 entropy is at most its target and no source exceeds the repetition limit.
 
-A source of quota q tokens and t tokens at hand is read in floor(q / t) whole epochs and one part epoch. The
-part epoch is a budgeted block permutation: rows are dealt by hash into about sqrt(n) blocks, blocks are
-read in the order of their hashes, rows of a block in the order of theirs, until the quota is met.
-So what is left to decide for a row is a comparison with three numbers of its source.
+A source of quota q tokens and t tokens at hand is read in floor(q / t) whole epochs and one part epoch. Every
+epoch is a block permutation of its own: rows are dealt by hash into about sqrt(n) blocks, blocks are
+read in the order of their hashes, rows of a block in the order of theirs; the part epoch ends where
+the quota is met. So what is left to decide for a row is a comparison with three numbers of its source, and
+its position is the number of rows in earlier blocks and its place in its own: no source is sorted in one task.
 """
 
 from __future__ import annotations
@@ -74,6 +75,8 @@ def plan(rows: DataFrame, entropy_share: float, repetition: float, budget_tokens
     sources = scratch.save(rows.groupBy("_source").agg(F.sum("_tokens").alias("t"), F.count("*").alias("n")), "sources")
     total = sources.agg(F.sum("t")).first()[0] or 0
     budget = total if budget_tokens is None else budget_tokens
+    if total and budget > repetition * total:
+        raise ValueError(f"a budget of {budget} tokens reads some source more than {repetition} times, whatever the weights: all sources have {total}")
     a = exponent(sources, entropy_share, repetition, budget / total if total else 1.0)
     power = F.when(F.col("t") > 0, F.pow(F.col("t") / F.lit(float(total or 1)), F.lit(a))).otherwise(0.0)
     norm = sources.agg(F.sum(power)).first()[0] or 1.0
@@ -82,7 +85,7 @@ def plan(rows: DataFrame, entropy_share: float, repetition: float, budget_tokens
     quota = quota.withColumn("epochs", F.when(F.col("t") > 0, F.floor(F.col("quota") / F.col("t"))).otherwise(1).cast("long"))
     quota = scratch.save(quota.withColumn("rest", F.when(F.col("t") > 0, F.col("quota") - F.col("epochs") * F.col("t")).otherwise(0)), "quota")
 
-    dealt = _dealt(_with_sources(rows, quota.select("_source", "epochs", "blocks", "rest").where("rest > 0")))
+    dealt = _dealt(_with_sources(rows, quota.select("_source", "epochs", "blocks", "rest").where("rest > 0")), "epochs")
     block = scratch.save(dealt.groupBy("_source", "_block").agg(F.sum("_tokens").alias("size"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest")), "blocks")
     turn = hashed(F.col("_source"), F.col("epochs"), F.col("_block"))
     read = block.withColumn("turn", turn).withColumn("upto", F.sum("size").over(Window.partitionBy("_source").orderBy("turn", "_block").rowsBetween(Window.unboundedPreceding, 0)))
@@ -95,9 +98,9 @@ def plan(rows: DataFrame, entropy_share: float, repetition: float, budget_tokens
     return scratch.save(quota.join(edge, "_source", "left").join(last, "_source", "left"), "plan")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Adds ``_block`` and ``_key`` for the part epoch."""
-    rows = rows.withColumn("_key", hashed(F.col("_source"), F.col("epochs"), F.lit("row"), F.col("_row")))
+def _dealt(rows: DataFrame, epoch: str) -> DataFrame:
+    """Adds ``_block`` and ``_key`` for the epoch of that column; the part epoch's number is ``epochs``."""
+    rows = rows.withColumn("_key", hashed(F.col("_source"), F.col(epoch), F.lit("row"), F.col("_row")))
     return rows.withColumn("_block", F.pmod("_key", F.greatest("blocks", F.lit(1))))
 
 
@@ -107,15 +110,16 @@ def _with_sources(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy_share: float = 0.5, repetition: float = 4.0, budget_tokens: int | None = None, keep: list[str] | None = None, report: bool = True, scratch: Scratch | None = None) -> DataFrame:
-    """The mixed rows: columns ``keep`` (default id and source) and, with ``report``, ``n_tokens``, ``weight``, ``epoch``, ``block``.
+    """The mixed rows: columns ``keep`` (default id and source) and, with ``report``, ``n_tokens``, ``weight``, ``epoch``, ``block``, ``position``.
 
     A row comes once for each epoch that reads it. The budget is by default the tokens at hand, counted
-    over whole texts. ``block`` is the row's block in the part epoch and 0 in a whole one.
+    over whole texts of any length. ``block`` is the row's block in the epoch, ``position`` its place, from 1, in the
+    source's permutation for the epoch. A budget that no weights can realise within ``repetition`` is a ValueError.
 
     Null sources are one source of the empty name. Rows without tokens are never short of budget: in a
     source that has tokens they come with each epoch that reaches them, in one that has none once.
-    Repeated rows have one key, so a part epoch takes all or none of them. Columns of the docs whose
-    names clash are kept as they are, since internal names begin with an underscore; an empty table
+    Repeated rows have one key, so a part epoch takes all or none of them, at neighbouring positions. Columns of the
+    docs whose names clash are kept as they are, since internal names begin with an underscore; an empty table
     gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
@@ -123,7 +127,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     rows = docs.select(F.struct(*keep).alias("_kept"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), F.col(id_col).cast("string").alias("_row"), token_count(F.col(text_col).cast("string")).alias("_tokens"))
     sized = scratch.save(rows.select("_source", "_row", "_tokens"), "sizes")
     chosen = plan(sized, entropy_share, repetition, budget_tokens, scratch)
-    rows = _dealt(_with_sources(rows, chosen))
+    rows = _dealt(_with_sources(rows, chosen), "epochs")
     turn = hashed(F.col("_source"), F.col("epochs"), F.col("_block"))
     whole = F.col("turn").isNull() & (F.col("rest") > 0)  # the quota covers every block
     before = (turn < F.col("turn")) | ((turn == F.col("turn")) & (F.col("_block") < F.col("edge")))
@@ -132,5 +136,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     rows = rows.where(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     if not report:
         return rows.select("_kept.*")
-    block = F.when(F.col("_epoch") == F.col("epochs"), F.col("_block")).otherwise(0).cast("long")
-    return rows.select("_kept.*", F.col("_tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.col("_epoch").alias("epoch"), block.alias("block"))
+    rows = scratch.save(_dealt(rows.select("_kept", "_source", "_row", "_tokens", "_epoch", "blocks", "weight"), "_epoch").drop("blocks"), "rows")
+    block = ["_source", "_epoch", "_block"]
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("_n")).withColumn("_turn", hashed(*map(F.col, block)))
+    ahead = F.sum("_n").over(Window.partitionBy("_source", "_epoch").orderBy("_turn", "_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    sizes = sizes.withColumn("_ahead", ahead).drop("_n", "_turn")
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("_key", "_row"))
+    rows = rows.withColumn("_place", place).join(sizes, block)
+    return rows.select("_kept.*", F.col("_tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.col("_epoch").alias("epoch"), F.col("_block").cast("long").alias("block"), (F.col("_ahead") + F.col("_place")).cast("long").alias("position"))

@@ -40,7 +40,8 @@ bl AS (SELECT s, blk, any_value(turn) AS turn, any_value(rest) AS rest, sum(n_to
 ed AS (SELECT s, blk AS edge, turn AS eturn, rest - upto + size AS room FROM up WHERE upto > rest QUALIFY row_number() OVER (PARTITION BY s ORDER BY turn, blk) = 1),
 ik AS (SELECT dt.s, key, room, sum(n_tokens) OVER (PARTITION BY dt.s ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM dt JOIN ed ON dt.s = ed.s AND dt.blk = ed.edge), lk AS (SELECT s, max(key) AS last_key FROM ik WHERE upto <= room GROUP BY s),
 tm AS (SELECT dt.*, epochs + CASE WHEN rest > 0 AND coalesce(eturn IS NULL OR turn < eturn OR (turn = eturn AND blk < edge) OR (blk = edge AND key <= last_key), false) THEN 1 ELSE 0 END AS times FROM dt LEFT JOIN ed ON dt.s = ed.s LEFT JOIN lk ON dt.s = lk.s),
-ex AS (SELECT *, unnest(range(times)) AS epoch FROM tm) SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, epoch, CASE WHEN epoch = epochs THEN blk ELSE 0 END AS block FROM ex"""
+ex AS (SELECT doc_id, source, s, n_tokens, weight, blocks, unnest(range(times)) AS epoch FROM tm), ek AS (SELECT *, {_HASH('s', 'epoch', "'row'", "coalesce(CAST(doc_id AS VARCHAR), '')")} AS key FROM ex), eb AS (SELECT *, key % greatest(blocks, 1) AS block FROM ek)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, epoch, block, row_number() OVER (PARTITION BY s, epoch ORDER BY {_HASH('s', 'epoch', 'block')}, block, key, doc_id) AS position FROM eb"""
 
 NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),

@@ -1,14 +1,18 @@
 """Quality selection by importance resampling over hashed n-grams (Xie et al., 2023).
 
 Two generative models share one table of hashed byte n-grams: the raw model counts all documents, the
-target model a bounded sample of rows labelled good. A document's log weight is the mean log ratio
-of its n-grams times ``LENGTH``, the weight of a text of that many such n-grams: sums would rank
-documents by their lengths first. Rows are drawn without replacement by Gumbel top-k: the k rows of largest
-log weight plus a Gumbel variate of their own hash, k being the labelled share of good rows.
+target model a bounded sample of rows labelled good. A document's log weight is the log of the ratio of its
+probabilities under the two: the sum of the log ratios of its n-grams.
+
+Rows are drawn without replacement by Gumbel top-k: the k rows of largest tempered log weight plus a
+Gumbel variate of their own hash, k being the labelled share of good rows. The temperature of a text of n n-grams is
+n / ``NGRAMS``: sums of thousands of n-grams would differ by hundreds, so that the longest rows were taken and
+chance decided nothing. At this temperature rows are drawn with odds of a text of ``NGRAMS`` such n-grams.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +28,8 @@ WIDTH = 3
 #: Bound of the labelled rows that fit the target model, drawn by the hash of their ids.
 LABELLED = 200_000
 SEED = 0x5EED
-#: Length, in n-grams, to which the weights of all texts are brought.
-LENGTH = 1000.0
+#: N-grams at which the odds of a row are taken; see above.
+NGRAMS = 50.0
 
 
 def ngram_buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,17 +54,14 @@ def ngram_buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def gumbel(ids: list, seed: int = SEED) -> np.ndarray:
     """A Gumbel variate of each id's hash; null ids share one."""
-    h = mix(np.array([hash_id(i) for i in ids], np.uint64) ^ np.uint64(seed))
+    h = mix(np.array([hash_id(i) for i in ids], np.uint64) ^ mix(np.array([seed], np.uint64)))
     u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
     return -np.log(-np.log(u))
 
 
 def hash_id(value) -> int:
-    if value is None:
-        return 0
-    if isinstance(value, int):
-        return (value * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)
-    return int.from_bytes(str(value).encode()[:64].ljust(8, b"\0")[-8:], "little")
+    """64 bits of an id of any type, all of it."""
+    return 0 if value is None else int.from_bytes(hashlib.blake2b(str(value).encode(), digest_size=8).digest(), "little")
 
 
 def ordered(keys: np.ndarray) -> np.ndarray:
@@ -79,13 +80,16 @@ class Ratio:
     def of_counts(cls, raw: np.ndarray, target: np.ndarray) -> Ratio:
         return cls(np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)))
 
-    def weigh(self, column: pa.Array) -> np.ndarray:
-        out = []
+    def weigh(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log weights of texts, and tempered ones."""
+        out, size = [np.zeros(0)], [np.zeros(0)]
         for a, b in slices(column):
             at, off = ngram_buckets(*text_buffers(column.slice(a, b - a)))
             total = np.concatenate([[0.0], np.cumsum(self.table[at])])
-            out.append(LENGTH * (total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off), 1))
-        return np.concatenate(out) if out else np.zeros(0)
+            out.append(total[off[1:]] - total[off[:-1]])
+            size.append(np.diff(off))
+        weight = np.concatenate(out)
+        return weight, weight * (NGRAMS / np.maximum(np.concatenate(size), 1))
 
 
 def labelled_good(labels: DataFrame, id_col: str, good: str, bound: int = LABELLED) -> tuple[DataFrame, float | None]:
@@ -122,15 +126,15 @@ def fit_ratio(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", te
     return Ratio.of_counts(raw, target)
 
 
-def keyed(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(<id_col>, log_weight, place)``: place sorts as log weight plus Gumbel variate."""
+def keyed(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """``(<id_col>, log_weight, place)``: place sorts as tempered log weight plus Gumbel variate."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ratio(shared.value)
         for batch in batches:
-            w = model.weigh(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(ordered(w + gumbel(batch.column(0).to_pylist())))], names=["id", "log_weight", "place"])
+            w, tempered = model.weigh(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(ordered(tempered + gumbel(batch.column(0).to_pylist(), seed)))], names=["id", "log_weight", "place"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, log_weight double, place long")
@@ -152,27 +156,28 @@ def kth_largest(places: DataFrame, k: int) -> int:
     return floor - 2**63
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, scratch: Scratch | None = None) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """``(<id_col>, log_weight, kept)``, one row per input row.
 
-    ``share`` of the rows are kept, by default the share of good labels. Rows that tie with the last
-    kept place are kept too (repeated rows have one place). Texts shorter than an n-gram, empty and
-    null texts weigh 0. Without a labelled row everything is kept with weight 0. A null id is no
-    label's; its row takes part. Other columns are ignored; an empty table gives an empty result.
+    ``share`` of the rows are drawn, by default the share of good labels. Rows that tie with the last
+    drawn place are kept too (repeated rows have one place). Texts of any length are counted and weighed whole; those shorter
+    than an n-gram, empty and null texts weigh 0. Without a labelled row everything is kept with weight 0. A null
+    id is no label's; its row takes part. Ids of any type. Other columns are ignored; an empty table gives an
+    empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     ids, labelled_share = labelled_good(labels, id_col, good)
     if labelled_share is None:
         return docs.select(id_col, F.lit(0.0).alias("log_weight"), F.lit(True).alias("kept"))
-    places = scratch.save(keyed(docs, fit_ratio(docs, ids, id_col, text_col), id_col, text_col), "places")
+    places = scratch.save(keyed(docs, fit_ratio(docs, ids, id_col, text_col), id_col, text_col, seed), "places")
     k = round(places.count() * (labelled_share if share is None else share))
     if k == 0:
         return places.select(id_col, "log_weight", F.lit(False).alias("kept"))
     return places.select(id_col, "log_weight", (F.col("place") >= kth_largest(places, k)).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``select`` keeps, with all their columns.
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``select`` keeps, with all their columns; see there for nulls, ties and empty tables.
 
     The threshold is one number, so each row is weighed again where it is read: no text is shuffled.
     """
@@ -181,7 +186,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if labelled_share is None:
         return docs
     ratio = fit_ratio(docs, ids, id_col, text_col)
-    places = scratch.save(keyed(docs, ratio, id_col, text_col).select("place"), "places")
+    places = scratch.save(keyed(docs, ratio, id_col, text_col, seed).select("place"), "places")
     k = round(places.count() * (labelled_share if share is None else share))
     least = kth_largest(places, k) if k else 2**63 - 1
     scratch.drop(places)
@@ -191,7 +196,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ratio(shared.value)
         for batch in batches:
-            place = ordered(model.weigh(batch.column(t)) + gumbel(batch.column(i).to_pylist()))
+            place = ordered(model.weigh(batch.column(t))[1] + gumbel(batch.column(i).to_pylist(), seed))
             yield batch.filter(pa.array(place >= least))
 
     return docs.mapInArrow(run, docs.schema)

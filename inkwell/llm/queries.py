@@ -46,7 +46,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.minhash import near_duplicates
 
-    return near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key", "words_key", "first")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,8 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.langid import fit, predict
 
     docs = _read(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    model = fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = fit(docs.where(~held_out))
     out = predict(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -49,6 +49,9 @@ def edits(a, b, most=2):
     """Edit distance, as far as ``most``."""
     if abs(len(a) - len(b)) >= most:
         return most
+    if most == 2:
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return 0 if a == b else 1 if a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] else 2
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
         last, row[0] = row[0], i + 1

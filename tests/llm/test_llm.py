@@ -226,6 +226,41 @@ def test_quality_selection(spark):
     assert quality.select(frame.where("false"), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Counts, weights and selection."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.choice([0, 1, 5, 40])) if i % 3 else "ZZ" * rng.randrange(30)) for i in range(80)] + [(None, "no id"), (90, None), (3, "again")]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 80, 2)] + [(2, 0), (None, 1)]
+    grams = lambda t: [((int.from_bytes(b[i : i + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 16) for b in [(t or "").encode()] for i in range(len(b) - 2)]
+    marks = {}
+    for i, q in labels:
+        if i is not None:
+            marks[i] = min(q, marks.get(i, 1))
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if marks.get(i) == 1:
+            target.update(grams(t))
+    n = quality.BUCKETS
+    ratio = lambda g: math.log((target[g] + 1) / (sum(target.values()) + n)) - math.log((raw[g] + 1) / (sum(raw.values()) + n))
+    weight = [sum(map(ratio, grams(t))) for _, t in rows]
+    place = [w * 50 / max(len(grams(t)), 1) + quality.gumbel([i])[0] for w, (i, t) in zip(weight, rows)]
+    k = round(len(rows) * sum(marks.values()) / len(marks))
+    least = sorted(place, reverse=True)[k - 1]
+    frame = docs(spark, rows).withColumns({c: F.lit("x") for c in ("id", "good", "place", "kept", "log_weight")})
+    got = Counter((r.doc_id, round(r.log_weight, 6) + 0.0, r.kept) for r in quality.select(frame, docs(spark, labels, "doc_id long, quality int")).collect())
+    assert got == Counter((i, round(w, 6) + 0.0, p >= least) for (i, _), w, p in zip(rows, weight, place))
+
+
+def test_gumbel_top_1_draws_by_the_weights():
+    logs = np.array([0.0, 1.0, 2.0])
+    drawn = Counter(int((logs + quality.gumbel([10, "eleven", 12], seed)).argmax()) for seed in range(20000))
+    for k, p in enumerate(np.exp(logs) / np.exp(logs).sum()):
+        assert drawn[k] / 20000 == pytest.approx(p, abs=0.012)
+    a, b = ("https://example.org/" + "x" * 60 + c for c in "ab")
+    assert quality.hash_id(a) != quality.hash_id(b)
+
+
 def test_log_weights_by_hand():
     import pyarrow as pa
 
@@ -233,7 +268,8 @@ def test_log_weights_by_hand():
     at, o = quality.ngram_buckets(raw, off)
     assert o.tolist() == [0, 2, 2, 2, 2] and len(at) == 2
     r = quality.Ratio(np.arange(quality.BUCKETS, dtype=float))
-    assert r.weigh(pa.array(["abcd", None, "", "ab"])).tolist() == [quality.LENGTH * at.sum() / 2, 0, 0, 0]
+    plain, tempered = r.weigh(pa.array(["abcd", None, "", "ab"]))
+    assert plain.tolist() == [at.sum(), 0, 0, 0] and tempered.tolist() == [quality.NGRAMS * at.sum() / 2, 0, 0, 0]
 
 
 def test_kth_largest(spark):
@@ -268,6 +304,16 @@ def test_mixing(spark):
         assert r.weight == pytest.approx(want[r.source or ""], abs=1e-4)
     for s, share in want.items():
         assert share * total - 31 <= used[s] <= share * total + 1  # short of one row at most
+    order = {}
+    for r in out:
+        order.setdefault((r.source, r.epoch), []).append((r.position, r.block))
+    for seen in order.values():  # a permutation, block after block
+        blocks = [b for _, b in sorted(seen)]
+        assert sorted(p for p, _ in seen) == list(range(1, len(seen) + 1)) and len(set(blocks)) == 1 + sum(x != y for x, y in zip(blocks, blocks[1:]))
+    ids = {(r.source, r.epoch, r.position): r.doc_id for r in out}
+    assert any(ids.get((s, 0, p)) != ids.get((s, 1, p)) for s, e, p in ids if e == 1)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(frame, budget_tokens=10 * total)
     epochs = {}
     for r in out:
         epochs.setdefault(r.doc_id, []).append(r.epoch)
@@ -350,6 +396,24 @@ def plain_spans(text):
     return sorted(out)
 
 
+def test_long_inputs_take_linear_time():
+    import time
+
+    def grows(work, small, large):
+        times = []
+        for x in (small, large):
+            began = time.perf_counter()
+            work(x)
+            times.append(time.perf_counter() - began)
+        return times[1] / max(times[0], 0.01)
+
+    assert grows(secrets.find_spans, "eyJ" * 40_000, "eyJ" * 400_000) < 40
+    assert grows(media.sniff, b"PK\x03\x04" * 10_000, b"PK\x03\x04" * 100_000) < 40
+    assert grows(media.sniff, b"%PDF-" * 10_000, b"%PDF-" * 100_000) < 40
+    entry = b"PK\x03\x04" + b"\0" * 26
+    assert grows(media.sniff, entry * 10_000, entry * 100_000) < 40
+
+
 def test_secrets(spark):
     rows = list(SECRET_TEXTS.items()) + [(20, SECRET_TEXTS[1]), (20, SECRET_TEXTS[2]), (None, SECRET_TEXTS[3]), (1, SECRET_TEXTS[1])]
     found, ledger = secrets.scan_paths(docs(spark, rows))
@@ -432,14 +496,54 @@ def test_gradient():
             assert g[k][at] == pytest.approx((up - down) / (2 * h), abs=2e-4)
 
 
+def plain_pool(net, raw):
+    """Each window by itself, one byte after the other."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    total = np.zeros(len(net.w["o"]))
+    for k in range(0, len(raw), langid.WINDOW):
+        x, states = raw[k : k + langid.WINDOW], {}
+        for d in "fb":
+            h, n = np.zeros(net.hidden), net.hidden
+            for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+                e = net.w[d + "E"][x[t]].astype(float)
+                z, r = np.split(sig(e[: 2 * n] + h @ net.w[d + "Z"]), 2)
+                h = h + z * (np.tanh(e[2 * n :] + (r * h) @ net.w[d + "C"]) - h)
+                states[d, t] = h
+        for t in range(len(x)):
+            s = np.concatenate([states["f", t], states["b", t]]) @ net.w["O"] + net.w["o"]
+            total += np.maximum(s - np.log(np.exp(s).sum()), langid.FLOOR)
+    return total
+
+
 def test_pooling_covers_every_position():
     net = langid.Network(2, hidden=4)
-    text = "ab " * 50 + "x" * 100 + " é"
-    raw = np.frombuffer(text.encode(), np.uint8)
-    sums, count = langid.Pooler(net)(np.concatenate([raw, raw]), np.array([0, len(raw), len(raw), 2 * len(raw)]))
-    assert count.tolist() == [100 + 100 + 2, 0, 202]
-    pieces = [w[i : i + langid.SPAN] for w in text.encode().split() for i in range(0, len(w), langid.SPAN)]
-    assert np.allclose(sums[0], net.pooled(pieces).sum(axis=0)) and np.allclose(sums[0], sums[2])
+    texts = ["ab " * 150, "", "é" * 64, "x", "y" * 300]
+    raw = [t.encode() for t in texts]
+    sums = net.pooled(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for got, r in zip(sums, raw):
+        assert np.allclose(got, plain_pool(net, r), rtol=1e-4, atol=1e-4)
+
+
+def test_predictions_match_a_plain_network(spark):
+    net = langid.Network(3, hidden=4, seed=5)
+    texts = {1: "one two three " * 40, 2: "ein Satz", 3: None, 4: "12 34", 5: "é" * 500, None: "no id", 6: "ein Satz"}
+    frame = docs(spark, list(texts.items())).withColumns({"score": F.lit("x"), "id": F.lit(1), "spoken": F.lit(2), "label": F.lit(None).cast("string")})
+    for r in langid.predict(frame, (net, ["a", "b", "c"])).collect():
+        if texts[r.doc_id] is None or r.doc_id == 4:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            raw = texts[r.doc_id].encode()
+            mean = plain_pool(net, raw) / len(raw)
+            assert r.lang_pred == "abc"[mean.argmax()] and r.score == pytest.approx(1 / np.exp(mean - mean.max()).sum(), abs=2e-5)
+
+
+def test_training_sample(spark):
+    """A rare label is learned; windows come from anywhere in the text; the bound holds."""
+    rows = [(i, "x" * 1000 + f"{i:05d}" + "y" * 995, "en") for i in range(3000)] + [(9000 + i, "short", "de") for i in range(2)] + [(9100, "", "fr"), (9101, None, "es"), (9102, "z", None)]
+    got = langid.sample(docs(spark, rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 600, 2)
+    assert {label for _, label, _ in got} == {"en", "de"}
+    assert 200 < len({h for h, label, _ in got if label == "en"}) <= 300
+    assert 0.35 < sum(w == b"x" * 128 for _, _, w in got) / len(got) < 0.55 and any(w == b"y" * 128 for _, _, w in got)
 
 
 def test_language(spark):

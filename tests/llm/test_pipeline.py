@@ -1,11 +1,16 @@
 """Stages against brute force, and the queries' registration."""
 
 import hashlib
+from collections import Counter
 
+import duckdb
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from inkwell.llm import quality
+from inkwell.llm.oracles import SQL
 from inkwell.llm.queries import QUERIES
 
 from . import brute
@@ -31,20 +36,28 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in after} == kept and len(kept) < len(before)
 
     before, after = seen["line dedup"]
-    gone = brute.lines({i: r.text for i, r in before.items()}, 24)
+    gone = brute.lines([(i, r.text) for i, r in sorted(before.items())], 24)
     for r in after:
         want = "\n".join(x for n, x in enumerate(before[r.doc_id].text.split("\n")) if not gone.get((r.doc_id, n)))
         assert r.text == want and r.n_chars == len(want)
 
     before, after = seen["MinHash near-dedup"]
-    comp, _ = brute.near({i: r.text for i, r in before.items()})
+    comp, _ = brute.near({i: r.text for i, r in before.items()}, corpus_pipeline.NEAR_PERCENT)
     assert sorted(r.doc_id for r in after) == sorted(i for i in before if comp[i] == i)
 
     before, after = seen["mixing sources"]
-    assert {r.doc_id for r in after} <= set(before) and all(r.text == before[r.doc_id].text for r in after)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/2/*.parquet'")
+    assert Counter(r.doc_id for r in after) == Counter(r[0] for r in con.sql(SQL["op2_mixing"]).fetchall())
+    assert all(r == before[r.doc_id] for r in after)
 
     before, after = seen["BPE encoding and decoding"]
-    assert all(r.decoded_sha256 == hashlib.sha256(before[r.doc_id].text.encode()).hexdigest() for r in after)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in after:
+        text = before[r.doc_id].text
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_stages_with_clashing_columns(spark, tmp_path):
@@ -63,6 +76,18 @@ def test_stages_with_clashing_columns(spark, tmp_path):
         assert (docs.count() > 0) == (case == "odd")
 
 
+def test_stages_with_repeated_ids(spark):
+    """No stage takes a text along that only shares its id with another."""
+    x, u, v = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g h"
+    docs = spark.createDataFrame([(0, x), (1, x), (1, u), (1, u), (2, v), (2, v + " "), (None, x), (3, None), (3, "")], "doc_id long, text string")
+    got = Counter((r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(0, x), (1, u), (2, v), (None, x), (3, ""), (3, "")])
+    a, b = "first line of some length here", "another line of a fair length"
+    docs = spark.createDataFrame([(0, a, 1), (1, a + "\nmore", 1), (1, b + "\nrest", 1), (None, a, 1)], "doc_id long, text string, n_chars int")
+    got = Counter(map(tuple, corpus_pipeline.drop_lines(spark, docs, SF).collect()))
+    assert got == Counter([(0, a, 1), (1, "more", 4), (1, b + "\nrest", 1), (None, a, 1)])
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
