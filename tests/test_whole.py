@@ -1,18 +1,11 @@
-"""Whole results where the queries' SQL states a part of them."""
+"""Blocks, whole results and branches that the tables don't reach."""
 
-import gzip
-
-import duckdb
 import numpy as np
 
-import corpus_pipeline
-from inkwell.llm import linedup, media, minhash, oracles
-from inkwell.llm.queries import QUERIES
 from inkwell.operators import similarity as S
 from inkwell.plans import catalogue
 
-from .llm import brute
-from .test_catalogue import SF, rows_of
+from .test_catalogue import SF
 
 
 def test_dense_topk_runs_every_query(spark):
@@ -26,10 +19,6 @@ def test_dense_topk_runs_every_query(spark):
         want += [(int(ids[i]), int(ids[j]), round(float(s[j]), 5), n + 1) for n, j in enumerate(best)]
     assert len({w[0] for w in want}) == 25
     assert sorted((r.query_id, r.vec_id, round(r.similarity, 5), r["rank"]) for r in got.collect()) == sorted(want)
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    rel = con.sql(catalogue.SQL["dense_topk"])
-    assert rows_of(got.columns, got.where("query_id % 100 = 0").collect()) == rows_of(rel.columns, rel.fetchall())
 
 
 def test_dense_topk_in_blocks(spark, monkeypatch):
@@ -46,59 +35,6 @@ def test_dense_topk_in_blocks(spark, monkeypatch):
     assert whole == sorted(want) == sorted(map(tuple, S.dense_topk(v.where("vec_id % 5 = 0"), v).collect()))
 
 
-def all_lines(texts):
-    """(id, line) -> reason: near lines of 24 characters or more, exact ones of any length."""
-    out, seen = brute.lines(texts, 24), set()
-    for d, t in sorted(texts.items()):
-        for n, x in enumerate((t or "").split("\n")):
-            if len(x) < 24 and x.strip():
-                out[d, n] = "exact" if x in seen else None
-                seen.add(x)
-    return out
-
-
-def test_short_lines_are_compared(spark):
-    texts = {1: "All rights reserved.\n\n}\n" + "a" * 24, 2: "All rights reserved.\nAll rights reserved!\n  \n}", 3: "a" * 23 + "\n" + "a" * 25 + "\n" + "a" * 23}
-    got = {(r.doc_id, r.line_no): r.reason for r in linedup.line_decisions(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == all_lines(texts) and got[2, 0] == got[2, 3] == got[3, 2] == "exact" and got[3, 1] == "near" and got[2, 1] is got[3, 0] is None
-
-
-def test_every_line_of_the_table(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got, texts = QUERIES["op1_linededup"](spark, SF).collect(), {r.doc_id: r.text for r in docs.collect()}
-    assert {(r.doc_id, r.line_no): r.reason for r in got} == all_lines(texts)
-    assert sum(r.reason == "exact" and len(texts[r.doc_id].split("\n")[r.line_no]) < 24 for r in got) == 74
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    rel = con.sql(oracles.SQL["op1_linededup"])
-    assert rows_of(got[0].__fields__, [r for r in got if len(texts[r.doc_id].split("\n")[r.line_no]) >= 24]) == rows_of(rel.columns, rel.fetchall())
-
-
-def test_near_stage_links_from_80_percent(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 1000 and n_chars < 6000")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    comp, _ = brute.near(texts, 80)
-    assert comp != brute.near(texts)[0]
-    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
-    assert sorted(r.doc_id for r in got) == sorted(i for i in texts if comp[i] == i)
-
-
-def test_bands_follow_the_threshold():
-    assert (minhash.bands_for(85), minhash.bands_for(80)) == (25, 37)
-    assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands_for(p) <= minhash.BAND_MISS for p in range(50, 100))
-
-
-def test_large_gzip_and_revised_pdf():
-    raw = gzip.compress(b"ab" * (10 << 20))
-    assert media.sniff(b"x" + raw + b"tail") == [(1, len(raw), "application/gzip")]
-    assert media.sniff(raw[:-1]) == []
-    noise = np.random.default_rng(1).bytes(300_000)
-    stored = gzip.compress(noise)
-    assert (0, len(stored), "application/gzip") in media.sniff(stored + noise)
-    pdf = b"%PDF-1.4\nstartxref\n9\n%%EOF\n1 0 obj\nendobj\nstartxref\n30\n%%EOF"
-    assert media.sniff(pdf + b"tail" + pdf) == [(0, len(pdf), "application/pdf"), (len(pdf) + 4, len(pdf), "application/pdf")]
-
-
 def test_threshold_follows_complexity(spark):
     long, short = "one two three four five six seven eight nine ten. " * 12, "Go on. " * 60
     rows = spark.createDataFrame([(1, long, long), (2, short, long), (3, "Go on.", long)], "pair_id long, a string, b string")
@@ -110,10 +46,3 @@ def test_keyword_scores_lists_every_term(spark):
     rows = S.keyword_scores(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert {r.term for r in rows} == {f"term{i}" for i in range(150)} | {f"term{i} term{i + 1}" for i in range(149)}
     assert sorted(r["rank"] for r in rows) == list(range(1, 300))
-
-
-def test_first_keyword_scores_match_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got, rel = catalogue.QUERIES["keyword_scores"](spark, SF), con.sql(catalogue.SQL["keyword_scores"])
-    assert rows_of(got.columns, got.where("rank <= 64").collect()) == rows_of(rel.columns, rel.fetchall())
