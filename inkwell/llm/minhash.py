@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from inkwell.llm.components import connected_components
 from inkwell.llm.scratch import Scratch, semi_join_ids, text_key, with_group
 from inkwell.llm.tiles import over_groups
-from inkwell.llm.tokens import mix, shingle_sets, shingles, slices, split_words, words_of
+from inkwell.llm.tokens import mix, sequences, shingle_sets, shingles, slices, split_words, text_buffers
 
 ROWS = 5
 #: Probability with which a pair at the threshold shares no band.
 BAND_MISS = 5e-7
-TILE = 256
+#: Texts of a tile, and texts that one copy of a representative meets.
+TILE, SHARE = 256, 64
 #: Up to so many row keys (about 64 bytes each when hashed) are broadcast, after they were counted.
 BROADCAST_ROWS = 1_000_000
 
@@ -129,13 +130,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, perm
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                words = words_of(part.column(1))
-                sets = list(shingle_sets(words, shingle_words))
+                text = text_buffers(part.column(1))
+                sets = list(shingle_sets(*text, shingle_words))
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column(0).cast(pa.int64()),
                     "text_key": part.column(2),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "words_key": pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words], pa.binary()),
+                    "words_key": pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in sequences(*text)], pa.binary()),
                     "sig": pa.array([signature(s, permutations).tobytes() if len(s) else None for s in sets], pa.binary()),
                 })
 
@@ -170,13 +171,13 @@ def _links(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch | No
 
 
 def _verified(pairs: DataFrame, payload: DataFrame, limits: list[tuple[int, int]], percent: int, width: int, permutations: int, scratch: Scratch) -> DataFrame:
-    """Links ``(a, b)`` among distinct pairs ``(node, rep)``: each ``rep`` meets its nodes in groups of ``TILE``.
+    """Links ``(a, b)`` among distinct pairs ``(node, rep)``: each ``rep`` meets its nodes in groups of ``SHARE``.
 
-    A representative of many nodes is sent once for each ``TILE`` of them, so it makes no hot key.
+    A representative of many nodes is sent once for each ``SHARE`` of them, so it makes no hot key.
     """
     pairs = scratch.save(pairs, "pairs")
     count = scratch.save(pairs.groupBy("rep").agg(F.count("*").alias("_n")), "reps")
-    shares = F.ceil(F.col("_n") / TILE).cast("int")
+    shares = F.ceil(F.col("_n") / SHARE).cast("int")
     salted = with_group(pairs, count, ["rep"]).select("node", "rep", F.pmod(F.xxhash64("node"), shares.cast("long")).cast("int").alias("share"))
     salted = salted.unionByName(count.select(F.col("rep").alias("node"), "rep", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")))
 

@@ -3,28 +3,31 @@
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. All of these are ASCII, so bytes of
 UTF-8 and code points give the same words. A-Z are lower-cased, other letters kept.
 
-A word's hash is a keyed 64-bit BLAKE2b, so no text can be written to collide by algebra; among n distinct
-words or n-grams some n * n / 2^65 pairs collide by chance.
+A word's 64-bit hash keeps no algebra of its bytes: repetitive words don't collide as they do under a
+polynomial. Among n distinct words or n-grams some n * n / 2^65 pairs collide by chance; where that must not
+decide, words themselves are compared (``shingles``).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain as chain_lists
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 500_000
 KEY = b"inkwell words 1"
-KNOWN = 1 << 17
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+_KEYS = _rng.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _STEP = 0x9E3779B97F4A7C15 | 1
 
 
@@ -70,35 +73,46 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     pa.default_memory_pool().release_unused()
 
 
-class _Hashes(dict):
-    """Keyed 64-bit BLAKE2b of words; up to ``KNOWN`` words of at most 64 bytes are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_known = _Hashes()
-
-
 def split_words(text: bytes) -> list[bytes]:
     """The words of a text in order, A-Z lower-cased: ``bytes`` methods know ASCII letters and these six separators only."""
     return text.lower().split()
 
 
-def words_of(column: pa.Array) -> list[list[bytes]]:
-    """The words of each text; null counts as empty."""
-    return [split_words(t or b"") for t in column.cast(pa.large_binary()).to_pylist()]
-
-
-def word_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word in order, and the n + 1 word offsets of the texts."""
-    off = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int64)
-    return np.fromiter(map(_known.__getitem__, chain_lists.from_iterable(words)), np.uint64, int(off[-1])), off
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word in order, and the n + 1 word offsets of the texts.
+
+    A word of up to 16 bytes is two integers, which are mixed; a longer one is hashed by BLAKE2b.
+    """
+    n = len(raw)
+    word = ~_SPACE[raw]
+    first = np.zeros(n + 1, dtype=bool)
+    first[1:n] = word[1:] & ~word[:-1]
+    first[off[:-1]] = True
+    starts = np.flatnonzero(first[:n] & word)
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    stop = np.zeros(n + 1, dtype=bool)
+    stop[1:n] = word[:-1] & ~word[1:]
+    stop[off[1:]] = True
+    ends = np.flatnonzero(stop[1:] & word) + 1
+    size = ends - starts
+    data = np.concatenate([_LOWER[raw], np.zeros(24, np.uint8)]).tobytes()
+    at = np.ndarray((n + 16,), "<u8", data, strides=(1,))
+    head, tail = at[starts] & _MASK[np.minimum(size, 8)], at[starts + 8] & _MASK[np.clip(size - 8, 0, 8)]
+    out = mix(mix(head ^ _KEYS[0]) * _KEYS[1] + mix(tail ^ _KEYS[2]) + size.astype(np.uint64))
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=KEY).digest(), "little")
+    return out, np.searchsorted(starts, off).astype(np.int64)
+
+
+def sequences(raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """The words of each text, joined by single spaces."""
+    word = ~_SPACE[raw]
+    kept = word.copy()
+    kept[1:] |= word[:-1]
+    data = np.where(word, _LOWER[raw], np.uint8(0x20))[kept].tobytes()
+    cut = np.concatenate([[0], np.cumsum(kept)])[off].tolist()
+    return [data[a:b].strip(b" ") for a, b in zip(cut, cut[1:])]
 
 
 def chain(parts: list[np.ndarray]) -> np.ndarray:
@@ -126,11 +140,11 @@ def shingles(words: list[bytes], width: int = 5) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(width))))
 
 
-def shingle_sets(texts: list[list[bytes]], width: int = 5) -> Iterator[np.ndarray]:
-    """For each list of words the sorted distinct hashes of its shingles; see ``shingles``."""
-    words, woff = word_hashes(texts)
+def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; see ``shingles``."""
+    words, woff = word_hashes(raw, off)
     full, foff = ngram_hashes(words, woff, width)
-    for i in range(len(texts)):
+    for i in range(len(off) - 1):
         if foff[i + 1] > foff[i]:
             yield np.unique(full[foff[i] : foff[i + 1]])
         elif woff[i + 1] > woff[i]:

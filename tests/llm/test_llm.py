@@ -70,6 +70,7 @@ def test_near_duplicates_edges(spark):
 def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     """Chains, cores and outsiders that share buckets, in many tiles."""
     monkeypatch.setattr(minhash, "TILE", 3)
+    monkeypatch.setattr(minhash, "SHARE", 3)
     monkeypatch.setattr(scratch, "HOT_ROWS", 2)
     rng, out = random.Random(12), {}
     base = prose(rng, 150).split()
@@ -104,6 +105,24 @@ def test_hashes_do_not_collide_by_algebra(spark):
     assert [(r.n_tokens, r.n_backoff) for r in lm.score_documents(docs(spark, rows)).collect()] == [(1, 0)] * 2
 
 
+def test_words_of_buffers():
+    import pyarrow as pa
+
+    from inkwell.llm import tokens
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aAbZ é\x0b\n\0") for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", " ", "x" * 50, "x" * 16 + " " + "x" * 17, "word"]
+    buffers = tokens.text_buffers(pa.array(texts))
+    hashes, off = tokens.word_hashes(*buffers)
+    of = {}
+    for i, t in enumerate(texts):
+        w = tokens.split_words((t or "").encode())
+        assert len(w) == off[i + 1] - off[i] and b" ".join(w) == tokens.sequences(*buffers)[i]
+        for x, h in zip(w, hashes[off[i] : off[i + 1]].tolist()):
+            assert of.setdefault(x, h) == h
+    assert len(set(of.values())) == len(of) > 100
+
+
 def test_lines_within_two_edits(spark):
     rng = random.Random(4)
     rows, base = [], ["".join(rng.choice("abc ") for _ in range(14)) + "end" for _ in range(12)]
