@@ -131,10 +131,14 @@ def cohesion(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", fl
         linked = linked | head.contains(f" {c} ")
     order = Window.partitionBy(doc_id).orderBy("pos")
     edge = p.select(doc_id, "pos", F.lead("pos").over(order).alias("next"), F.lead(linked).over(order).alias("linked")).where("next is not null")
-    rows = edge.join(dots, [doc_id, "pos"], "left").withColumn("similarity", F.round(F.coalesce("s", F.lit(0.0)), 6))
+    # similarities are whole millionths, so that sums are exact in any order
+    rows = edge.join(dots, [doc_id, "pos"], "left").withColumn("q", F.round(F.coalesce("s", F.lit(0.0)) * 1e6).cast("long"))
     by = Window.partitionBy(doc_id)
-    rows = rows.withColumns({"mean": F.avg("similarity").over(by), "std": F.stddev_pop("similarity").over(by)})
-    rows = rows.withColumn("threshold", F.round(F.greatest(F.lit(floor), F.col("mean") - 0.75 * F.col("std")), 6))
+    exact = lambda c: c.cast("decimal(38,0)")
+    rows = rows.withColumns({"n": F.count("*").over(by), "total": F.sum("q").over(by), "squares": F.sum(exact(F.col("q") * F.col("q"))).over(by)})
+    spread = F.sqrt((F.col("n") * exact(F.col("squares")) - exact(F.col("total") * F.col("total"))).cast("double"))
+    level = (F.col("total").cast("double") - 0.75 * spread) / (F.col("n").cast("double") * 1e6)
+    rows = rows.withColumns({"similarity": F.round(F.col("q") / 1e6, 6), "threshold": F.round(F.greatest(F.lit(floor), level), 6)})
     return rows.select(doc_id, F.col("pos").cast("long").alias("pos"), "similarity", "threshold", "linked", ((F.col("similarity") < F.col("threshold")) & ~F.col("linked")).alias("weak"))
 
 
@@ -150,22 +154,17 @@ def summary_sentences(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "
     return rows.select(doc_id, F.col("pos").cast("long").alias("pos"), "score", place.cast("long").alias("place"))
 
 
-def keyword_scores(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", candidates: int | None = None) -> DataFrame:
-    """``(id, term, score, rank)``: all one- and two-word terms by their TF-IDF sum over sentences; the first ``candidates``, if given."""
+def keyword_scores(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, term, score, rank)``: all one- and two-word terms by their TF-IDF sum over sentences."""
     w = scoped_weights(T.sentences(docs, doc_id, text_col), [doc_id], [doc_id, "pos"], F.col("sent"), 2)
     rows = w.groupBy(doc_id, "term").agg(F.round(F.sum("w"), 6).alias("score"))
     order = Window.partitionBy(doc_id).orderBy(F.desc("score"), F.desc(F.size(F.split("term", " "))), "term")
-    rows = rows.withColumn("rank", F.row_number().over(order).cast("long"))
-    return rows if candidates is None else rows.where(F.col("rank") <= candidates)
+    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def keywords(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", top: int = 8) -> DataFrame:
-    """The best terms of each document, less those whose words all stand in a chosen one.
-
-    A dropped term is a word of a chosen pair or a repeat, so ``top`` chosen terms lie among the first
-    3 * top candidates of a document.
-    """
-    rows = keyword_scores(docs, doc_id, text_col, 3 * top + 1).groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("rank", "term")))["term"].alias("terms"))
+    """The best terms of each document, less those whose words all stand in a chosen one, in one fold over all its terms."""
+    rows = keyword_scores(docs, doc_id, text_col).groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("rank", "term")))["term"].alias("terms"))
     inside = lambda t, k: F.size(F.array_except(F.split(t, " "), F.split(k, " "))) == 0
     chosen = F.aggregate("terms", F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) >= top) | F.exists(acc, lambda k: inside(t, k)), acc).otherwise(F.array_append(acc, t)))
     return rows.select(doc_id, F.posexplode(chosen).alias("place", "term")).withColumn("place", F.col("place").cast("long"))
@@ -196,7 +195,7 @@ def pair_similarity(pairs: DataFrame, pair_id: str, left: str, right: str) -> Da
     union = F.size(F.array_union(a, b))
     rows = pairs.select(pair_id, F.when(n > 0, near / n).otherwise(0.0).alias("structure"), F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0).alias("jaccard"), T.words(F.col(left)).alias("n"), complexity(F.col(left)).alias("complexity"))
     rows = rows.join(dot, pair_id, "left").withColumn("score", F.round(F.least(0.5 * F.coalesce("cosine", F.lit(0.0)) + 0.3 * F.col("structure") + 0.2 * F.col("jaccard"), F.lit(1.0)), 6))
-    rows = rows.withColumn("threshold", F.when(F.col("n") < 100, 0.6).when(F.col("complexity") > 0.8, 0.75).otherwise(0.7))
+    rows = rows.withColumn("threshold", F.least(F.greatest(F.when(F.col("n") < 100, 0.6).when(F.col("complexity") > 0.8, 0.75).otherwise(0.7), F.lit(0.5)), F.lit(0.9)))
     s, t = F.col("score"), F.col("threshold")
     category = F.when(s >= F.round(t + 0.1, 6), "high").when(s >= t, "medium").when(s >= F.round(t - 0.2, 6), "low").otherwise("none")
     return rows.select(pair_id, F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"), F.round("structure", 6).alias("structure"), F.round("jaccard", 6).alias("jaccard"), "score", "threshold", category.alias("category"), F.round(F.least(1.2 * s, F.lit(0.95)), 6).alias("confidence"))

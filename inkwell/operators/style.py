@@ -70,17 +70,22 @@ def boundary(phrase: str) -> str:
     return rf"(?<![a-z]){body}" + ("" if phrase.endswith(" ") else "(?![a-z])")
 
 
+def bounded_count(t: Column, phrase: str) -> Column:
+    """Bounded occurrences in lower-case text; the pattern only runs where the phrase stands at all."""
+    return F.when(t.contains(phrase), F.regexp_count(t, F.lit(boundary(phrase)))).otherwise(0)
+
+
 def tone_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicons: dict[str, list[str]] = L.TONE, min_words: int = 20) -> DataFrame:
     """``(id, category, hits, per_1000)`` for documents of at least ``min_words`` words."""
     rows = docs.select(id_col, F.concat(F.lit(" "), F.lower(text_col), F.lit(" ")).alias("t"), T.words(F.col(text_col)).alias("n")).where(F.col("n") >= min_words)
-    counted = [F.struct(F.lit(k).alias("category"), sum((F.regexp_count("t", F.lit(boundary(p))) for p in ps), F.lit(0)).cast("long").alias("hits")) for k, ps in lexicons.items()]
+    counted = [F.struct(F.lit(k).alias("category"), sum((bounded_count(F.col("t"), p) for p in ps), F.lit(0)).cast("long").alias("hits")) for k, ps in lexicons.items()]
     return rows.select(id_col, "n", F.explode(F.array(*counted)).alias("c")).select(id_col, "c.category", "c.hits", F.round(F.col("c.hits") * 1000.0 / F.col("n"), 6).alias("per_1000"))
 
 
 def tone_examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 8) -> DataFrame:
     """The first overclaiming and over-hedged (two or more hedges) sentences of each document."""
     low = F.lower("sent")
-    hits = lambda k: sum((F.regexp_count(low, F.lit(boundary(p))) for p in L.TONE[k]), F.lit(0))
+    hits = lambda k: sum((bounded_count(low, p) for p in L.TONE[k]), F.lit(0))
     rows = T.sentences(docs, id_col, text_col).select(id_col, "pos", F.when(hits("Overclaiming") >= 1, "overclaim").alias("a"), F.when(hits("Hedging") >= 2, "overhedged").alias("b"))
     rows = rows.select(id_col, "pos", F.explode(F.filter(F.array("a", "b"), lambda x: x.isNotNull())).alias("kind"))
     rank = F.row_number().over(Window.partitionBy(id_col, "kind").orderBy("pos"))
@@ -88,8 +93,9 @@ def tone_examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def phrase_count(t: Column, p: str) -> Column:
-    """Occurrences of a phrase as a token before a space, comma or dot in padded text."""
-    return sum((((F.length(t) - F.length(F.replace(t, F.lit(f" {p}{e}")))) / (len(p) + 2)).cast("int") for e in (" ", ",", ".")), F.lit(0))
+    """Occurrences of a phrase as a token before a space, comma or dot in padded text; copies are only made where it stands."""
+    n = sum((((F.length(t) - F.length(F.replace(t, F.lit(f" {p}{e}")))) / (len(p) + 2)).cast("int") for e in (" ", ",", ".")), F.lit(0))
+    return F.when(t.contains(f" {p}"), n).otherwise(0)
 
 
 def machine_style(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[str] = L.AI_PHRASES, min_words: int = 25) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 from inkwell.functions import typology as K
 from inkwell.functions.lexicons import STOP_WORDS
+from inkwell.operators.similarity import complexity
 
 
 def hits(low: Column, words: list[str]) -> Column:
@@ -35,8 +36,9 @@ def topic_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The three voters of the ensemble agree by construction, so the vote is the densest type; texts
     without a word are ``unknown``.
     """
-    low = F.lower(F.coalesce(text_col, F.lit("")))
-    rows = docs.select(id_col, low.alias("low"), T.words(low).alias("n"), F.size(F.filter(T.sentence_array(low), lambda s: F.trim(s) != "")).alias("s"), F.size(F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: w != ""))).alias("u"))
+    text = F.coalesce(text_col, F.lit(""))
+    low = F.lower(text)
+    rows = docs.select(id_col, low.alias("low"), T.words(low).alias("n"), complexity(text).alias("complexity"))
     counts = {k: hits(F.col("low"), ws) for k, ws in K.TOPIC_TYPES.items()}
     rows = rows.withColumns({f"c_{k}": c for k, c in counts.items()})
     ranked = F.sort_array(F.array(*[F.col(f"c_{k}") for k in counts]), asc=False)
@@ -47,8 +49,7 @@ def topic_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strength = F.col("top") / F.greatest("n", F.lit(1))
     blur = F.when(F.col("top") > 0, F.col("second") / F.col("top")).otherwise(0.0)
     confidence = F.least(F.greatest(0.6 * strength + 0.2 * (1 - blur) + 0.2 * F.col("field"), F.lit(0.1)), F.lit(0.95))
-    complexity = F.when((F.col("n") == 0) | (F.col("s") == 0), 0.0).otherwise(F.least(0.3 * F.col("n") / F.col("s") + 0.4 * F.col("u") / F.col("n"), F.lit(1.0)))
-    return rows.select(id_col, "predicted", F.when(F.col("n") == 0, 0.0).otherwise(F.round(confidence, 6)).alias("confidence"), F.round(strength, 6).alias("density"), F.round(complexity, 6).alias("complexity"), "specificity", "methodology", "analysis", "field", F.round("approach", 6).alias("approach"))
+    return rows.select(id_col, "predicted", F.when(F.col("n") == 0, 0.0).otherwise(F.round(confidence, 6)).alias("confidence"), F.round(strength, 6).alias("density"), F.round("complexity", 6).alias("complexity"), "specificity", "methodology", "analysis", "field", F.round("approach", 6).alias("approach"))
 
 
 def enhanced_normal(c: Column) -> Column:

@@ -289,8 +289,9 @@ p AS (SELECT doc_id, generate_subscripts(z, 1) - 1 AS pos, unnest(z) AS para FRO
 dots AS (SELECT a.doc_id, a.pos, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.term = b.term AND b.pos = a.pos + 1 GROUP BY ALL),
 hd AS (SELECT doc_id, pos, ' ' || array_to_string(list_transform(string_split_regex(trim(para), '\s+')[1:6], lambda v: lower(regexp_replace(v, '^[.,;:]+|[.,;:]+$', '', 'g'))), ' ') || ' ' AS h FROM p),
 e AS (SELECT doc_id, pos, lead({_LINKED}) OVER (PARTITION BY doc_id ORDER BY pos) AS linked, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM hd),
-f AS (SELECT e.doc_id, e.pos, linked, round(coalesce(s, 0), 6) AS similarity FROM e LEFT JOIN dots USING (doc_id, pos) WHERE nx IS NOT NULL),
-g AS (SELECT *, round(greatest(0.05::DOUBLE, avg(similarity) OVER (PARTITION BY doc_id) - 0.75::DOUBLE * stddev_pop(similarity) OVER (PARTITION BY doc_id)), 6) AS threshold FROM f)
+f AS (SELECT e.doc_id, e.pos, linked, CAST(round(coalesce(s, 0) * 1000000) AS BIGINT) AS q FROM e LEFT JOIN dots USING (doc_id, pos) WHERE nx IS NOT NULL),
+st AS (SELECT doc_id, count(*) AS n, CAST(sum(q) AS HUGEINT) AS total, CAST(sum(CAST(q AS HUGEINT) * q) AS HUGEINT) AS squares FROM f GROUP BY doc_id),
+g AS (SELECT f.doc_id, pos, linked, round(q / 1e6::DOUBLE, 6) AS similarity, round(greatest(0.05::DOUBLE, (total::DOUBLE - 0.75::DOUBLE * sqrt((n * squares - total * total)::DOUBLE)) / (n::DOUBLE * 1e6::DOUBLE)), 6) AS threshold FROM f JOIN st ON st.doc_id = f.doc_id)
 SELECT doc_id, pos, similarity, threshold, linked, similarity < threshold AND NOT linked AS weak FROM g""")
 def paragraph_cohesion(spark, sf_dir):
     return S.cohesion(papers(spark, sf_dir))
@@ -304,7 +305,7 @@ def extractive_summary(spark, sf_dir):
 
 
 @query(f"""WITH {P.DOCS}, {sent_cte()}, {scoped_cte('w', 'sents', 'doc_id, pos', 'sent', 2)}, sc AS (SELECT doc_id, term, round(sum(w), 6) AS score FROM w GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, len(string_split(term, ' ')) DESC, term) AS rank FROM sc QUALIFY rank <= 64""")
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, len(string_split(term, ' ')) DESC, term) AS rank FROM sc""")
 def keyword_scores(spark, sf_dir):
     return S.keyword_scores(papers(spark, sf_dir))
 
@@ -314,22 +315,32 @@ def top_keywords(spark, sf_dir):
     return S.keywords(papers(spark, sf_dir))
 
 
+def complexity_sql(text: str) -> str:
+    tokens = f"regexp_extract_all({text}, '{TOKEN}')"
+    sents = rf"len(list_filter(string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> ''))"
+    technical = f"len(list_filter({tokens}, lambda w: list_contains({listed(S.TECHNICAL)}, w)))"
+    return f"CASE WHEN len({tokens}) > 0 THEN least(0.3::DOUBLE * len({tokens}) / {sents} + 0.4::DOUBLE * len(list_distinct({tokens})) / len({tokens}) + 0.3::DOUBLE * {technical} / len({tokens}), 1.0::DOUBLE) ELSE 0 END"
+
+
 _LENS = lambda c: rf"list_transform(list_filter(string_split(regexp_replace({c}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> ''), lambda s: {words_sql('s')})"
 _TERMS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '{W}{{2,}}'), lambda w: NOT list_contains({STOP}, w)))"
 
 
-@query(f"""WITH prs AS (SELECT * FROM {P.values(P.PAIRS, 'pair_id, a, b')}), u AS (SELECT pair_id AS doc_id, 0 AS side, a AS text FROM prs UNION ALL SELECT pair_id, 1, b FROM prs), {scoped_cte('w', 'u', 'doc_id, side', 'text', 2)},
+@query(f"""WITH prs AS (SELECT * FROM {P.values(P.PAIRS, 'pair_id, a, b')} UNION ALL SELECT doc_id, documents.text, benchmark.text FROM documents JOIN benchmark ON item_id = doc_id % 40), u AS (SELECT pair_id AS doc_id, 0 AS side, a AS text FROM prs UNION ALL SELECT pair_id, 1, b FROM prs), {scoped_cte('w', 'u', 'doc_id, side', 'text', 2)},
 dot AS (SELECT x.doc_id AS pair_id, sum(x.w * y.w) AS cosine FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.term = y.term AND x.side = 0 AND y.side = 1 GROUP BY ALL),
-m AS (SELECT pair_id, {words_sql('a')} AS n, {_LENS('a')} AS la, {_LENS('b')} AS lb, {_TERMS('a')} AS ta, {_TERMS('b')} AS tb FROM prs),
-k AS (SELECT pair_id, n, CASE WHEN least(len(la), len(lb)) > 0 THEN len(list_filter(range(1, least(len(la), len(lb)) + 1), lambda i: abs(la[i] - lb[i])::DOUBLE / greatest(la[i], lb[i], 1) < 0.3)) / least(len(la), len(lb))::DOUBLE ELSE 0 END AS structure,
+m AS (SELECT pair_id, {words_sql('a')} AS n, {complexity_sql('a')} AS cx, {_LENS('a')} AS la, {_LENS('b')} AS lb, {_TERMS('a')} AS ta, {_TERMS('b')} AS tb FROM prs),
+k AS (SELECT pair_id, n, cx, CASE WHEN least(len(la), len(lb)) > 0 THEN len(list_filter(range(1, least(len(la), len(lb)) + 1), lambda i: abs(la[i] - lb[i])::DOUBLE / greatest(la[i], lb[i], 1) < 0.3)) / least(len(la), len(lb))::DOUBLE ELSE 0 END AS structure,
 CASE WHEN len(list_distinct(list_concat(ta, tb))) > 0 THEN len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE ELSE 0 END AS jaccard FROM m),
-z AS (SELECT pair_id, coalesce(cosine, 0) AS c, structure, jaccard, round(least(0.5::DOUBLE * coalesce(cosine, 0) + 0.3::DOUBLE * structure + 0.2::DOUBLE * jaccard, 1), 6) AS score, CASE WHEN n < 100 THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END AS threshold FROM k LEFT JOIN dot USING (pair_id))
+z AS (SELECT pair_id, coalesce(cosine, 0) AS c, structure, jaccard, round(least(0.5::DOUBLE * coalesce(cosine, 0) + 0.3::DOUBLE * structure + 0.2::DOUBLE * jaccard, 1), 6) AS score, least(greatest(CASE WHEN n < 100 THEN 0.6::DOUBLE WHEN cx > 0.8 THEN 0.75::DOUBLE ELSE 0.7::DOUBLE END, 0.5), 0.9) AS threshold FROM k LEFT JOIN dot USING (pair_id))
 SELECT pair_id, round(c, 6) AS cosine, round(structure, 6) AS structure, round(jaccard, 6) AS jaccard, score, threshold, CASE WHEN score >= round(threshold + 0.1, 6) THEN 'high' WHEN score >= threshold THEN 'medium' WHEN score >= round(threshold - 0.2, 6) THEN 'low' ELSE 'none' END AS category, round(least(1.2::DOUBLE * score, 0.95::DOUBLE), 6) AS confidence FROM z""")
 def enhanced_similarity(spark, sf_dir):
-    return S.pair_similarity(spark.createDataFrame(P.PAIRS, "pair_id long, a string, b string"), "pair_id", "a", "b")
+    """Inline pairs, whose ids are made negative, and each document with one passage of the benchmark."""
+    refs = table(spark, sf_dir, "benchmark").select((F.col("item_id")).alias("item_id"), F.col("text").alias("b"))
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), (F.col("doc_id") % 40).alias("item_id")).join(refs, "item_id").select("pair_id", "a", "b")
+    return S.pair_similarity(pairs.unionByName(spark.createDataFrame(P.PAIRS, "pair_id long, a string, b string")), "pair_id", "a", "b")
 
 
-_DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)"
+_DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)"
 
 
 @query(f"WITH {_DENSE} SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM dn QUALIFY rank <= 4")
@@ -446,7 +457,7 @@ def _chain(chain: list[tuple[str, list[str]]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {_HITS(ws)} > 0 THEN {P.literal(k)}" for k, ws in chain) + f" ELSE {P.literal(otherwise)} END"
 
 
-_LOW = "lw AS (SELECT doc_id, lower(coalesce(text, '')) AS lo FROM docs)"
+_LOW = "lw AS (SELECT doc_id, text, lower(coalesce(text, '')) AS lo FROM docs)"
 
 
 @query(f"WITH {P.DOCS}, {_LOW} SELECT doc_id, {_vote(K.CONTENT_TYPES)} AS type_vote, {_vote(K.CONTENT_FIELDS)} AS field_vote, {_chain(K.TYPE_CHAIN, 'empirical')} AS type_chain, {_chain(K.FIELD_CHAIN, 'computer_science')} AS field_chain FROM lw")
@@ -457,10 +468,10 @@ def type_and_field_rules(spark, sf_dir):
 _SHARE = lambda groups: "greatest(" + ", ".join(f"{_HITS(g)} / {len(g)}.0::DOUBLE" for g in groups) + ")"
 
 
-@query(rf"""WITH {P.DOCS}, {_LOW}, a AS (SELECT doc_id, lo, {words_sql('lo')} AS n, len(list_filter(string_split(regexp_replace(lo, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS s, len(list_distinct(regexp_extract_all(lo, '\S+'))) AS u,
+@query(rf"""WITH {P.DOCS}, {_LOW}, a AS (SELECT doc_id, lo, {words_sql('lo')} AS n, {complexity_sql("coalesce(text, '')")} AS cx,
 list_reverse_sort([{', '.join(_HITS(ws) for ws in K.TOPIC_TYPES.values())}]) AS c, {_vote(K.TOPIC_TYPES)} AS best, {', '.join(f'{_HITS(ws)} / 5.0::DOUBLE AS {k}' for k, ws in K.INDICATORS.items())}, {_SHARE(K.FIELD_HINTS)} AS field, {_SHARE(K.APPROACH_HINTS)} AS ap FROM lw)
 SELECT doc_id, CASE WHEN n = 0 THEN 'unknown' ELSE best END AS predicted, CASE WHEN n = 0 THEN 0 ELSE round(least(greatest(0.6::DOUBLE * c[1] / greatest(n, 1) + 0.2::DOUBLE * (1 - CASE WHEN c[1] > 0 THEN c[2]::DOUBLE / c[1] ELSE 0 END) + 0.2::DOUBLE * field, 0.1::DOUBLE), 0.95::DOUBLE), 6) END AS confidence,
-round(c[1]::DOUBLE / greatest(n, 1), 6) AS density, CASE WHEN n = 0 OR s = 0 THEN 0 ELSE round(least(0.3::DOUBLE * n / s + 0.4::DOUBLE * u / n, 1.0::DOUBLE), 6) END AS complexity, specificity, methodology, analysis, field, round(ap, 6) AS approach FROM a""")
+round(c[1]::DOUBLE / greatest(n, 1), 6) AS density, round(cx, 6) AS complexity, specificity, methodology, analysis, field, round(ap, 6) AS approach FROM a""")
 def topic_type_features(spark, sf_dir):
     return V.topic_features(papers(spark, sf_dir))
 

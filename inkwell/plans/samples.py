@@ -40,10 +40,10 @@ REPLIES = [
 ]
 
 PAIRS = [
-    (1, "The model was tested on data. We measured accuracy.", "The model was tested on data. We measured accuracy."),
-    (2, "Deep networks learn features. They need data.", "Shallow trees split features quickly here. They need little data to work."),
-    (3, "alpha beta gamma", "delta epsilon"),
-    (4, "", "words only here"),
+    (-1, "The model was tested on data. We measured accuracy.", "The model was tested on data. We measured accuracy."),
+    (-2, "Deep networks learn features. They need data.", "Shallow trees split features quickly here. They need little data to work."),
+    (-3, "alpha beta gamma", "delta epsilon"),
+    (-4, "", "words only here"),
 ]
 
 
