@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.lexicons import SECTIONS, STOP_WORDS
+from inkwell.functions.lexicons import LOOSE_HEADERS, SECTIONS, STOP_WORDS
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -161,19 +161,19 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.groupBy(id_col, "name").agg(F.min("pos").alias("ord"), F.trim(F.array_join(lines["line"], "\n")).alias("body"))
 
 
-def loose_sections(docs: DataFrame, headers: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, name, body)``: any line under 100 characters that contains a header word opens a section named by it.
+def loose_sections(docs: DataFrame, headers: list[str] = LOOSE_HEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, name, body)``: any line under 100 characters that contains a header word opens a section of its name.
 
-    Lines before it belong to ``content``; of equal names the last body stays.
+    Lines before the first belong to ``content``; a section without lines goes; of equal names the last body stays.
     """
     from pyspark.sql.window import Window
 
-    rows = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    opens = F.lower("line").rlike(either(headers)) & (F.length("line") < 100)
+    rows = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")).withColumn("bare", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    rows = rows.withColumn("opens", F.lower("bare").rlike(either(headers)) & (F.length("bare") < 100))
     w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("opens", opens).withColumn("part", F.sum(F.col("opens").cast("int")).over(w))
-    part = rows.groupBy(id_col, "part").agg(F.max(F.when(F.col("opens"), F.lower("line"))).alias("name"), F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("pos", "line")))).alias("lines"))
-    part = part.select(id_col, "part", F.coalesce("name", F.lit("content")).alias("name"), F.trim(F.array_join(F.col("lines")["line"], "\n")).alias("body"))
+    rows = rows.withColumn("part", F.sum(F.col("opens").cast("int")).over(w))
+    part = rows.groupBy(id_col, "part").agg(F.max(F.when(F.col("opens"), F.col("bare"))).alias("name"), F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("pos", "line")))).alias("lines"))
+    part = part.where(F.size("lines") > 0).select(id_col, "part", F.coalesce("name", F.lit("content")).alias("name"), F.array_join(F.col("lines")["line"], "\n").alias("body"))
     return part.groupBy(id_col, "name").agg(F.max_by("body", "part").alias("body"))
 
 

@@ -82,3 +82,16 @@ def verdicts(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
     rows = rows.withColumn("verdict", verdict)
     clash = (F.col("verdict") == "Verified") & ~F.col("by_doi") & (F.col("entry_doi") != "") & (F.col("found_doi") != "") & (F.col("entry_doi") != F.col("found_doi"))
     return rows.select("entry_id", "verdict", F.col("f1").alias("confidence"), "matched_id", F.coalesce(clash, F.lit(False)).alias("doi_mismatch"))
+
+
+def checked_lists(docs: DataFrame, catalogue: DataFrame, limit: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verdict counts of the first ``limit`` entries of each reference list, and whether more were left unchecked.
+
+    Lists of different documents are checked together: an entry's number is its document's times ``limit`` plus its place.
+    """
+    entries = T.reference_entries(docs, id_col, text_col)
+    sizes = entries.groupBy(id_col).agg(F.count("*").alias("entries"))
+    first = entries.where(F.col("pos") < limit).select((F.col(id_col) * limit + F.col("pos")).alias("entry_id"), "entry")
+    of = F.floor(F.col("entry_id") / limit).cast("long").alias(id_col)
+    counts = verdicts(first, catalogue).groupBy(of).agg(*[F.count_if(F.col("verdict") == v).alias(n) for v, n in (("Verified", "verified"), ("Possible match", "possible"), ("Not found", "not_found"))])
+    return sizes.join(counts, id_col).select(id_col, "entries", "verified", "possible", "not_found", (F.col("entries") > limit).alias("truncated"))

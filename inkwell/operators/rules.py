@@ -28,6 +28,36 @@ def grammar_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(id_col, kinds["Grammar"].alias("grammar"), kinds["Spelling"].alias("spelling"), punctuation.alias("punctuation"))
 
 
+def grammar_changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, rule, kind, position, original, corrected, context)`` of every change, positions in the original text from 0.
+
+    Places come from the pieces between matches: a match begins where all pieces and matches before it end. Rules only
+    run on texts in which some rule matches.
+    """
+    c = F.col("text")
+    rules = [(whole(w), kind, w, fix) for w, fix, kind in L.GRAMMAR_WORDS] + [(p, "Punctuation", None, None) for p in L.GRAMMAR_PUNCTUATION]
+    rows = docs.select(id_col, F.col(text_col).alias("text"))
+    rows = rows.where(c.rlike("|".join([f"(?i)(?<!{T.WORD})(?:{'|'.join(w for w, _, _ in L.GRAMMAR_WORDS)})(?!{T.WORD})", *L.GRAMMAR_PUNCTUATION])))
+
+    def placed(pattern: str) -> Column:
+        found, pieces = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern)
+        pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"))
+        start = F.struct(F.array().cast("array<struct<position:int,original:string>>").alias("done"), F.lit(0).alias("at"))
+
+        def add(acc: Column, z: Column) -> Column:
+            begin = acc["at"] + F.length(z["piece"])
+            one = F.struct(begin.alias("position"), z["match"].alias("original"))
+            return F.struct(F.array_append(acc["done"], one).alias("done"), (begin + F.length(z["match"])).alias("at"))
+
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda a: a["done"])).otherwise(F.array().cast("array<struct<position:int,original:string>>"))
+
+    each = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("kind"), F.lit(fix).cast("string").alias("fix"), placed(p).alias("found")) for i, (p, kind, _, fix) in enumerate(rules)])
+    rows = rows.select(id_col, "text", F.explode(each).alias("r")).select(id_col, "text", "r.rule", "r.kind", "r.fix", F.explode("r.found").alias("m"))
+    spaced = F.regexp_replace(F.col("m.original"), r"^\s+([.!?,;:])\s*", "$1 ")
+    context = T.context(c, F.col("m.position"), F.length("m.original"))
+    return rows.select(id_col, "rule", "kind", F.col("m.position").cast("long").alias("position"), F.col("m.original").alias("original"), F.coalesce("fix", spaced).alias("corrected"), context.alias("context"))
+
+
 def grammar_corrected(c: Column) -> Column:
     """The text after all rules in order."""
     for w, fix, _ in L.GRAMMAR_WORDS:
@@ -65,6 +95,13 @@ def hard_terms(scan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scan.select(id_col, F.array_join(F.array_sort(F.array_distinct(F.concat(fixed, split(F.col("ai_tells")), split(F.col("escape_hatches"))))), "|").alias("terms"))
 
 
+def hygiene_issues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 12) -> DataFrame:
+    """``(id, n_issues, terms)``: number of issues and the first ``limit`` of them, for documents that have any."""
+    rows = hard_terms(hygiene(docs.where(F.col(text_col).isNotNull()), id_col, text_col), id_col).where("terms <> ''")
+    found = F.split("terms", r"\|")
+    return rows.select(id_col, F.size(found).cast("long").alias("n_issues"), F.array_join(F.slice(found, 1, limit), "|").alias("terms"))
+
+
 def intents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Which conditional clauses a task's words call for."""
     low = F.lower(text_col)

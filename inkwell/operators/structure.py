@@ -30,6 +30,13 @@ def structure_check(docs: DataFrame, paper_type: str = "empirical", id_col: str
     return rows.select(id_col, F.col("ord").cast("long").alias("ord"), "section", F.col("n").cast("long").alias("n_words"), status.alias("status"), F.col("found_at").cast("long").alias("found_at"))
 
 
+def extra_sections(docs: DataFrame, paper_type: str = "empirical", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, section, found_at)``: recognised sections that the type doesn't expect, by name or alias."""
+    alias = lambda name: "Methodology" if name == "Methods" else name
+    expected = {x for kind, _, section, _, _ in L.templates() if kind == paper_type for x in (section, alias(section))}
+    return T.sections(docs, id_col, text_col).where(~F.col("name").isin(sorted(expected))).select(id_col, F.col("name").alias("section"), F.col("ord").cast("long").alias("found_at"))
+
+
 def structure_totals(check: DataFrame, id_col: str = "doc_id") -> DataFrame:
     present = F.col("found_at").isNotNull()
     order = F.sort_array(F.collect_list(F.when(present, F.struct("ord", "found_at"))))["found_at"]

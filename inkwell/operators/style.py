@@ -153,6 +153,12 @@ def citation_density(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.withColumn("per_1000", F.round(F.col("markers") * 1000.0 / F.greatest("n_words", F.lit(1)), 6))
 
 
+def section_citations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Citation markers of each section that has words: ``(id, section, markers, n_words, per_1000)``."""
+    rows = T.sections(docs, id_col, text_col).select(id_col, F.col("name").alias("section"), citation_markers(F.col("body")).cast("long").alias("markers"), T.words(F.col("body")).cast("long").alias("n_words"))
+    return rows.where("n_words > 0").withColumn("per_1000", F.round(F.col("markers") * 1000.0 / F.col("n_words"), 6))
+
+
 def uncited_claims(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 25) -> DataFrame:
     rows = T.sentences(docs, id_col, text_col)
     return first_of(rows.where(is_claim(F.col("sent")) & ~has_citation(F.col("sent"))), id_col, limit)

@@ -310,7 +310,13 @@ def keyword_scores(spark, sf_dir):
     return S.keyword_scores(papers(spark, sf_dir))
 
 
-@query()
+_INSIDE = "len(list_filter(string_split(t, ' '), lambda v: NOT list_contains(string_split(k, ' '), v))) = 0"
+
+
+@query(f"""WITH {P.DOCS}, {sent_cte()}, {scoped_cte('w', 'sents', 'doc_id, pos', 'sent', 2)}, sc AS (SELECT doc_id, term, round(sum(w), 6) AS score FROM w GROUP BY ALL),
+ts AS (SELECT doc_id, list(term ORDER BY score DESC, len(string_split(term, ' ')) DESC, term) AS terms FROM sc GROUP BY doc_id),
+ch AS (SELECT doc_id, list_reduce(terms, lambda acc, t: CASE WHEN len(acc) >= 8 OR len(list_filter(acc, lambda k: {_INSIDE})) > 0 THEN acc ELSE list_append(acc, t) END, []::VARCHAR[]) AS chosen FROM ts)
+SELECT doc_id, generate_subscripts(chosen, 1) - 1 AS place, unnest(chosen) AS term FROM ch""")
 def top_keywords(spark, sf_dir):
     return S.keywords(papers(spark, sf_dir))
 
@@ -391,6 +397,33 @@ def section_split(spark, sf_dir):
     return T.sections(papers(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
 
 
+@query(f"WITH {P.DOCS}, {_SECTION} SELECT doc_id, name AS section, ord AS found_at FROM sec WHERE name NOT IN (SELECT section FROM {P.values(L.templates(), 'paper_type, ord, section, lo, hi')} WHERE paper_type = 'empirical') AND name <> 'Methodology'")
+def extra_sections(spark, sf_dir):
+    return X.extra_sections(papers(spark, sf_dir))
+
+
+@query(f"WITH {P.DOCS}, {_SECTION}, a AS (SELECT doc_id, name AS section, {_MARKERS('body')} AS markers, {words_sql('body')} AS n_words FROM sec) SELECT *, round(markers * 1000.0::DOUBLE / n_words, 6) AS per_1000 FROM a WHERE n_words > 0")
+def section_citations(spark, sf_dir):
+    return Y.section_citations(papers(spark, sf_dir))
+
+
+@query(rf"""WITH {P.DOCS}, lo AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM docs)), l2 AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare FROM lo),
+l3 AS (SELECT *, regexp_matches(lower(bare), '{'|'.join(L.LOOSE_HEADERS)}') AND length(bare) < 100 AS opens FROM l2), l4 AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM l3),
+p AS (SELECT doc_id, part, coalesce(max(bare) FILTER (WHERE opens), 'content') AS name, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT opens) AS body, count(*) FILTER (WHERE NOT opens) AS n FROM l4 GROUP BY ALL)
+SELECT doc_id, name, md5(arg_max(body, part)) AS body_md5 FROM p WHERE n > 0 GROUP BY doc_id, name""")
+def loose_sections(spark, sf_dir):
+    return T.loose_sections(papers(spark, sf_dir)).select("doc_id", "name", F.md5("body").alias("body_md5"))
+
+
+_ENTRIES = rf"""en0 AS (SELECT doc_id, CASE WHEN regexp_matches(trim(text), '\n\s*\n') THEN list_transform(string_split_regex(trim(text), '\n\s*\n'), lambda b: regexp_replace(trim(b), '\s+', ' ', 'g')) ELSE string_split(trim(text), chr(10)) END AS parts FROM docs),
+en1 AS (SELECT doc_id, list_filter(list_transform(parts, lambda e: trim(regexp_replace(trim(e), '^[\[(]?\s*\d+\s*[\]).:]\s*', ''))), lambda e: {words_sql('e')} >= 4) AS es FROM en0), ent AS (SELECT doc_id, generate_subscripts(es, 1) - 1 AS pos, unnest(es) AS entry FROM en1)"""
+
+
+@query(f"WITH {P.DOCS}, {_ENTRIES} SELECT doc_id, pos, md5(entry) AS entry_md5 FROM ent")
+def reference_entries(spark, sf_dir):
+    return T.reference_entries(papers(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("entry").alias("entry_md5"))
+
+
 _CHECK = f"""{_SECTION}, tp AS (SELECT ord AS o, section, lo, hi, CASE WHEN section = 'Methods' THEN 'Methodology' ELSE section END AS canon FROM {P.values(L.templates(), 'paper_type, ord, section, lo, hi')} WHERE paper_type = 'empirical' AND section <> 'Title'),
 fo AS (SELECT doc_id, CASE WHEN name = 'Methods' THEN 'Methodology' ELSE name END AS canon, min(ord) AS found_at, CAST(sum({words_sql('body')}) AS BIGINT) AS n FROM sec GROUP BY ALL),
 chk AS (SELECT d.doc_id, o AS ord, section, n AS n_words, CASE WHEN found_at IS NULL THEN 'missing' WHEN lo IS NULL THEN 'present' WHEN n < lo THEN 'under' WHEN n > hi THEN 'over' ELSE 'ok' END AS status, found_at FROM docs d CROSS JOIN tp LEFT JOIN fo ON fo.doc_id = d.doc_id AND fo.canon = tp.canon)"""
@@ -433,7 +466,16 @@ def term_variants(spark, sf_dir):
     return X.term_variants(papers(spark, sf_dir))
 
 
-@query()
+_ADD = f"lambda a, s: CASE WHEN a.n + {words_sql('s')} >= 130 THEN {{'done': list_append(a.done, array_to_string(list_append(a.opened, s), ' ')), 'opened': [s], 'n': {words_sql('s')}}} ELSE {{'done': a.done, 'opened': list_append(a.opened, s), 'n': a.n + {words_sql('s')}}} END"
+
+
+@query(rf"""WITH {P.DOCS}, {_SECTION}, sn AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM docs WHERE text IS NOT NULL),
+fo AS (SELECT doc_id, list_reduce(ss, {_ADD}, {{'done': []::VARCHAR[], 'opened': []::VARCHAR[], 'n': 0::BIGINT}}) AS f FROM sn),
+al AS (SELECT doc_id, CASE WHEN len(f.opened) > CASE WHEN len(f.done) > 0 THEN 1 ELSE 0 END THEN list_append(f.done, array_to_string(f.opened, ' ')) ELSE f.done END AS cs FROM fo),
+un AS (SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS chunk FROM al), ck AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS chunk_id FROM un GROUP BY doc_id, chunk),
+tk AS (SELECT doc_id, chunk_id, unnest(list_distinct(regexp_extract_all(lower(chunk), '[a-z0-9]+'))) AS t FROM ck), st AS (SELECT doc_id, name, ord, unnest(list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS t FROM sec),
+sh AS (SELECT tk.doc_id, chunk_id, name, ord, count(*) AS shared FROM tk JOIN st ON tk.doc_id = st.doc_id AND tk.t = st.t GROUP BY ALL), bs AS (SELECT doc_id, chunk_id, name FROM sh QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY shared DESC, ord, name DESC) = 1)
+SELECT ck.doc_id, ck.chunk_id, {words_sql('chunk')} AS n_words, name AS section FROM ck LEFT JOIN bs ON bs.doc_id = ck.doc_id AND bs.chunk_id = ck.chunk_id""")
 def chunk_sections(spark, sf_dir):
     return X.chunk_sections(papers(spark, sf_dir))
 
@@ -520,11 +562,20 @@ def reference_formats(spark, sf_dir):
 _RTOK = lambda c: rf"list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({listed(L.REFERENCE_STOP_WORDS)}, t)))"
 
 
-@query(rf"""WITH e AS (SELECT entry_id, lower(regexp_replace(regexp_extract(entry, '(?i)10\.\d{{4,9}}/[^\s,;\])]+'), '\.+$', '')) AS ed, {_RTOK('entry')} AS et FROM {P.values(P.ENTRIES, 'entry_id, entry')}),
+_VERDICTS = lambda entries: rf"""e AS (SELECT entry_id, lower(regexp_replace(regexp_extract(entry, '(?i)10\.\d{{4,9}}/[^\s,;\])]+'), '\.+$', '')) AS ed, {_RTOK('entry')} AS et FROM {entries}),
 c AS (SELECT id, lower(coalesce(doi, '')) AS fd, {_RTOK('title')} AS tt FROM {P.values(P.REFERENCES, 'id, title, authors, year, journal, publisher, doi, url')}),
 m AS (SELECT entry_id, id, fd, 1.0::DOUBLE AS f1, len(tt) AS nt, true AS by_doi FROM e JOIN c ON ed = fd AND ed <> '' UNION ALL SELECT entry_id, id, fd, round(2.0::DOUBLE * len(list_intersect(et, tt)) / (len(tt) + greatest(len(et), 1)), 6), len(tt), false FROM e JOIN c ON len(list_intersect(et, tt)) > 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY by_doi DESC, f1 DESC, id) AS r FROM m QUALIFY r = 1),
-v AS (SELECT e.entry_id, ed, id, fd, coalesce(f1, 0) AS f1, nt, coalesce(by_doi, false) AS bd FROM e LEFT JOIN b USING (entry_id)), w AS (SELECT *, CASE WHEN bd OR (f1 >= 0.7 AND nt >= 4) THEN 'Verified' WHEN f1 >= 0.4 THEN 'Possible match' ELSE 'Not found' END AS verdict FROM v)
+v AS (SELECT e.entry_id, ed, id, fd, coalesce(f1, 0) AS f1, nt, coalesce(by_doi, false) AS bd FROM e LEFT JOIN b USING (entry_id)), w AS (SELECT *, CASE WHEN bd OR (f1 >= 0.7 AND nt >= 4) THEN 'Verified' WHEN f1 >= 0.4 THEN 'Possible match' ELSE 'Not found' END AS verdict FROM v)"""
+
+
+@query(f"""WITH {P.DOCS}, {_ENTRIES}, fi AS (SELECT doc_id * 20 + pos AS entry_id, entry FROM ent WHERE pos < 20), {_VERDICTS('fi')}, sz AS (SELECT doc_id, count(*) AS entries FROM ent GROUP BY doc_id)
+SELECT sz.doc_id, any_value(entries) AS entries, count(*) FILTER (WHERE verdict = 'Verified') AS verified, count(*) FILTER (WHERE verdict = 'Possible match') AS possible, count(*) FILTER (WHERE verdict = 'Not found') AS not_found, any_value(entries) > 20 AS truncated FROM sz JOIN w ON CAST(floor(entry_id / 20) AS BIGINT) = sz.doc_id GROUP BY sz.doc_id""")
+def checked_lists(spark, sf_dir):
+    return B.checked_lists(papers(spark, sf_dir), spark.createDataFrame(P.REFERENCES, B.REFERENCE))
+
+
+@query(rf"""WITH {_VERDICTS(P.values(P.ENTRIES, 'entry_id, entry'))}
 SELECT entry_id, verdict, f1 AS confidence, id AS matched_id, coalesce(verdict = 'Verified' AND NOT bd AND ed <> '' AND fd <> '' AND ed <> fd, false) AS doi_mismatch FROM w""")
 def reference_verdicts(spark, sf_dir):
     return B.verdicts(spark.createDataFrame(P.ENTRIES, "entry_id long, entry string"), spark.createDataFrame(P.REFERENCES, B.REFERENCE))
@@ -578,12 +629,62 @@ def _present(terms: list[str]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lo, {quoted(f'(?:^|{NW}){re.escape(t)}(?:$|{NW})'.replace(chr(92) + ' ', ' '))}) THEN {P.literal(t)} END" for t in sorted(terms)) + "], lambda x: x IS NOT NULL), '|')"
 
 
-@query(rf"""WITH {P.DOCS}, a AS (SELECT doc_id, text, lower(text) AS lo FROM docs) SELECT doc_id, contains(text, '—') AS em_dash, regexp_matches(regexp_replace(text, '\d\s*–\s*\d', '', 'g'), '\s–|–\s') AS en_dash, regexp_matches(text, {quoted(L.PLACEHOLDER)}) AS placeholders,
-CASE WHEN text IS NOT NULL THEN array_to_string(list_sort(list_distinct(regexp_extract_all(lo, {quoted(L.AI_TELLS)}))), '|') END AS ai_tells, {_present(L.ESCAPE_HATCHES)} AS escape_hatches, {_present(L.HOLLOW_ADVERBS)} AS hollow, {_present(L.VAGUE_QUANTIFIERS)} AS vague FROM a""")
+_HYGIENE = rf"""a AS (SELECT doc_id, text, lower(text) AS lo FROM docs), hy AS (SELECT doc_id, contains(text, '—') AS em_dash, regexp_matches(regexp_replace(text, '\d\s*–\s*\d', '', 'g'), '\s–|–\s') AS en_dash, regexp_matches(text, {quoted(L.PLACEHOLDER)}) AS placeholders,
+CASE WHEN text IS NOT NULL THEN array_to_string(list_sort(list_distinct(regexp_extract_all(lo, {quoted(L.AI_TELLS)}))), '|') END AS ai_tells, {_present(L.ESCAPE_HATCHES)} AS escape_hatches, {_present(L.HOLLOW_ADVERBS)} AS hollow, {_present(L.VAGUE_QUANTIFIERS)} AS vague FROM a)"""
+
+
+@query(f"WITH {P.DOCS}, {_HYGIENE} SELECT * FROM hy")
 def hygiene_scan(spark, sf_dir):
     return R.hygiene(papers(spark, sf_dir))
 
 
+_PARTS = lambda c: f"list_filter(string_split(coalesce({c}, ''), '|'), lambda x: x <> '')"
+
+
+@query(f"""WITH {P.DOCS}, {_HYGIENE}, z AS (SELECT doc_id, list_sort(list_distinct(list_concat(list_filter([CASE WHEN em_dash THEN 'em dash' END, CASE WHEN en_dash THEN 'en dash used as punctuation' END, CASE WHEN placeholders THEN 'placeholder token' END], lambda x: x IS NOT NULL), {_PARTS('ai_tells')}, {_PARTS('escape_hatches')}))) AS issues FROM hy WHERE em_dash IS NOT NULL)
+SELECT doc_id, len(issues) AS n_issues, array_to_string(issues[1:12], '|') AS terms FROM z WHERE len(issues) > 0""")
+def hygiene_issues(spark, sf_dir):
+    return R.hygiene_issues(papers(spark, sf_dir))
+
+
+@query()
+def grammar_changes(spark, sf_dir):
+    return R.grammar_changes(papers(spark, sf_dir))
+
+
+_TEXTS = [(" ", " "), ("[‘’]", "'"), ("[“”]", '"'), ("…", "..."), (r"(\d)\s*–\s*(\d)", r"\1-\2"), (r"\s*—\s*", ", "), (r"\s+–\s+", ", "), (r"[ \t]+\n", "\n")]
+
+
+def _plain(x: str) -> str:
+    for a, b in _TEXTS:
+        x = f"regexp_replace({x}, {quoted(a)}, {quoted(b)}, 'g')"
+    return x
+
+
+_TYPOGRAPHIC = f"regexp_replace(array_to_string(list_transform(string_split(text, '`'), lambda v, i: CASE WHEN i % 2 = 1 THEN {_plain('v')} ELSE v END), '`'), '[ \\t]+$', '')"
+_TRIMMED = rf"""CASE WHEN {words_sql('text')} <= 40 THEN trim(text) ELSE CASE WHEN array_to_string(tr.kept, ' ') = '' THEN array_to_string(string_split_regex(trim(text), '\s+')[1:40], ' ') ELSE array_to_string(tr.kept, ' ') END END"""
+
+
+@query(rf"""WITH {P.DOCS}, a AS (SELECT doc_id, text, list_reduce(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda a, s: CASE WHEN a.stop OR a.n + {words_sql('s')} > 40 THEN {{'kept': a.kept, 'n': a.n, 'stop': true}} ELSE {{'kept': list_append(a.kept, s), 'n': a.n + {words_sql('s')}, 'stop': false}} END, {{'kept': []::VARCHAR[], 'n': 0::BIGINT, 'stop': false}}) AS tr FROM docs WHERE text IS NOT NULL)
+SELECT doc_id, md5({_TYPOGRAPHIC}) AS typographic_md5, md5(regexp_replace(replace(text, '\"\"\"', ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS neutral_md5, md5({_TRIMMED}) AS trimmed_md5,
+CASE WHEN instr(text, 'the') > 0 THEN CASE WHEN instr(text, 'the') > 51 THEN '...' ELSE '' END || substr(text, greatest(instr(text, 'the') - 50, 1), least(instr(text, 'the') - 1 + 53, length(text)) - greatest(instr(text, 'the') - 51, 0)) || CASE WHEN instr(text, 'the') - 1 + 53 < length(text) THEN '...' ELSE '' END END AS around FROM a""".replace('\\"', '"'))
+def text_repairs(spark, sf_dir):
+    """Typographic repair, neutralised delimiters, a cut to 40 words at a sentence's end, and the context of the first ``the``."""
+    t, at = F.col("text"), F.instr("text", "the")
+    rows = papers(spark, sf_dir).where("text is not null")
+    return rows.select("doc_id", F.md5(T.typographic(t)).alias("typographic_md5"), F.md5(T.neutralise(t)).alias("neutral_md5"), F.md5(T.trim_to_words(t, 40)).alias("trimmed_md5"), F.when(at > 0, T.context(t, at - 1, F.lit(3))).alias("around"))
+
+
+REPLIED = [(1, "```python\nx = 1\n```"), (2, "```\nplain\nlines\n```"), (3, "no fence"), (4, "## Results:\nThe body."), (5, "Results\nThe body."), (6, "Results of it\nThe body.")]
+
+
+@query(rf"""SELECT id, CASE WHEN regexp_matches(trim(text), '(?s)^```[A-Za-z0-9_-]*\s*\n.*```$') THEN regexp_extract(trim(text), '(?s)^```[A-Za-z0-9_-]*\s*\n(.*?)\n?```$', 1) ELSE trim(text) END AS bare,
+CASE WHEN {heading_sql("string_split(ltrim(text), chr(10))[1]")} = 'results' THEN trim(substr(ltrim(text), length(string_split(ltrim(text), chr(10))[1]) + 2)) ELSE text END AS body FROM {P.values(REPLIED, 'id, text')}""")
+def reply_repairs(spark, sf_dir):
+    rows = spark.createDataFrame(REPLIED, "id long, text string")
+    return rows.select("id", T.strip_fence(F.col("text")).alias("bare"), T.drop_echoed_heading(F.col("text"), F.lit("Results")).alias("body"))
+
+
 @query(f"WITH {P.DOCS}, a AS (SELECT doc_id, coalesce(lower(text), '') AS lo FROM docs) SELECT doc_id, {', '.join(f'{_present(ws)} <> {P.literal(str())} AS {k}' for k, ws in L.INTENTS.items())} FROM a")
 def conditional_intents(spark, sf_dir):
     return R.intents(papers(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))))
@@ -628,3 +729,21 @@ list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' ||
 {' UNION ALL '.join(f"SELECT doc_id, {P.literal(k)} AS analysis, {P.literal(Y.GATES[k])} AS error FROM a WHERE {g}" for k, g in _GATES.items())}""")
 def applicability_errors(spark, sf_dir):
     return Y.gate_errors(papers(spark, sf_dir))
+
+
+@query(f"""WITH un AS (SELECT text FROM benchmark UNION SELECT text FROM documents WHERE doc_id < 100), nu AS (SELECT row_number() OVER () AS item_id, text FROM un), {_clean_cte('cp', 'nu', 'item_id')}
+SELECT (SELECT count(*) FROM un) AS documents, (SELECT count(*) FROM cp) AS sentences""")
+def corpus_summary(spark, sf_dir):
+    """Size of the reference corpus with the first hundred documents added, repeats dropped."""
+    from inkwell.operators.corpus import reference_corpus
+
+    both = reference_corpus(table(spark, sf_dir, "documents").where("doc_id < 100").select("text"), table(spark, sf_dir, "benchmark").select("text"), distinct=True)
+    return S.corpus_statistics(both.withColumn("item_id", F.monotonically_increasing_id()))
+
+
+@query("SELECT label, vec_id, CASE WHEN vec_id % 3 > 0 THEN round(embedding[1]::DOUBLE, 6) END AS similarity, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN vec_id % 3 > 0 THEN round(embedding[1]::DOUBLE, 6) END DESC NULLS LAST, vec_id) AS rank FROM embeddings")
+def reranked_items(spark, sf_dir):
+    """Items of each label by a similarity that a third of them lack."""
+    v = table(spark, sf_dir, "embeddings")
+    items = v.select("label", "vec_id", F.when(F.col("vec_id") % 3 > 0, F.round(F.col("embedding")[0].cast("double"), 6)).alias("similarity"), F.col("vec_id").alias("place"))
+    return S.rerank(items, ["label"], "vec_id").drop("place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PAPERS = [
     (-1, "# Abstract\nIn recent years deep models have become common. However, this paper aims to close a research gap. We conducted a survey of 120 users. Results show a gain of 12 % (Smith et al., 2020). We conclude that more work is needed.\n\n1. Introduction\nMachine Learning (ML) is popular. ML is used by NASA and the data-set is large. The dataset grows. A dataset helps [1, 2]. Moreover, it is important to note that we delve into the realm of seamless tools.\n\nMethods\nThe model was tested. We measured accuracy carefully. The sample was clearly shown to be perfect.\n\n## Results:\nStudies show that it outperforms others. Results indicate 3 times more speed. According to Jones (2019) it is fine.\n\nMethodology\nFurther methods were described."),
-    (-2, "Introduction\nWe propose a novel approach for the first time. The the API is used. Application Interface (API) is defined later. Advanced Program Interface (API) differs.\n\nResults\nbody one\n\nMethodology\nbody two of the case study and literature review"),
+    (-2, "Introduction\nWe propose a novel approach for the first time. The the API is used. Application Interface (API) is defined later. Advanced Program Interface (API) differs.\n\nResults\nbody one\n\nMethodology\nbody two of the case study and literature review\n\nCase Analysis\nbody three"),
     (-3, "i think we recieve the data , Then im sure you cant seperate it . Dont worry, ive definately seen it. If applicable, use several tools properly as needed. TBD — see 2020 – 2024 – later ${NAME} and find the total, then classify and rate."),
     (-4, "One short line of text that repeats the very same words here. Something else stands in between the two of them now. One short line of text that repeats the very same words here. A closing sentence of eight words stands right here."),
     (-5, ""),

@@ -19,16 +19,42 @@ def html_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
 
 
+def _windows_1252() -> tuple[str, str, str]:
+    """Latin-1 characters that the Windows code page names otherwise, its characters, and those it lacks."""
+    low, high, none = "", "", ""
+    for b in range(0x80, 0xA0):
+        try:
+            high += bytes([b]).decode("cp1252")
+            low += chr(b)
+        except UnicodeDecodeError:
+            none += chr(b)
+    return low, high, none
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 (with or without mark), else as Windows-1252, else as Latin-1."""
+    utf8, latin = content.cast("string"), F.decode(content, "ISO-8859-1")
+    low, high, none = _windows_1252()
+    windows = F.when(latin.rlike(f"[{none}]"), latin).otherwise(F.translate(latin, low, high))
+    return F.regexp_replace(F.when(F.is_valid_utf8(utf8), utf8).otherwise(windows), "^\ufeff", "")
+
+
 def read_uploads(spark: SparkSession, path: str, limit: int = UPLOAD_LIMIT) -> DataFrame:
-    """``(path, text, error)`` of files, UTF-8 (with or without mark) or else Latin-1.
+    """``(path, text, error)`` of files; PDF files by suffix or signature.
 
-    Files over the limit and PDF files without a parser have an error instead of text; no file raises.
+    Files over the limit, empty ones and PDF files without text have an error instead of text; no file raises.
     """
+    from inkwell.sources.pdf import pdf_column
+
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    body = F.regexp_replace(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")), "^﻿", "")
     pdf = F.lower("path").endswith(".pdf") | (F.substring(F.col("content"), 1, 5) == F.lit("%PDF-").cast("binary"))
-    error = F.when(F.col("length") > limit, "file too large").when(pdf, "Error: no PDF parser is installed")
-    return rows.select("path", F.when(error.isNull(), body).alias("text"), error.alias("error"))
+    rows = rows.select("path", (F.col("length") > limit).alias("large"), pdf.alias("pdf"), F.when(F.col("length") <= limit, F.col("content")).alias("content"))
+    pages = rows.where("pdf").withColumn("text", pdf_column("content"))
+    other = rows.where("not pdf").withColumn("text", decoded(F.col("content")))
+    rows = pages.unionByName(other)
+    empty = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
+    error = F.when(F.col("large"), "file too large").when(empty & F.col("pdf"), "Error: no extractable text").when(empty, "empty file")
+    return rows.select("path", F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error"))
 
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
