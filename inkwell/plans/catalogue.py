@@ -554,7 +554,20 @@ def dedupe_documents_by_key(spark, sf_dir):
     return B.best_records(docs)
 
 
-@query()
+_PARTED = lambda *parts: "array_to_string(list_filter([" + ", ".join(parts) + "], lambda p: p IS NOT NULL AND p <> ''), ' ')"
+_END = lambda c, e: f"CASE WHEN {c} <> '' THEN {c} || '{e}' END"
+_INITIALS = r"array_to_string(list_transform(list_filter(string_split_regex(replace(coalesce(a.given, ''), '.', ' '), '\s+'), lambda p: p <> ''), lambda p: upper(left(p, 1)) || '.'), ' ')"
+_LISTED = lambda n, last: f"CASE WHEN len({n}) = 0 THEN '' WHEN len({n}) > 6 THEN array_to_string({n}[1:6], ', ') || ', et al.' WHEN len({n}) = 1 THEN {n}[1] ELSE array_to_string({n}[1:len({n}) - 1], ', ') || '{last}' || {n}[len({n})] END"
+_WHOLE = lambda a: f"regexp_replace(trim(coalesce({a}.family, '') || ', ' || coalesce({a}.given, '')), ',+$', '')"
+
+
+@query(f"""WITH r AS (SELECT id, coalesce(title, '') AS title, coalesce(year, '') AS yr, coalesce(doi, '') AS doi, coalesce(url, '') AS url, CASE WHEN coalesce(journal, '') <> '' THEN journal ELSE coalesce(publisher, '') END AS src, authors, list_filter(authors, lambda a: coalesce(a.family, '') <> '') AS named FROM {P.values(P.REFERENCES, 'id, title, authors, year, journal, publisher, doi, url')}),
+n AS (SELECT *, CASE WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE url END AS link, list_transform(named, lambda a: regexp_replace(trim(a.family || ', ' || {_INITIALS}), ',+$', '')) AS apa_n, list_transform(named, lambda a: trim({_INITIALS} || ' ' || a.family)) AS ieee_n,
+CASE WHEN len(authors) = 0 THEN '' WHEN len(authors) = 1 THEN {_WHOLE('authors[1]')} WHEN len(authors) = 2 THEN {_WHOLE('authors[1]')} || ', and ' || {_PARTED('authors[2].given', 'authors[2].family')} ELSE {_WHOLE('authors[1]')} || ', et al.' END AS mla_n FROM r),
+f AS (SELECT *, {_LISTED('apa_n', ', & ')} AS apa_a, {_LISTED('ieee_n', ', ')} AS ieee_a FROM n)
+SELECT id, {_PARTED('apa_a', "CASE WHEN yr <> '' THEN '(' || yr || ').' END", "title || '.'", _END('src', '.'))} || CASE WHEN link <> '' THEN ' ' || link ELSE '' END AS apa,
+{_PARTED(_END('ieee_a', ','), "'" + '"' + "' || title || CASE WHEN src <> '' OR yr <> '' THEN '," + '"' + "' ELSE '." + '"' + "' END", "CASE WHEN src <> '' THEN src || CASE WHEN yr <> '' THEN ',' ELSE '.' END END", _END('yr', '.'))} || CASE WHEN doi <> '' THEN ' doi: ' || doi || '.' WHEN url <> '' THEN ' [Online]. Available: ' || url || '.' ELSE '' END AS ieee,
+{_PARTED(_END('mla_n', '.'), "'" + '"' + "' || title || '." + '"' + "'", _END('src', ','), _END('yr', '.'))} || CASE WHEN link <> '' THEN ' ' || link || '.' ELSE '' END AS mla FROM f""")
 def reference_formats(spark, sf_dir):
     return spark.createDataFrame(P.REFERENCES, B.REFERENCE).select("id", *[B.formatted(s).alias(s.lower()) for s in ("APA", "IEEE", "MLA")])
 
@@ -747,3 +760,30 @@ def reranked_items(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     items = v.select("label", "vec_id", F.when(F.col("vec_id") % 3 > 0, F.round(F.col("embedding")[0].cast("double"), 6)).alias("similarity"), F.col("vec_id").alias("place"))
     return S.rerank(items, ["label"], "vec_id").drop("place")
+
+
+_NEUTRAL = lambda c: rf"regexp_replace(replace({c}, '" + '"' * 3 + r"', ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
+
+
+@query("WITH " + P.DOCS + ", i AS (SELECT * FROM " + P.values([(i, w, c) for i, (w, c) in enumerate(L.RUBRIC)], "i, weight, content") + """) SELECT doc_id, i AS item, weight::DOUBLE AS weight, md5('Judge the paper by one criterion.' || chr(10) || 'Criterion: ' || content || chr(10) || 'Answer as JSON with "reasoning", "score" (0 to 100), "evidence", "location", "severity" and "fix".' || chr(10) || '\"\"\"' || chr(10) || substr(""" + _NEUTRAL("text") + """, 1, 12000) || chr(10) || '\"\"\"') AS prompt_md5 FROM docs, i""")
+def judge_prompts(spark, sf_dir):
+    from inkwell.operators.prompts import judging_prompts
+
+    return judging_prompts(papers(spark, sf_dir)).select("doc_id", F.col("index").alias("item"), "weight", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("WITH " + P.DOCS + ", m AS (SELECT unnest(" + listed(list(K.REWRITE_MODES)) + ") AS mode) SELECT doc_id, mode, md5('Task: ' || mode || '. Keep the meaning. Answer with the new text only.' || chr(10) || chr(10) || 'Text:' || chr(10) || " + _NEUTRAL("trim(text)") + ") AS prompt_md5 FROM docs, m")
+def rewrite_prompts(spark, sf_dir):
+    from inkwell.operators.prompts import rewrite_prompt
+
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), F.md5(rewrite_prompt(F.col("text"), m)).alias("prompt_md5")) for m in K.REWRITE_MODES])
+    return papers(spark, sf_dir).select("doc_id", F.explode(each).alias("p")).select("doc_id", "p.*")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, opens DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS events FROM n GROUP BY user_id, k""")
+def user_sessions(spark, sf_dir):
+    from inkwell.streaming.incremental import sessions
+
+    found = sessions(table(spark, sf_dir, "events").where("user_id is not null and ts is not null"), "user_id")
+    return found.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "events")

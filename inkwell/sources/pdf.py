@@ -9,6 +9,7 @@ import re
 import zlib
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
@@ -73,6 +74,11 @@ def pdf_text(raw: bytes | None) -> str:
     return "\n".join(t for t in (shown_text(p) for p in parts if b"BT" in p) if t)
 
 
-@pandas_udf("string")
-def pdf_column(content: pd.Series) -> pd.Series:
-    return content.map(pdf_text)
+def pdf_column(content: Column) -> Column:
+    """``pdf_text`` of a binary column."""
+
+    @pandas_udf("string")
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(pdf_text)
+
+    return read(content)

@@ -49,7 +49,7 @@ def read_uploads(spark: SparkSession, path: str, limit: int = UPLOAD_LIMIT) -> D
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     pdf = F.lower("path").endswith(".pdf") | (F.substring(F.col("content"), 1, 5) == F.lit("%PDF-").cast("binary"))
     rows = rows.select("path", (F.col("length") > limit).alias("large"), pdf.alias("pdf"), F.when(F.col("length") <= limit, F.col("content")).alias("content"))
-    pages = rows.where("pdf").withColumn("text", pdf_column("content"))
+    pages = rows.where("pdf").withColumn("text", pdf_column(F.col("content")))
     other = rows.where("not pdf").withColumn("text", decoded(F.col("content")))
     rows = pages.unionByName(other)
     empty = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""

@@ -7,7 +7,7 @@ import pytest
 
 from inkwell.plans import catalogue
 
-TABLES = ["documents", "labels", "benchmark", "pages", "conversations", "embeddings"]
+TABLES = ["documents", "labels", "benchmark", "pages", "conversations", "embeddings", "events"]
 SF = "/root/testdata/sf0.001"
 
 

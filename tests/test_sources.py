@@ -13,7 +13,7 @@ def test_uploads(spark, tmp_path):
     (tmp_path / "d.txt").write_bytes(b"x" * 40)
     got = {r.path.rsplit("/", 1)[1]: r for r in S.read_uploads(spark, str(tmp_path), limit=30).collect()}
     assert got["a.txt"].text == got["b.txt"].text == "né"
-    assert got["c.pdf"].text is None and "PDF" in got["c.pdf"].error
+    assert got["c.pdf"].text is None and "no extractable text" in got["c.pdf"].error
     assert got["d.txt"].error == "file too large"
 
 
@@ -75,3 +75,32 @@ def test_stream_equals_batch(spark, tmp_path):
     I.run_query(I.stream_table(spark, str(tmp_path / "in")), citation_density, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, citation_density(rows).collect()))
+
+
+def pdf_file(*contents, deflate=True):
+    import zlib
+
+    out = b"%PDF-1.4\n"
+    for i, c in enumerate(contents):
+        data = zlib.compress(c) if deflate else c
+        out += b"%d 0 obj << /Type /Page /Contents %d 0 R >> endobj\n" % (2 * i + 1, 2 * i + 2)
+        out += b"%d 0 obj << /Length %d%s >> stream\n" % (2 * i + 2, len(data), b" /Filter /FlateDecode" if deflate else b"") + data + b"\nendstream endobj\n"
+    return out + b"startxref\n0\n%%EOF"
+
+
+def test_pdf_text(spark, tmp_path):
+    from inkwell.sources.pdf import pdf_text
+
+    first = rb"BT /F1 12 Tf 72 700 Td (Hello \(PDF\)) Tj 0 -14 Td [(W) 20 (orld) -300 (again)] TJ ET"
+    second = rb"BT (caf\351) Tj T* <FEFF00E9> Tj ET"
+    for deflate in (True, False):
+        raw = pdf_file(first, second, deflate=deflate)
+        assert pdf_text(raw) == "Hello (PDF)\nWorld again\ncaf\u00e9\n\u00e9"
+    (tmp_path / "a.pdf").write_bytes(raw)
+    (tmp_path / "b.txt").write_bytes(b"\x93quoted\x94 \x80")
+    (tmp_path / "c.txt").write_bytes(b"\x81\xe9")
+    (tmp_path / "d.txt").write_bytes(b" \n")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in S.read_uploads(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"] == ("Hello (PDF)\nWorld again\ncaf\u00e9\n\u00e9", None)
+    assert got["b.txt"][0] == "\u201cquoted\u201d \u20ac" and got["c.txt"][0] == "\x81\u00e9" and got["d.txt"] == (None, "empty file")
+    assert pdf_text(None) == pdf_text(b"") == pdf_text(b"%PDF-1.4 /Encrypt") == ""

@@ -46,3 +46,41 @@ def test_keyword_scores_lists_every_term(spark):
     rows = S.keyword_scores(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert {r.term for r in rows} == {f"term{i}" for i in range(150)} | {f"term{i} term{i + 1}" for i in range(149)}
     assert sorted(r["rank"] for r in rows) == list(range(1, 300))
+
+
+def test_grammar_changes_by_hand(spark):
+    import re
+
+    from inkwell.functions import lexicons as L
+    from inkwell.operators import rules as R
+
+    texts = {1: "Im sure we recieve , Then dont RECIEVE it .now im", 2: "nothing here", 3: None, 4: "recieved himself", 5: "occured " * 50 + "end ; X"}
+    want = set()
+    for i, t in texts.items():
+        rules = [(rf"(?i)\b{w}\b", fix) for w, fix, _ in L.GRAMMAR_WORDS] + [(p, r"\1 \2") for p in L.GRAMMAR_PUNCTUATION]
+        for k, (p, fix) in enumerate(rules):
+            for m in re.finditer(p, t or ""):
+                a, b = max(0, m.start() - 50), min(len(t), m.end() + 50)
+                want.add((i, k, m.start(), m[0], m.expand(fix), "..." * (a > 0) + t[a:b] + "..." * (b < len(t))))
+    got = R.grammar_changes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.rule, r.position, r.original, r.corrected, r.context) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_keywords_fold_over_all_terms(spark):
+    """Words and repeats of chosen pairs may fill more than three places for each chosen term."""
+    text = ". ".join("alpha beta alpha alpha beta beta" for _ in range(6)) + ". gamma delta. epsilon zeta."
+    got = [r.term for r in S.keywords(spark.createDataFrame([(1, text)], "doc_id long, text string"), top=3).orderBy("place").collect()]
+    assert len(got) == 3 and not any(set(a.split()) <= set(b.split()) for i, b in enumerate(got) for a in got[i + 1 :])
+
+
+def test_entry_without_the_llm_package():
+    import ast
+    import pathlib
+
+    root = pathlib.Path(__file__).parents[1]
+    for path in [*root.glob("inkwell/**/*.py"), *root.glob("tests/*.py")]:
+        if "llm" in path.relative_to(root).parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+            assert not any("llm" in n or n == "corpus_pipeline" for n in names), path
