@@ -48,16 +48,28 @@ def weigh(units: DataFrame, keys: list[str], text: Column, vocab: DataFrame, n_m
     """Unit vectors over a fitted vocabulary; other terms go before anything is counted."""
     terms = units.select(*keys, F.explode(T.grams(T.analysed(text, stop), n_max)).alias("term")).join(F.broadcast(vocab), "term")
     counts = terms.groupBy(*keys, "term", "idf").agg(F.count("*").alias("tf"))
-    return unit_length(counts.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w")), keys)
+    return unit_length(counts.select(*keys, "term", "idf", (F.col("tf") * F.col("idf")).alias("w")), keys)
 
 
 def scoped_weights(units: DataFrame, scope: list[str], keys: list[str], text: Column, n_max: int = 1, stop: bool = True) -> DataFrame:
-    """Unit vectors fitted in each scope by itself: ``keys`` begin with ``scope``."""
+    """Unit vectors fitted in each scope by itself, with their terms' idf there: ``keys`` begin with ``scope``."""
     counts = term_counts(units, keys, text, n_max, stop)
     df = counts.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     n = units.groupBy(*scope).agg(F.count("*").alias("n"))
-    rows = counts.join(df, [*scope, "term"]).join(n, scope)
-    return unit_length(rows.select(*keys, "term", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("w")), keys)
+    rows = counts.join(df, [*scope, "term"]).join(n, scope).withColumn("idf", idf(F.col("n"), F.col("df")))
+    return unit_length(rows.select(*keys, "term", "idf", (F.col("tf") * F.col("idf")).alias("w")), keys)
+
+
+def prefix(weights: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """The rarest terms of each unit vector, up to the last one that the terms from it on can reach ``threshold`` with.
+
+    Two vectors whose prefixes, by one order of terms, share none have a product below the threshold: what they
+    share lies behind one prefix's end, where the vector's length is below it. So the commonest terms make no pairs.
+    """
+    common_first = Window.partitionBy(*keys).orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # products are rounded to six places before they are compared
+    reach = F.sum(F.col("w") * F.col("w")).over(common_first)
+    return weights.withColumn("_reach", reach).where(F.col("_reach") >= (threshold - 1e-5) ** 2).drop("_reach")
 
 
 def fit_corpus(refs: DataFrame, ref_id: str, text_col: str, max_features: int, n_max: int = 2, max_df: float = 1.0) -> DataFrame:
@@ -96,7 +108,10 @@ def sentence_pairs(docs: DataFrame, refs: DataFrame, doc_id: str = "doc_id", ref
     a = weigh(clean_sentences(docs, doc_id, text_col), [doc_id, "pos"], F.col("proc"), vocab, 2)
     r = clean_sentences(refs, ref_id, text_col).withColumnRenamed("pos", "ref_pos")
     b = weigh(r, [ref_id, "ref_pos"], F.col("proc"), vocab, 2).withColumnRenamed("w", "v")
-    dots = a.join(b, "term").groupBy(doc_id, "pos", ref_id, "ref_pos").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("similarity"))
+    rare = prefix(b.withColumnRenamed("v", "w"), [ref_id, "ref_pos"], threshold).select("term", ref_id, "ref_pos")
+    near = prefix(a, [doc_id, "pos"], threshold).select("term", doc_id, "pos").join(rare, "term").select(doc_id, "pos", ref_id, "ref_pos").distinct()
+    both = near.join(a.select(doc_id, "pos", "term", "w"), [doc_id, "pos"]).join(b.select(ref_id, "ref_pos", "term", "v"), [ref_id, "ref_pos", "term"])
+    dots = both.groupBy(doc_id, "pos", ref_id, "ref_pos").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.desc("similarity"), "pos", ref_id, "ref_pos"))
     rows = dots.where(F.col("similarity") > threshold).withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit)
     return rows.withColumns({c: F.col(c).cast("long") for c in ("pos", "ref_pos")})
@@ -112,7 +127,10 @@ def repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text_col: str =
     s = s.withColumn("i", F.row_number().over(Window.partitionBy(doc_id).orderBy("pos")).cast("long") - 1)
     w = scoped_weights(s, [doc_id], [doc_id, "i"], F.col("sent"))
     other = w.select(doc_id, F.col("i").alias("j"), "term", F.col("w").alias("v"))
-    dots = w.join(other, [doc_id, "term"]).where("j - i > 1").groupBy(doc_id, "i", "j").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("similarity"))
+    rare = prefix(w, [doc_id, "i"], threshold).select(doc_id, "term", "i")
+    near = rare.join(rare.withColumnRenamed("i", "j"), [doc_id, "term"]).where("j - i > 1").select(doc_id, "i", "j").distinct()
+    both = near.join(w.select(doc_id, "i", "term", "w"), [doc_id, "i"]).join(other, [doc_id, "j", "term"])
+    dots = both.groupBy(doc_id, "i", "j").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.desc("similarity"), "i", "j"))
     return dots.where(F.col("similarity") >= threshold).withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit)
 
