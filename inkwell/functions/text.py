@@ -121,12 +121,15 @@ def analysed(c: Column, stop: bool = True) -> Column:
 
 def grams(c: Column, n_max: int) -> Column:
     """All 1- to n-grams of an array of words."""
-    out = c
-    for n in range(2, n_max + 1):
-        shifted = [F.slice(c, i + 1, F.greatest(F.size(c) - (n - 1), F.lit(0))) for i in range(n)]
-        more = F.transform(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)]), lambda z: F.concat_ws(" ", *[z.getField(f"w{i}") for i in range(n)]))
-        out = F.concat(out, more)
-    return out
+    if n_max == 1:
+        return c
+
+    def all_of(ws: Column) -> Column:
+        runs = lambda n: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (n - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *[F.get(ws, i + k) for k in range(1, n)]))
+        return F.concat(ws, *[runs(n) for n in range(2, n_max + 1)])
+
+    # bound to a variable, so that the words are cut once and not for each use
+    return F.get(F.transform(F.array(c), all_of), 0)
 
 
 def syllables(w: Column) -> Column:

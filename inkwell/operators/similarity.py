@@ -53,10 +53,11 @@ def weigh(units: DataFrame, keys: list[str], text: Column, vocab: DataFrame, n_m
 
 def scoped_weights(units: DataFrame, scope: list[str], keys: list[str], text: Column, n_max: int = 1, stop: bool = True) -> DataFrame:
     """Unit vectors fitted in each scope by itself, with their terms' idf there: ``keys`` begin with ``scope``."""
-    counts = term_counts(units, keys, text, n_max, stop)
-    df = counts.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    n = units.groupBy(*scope).agg(F.count("*").alias("n"))
-    rows = counts.join(df, [*scope, "term"]).join(n, scope).withColumn("idf", idf(F.col("n"), F.col("df")))
+    # one shuffle by scope; counts, document frequencies and norms are taken where the rows then lie
+    sized = units.withColumn("n", F.count("*").over(Window.partitionBy(*scope)))
+    counts = term_counts(sized, [*keys, "n"], text, n_max, stop)
+    df = F.count("*").over(Window.partitionBy(*scope, "term"))
+    rows = counts.withColumn("idf", idf(F.col("n"), df))
     return unit_length(rows.select(*keys, "term", "idf", (F.col("tf") * F.col("idf")).alias("w")), keys)
 
 
@@ -95,8 +96,9 @@ def corpus_scores(docs: DataFrame, refs: DataFrame, doc_id: str = "doc_id", ref_
 
 def clean_sentences(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """``(id, pos, proc)``: sentences of over 10 characters whose normal form has over 20."""
-    s = T.sentences(rows, id_col, text_col).where(F.length("sent") > 10)
-    return s.select(id_col, "pos", T.normalise(F.col("sent")).alias("proc")).where(F.length("proc") > 20)
+    # normal forms are made before the sentences become rows; a filter on them would make them twice
+    proc = F.transform(T.sentence_array(F.col(text_col)), lambda s: F.when(F.length(F.trim(s)) > 10, T.normalise(F.trim(s))))
+    return rows.select(id_col, F.posexplode(proc).alias("pos", "proc")).where(F.length("proc") > 20)
 
 
 def sentence_pairs(docs: DataFrame, refs: DataFrame, doc_id: str = "doc_id", ref_id: str = "item_id", text_col: str = "text", max_features: int = 5000, threshold: float = 0.7, limit: int = 5) -> DataFrame:

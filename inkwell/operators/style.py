@@ -20,12 +20,14 @@ def word_stats(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Adds ``words``, ``syllables``, ``hard`` (3 or more syllables) and ``letters`` of a text column."""
     got = F.filter(T.tokens(F.col(column)), lambda w: w.rlike("[A-Za-z0-9]"))
     rows = rows.withColumn("_syl", F.transform(got, T.syllables))
-    return rows.withColumns({
-        "words": F.size("_syl").cast("long"),
-        "syllables": F.aggregate("_syl", F.lit(0), lambda a, x: a + x).cast("long"),
-        "hard": F.size(F.filter("_syl", lambda x: x >= 3)).cast("long"),
-        "letters": F.regexp_count(F.col(column), F.lit("[A-Za-z]")).cast("long"),
-    }).drop("_syl")
+    stats = F.struct(
+        F.size("_syl").cast("long").alias("words"),
+        F.aggregate("_syl", F.lit(0), lambda a, x: a + x).cast("long").alias("syllables"),
+        F.size(F.filter("_syl", lambda x: x >= 3)).cast("long").alias("hard"),
+        F.regexp_count(F.col(column), F.lit("[A-Za-z]")).cast("long").alias("letters"),
+    )
+    # a filter on plain columns would be moved below them and count everything twice
+    return rows.select(*rows.columns, F.inline(F.array(stats))).drop("_syl")
 
 
 def readability(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ from inkwell.operators import structure as X
 from inkwell.operators import style as Y
 from inkwell.operators import typing as V
 from inkwell.plans import samples as P
+from inkwell.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,13 @@ def write_report(rows: DataFrame, path: str, title: str) -> None:
     """One text line for each row, below the title of its file."""
     line = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns])
     rows.select(F.concat(F.lit(f"{title} | "), line).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, dealt out evenly if its scan has fewer splits than the session has cores.
+
+    Such a table is small, since splits of under 4 MB a core aren't made for larger ones, and its file may be one row group, which
+    one task reads whatever the splits. Larger tables are read as they lie.
+    """
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 1 <= rows.rdd.getNumPartitions() < cores else rows
