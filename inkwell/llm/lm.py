@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores (Brants et al., 2007) over count tables partitioned by hash.
 
-S(w | v) = c(vw) / c(v) if c(vw) > 0, else BACKOFF * c(w) / N; a document's score is the sum of ln S over its
-words. The counts a document is scored with are those of all other documents: its own are taken off.
+S(w | v) = c(vw) / c(v) if c(vw) > 0, else BACKOFF * S(w | v') with v' one word shorter, and S(w) = c(w) / N at
+the end; a document's score is the sum of ln S over its words, divided by their number. The counts a document is scored with are those of all other documents: its own are taken off.
 
 The join of n-grams with their counts moves packed rows. Documents are gathered in chunks of about
 ``CHUNK`` words or more; a chunk sends each of its distinct n-grams once, as sorted hashes delta-coded by hash
@@ -33,9 +33,9 @@ BACKOFF = 0.4
 CHUNK, BUCKET_ENTRIES, ROW = 1_000_000, 2_000_000, 100
 
 
-def plan(words: int) -> tuple[int, int]:
+def plan(words: int, order: int = 2) -> tuple[int, int]:
     """Words of a chunk and entries of a bucket for a corpus: their product is ``ROW`` times its entries, or more."""
-    grow = max(1.0, (ROW * 2 * words / (CHUNK * BUCKET_ENTRIES)) ** 0.5)
+    grow = max(1.0, (ROW * order * words / (CHUNK * BUCKET_ENTRIES)) ** 0.5)
     return int(CHUNK * grow), int(BUCKET_ENTRIES * grow)
 
 
@@ -66,11 +66,11 @@ class Chunk:
         self.vocabulary, self.words, self.sizes = vocabulary, words, sizes
         self.off = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes, the place of each occurrence in them, and the occurrences' offsets by document."""
-        hashes, off = ngram_hashes(self.vocabulary[self.words], self.off, 2)
-        distinct, place = np.unique(hashes, return_inverse=True)
-        return distinct, place, off
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of the n-grams, and the place of each occurrence in them."""
+        if n == 1:
+            return self.vocabulary, self.words
+        return np.unique(ngram_hashes(self.vocabulary[self.words], self.off, n)[0], return_inverse=True)
 
 
 def _chunks(rows: DataFrame, most: int) -> DataFrame:
@@ -110,36 +110,39 @@ def _open(sizes: bytes, words: bytes, vocabulary: bytes) -> Chunk:
     return Chunk(np.cumsum(unpack(vocabulary), dtype=np.uint64), unpack(words).astype(np.int64), unpack(sizes))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """``(<id_col>, n_tokens, n_backoff, score)``, one row per input row.
 
-    Words are those of ``tokens``. The first word of a document has no context and is scored by its
-    unigram share c(w) / N. A word that no other document has counts as c(w) = 1, N is the number of
-    words of the other documents, at least 1. ``n_backoff`` counts the words whose bigram no other
-    document has; ``score`` is the mean of ln S over the words.
+    Words are those of ``tokens``; n-grams have up to ``order`` of them. A word's context is the ``order`` - 1 words
+    before it, as far as its document has them, so the first word is scored by its unigram share c(w) / N. A word that no
+    other document has counts as c(w) = 1, N is the number of words of the other documents, at least 1. ``n_backoff``
+    counts the words that no other document has after their whole context, if there is one; ``score`` is the mean of ln S over the words.
 
     Null or empty text, or text without words: 0 words and a null score. A text of any length is one
     document of one chunk. Null ids and repeated rows stay, each row a document of its own. Ids are numbers. Other columns are ignored; an empty table gives an empty
-    result.
+    result; an ``order`` below 1 is an error.
     """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunk, bucket = plan(size // 5)
+    chunk, bucket = plan(size // 5, order)
     chunks = scratch.save(_chunks(rows, chunk), "chunks")
     stats = chunks.mapInArrow(_sizes, "words long").agg(F.sum("words")).first()[0] or 0
-    buckets = max(8, -(-2 * stats // bucket))
+    buckets = max(8, -(-order * stats // bucket))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, *raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "words", "vocabulary"))):
                 c = _open(*raw)
-                grams, place, _ = c.bigrams()
-                for order, keys, count in ((1, c.vocabulary, np.bincount(c.words, minlength=len(c.vocabulary))), (2, grams, np.bincount(place, minlength=len(grams)))):
+                for n in range(1, order + 1):
+                    keys, place = c.grams(n)
+                    count = np.bincount(place, minlength=len(keys))
                     # buckets are ranges of the hash, so a sorted list falls into runs
                     bounds = np.searchsorted(keys, (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets))) if buckets > 1 else np.zeros(0, np.int64)
                     cuts = np.concatenate([[0], bounds, [len(keys)]])
-                    rows = [(b, chunk, order, pack(_deltas(keys[x:y])), pack(count[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+                    rows = [(b, chunk, n, pack(_deltas(keys[x:y])), pack(count[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "grams", "keys", "counts"])
 
@@ -159,12 +162,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out: list[pa.Table] = []
         for ids, *raw in zip(*(left.column(c) for c in ("ids", "sizes", "words", "vocabulary"))):
             c = _open(*(r.as_py() for r in raw))
-            totals = {}
-            for order in (1, 2):
-                rows = sorted((b, t) for g, b, t in zip(*(right.column(x).to_pylist() for x in ("grams", "bucket", "totals"))) if g == order)
-                totals[order] = np.concatenate([unpack(t) for _, t in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-            out.append(_scored(c, totals[1], totals[2], stats, ids.values))
-        return pa.concat_tables(out) if out else _scored(Chunk(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(0, np.int64), np.zeros(0, np.int64), stats, pa.array([], pa.int64()))
+            totals = []
+            for n in range(1, order + 1):
+                rows = sorted((b, t) for g, b, t in zip(*(right.column(x).to_pylist() for x in ("grams", "bucket", "totals"))) if g == n)
+                totals.append(np.concatenate([unpack(t) for _, t in rows]).astype(np.int64) if rows else np.zeros(0, np.int64))
+            out.append(_scored(c, totals, stats, ids.values))
+        return pa.concat_tables(out) if out else _scored(Chunk(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)), [np.zeros(0, np.int64)] * order, stats, pa.array([], pa.int64()))
 
     scored = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, "id long, n_tokens long, n_backoff long, score double")
     return scored.withColumnRenamed("id", id_col)
@@ -181,22 +184,28 @@ def _own_counts(doc: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     return count[inverse]
 
 
-def _scored(c: Chunk, unigrams: np.ndarray, bigrams: np.ndarray, total: int, ids: pa.Array) -> pa.Table:
+def _scored(c: Chunk, totals: list[np.ndarray], words: int, ids: pa.Array) -> pa.Table:
+    """Scores of a chunk's documents; ``totals`` are the corpus counts of its distinct n-grams by n, ``words`` those of the corpus."""
     n_docs = len(c.sizes)
     size = c.sizes.astype(np.int64)
     doc = np.repeat(np.arange(n_docs), size)
-    others = np.maximum(total - size, 1)
-    one = unigrams[c.words] - _own_counts(doc, c.words, len(c.vocabulary))
-    s = np.log(np.maximum(one, 1)) - np.log(others[doc])
-    _, place, off = c.bigrams()
-    second = np.ones(len(doc), bool)
-    second[c.off[:-1][size > 0]] = False
-    after = np.flatnonzero(second)
-    two = bigrams[place] - _own_counts(doc[after], place, len(bigrams))
-    seen = two > 0
-    s[after] += np.log(BACKOFF)
-    s[after[seen]] = np.log(two[seen]) - np.log(one[after[seen] - 1])
+    before = np.arange(len(doc)) - c.off[doc]  # words before it in its document
+    others = np.maximum(words - size, 1)
+    unseen = np.zeros(len(doc), bool)
+    for n, total in enumerate(totals, 1):
+        _, place = c.grams(n)
+        ends = np.flatnonzero(before >= n - 1)  # the n-grams' last words, in order
+        count = np.zeros(len(doc), np.int64)
+        count[ends] = total[place] - _own_counts(doc[ends], place, len(total))
+        if n == 1:
+            s = np.log(np.maximum(count, 1)) - np.log(others[doc])
+        else:
+            s[ends] += np.log(BACKOFF)
+            seen = ends[count[ends] > 0]
+            s[seen] = np.log(count[seen]) - np.log(shorter[seen - 1])
+            unseen[ends] = count[ends] == 0
+        shorter = count
     # sums by document, each begun at 0
     mean = [float(s[a:b].sum() / (b - a)) if b > a else None for a, b in zip(c.off[:-1], c.off[1:])]
-    backed = np.bincount(doc[after[~seen]], minlength=n_docs)[:n_docs] if n_docs else np.zeros(0, np.int64)
+    backed = np.bincount(doc[unseen], minlength=n_docs)[:n_docs] if n_docs else np.zeros(0, np.int64)
     return pa.table({"id": ids, "n_tokens": pa.array(size, pa.int64()), "n_backoff": pa.array(backed, pa.int64()), "score": pa.array(mean, pa.float64())})

@@ -351,42 +351,49 @@ def test_mixing_edges(spark):
     assert mixing.mix_sources(clash).count() == 1
 
 
-def stupid_backoff(rows):
-    w = {k: brute.words(t) for k, (_, t) in enumerate(rows)}
-    one, two = Counter(), Counter()
-    for x in w.values():
-        one.update(x)
-        two.update(zip(x, x[1:]))
-    total, out = sum(one.values()), []
-    for k, (i, _) in enumerate(rows):
-        x, s, back = w[k], 0.0, 0
-        own1, own2 = Counter(x), Counter(zip(x, x[1:]))
-        n = max(total - len(x), 1)
+def stupid_backoff(rows, order=2):
+    def counts(x):
+        return Counter(tuple(x[j : j + n]) for n in range(1, order + 1) for j in range(len(x) - n + 1))
+
+    texts = [brute.words(t) for _, t in rows]
+    every, out = sum(map(counts, texts), Counter()), []
+    total = sum(map(len, texts))
+    for (i, _), x in zip(rows, texts):
+        own, s, back = counts(x), 0.0, 0
+        others = lambda g: every[tuple(g)] - own[tuple(g)]
+
+        def share(context, word):
+            if not context:
+                return max(others([word]), 1) / max(total - len(x), 1)
+            c = others([*context, word])
+            return c / others(context) if c > 0 else 0.4 * share(context[1:], word)
+
         for j, v in enumerate(x):
-            uni = max(one[v] - own1[v], 1) / n
-            if j == 0:
-                s += math.log(uni)
-            elif (c := two[x[j - 1], v] - own2[x[j - 1], v]) > 0:
-                s += math.log(c / (one[x[j - 1]] - own1[x[j - 1]]))
-            else:
-                s += math.log(0.4 * uni)
-                back += 1
+            context = x[max(j - order + 1, 0) : j]
+            s += math.log(share(context, v))
+            back += bool(context) and others([*context, v]) == 0
         out.append((i, len(x), back, s / len(x) if x else None))
     return out
 
 
-def test_language_model(spark, texts, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model(spark, texts, monkeypatch, order):
     rows = list(texts.items()) + [(7, "w1 w2 w3"), (None, "w1 w2")]
-    want = sorted(stupid_backoff(rows), key=repr)
+    want = sorted(stupid_backoff(rows, order), key=lambda g: repr(g[:3]))
     for chunk in (1_000_000, 300):
         monkeypatch.setattr(lm, "CHUNK", chunk)
         monkeypatch.setattr(lm, "BUCKET_ENTRIES", 500)
-        got = sorted((tuple(r) for r in lm.score_documents(docs(spark, rows)).collect()), key=repr)
-        assert [g[:3] for g in sorted(got, key=lambda g: repr(g[:3]))] == [x[:3] for x in sorted(want, key=lambda g: repr(g[:3]))]
-        for g, x in zip(sorted(got, key=lambda g: repr(g[:3])), sorted(want, key=lambda g: repr(g[:3]))):
+        got = sorted((tuple(r) for r in lm.score_documents(docs(spark, rows), order=order).collect()), key=lambda g: repr(g[:3]))
+        assert [g[:3] for g in got] == [x[:3] for x in want]
+        for g, x in zip(got, want):
             assert g[3] == (None if x[3] is None else pytest.approx(x[3], abs=1e-9))
-    assert lm.score_documents(docs(spark, [])).count() == 0
-    assert lm.score_documents(docs(spark, [(1, None), (2, "")])).where("score is null and n_tokens = 0").count() == 2
+    assert lm.score_documents(docs(spark, []), order=order).count() == 0
+    assert lm.score_documents(docs(spark, [(1, None), (2, "")]), order=order).where("score is null and n_tokens = 0").count() == 2
+
+
+def test_language_model_order():
+    with pytest.raises(ValueError):
+        lm.score_documents(None, order=0)
 
 
 def test_packing():
