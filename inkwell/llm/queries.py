@@ -90,9 +90,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(tokenize(_read(spark, sf_dir, "documents"), tokenizer_spec()))
 
 
+def op11_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.rewrite import rewrite_clients
+
+    done = rewrite_clients(_read(spark, sf_dir, "clients"))
+    return done.select("file_no", "version", "n_rows", "n_nulls", F.col("keys_sha256").alias("ids_sha256"), "rows_sha256", "start_columns", "columns", "path", "rewritten")
+
+
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.negatives import hard_negatives
+
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label").cast("long") + 1, F.lit(10))).otherwise(F.col("label").cast("long"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), "id % 100 = 0")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.packing import pack
+
+    packed = pack(_read(spark, sf_dir, "documents"), tokenizer_spec())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def token_digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return coded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_linededup, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_rabitq, op7_secrets, op8_media, op9_langid, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_linededup, op2_mixing, op3_quality, op4_minhash, op5_lm, op6_rabitq, op7_secrets, op8_media, op9_langid, op10_bpe, op11_rewrite, op12_hardneg, op13_packing)}
 ORACLE_SQL: dict[str, str] = SQL
