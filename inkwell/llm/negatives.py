@@ -136,8 +136,11 @@ class Best:
         self.slot = self.score = self.id = self.row = np.zeros(0, np.int64)
         self.count = np.zeros(n, np.int64)
 
-    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray) -> None:
-        slot, score, ids, row = (np.concatenate(x) for x in ((self.slot, slot), (self.score, score), (self.id, ids), (self.row, row)))
+    def add_all(self, new: list[tuple[np.ndarray, ...]]) -> None:
+        """Takes ``(slot, score, id, row)`` of what a leaf holds."""
+        if not any(len(x[0]) for x in new):
+            return
+        slot, score, ids, row = (np.concatenate(x) for x in zip((self.slot, self.score, self.id, self.row), *new))
         order = np.lexsort((row, ids, -score, slot))
         slot = slot[order]
         first = np.searchsorted(slot, slot)
@@ -296,10 +299,11 @@ def _positives(leaves: DataFrame, blocks: dict[int, Block], least: dict[int, np.
         for dim, ids, labels, row, tree in _leaf_rows(batches):
             if dim not in blocks:
                 continue
-            block, found = blocks[dim], best[dim]
+            block, found, new = blocks[dim], best[dim], []
             for mine, places, score in block.scored(tree, found.least, np.full(len(block.row), np.inf), True):
                 a, p = np.nonzero((score >= found.least[mine][:, None]) & (block.labels[mine][:, None] == labels[places]) & (block.row[mine][:, None] != row[places]))
-                found.add(mine[a], score[a, p], ids[places[p]], row[places[p]])
+                new.append((mine[a], score[a, p], ids[places[p]], row[places[p]]))
+            found.add_all(new)
         for d, found in best.items():
             if len(found.slot):
                 yield pa.RecordBatch.from_pydict({"anchor": blocks[d].row[found.slot], "score": found.score, "id": found.id, "row": found.row})
@@ -325,15 +329,15 @@ def _negatives(leaves: DataFrame, blocks: dict[int, Block], wanted: dict[int, np
         for dim, ids, labels, row, tree in _leaf_rows(batches):
             if dim not in blocks:
                 continue
-            block, found, w = blocks[dim], best[dim], wanted[dim]
+            block, found, w, new = blocks[dim], best[dim], wanted[dim], []
             low = found.least.reshape(w.shape).min(axis=1, initial=np.inf)
             for mine, places, score in block.scored(tree, low, top[dim], False):
                 other = block.labels[mine][:, None] != labels[places]
                 for s in range(w.shape[1]):
                     slot = mine * w.shape[1] + s
                     a, p = np.nonzero(other & (score <= w[mine, s][:, None]) & (score >= found.least[slot][:, None]))
-                    if len(a):
-                        found.add(slot[a], score[a, p], ids[places[p]], row[places[p]])
+                    new.append((slot[a], score[a, p], ids[places[p]], row[places[p]]))
+            found.add_all(new)
         for d, found in best.items():
             if len(found.slot):
                 width = wanted[d].shape[1]
