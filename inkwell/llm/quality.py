@@ -4,10 +4,15 @@ Two generative models share one table of hashed byte n-grams: the raw model coun
 target model a bounded sample of rows labelled good. A document's log weight is the log of the ratio of its
 probabilities under the two: the sum of the log ratios of its n-grams.
 
+Both models are smoothed alike: the raw counts are brought to the target's total, then each bucket of both gets
+one. So an n-gram that neither has seen says nothing, and one that is rare in both next to nothing.
+
 Rows are drawn without replacement by Gumbel top-k: the k rows of largest tempered log weight plus a
 Gumbel variate of their own hash, k being the labelled share of good rows. The temperature of a text of n n-grams is
-n / ``NGRAMS``: sums of thousands of n-grams would differ by hundreds, so that the longest rows were taken and
-chance decided nothing. At this temperature rows are drawn with odds of a text of ``NGRAMS`` such n-grams.
+n / ``ngrams``, 1 at least: sums of thousands of n-grams would differ by hundreds, so that the longest rows were taken and
+chance decided nothing. So a row's odds are those of its whole text up to ``ngrams`` n-grams, and beyond that those of
+a text of ``ngrams`` n-grams like its own: with a mean log ratio of 0.02, odds of exp(0.02), exp(0.2), e and e for
+1, 10, 50 and 5000 n-grams. A short text is never told apart better than its few n-grams can.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ WIDTH = 3
 #: Bound of the labelled rows that fit the target model, drawn by the hash of their ids.
 LABELLED = 200_000
 SEED = 0x5EED
-#: N-grams at which the odds of a row are taken; see above.
+#: Default of ``ngrams``, the number at which the odds of longer rows are taken; see above.
 NGRAMS = 50.0
 
 
@@ -71,14 +76,14 @@ def ordered(keys: np.ndarray) -> np.ndarray:
 
 
 class Ratio:
-    """Log ratios of the hashed n-grams, target over raw, with add-one smoothing."""
+    """Log ratios of the hashed n-grams, target over raw, with add-one smoothing at the target's total."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    def __init__(self, table: np.ndarray, ngrams: float = NGRAMS):
+        self.table, self.ngrams = table, ngrams
 
     @classmethod
     def of_counts(cls, raw: np.ndarray, target: np.ndarray) -> Ratio:
-        return cls(np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)))
+        return cls(np.log1p(target) - np.log1p(raw * (target.sum() / max(raw.sum(), 1))))
 
     def weigh(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log weights of texts, and tempered ones."""
@@ -89,7 +94,7 @@ class Ratio:
             out.append(total[off[1:]] - total[off[:-1]])
             size.append(np.diff(off))
         weight = np.concatenate(out)
-        return weight, weight * (NGRAMS / np.maximum(np.concatenate(size), 1))
+        return weight, weight * np.minimum(1.0, self.ngrams / np.maximum(np.concatenate(size), 1))
 
 
 def labelled_good(labels: DataFrame, id_col: str, good: str, bound: int = LABELLED) -> tuple[DataFrame, float | None]:
@@ -126,12 +131,12 @@ def fit_ratio(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", te
     return Ratio.of_counts(raw, target)
 
 
-def keyed(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+def keyed(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, ngrams: float = NGRAMS) -> DataFrame:
     """``(<id_col>, log_weight, place)``: place sorts as tempered log weight plus Gumbel variate."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ratio(shared.value)
+        model = Ratio(shared.value, ngrams)
         for batch in batches:
             w, tempered = model.weigh(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(ordered(tempered + gumbel(batch.column(0).to_pylist(), seed)))], names=["id", "log_weight", "place"])
@@ -156,7 +161,7 @@ def kth_largest(places: DataFrame, k: int) -> int:
     return floor - 2**63
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = SEED, ngrams: float = NGRAMS, scratch: Scratch | None = None) -> DataFrame:
     """``(<id_col>, log_weight, kept)``, one row per input row.
 
     ``share`` of the rows are drawn, by default the share of good labels. Rows that tie with the last
@@ -169,14 +174,14 @@ def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids, labelled_share = labelled_good(labels, id_col, good)
     if labelled_share is None:
         return docs.select(id_col, F.lit(0.0).alias("log_weight"), F.lit(True).alias("kept"))
-    places = scratch.save(keyed(docs, fit_ratio(docs, ids, id_col, text_col), id_col, text_col, seed), "places")
+    places = scratch.save(keyed(docs, fit_ratio(docs, ids, id_col, text_col), id_col, text_col, seed, ngrams), "places")
     k = round(places.count() * (labelled_share if share is None else share))
     if k == 0:
         return places.select(id_col, "log_weight", F.lit(False).alias("kept"))
     return places.select(id_col, "log_weight", (F.col("place") >= kth_largest(places, k)).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", share: float | None = None, seed: int = SEED, ngrams: float = NGRAMS, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that ``select`` keeps, with all their columns; see there for nulls, ties and empty tables.
 
     The threshold is one number, so each row is weighed again where it is read: no text is shuffled.
@@ -186,7 +191,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if labelled_share is None:
         return docs
     ratio = fit_ratio(docs, ids, id_col, text_col)
-    places = scratch.save(keyed(docs, ratio, id_col, text_col, seed).select("place"), "places")
+    places = scratch.save(keyed(docs, ratio, id_col, text_col, seed, ngrams).select("place"), "places")
     k = round(places.count() * (labelled_share if share is None else share))
     least = kth_largest(places, k) if k else 2**63 - 1
     scratch.drop(places)
@@ -194,7 +199,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     i, t = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ratio(shared.value)
+        model = Ratio(shared.value, ngrams)
         for batch in batches:
             place = ordered(model.weigh(batch.column(t))[1] + gumbel(batch.column(i).to_pylist(), seed))
             yield batch.filter(pa.array(place >= least))
