@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.scratch import small_batches
@@ -156,22 +156,20 @@ def train(texts: list[bytes], labels: np.ndarray, n_labels: int, steps: int = ST
 
 
 def sample(docs: DataFrame, text_col: str, label_col: str, order_col: str, max_docs: int, max_windows: int) -> list:
-    """Rows ``(h, label, window)`` of a stratified sample: about ``max_docs`` documents in all, alike for each label.
+    """Rows ``(h, label, window)`` of a stratified sample: at most ``max_docs`` documents in all, alike for each label.
 
-    Documents are drawn by the hash of id and text, at a rate that the label's count gives; of each, windows at
+    Of each label the documents of smallest hash of id and text are drawn, one at least; of each, windows at
     places drawn by that hash from the whole text. Only windows reach the driver.
     """
     named = docs.where(F.col(label_col).isNotNull() & (F.length(F.col(text_col).cast("string")) > 0))
     rows = named.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(order_col).cast("string"), F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # one row for each language
-    if not counts:
-        return []
-    most = max(1, max_docs // len(counts))
-    room = max(1.0, most - 5 * most**0.5)
-    # a rate leaves five standard deviations of room; a label of few rows has them all
-    rates = [(label, int((1.0 if n <= most else room / n) * (1 << 30))) for label, n in counts.items()]
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(rates, "label string, rate long"))
-    rows = rows.join(chosen, "label").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate")).select("h", "label", "text")
+    # each label's smallest hashes; a hash that repeats is one document
+    known = rows.select("label", "h").distinct()
+    labels = known.select("label").distinct().count()
+    first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    chosen = known.withColumn("_r", first).where(F.col("_r") <= max(1, max_docs // max(1, labels))).drop("_r")
+    # at most max_docs rows; one a label if there are more labels than that, which then meet by a shuffle
+    rows = rows.join(F.broadcast(chosen) if labels <= max_docs else chosen, ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("h", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -260,10 +260,12 @@ def test_quality_against_brute_force(spark):
         raw.update(grams(t))
         if marks.get(i) == 1:
             target.update(grams(t))
-    n = quality.BUCKETS
-    ratio = lambda g: math.log((target[g] + 1) / (sum(target.values()) + n)) - math.log((raw[g] + 1) / (sum(raw.values()) + n))
-    weight = [sum(map(ratio, grams(t))) for _, t in rows]
-    place = [w * 50 / max(len(grams(t)), 1) + quality.gumbel([i])[0] for w, (i, t) in zip(weight, rows)]
+    n, good, every = quality.BUCKETS, sum(target.values()), sum(raw.values())
+    # probabilities of two models of one size, each over all buckets
+    under = lambda counts, scale, g: (counts[g] * scale + 1) / (good + n)
+    assert sum(under(raw, good / every, g) for g in range(n)) == pytest.approx(1)
+    weight = [sum(math.log(under(target, 1, g) / under(raw, good / every, g)) for g in grams(t)) for _, t in rows]
+    place = [w / max(1, len(grams(t)) / 50) + quality.gumbel([i])[0] for w, (i, t) in zip(weight, rows)]
     k = round(len(rows) * sum(marks.values()) / len(marks))
     least = sorted(place, reverse=True)[k - 1]
     frame = docs(spark, rows).withColumns({c: F.lit("x") for c in ("id", "good", "place", "kept", "log_weight")})
@@ -288,7 +290,22 @@ def test_log_weights_by_hand():
     assert o.tolist() == [0, 2, 2, 2, 2] and len(at) == 2
     r = quality.Ratio(np.arange(quality.BUCKETS, dtype=float))
     plain, tempered = r.weigh(pa.array(["abcd", None, "", "ab"]))
-    assert plain.tolist() == [at.sum(), 0, 0, 0] and tempered.tolist() == [quality.NGRAMS * at.sum() / 2, 0, 0, 0]
+    assert plain.tolist() == [at.sum(), 0, 0, 0] == tempered.tolist()
+    assert quality.Ratio(r.table, 0.5).weigh(pa.array(["abcd"]))[1].tolist() == [at.sum() / 4]
+
+
+def test_unseen_and_short_texts_say_little():
+    """Texts that neither model has seen weigh 0; odds grow with the length up to the temperature's, no further."""
+    import pyarrow as pa
+
+    count = lambda t: np.bincount(quality.ngram_buckets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], minlength=quality.BUCKETS).astype(float)
+    raw, target = count(b"good and bad words, " * 900), count(b"good words, " * 30)
+    r = quality.Ratio.of_counts(raw, target)
+    assert r.weigh(pa.array(["zzz", "\x01\x02\x03", "qqqqqqqqqq"]))[1].tolist() == [0, 0, 0]
+    assert quality.Ratio.of_counts(raw, raw / 7).table == pytest.approx(0)  # a sample like the whole says nothing
+    flat = quality.Ratio(np.full(quality.BUCKETS, 0.02))
+    odds = np.exp(flat.weigh(pa.array(["a" * (n + 2) for n in (1, 10, 50, 5000)]))[1])
+    assert odds == pytest.approx([math.exp(0.02), math.exp(0.2), math.e, math.e])
 
 
 def test_kth_largest(spark):
@@ -568,10 +585,19 @@ def test_training_sample(spark):
     rows = [(i, "x" * 1000 + f"{i:05d}" + "y" * 995, "en") for i in range(3000)] + [(9000 + i, "short", "de") for i in range(2)] + [(9100, "", "fr"), (9101, None, "es"), (9102, "z", None)]
     got = langid.sample(docs(spark, rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 600, 2)
     assert {label for _, label, _ in got} == {"en", "de"}
-    assert 200 < len({h for h, label, _ in got if label == "en"}) <= 300
+    assert len({h for h, label, _ in got if label == "en"}) == 300
     assert 0.35 < sum(w == b"x" * 128 for _, _, w in got) / len(got) < 0.55 and any(w == b"y" * 128 for _, _, w in got)
 
 
+def test_every_label_is_drawn(spark):
+    """As many documents of each of 300 labels; one document that repeats a thousand times counts once."""
+    rows = [(i, f"text {i}", f"l{i % 300}") for i in range(6000)] + [(7000, "same", "l0")] * 1000
+    got = langid.sample(docs(spark, rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 6000, 1)
+    count = Counter(label for _, label, _ in got)
+    assert len(count) == 300 and set(count.values()) == {20}
+    assert len({label for _, label, _ in langid.sample(docs(spark, rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 10, 1)}) == 300
+
+
 def test_language(spark):
     rng = random.Random(2)
     syll = {"en": ["th", "ing", "er"], "de": ["sch", "ung", "ein"], "fr": ["eau", "ou", "é"]}
