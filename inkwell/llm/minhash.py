@@ -194,13 +194,12 @@ def _verified(pairs: DataFrame, payload: DataFrame, limits: list[tuple[int, int]
     return over_groups(rows, ["rep", "share"], work, "a long, b long", chunk_rows=512)
 
 
-def _rest(buckets: DataFrame, members: DataFrame, signatures: DataFrame, limits: list[tuple[int, int]], permutations: int) -> DataFrame:
-    """Candidate pairs ``(node, rep)`` across components in buckets: members outside a bucket's largest component against
-    all of other ones, as far as their signatures leave them a chance.
+def _rest(buckets: DataFrame, members: DataFrame, payload: DataFrame, limits: list[tuple[int, int]], percent: int, width: int, permutations: int) -> DataFrame:
+    """Links across components in buckets: members outside a bucket's largest component against all of other ones.
 
     Both sides are dealt in tiles, so a group holds at most ``2 * TILE`` rows or so; the number of groups is that of the tiles
-    outside times that of all, which is linear in a bucket's size while few are outside. Tiles hold signatures only:
-    texts go to the pairs that are left.
+    outside times that of all, which is linear in a bucket's size while few are outside. Tiles are first compared by
+    signatures alone; only members with a pair that these leave a chance take their texts to the tile.
     """
     group = ["band", "bucket"]
     rows = with_group(members, buckets, group)
@@ -208,13 +207,12 @@ def _rest(buckets: DataFrame, members: DataFrame, signatures: DataFrame, limits:
     rows = rows.withColumns({"outs": F.ceil((F.col("_n") - F.col("main_n")) / TILE).cast("int"), "alls": F.ceil(F.col("_n") / TILE).cast("int")})
     out = rows.where("component <> main").withColumn("lo", hashed(1, "outs")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("alls") - 1))).withColumn("out", F.lit(True))
     every = rows.withColumn("hi", hashed(2, "alls")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).withColumn("out", F.lit(False))
-    columns = ["node", "component", "main", *group, "lo", "hi", "out"]
-    rows = out.unionByName(every).select(*columns).join(signatures, "node").select(*columns, "sig")
+    tile, columns = [*group, "lo", "hi"], ["node", "component", "main", *group, "lo", "hi", "out"]
 
-    def work(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
+    def candidates(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ids, part, main, band, out = (table.column(c).to_numpy(zero_copy_only=False) if c == "out" else table.column(c).to_numpy() for c in ("node", "component", "main", "band", "out"))
         sig = _matrix(table.column("sig"), np.uint32, permutations)
-        keys, found = band_keys(sig), []
+        keys = band_keys(sig)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             left, right = a + np.flatnonzero(out[a:b]), a + np.flatnonzero(~out[a:b])
             for k in range(0, len(left), 256):
@@ -223,12 +221,30 @@ def _rest(buckets: DataFrame, members: DataFrame, signatures: DataFrame, limits:
                 ok = (part[i] != part[j]) & ((part[j] == main[j]) | (ids[i] < ids[j]))
                 i, j = i[ok], j[ok]
                 ok = (keys[i] == keys[j]).argmax(axis=1) == band[i]  # a pair counts in the first band it shares
-                i, j, _ = _posterior_survivors(sig, i[ok], j[ok], limits)
-                found.append((ids[i], ids[j]))
-        left, right = (np.concatenate(c) for c in zip(*found)) if found else (ids[:0], ids[:0])
-        return pa.RecordBatch.from_pydict({"node": left, "rep": right}) if len(left) else None
-
-    return over_groups(rows, [*group, "lo", "hi"], work, "node long, rep long", chunk_rows=512).distinct()
+                yield _posterior_survivors(sig, i[ok], j[ok], limits)
+
+    def near(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
+        hit = np.zeros(len(table), bool)
+        for i, j, _ in candidates(table, bounds):
+            hit[i] = hit[j] = True
+        return table.select(columns).filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else None
+
+    def linked(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
+        ids, part, sets, found = table.column("node").to_numpy(), table.column("component").to_numpy(), _Sets(table.column("text"), width), []
+        label = {c: k for k, c in enumerate(np.unique(part).tolist())}
+        forest = Forest(len(label))
+        place = np.array([label[c] for c in part.tolist()])
+        for i, j, matches in candidates(table, bounds):
+            order = np.argsort(-matches, kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if forest.find(place[x]) != forest.find(place[y]) and sets.linked(x, y, percent):
+                    forest.join(int(place[x]), int(place[y]))
+                    found.append((x, y))
+        return _links(ids, found)
+
+    signed = out.unionByName(every).select(*columns).join(payload.select("node", "sig"), "node").select(*columns, "sig")
+    hits = over_groups(signed, tile, near, "node long, component long, main long, band int, bucket long, lo int, hi int, out boolean", chunk_rows=512)
+    return over_groups(hits.join(payload, "node").select(*columns, "sig", "text"), tile, linked, "a long, b long", chunk_rows=512)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle_words: int = 5, miss: float = 1e-9, scratch: Scratch | None = None) -> DataFrame:
@@ -291,8 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         share = members.groupBy(*group, "component").agg(F.count("*").alias("n")).groupBy(*group).agg(F.sum("n").alias("_n"), F.max(F.struct("n", "component")).alias("main"))
         buckets = scratch.save(share.select(*group, "_n", F.col("main.n").alias("main_n"), F.col("main.component").alias("main")).where("_n > main_n"), "buckets3")
         if not buckets.isEmpty():
-            pairs = _rest(buckets, members, payload.select("node", "sig"), limits, permutations)
-            links = scratch.save(links.unionAll(_verified(pairs, payload, *how, scratch)), "links3")
+            links = scratch.save(links.unionAll(_rest(buckets, members, payload, *how)), "links3")
             part = scratch.save(connected_components(links, scratch), "parts3")
 
     names = classes.select(F.col("node").alias("component"), F.col("rep").alias("component_id"))
