@@ -84,12 +84,10 @@ def corpus_scores(docs: DataFrame, refs: DataFrame, doc_id: str = "doc_id", ref_
     The model is fitted on the references; unknown terms are dropped. Documents without a known term
     score 0.
     """
-    vocab = fit_corpus(refs, ref_id, text_col, max_features)
-    a = weigh(docs, [doc_id], F.col(text_col), vocab, 2)
-    b = weigh(refs, [ref_id], F.col(text_col), vocab, 2).withColumnRenamed("w", "v")
-    dots = a.join(b, "term").groupBy(doc_id, ref_id).agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    best = dots.groupBy(doc_id).agg(F.max("s").alias("s"))
-    rows = docs.select(doc_id).join(best, doc_id, "left").withColumn("score", F.round(F.coalesce("s", F.lit(0.0)) * 100, 6))
+    from inkwell.operators.ranking import best_cosines
+
+    best = best_cosines(docs, refs, doc_id, ref_id, text_col, max_features)
+    rows = best.select(F.col("id").alias(doc_id), F.round(F.col("s") * 100, 6).alias("score"))
     band = F.when(F.col("score") < 30, "low").when(F.col("score") < 60, "moderate").when(F.col("score") <= threshold * 100, "high").otherwise("very high")
     return rows.select(doc_id, "score", (F.col("score") > threshold * 100).alias("flagged"), band.alias("band"))
 

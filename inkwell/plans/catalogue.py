@@ -13,6 +13,8 @@ from inkwell.functions import text as T
 from inkwell.functions import typology as K
 from inkwell.functions.typology import PARAPHRASES
 from inkwell.operators import bibliography as B
+from inkwell.operators import punkt as U
+from inkwell.operators import ranking as N
 from inkwell.operators import rules as R
 from inkwell.operators import similarity as S
 from inkwell.operators import structure as X
@@ -117,6 +119,41 @@ def sentence_table(spark, sf_dir):
     return s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("sent").cast("long").alias("n_chars"), T.words(F.col("sent")).cast("long").alias("n_words"), ((n > 20) & (F.length("sent") > 10)).alias("comparable"))
 
 
+_CORE = lambda t: rf"""regexp_replace(regexp_replace(lower({t}), '["''’”»)\]}}]+$', ''), '^[^\p{{L}}\p{{N}}]+', '')"""
+_TYPE = lambda c: rf"CASE WHEN regexp_matches(regexp_replace({c}, '\.$', ''), '^[0-9]+([.,][0-9]+)*$') THEN '##' ELSE regexp_replace({c}, '\.$', '') END"
+_LEAN = lambda n, ab, p: f"({ab}) * ln({p}) + (({n}) - ({ab})) * ln(1 - ({p}))"
+_INSIDE_01 = lambda p, x: f"CASE WHEN {p} > 0 AND {p} < 1 THEN {x} ELSE 0 END"
+_MARK = lambda t: rf"""regexp_extract(regexp_replace({t}, '["''’”»)\]}}]+$', ''), '([.!?])$', 1)"""
+
+
+def together_sql(a: str, b: str, ab: str, n: str) -> str:
+    p, p1, p2, rest = f"{b}::DOUBLE / {n}", f"{ab}::DOUBLE / {a}", f"({b} - {ab})::DOUBLE / ({n} - {a})", f"({n} - {a} - {b} + {ab})"
+    low = lambda q: f"({b} - {ab}) * ln({q}) + {rest} * ln(1 - {q})"
+    return f"round(-2 * ({_LEAN(a, ab, p)} + {low(p)} - {_INSIDE_01(p1, _LEAN(a, ab, p1))} - {_INSIDE_01(p2, low(p2))}), 6)"
+
+
+#: The boundary model over ``docs``, fitted on all of it, and ``pk``: each token with whether a sentence ends at it.
+PUNKT = rf"""pt0 AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS tok, unnest(list_append(a[2:], NULL)) AS nxt FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS a FROM docs) WHERE len(a) > 0),
+pt1 AS (SELECT *, {_CORE('tok')} AS core, {_CORE('nxt')} AS ncore, regexp_replace(nxt, '^[^\p{{L}}\p{{N}}]+', '') AS bare, {_MARK('tok')} AS ends FROM pt0),
+pt AS (SELECT doc_id, pos, tok, ends, {_TYPE('core')} AS typ, core LIKE '%.' AS per, core LIKE '%..' AS dots, {_TYPE('ncore')} AS n_typ, regexp_matches(bare, '^\p{{Lu}}') AS n_cap, regexp_matches(bare, '^\p{{Ll}}') AS n_low, regexp_matches(bare, '^[\p{{L}}\p{{N}}]') AS n_word FROM pt1),
+pc AS (SELECT typ, count_if(per) AS per, count_if(NOT per) AS plain FROM pt GROUP BY typ), pn AS (SELECT sum(per + plain)::BIGINT AS n, sum(per)::BIGINT AS b FROM pc),
+ps AS (SELECT typ, per, plain, n, b, length(typ) - length(replace(typ, '.', '')) AS inn FROM pc, pn WHERE per > 0 AND regexp_matches(typ, '\p{{L}}') AND b < n),
+pa AS (SELECT typ FROM ps WHERE round(-2 * ({_LEAN('per + plain', 'per', 'b::DOUBLE / n')} - ({_LEAN('per + plain', 'per', str(U.SURE))})) * exp(-(length(typ) - inn)::DOUBLE) * (inn + 1) * pow((length(typ) - inn)::DOUBLE, -plain::DOUBLE), 6) >= {U.ABBREVIATION}),
+pf AS (SELECT pt.*, pa.typ IS NOT NULL AS abbr, ends IN ('!', '?') OR (per AND pa.typ IS NULL AND NOT dots) AS sure, typ = '##' OR regexp_matches(typ, '^\p{{L}}$') AS odd, regexp_matches(typ, '^\p{{L}}$') AS ini FROM pt LEFT JOIN pa USING (typ)),
+po AS (SELECT n_typ, bool_or(n_low) AS low, bool_or(n_cap) AS cap, bool_or(n_cap AND ends = '' AND NOT sure) AS mid_cap, bool_or(n_low AND sure) AS low_after, count_if(sure) AS aft, count_if(sure AND NOT odd) AS starts FROM pf WHERE n_typ IS NOT NULL GROUP BY n_typ),
+pe AS (SELECT sum(aft)::BIGINT AS e FROM po),
+pst AS (SELECT n_typ FROM (SELECT n_typ, per + plain AS uses, starts, n, e FROM po JOIN pc ON pc.typ = n_typ, pn, pe WHERE starts > 0 AND regexp_matches(n_typ, '\p{{L}}') AND per + plain >= starts AND e > 0 AND e < n) WHERE {together_sql('e', 'uses', 'starts', 'n')} >= {U.STARTER} AND n * starts > uses * e),
+pco AS (SELECT typ, n_typ FROM (SELECT g.typ, g.n_typ, both_n, x.per + x.plain AS a, y.per + y.plain AS b2, n FROM (SELECT typ, n_typ, count(*) AS both_n FROM pf WHERE per AND sure AND odd AND n_typ <> '' GROUP BY typ, n_typ HAVING count(*) > 1) g JOIN pc x ON x.typ = g.typ JOIN pc y ON y.typ = g.n_typ, pn) WHERE both_n <= least(a, b2) AND {together_sql('a', 'b2', 'both_n', 'n')} >= {U.COLLOCATION} AND n * both_n > a * b2),
+pd AS (SELECT pf.*, coalesce(n_cap, false) AS nc, coalesce(n_low, false) AS nl, coalesce(low, false) AS lo, coalesce(n_cap AND low AND NOT mid_cap, false) AS begins, NOT coalesce(n_word, false) OR coalesce(n_low AND (cap OR NOT low_after), false) AS goes_on, pst.n_typ IS NOT NULL AS starter, pco.typ IS NOT NULL AS tied FROM pf LEFT JOIN po ON po.n_typ = pf.n_typ AND ends = '.' LEFT JOIN pst ON pst.n_typ = pf.n_typ AND ends = '.' LEFT JOIN pco ON pco.typ = pf.typ AND pco.n_typ = pf.n_typ AND ends = '.'),
+pk AS (SELECT doc_id, pos, tok, CASE WHEN n_typ IS NULL OR ends = '' THEN false WHEN ends <> '.' THEN true WHEN tied THEN false WHEN (abbr OR dots) AND NOT ini THEN begins OR (nc AND starter) WHEN odd THEN begins OR (NOT goes_on AND NOT (ini AND nc AND NOT lo)) ELSE true END AS brk FROM pd)"""
+
+
+@query(rf"""WITH {P.DOCS}, {PUNKT} SELECT doc_id, sno AS pos, count(*) AS n_words, md5(string_agg(tok, ' ' ORDER BY pk2.pos)) AS sent_md5 FROM (SELECT *, coalesce(sum(brk::BIGINT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sno FROM pk) pk2 GROUP BY doc_id, sno""")
+def sentence_punkt(spark, sf_dir):
+    docs = papers(spark, sf_dir)
+    return U.sentences(docs, U.fit(docs)).select("doc_id", "pos", "n_words", F.md5("sent").alias("sent_md5"))
+
+
 @query(r"""SELECT page_id, length(t) AS n_chars, len(regexp_extract_all(t, '\S+')) AS n_words, md5(t) AS text_md5 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)""")
 def html_text_extract(spark, sf_dir):
     from inkwell.sources.readers import html_text
@@ -347,6 +384,18 @@ def enhanced_similarity(spark, sf_dir):
     return S.pair_similarity(pairs.unionByName(spark.createDataFrame(P.PAIRS, "pair_id long, a string, b string")), "pair_id", "a", "b")
 
 
+@query(f"""WITH {fitted_cte()}, {weigh_cte('a', 'documents', 'doc_id', 'text')}, {weigh_cte('b', 'benchmark', 'item_id', 'text')}, dots AS (SELECT doc_id, item_id, sum(a.w * b.w) AS c FROM a JOIN b USING (term) GROUP BY ALL),
+x AS (SELECT doc_id, {_LENS("coalesce(text, '')")} AS la, {_TERMS("coalesce(text, '')")} AS ta, CASE WHEN {words_sql("coalesce(text, '')")} < 100 THEN 0.6::DOUBLE WHEN {complexity_sql("coalesce(text, '')")} > 0.8 THEN 0.75::DOUBLE ELSE 0.7::DOUBLE END AS threshold FROM documents),
+y AS (SELECT item_id, {_LENS('text')} AS lb, {_TERMS('text')} AS tb FROM benchmark),
+st AS (SELECT doc_id, item_id, threshold, coalesce(list_sum(list_transform(list_zip(la[1:least(len(la), len(lb))], lb[1:least(len(la), len(lb))]), lambda z: CASE WHEN abs(z[1] - z[2])::DOUBLE / greatest(z[1], z[2], 1) < 0.3 THEN 1 ELSE 0 END)) / least(len(la), len(lb))::DOUBLE, 0) AS structure, len(list_intersect(ta, tb)) AS both_n, len(ta) + len(tb) AS total FROM x, y),
+sc AS (SELECT st.doc_id, st.item_id, threshold, round(least(0.5::DOUBLE * coalesce(c, 0) + 0.3::DOUBLE * structure + 0.2::DOUBLE * (CASE WHEN total > 0 THEN both_n / (total - both_n)::DOUBLE ELSE 0 END), 1), 6) AS score FROM st LEFT JOIN dots USING (doc_id, item_id)),
+mx AS (SELECT doc_id, threshold, max(score) AS maximum FROM sc GROUP BY ALL), kept AS (SELECT doc_id, item_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM sc WHERE score > round(threshold - 0.3, 6) QUALIFY rank <= 5)
+SELECT doc_id, threshold, maximum, CASE WHEN maximum >= round(threshold + 0.1, 6) THEN 'high' WHEN maximum >= threshold THEN 'medium' WHEN maximum >= round(threshold - 0.2, 6) THEN 'low' ELSE 'none' END AS category, round(least(1.2::DOUBLE * maximum, 0.95::DOUBLE), 6) AS confidence, coalesce(rank, 0) AS rank, coalesce(item_id, -1) AS item_id, coalesce(score, 0) AS score FROM mx LEFT JOIN kept USING (doc_id)""")
+def reference_ranking(spark, sf_dir):
+    """Each document against every passage of the benchmark: its best five, its maximum and the verdict; rank 0 if none is listed."""
+    return N.ranked_references(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("scored").fillna({"rank": 0, "item_id": -1, "score": 0.0})
+
+
 _DENSE = "dn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)"
 
 
