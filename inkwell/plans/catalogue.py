@@ -13,6 +13,7 @@ from inkwell.functions import text as T
 from inkwell.functions import typology as K
 from inkwell.functions.typology import PARAPHRASES
 from inkwell.operators import bibliography as B
+from inkwell.operators import kneser as Q
 from inkwell.operators import punkt as U
 from inkwell.operators import ranking as N
 from inkwell.operators import rules as R
@@ -384,6 +385,28 @@ def enhanced_similarity(spark, sf_dir):
     return S.pair_similarity(pairs.unionByName(spark.createDataFrame(P.PAIRS, "pair_id long, a string, b string")), "pair_id", "a", "b")
 
 
+def bigrams_sql(name: str, source: str, keys: str, text: str) -> str:
+    """``name``: (keys, place, w, h), each word with the one before it."""
+    return rf"{name} AS (SELECT {keys}, generate_subscripts(ws, 1) - 1 AS place, unnest(ws) AS w, unnest(list_prepend('{Q.START}', ws[1:len(ws) - 1])) AS h FROM (SELECT {keys}, regexp_extract_all(lower({text}), '{W}+|[^\p{{L}}\p{{N}}_\s]') AS ws FROM {source}) WHERE len(ws) > 0)"
+
+
+#: A bigram model with interpolated Kneser-Ney smoothing over all sentences, in the tables kw, kr, kp and kx.
+KNESER = rf"""{bigrams_sql('kg', 'sents', 'doc_id, pos', 'sent')}, kc AS (SELECT h, w, count(*) AS c FROM kg GROUP BY ALL), k1 AS (SELECT w, count(*) AS c FROM kc GROUP BY w), kx AS (SELECT count(*) AS v, sum(c)::BIGINT AS n FROM k1),
+kw AS (SELECT w, greatest(c - {Q.DISCOUNT}::DOUBLE, 0) / n::DOUBLE + {Q.DISCOUNT}::DOUBLE * v / n * (1.0::DOUBLE / (v + 1)) AS p FROM k1, kx), kr AS (SELECT h, sum(c)::BIGINT AS total, {Q.DISCOUNT}::DOUBLE * count(*) / sum(c)::BIGINT AS rest FROM kc GROUP BY h),
+kp AS (SELECT kc.h, kc.w, greatest(c - {Q.DISCOUNT}::DOUBLE, 0) / total + rest * p AS p FROM kc JOIN kr ON kr.h = kc.h JOIN kw ON kw.w = kc.w)"""
+
+
+@query(rf"""WITH {P.DOCS}, {sent_cte()}, {KNESER}, un AS (SELECT doc_id, -1 AS pos, text AS sent FROM docs UNION ALL SELECT doc_id, pos, sent FROM sents WHERE {words_sql('sent')} >= 4), {bigrams_sql('ug', 'un', 'doc_id, pos', 'sent')},
+us AS (SELECT doc_id, ug.pos, CAST(round(-ln(coalesce(kp.p, coalesce(rest, 1) * coalesce(kw.p, (SELECT {Q.DISCOUNT}::DOUBLE * v / n * (1.0::DOUBLE / (v + 1)) FROM kx)))) * 1000000::DOUBLE) AS BIGINT) AS q FROM ug LEFT JOIN kp ON kp.h = ug.h AND kp.w = ug.w LEFT JOIN kr ON kr.h = ug.h LEFT JOIN kw ON kw.w = ug.w WHERE place < {Q.TOKENS}),
+pu AS (SELECT doc_id, pos, round(exp(sum(q)::DOUBLE / (count(*) * 1e6::DOUBLE)), 4) AS ppl FROM us GROUP BY ALL HAVING count(*) >= 2),
+pd AS (SELECT doc_id, max(CASE WHEN pos < 0 THEN ppl END) AS perplexity, count(CASE WHEN pos >= 0 THEN 1 END) AS m, sum(CASE WHEN pos >= 0 THEN CAST(round(ppl * 10000::DOUBLE) AS HUGEINT) END) AS s, sum(CASE WHEN pos >= 0 THEN CAST(round(ppl * 10000::DOUBLE) AS HUGEINT) * CAST(round(ppl * 10000::DOUBLE) AS HUGEINT) END) AS ss FROM pu GROUP BY doc_id)
+SELECT doc_id, m AS n_sentences, perplexity, round(CASE WHEN m > 1 THEN sqrt((m * ss - s * s)::DOUBLE) / (m * 10000::DOUBLE) ELSE 0 END, 6) AS spread, round(100 * greatest(least((60 - perplexity) / 50, 1), 0), 1) AS ai_score FROM pd WHERE perplexity IS NOT NULL""")
+def document_perplexity(spark, sf_dir):
+    """Perplexity of each document under a bigram model of all of them."""
+    docs = papers(spark, sf_dir)
+    return Q.document_perplexity(docs, Q.fit(T.sentences(docs)))
+
+
 @query(f"""WITH {fitted_cte()}, {weigh_cte('a', 'documents', 'doc_id', 'text')}, {weigh_cte('b', 'benchmark', 'item_id', 'text')}, dots AS (SELECT doc_id, item_id, sum(a.w * b.w) AS c FROM a JOIN b USING (term) GROUP BY ALL),
 x AS (SELECT doc_id, {_LENS("coalesce(text, '')")} AS la, {_TERMS("coalesce(text, '')")} AS ta, CASE WHEN {words_sql("coalesce(text, '')")} < 100 THEN 0.6::DOUBLE WHEN {complexity_sql("coalesce(text, '')")} > 0.8 THEN 0.75::DOUBLE ELSE 0.7::DOUBLE END AS threshold FROM documents),
 y AS (SELECT item_id, {_LENS('text')} AS lb, {_TERMS('text')} AS tb FROM benchmark),

@@ -19,8 +19,9 @@ def test_blocks_give_one_result(spark, monkeypatch):
 
 def test_bounds_prune_and_edges(spark):
     refs = spark.createDataFrame([(i, f"reference number{i} speaks of topic{i} at length. It has word{i} and other{i} things.") for i in range(200)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "reference number7 speaks of topic7 at length. It has word7 and other7 things."), (2, None), (3, ""), (4, "...")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "reference number7 speaks of topic7 at length. It has word7 and other7 things."), (2, None), (3, ""), (4, "..."), (5, "reference number7 speaks of topic7 at length. It has word7 and other7 things. " + "filler " * 100)], "doc_id long, text string")
     got = {r.doc_id: r for r in ranking.ranked_references(docs, refs).where("coalesce(rank, 1) = 1").collect()}
-    assert got[1].item_id == 7 and got[1].score == got[1].maximum == 1.0 and got[1].category == "high" and got[1].scored < 200
+    assert got[1].item_id == 7 and got[1].score == got[1].maximum == 1.0 and got[1].category == "high"
+    assert got[5].item_id == 7 and got[5].threshold == 0.75 and got[5].scored <= 32  # others can't come near the list
     assert all(got[i].maximum == 0 and got[i]["rank"] is None and got[i].category == "none" for i in (2, 3))
-    assert ranking.ranked_references(docs, refs.limit(0)).count() == 4 and ranking.ranked_references(docs.limit(0), refs).count() == 0
+    assert ranking.ranked_references(docs, refs.limit(0)).count() == 5 and ranking.ranked_references(docs.limit(0), refs).count() == 0
