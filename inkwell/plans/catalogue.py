@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.functions import lexicons as L
 from inkwell.functions import text as T
@@ -431,6 +432,18 @@ def dense_topk(spark, sf_dir):
 QUESTIONS = [(1, "the data and the results of a method"), (2, "thition and oner the inea"), (3, "de la elle queux")]
 
 
+#: Least similarity of the best passage for an answer to be grounded.
+GROUNDED = 0.15
+
+
+def lexical_scores(q: DataFrame, docs: DataFrame) -> DataFrame:
+    """TF-IDF cosines of a few given questions and all documents that share a word with them."""
+    vocab = S.vocabulary(S.term_counts(docs, ["doc_id"], F.col("text")), docs.count(), 8000)
+    a = S.weigh(docs, ["doc_id"], F.col("text"), vocab, 1)
+    b = S.weigh(q, ["query_id"], F.col("question"), vocab, 1).withColumnRenamed("w", "v")
+    return a.join(F.broadcast(b), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("lexical"))
+
+
 @query(f"""WITH q AS (SELECT * FROM {P.values(QUESTIONS, 'query_id, question')}), {grams_cte('dc', 'documents', 'doc_id', 'text')}, vo AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM dc GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 8000), {grams_cte('qc', 'q', 'query_id', 'question')},
 dw0 AS (SELECT doc_id, term, tf * idf AS w FROM dc JOIN vo USING (term)), dw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw0), qw0 AS (SELECT query_id, term, tf * idf AS w FROM qc JOIN vo USING (term)), qw AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS w FROM qw0),
 lx AS (SELECT query_id, doc_id, round(sum(dw.w * qw.w), 6) AS lexical FROM dw JOIN qw USING (term) GROUP BY ALL),
@@ -442,14 +455,38 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id)
 def hybrid_retrieval_rrf(spark, sf_dir):
     """Passages are the documents; the vector of a document, and of a question, is that of its number."""
     q, docs, v = spark.createDataFrame(QUESTIONS, "query_id long, question string"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    vocab = S.vocabulary(S.term_counts(docs, ["doc_id"], F.col("text")), docs.count(), 8000)
-    a = S.weigh(docs, ["doc_id"], F.col("text"), vocab, 1)
-    b = S.weigh(q, ["query_id"], F.col("question"), vocab, 1).withColumnRenamed("w", "v")
-    lexical = a.join(F.broadcast(b), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("lexical"))
+    lexical = lexical_scores(q, docs)
     dense = S.dense_scores(v.join(F.broadcast(q), F.col("vec_id") == F.col("query_id")).select("vec_id", "embedding"), v).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("dense"))
     return S.fuse(lexical, dense, ["query_id"], "doc_id")
 
 
+@query()
+def semantic_neighbours(spark, sf_dir):
+    """The four documents most like each document whose id is divisible by 20, by vectors fitted on all documents."""
+    from inkwell.operators import embedding as E
+    from inkwell.operators.tables import stored
+    from inkwell.sources.providers import embed
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = stored(embed(docs, "text", E.fit(docs)).select("doc_id", "embedding"), "vectors")
+    return S.dense_topk(vectors.where("doc_id % 20 = 0"), vectors, id_col="doc_id")
+
+
+@query()
+def grounded_retrieval(spark, sf_dir):
+    """Passages of the documents for questions, by words and by the questions' own vectors, and whether an answer has ground."""
+    from inkwell.operators import embedding as E
+    from inkwell.operators.tables import stored
+    from inkwell.sources.providers import embed
+
+    q, docs = spark.createDataFrame(QUESTIONS, "query_id long, question string"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = E.fit(docs)
+    asked = embed(q, "question", model).select(F.col("query_id").alias("doc_id"), "embedding")
+    vectors = stored(embed(docs, "text", model).select((F.col("doc_id") + 1000).alias("doc_id"), "embedding"), "vectors")  # apart from the questions' ids
+    dense = S.dense_scores(asked, vectors, id_col="doc_id").select("query_id", (F.col("doc_id") - 1000).alias("doc_id"), F.col("similarity").alias("dense"))
+    return S.fuse(lexical_scores(q, docs), dense, ["query_id"], "doc_id").withColumn("grounded", F.max("score").over(Window.partitionBy("query_id")) >= GROUNDED)
+
+
 @query("SELECT conv_id, turn, role, length(text) AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 3 AND trim(coalesce(text, '')) <> ''")
 def recent_turns(spark, sf_dir):
     from inkwell.operators.history import recent_turns as f
