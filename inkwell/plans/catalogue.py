@@ -487,6 +487,25 @@ def grounded_retrieval(spark, sf_dir):
     return S.fuse(lexical_scores(q, docs), dense, ["query_id"], "doc_id").withColumn("grounded", F.max("score").over(Window.partitionBy("query_id")) >= GROUNDED)
 
 
+@query("SELECT lang, f::INTEGER AS fold, (c - f + 4) // 5 AS rows FROM (SELECT lang, count(*) AS c FROM documents WHERE lang IS NOT NULL GROUP BY lang), range(5) t(f) WHERE c > f")
+def stratified_fold_sizes(spark, sf_dir):
+    """Rows of each language in each of five exactly stratified folds."""
+    from inkwell.operators.voting import stratified_folds
+
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang")
+    return stratified_folds(rows, "lang").groupBy("lang", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def calibrated_vote(spark, sf_dir):
+    """Held-out accuracy and Brier score of the vote on quality, of its members, and of the kernel machine without calibration."""
+    from inkwell.operators import voting as E
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+    folded = E.stratified_folds(rows.where("quality IS NOT NULL"), "quality")
+    return E.scores(E.fit(folded.where("fold > 0").drop("fold"), "quality"), folded.where("fold = 0").drop("fold"), "quality")
+
+
 @query("SELECT conv_id, turn, role, length(text) AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 3 AND trim(coalesce(text, '')) <> ''")
 def recent_turns(spark, sf_dir):
     from inkwell.operators.history import recent_turns as f
