@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as T
+from inkwell.operators.tables import stored
 
 #: Queries and vectors of a block of the dense search, and vectors multiplied at once.
 QUERY_BLOCK, VECTOR_BLOCK, STRIP = 1024, 16384, 1024
@@ -125,7 +126,8 @@ def repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text_col: str =
     """
     s = T.sentences(docs, doc_id, text_col).where(T.words(F.col("sent")) >= min_words)
     s = s.withColumn("i", F.row_number().over(Window.partitionBy(doc_id).orderBy("pos")).cast("long") - 1)
-    w = scoped_weights(s, [doc_id], [doc_id, "i"], F.col("sent"))
+    # both prefixes and both verifying joins read the vectors: they are written once
+    w = stored(scoped_weights(s, [doc_id], [doc_id, "i"], F.col("sent")), "sentence-vectors")
     other = w.select(doc_id, F.col("i").alias("j"), "term", F.col("w").alias("v"))
     rare = prefix(w, [doc_id, "i"], threshold).select(doc_id, "term", "i")
     near = rare.join(rare.withColumnRenamed("i", "j"), [doc_id, "term"]).where("j - i > 1").select(doc_id, "i", "j").distinct()

@@ -104,3 +104,42 @@ def test_pdf_text(spark, tmp_path):
     assert got["a.pdf"] == ("Hello (PDF)\nWorld again\ncaf\u00e9\n\u00e9", None)
     assert got["b.txt"][0] == "\u201cquoted\u201d \u20ac" and got["c.txt"][0] == "\x81\u00e9" and got["d.txt"] == (None, "empty file")
     assert pdf_text(None) == pdf_text(b"") == pdf_text(b"%PDF-1.4 /Encrypt") == ""
+
+
+def modern_pdf(pages, cmap):
+    """Pages in an object stream, the tree in another order than the file, one font with a map to Unicode."""
+    import zlib
+
+    def stream(n, data, extra=b""):
+        packed = zlib.compress(data)
+        return b"%d 0 obj << /Length %d /Filter /FlateDecode%s >> stream\n" % (n, len(packed), extra) + packed + b"\nendstream endobj\n"
+
+    bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>" % b" ".join(b"%d 0 R" % (10 + i) for i in reversed(range(len(pages))))}
+    bodies |= {5: b"<< /Type /Font /ToUnicode 7 0 R >>", 6: b"<< /Type /Font >>"}
+    bodies |= {10 + i: b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (50 + i) for i in range(len(pages))}
+    head, data = [], b""
+    for n, body in bodies.items():
+        head.append(b"%d %d" % (n, len(data)))
+        data += body + b" "
+    first = b" ".join(head) + b" "
+    out = b"%PDF-1.5\n" + stream(30, first + data, b" /Type /ObjStm /N %d /First %d" % (len(bodies), len(first))) + stream(7, cmap)
+    return out + b"".join(stream(50 + i, p) for i, p in enumerate(pages)) + b"startxref\n0\n%%EOF"
+
+
+def test_pdf_of_today():
+    """Object streams, the page tree's order, character maps, inherited resources."""
+    from inkwell.sources.pdf import pdf_text
+
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <00E9> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00660069> <D83DDE00>] endbfrange"
+    raw = modern_pdf([b"BT /F2 9 Tf (second) Tj ET", b"BT /F1 12 Tf <000100020010> Tj [<00110012> -300 <00200021>] TJ /F2 9 Tf (\\351) Tj ET"], cmap)
+    assert pdf_text(raw) == "H\u00e9abc fi\U0001f600\u00e9\nsecond"
+    assert pdf_text(raw[:200]) == ""
+
+
+def test_pdf_that_inflates_without_bound(monkeypatch):
+    from inkwell.sources import pdf
+
+    raw = pdf_file(b"BT (x) Tj ET" + b" " * 100_000)
+    assert pdf.pdf_text(raw) == "x"
+    monkeypatch.setattr(pdf, "INFLATED", 10_000)
+    assert pdf.pdf_text(raw) == ""
