@@ -92,7 +92,7 @@ def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
     assert set(QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
