@@ -52,14 +52,16 @@ def topic_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select(id_col, "predicted", F.when(F.col("n") == 0, 0.0).otherwise(F.round(confidence, 6)).alias("confidence"), F.round(strength, 6).alias("density"), F.round("complexity", 6).alias("complexity"), "specificity", "methodology", "analysis", "field", F.round("approach", 6).alias("approach"))
 
 
-def enhanced_normal(c: Column) -> Column:
-    """Lower case; citations, stock phrases and short or stop words dropped; known terms abbreviated.
-
-    There is no lemmatiser: words keep their forms.
-    """
+def enhanced_words(c: Column) -> Column:
+    """Words of the lower-case text without citations, stock phrases and short or stop words; known terms abbreviated."""
     c = F.lower(c)
     for p in (r"\([^)]*\)", r"\[\d+\]", r"[a-z]+ et al\."):
         c = F.regexp_replace(c, p, "")
     c = T.paraphrase(c, K.ABBREVIATIONS)
     c = T.paraphrase(c, [(p, "") for p in K.STOCK_PHRASES])
-    return F.array_join(F.filter(F.regexp_extract_all(c, F.lit(rf"{T.WORD}+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)), " ")
+    return F.filter(F.regexp_extract_all(c, F.lit(rf"{T.WORD}+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+
+
+def enhanced_normal(c: Column) -> Column:
+    """The words joined by spaces, as they are written; ``lemmas.lemmatised`` gives their base forms."""
+    return F.array_join(enhanced_words(c), " ")

@@ -15,6 +15,7 @@ from inkwell.functions import typology as K
 from inkwell.functions.typology import PARAPHRASES
 from inkwell.operators import bibliography as B
 from inkwell.operators import kneser as Q
+from inkwell.operators import lemmas as M
 from inkwell.operators import punkt as U
 from inkwell.operators import ranking as N
 from inkwell.operators import rules as R
@@ -657,6 +658,26 @@ def enhanced_normal_forms(spark, sf_dir):
     return papers(spark, sf_dir).select("doc_id", F.md5(V.enhanced_normal(F.col("text"))).alias("enhanced_md5"))
 
 
+def _stems_sql(w: str) -> str:
+    cases = [f"CASE WHEN {w} LIKE '%{a}' AND length({w}) >= {2 + len(a) - len(b)}" + (f" AND NOT regexp_matches({w}, '{M.SINGULAR_ENDS}')" if a == "s" else "") + f" THEN left({w}, length({w}) - {len(a)}) || '{b}' END" for a, b in M.SUFFIXES]
+    return "list_distinct(list_filter([" + ", ".join(cases) + "], lambda x: x IS NOT NULL))"
+
+
+@query(rf"""WITH {P.DOCS}, ws AS (SELECT doc_id, list_filter(regexp_extract_all({_ENH}, '{W}+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w)) AS a FROM docs),
+ex AS (SELECT doc_id, generate_subscripts(a, 1) AS pl, unnest(a) AS word FROM ws), lx AS (SELECT word, count(*) AS n FROM ex GROUP BY word), ir AS (SELECT * FROM {P.values(list(M.IRREGULAR.items()), 'word, lemma')}),
+tr AS (SELECT word, unnest({_stems_sql('word')}) AS lemma FROM lx WHERE word NOT IN (SELECT word FROM ir)),
+lm AS (SELECT tr.word, first(lemma ORDER BY length(lemma), lemma) AS lemma FROM tr JOIN lx ON lx.word = tr.lemma WHERE lx.n >= {M.LEAST} GROUP BY tr.word),
+al AS (SELECT * FROM lm UNION ALL SELECT * FROM ir)
+SELECT d.doc_id, count(al.lemma) AS n_changed, md5(coalesce(string_agg(coalesce(al.lemma, ex.word), ' ' ORDER BY pl), '')) AS lemmas_md5 FROM docs d LEFT JOIN ex USING (doc_id) LEFT JOIN al ON al.word = ex.word GROUP BY d.doc_id""")
+def lemmatised_forms(spark, sf_dir):
+    """Each document's enhanced normal form with nouns in their base forms, and how many words these changed."""
+    words = V.enhanced_words(F.col("text"))
+    docs = papers(spark, sf_dir)
+    lemmas = M.fit(docs.select(F.explode(words).alias("word")))
+    put = M.placed(docs, words, lemmas)
+    return put.groupBy("doc_id").agg(F.count_if(F.col("lemma") != F.col("word")).alias("n_changed"), F.md5(M.in_order()).alias("lemmas_md5"))
+
+
 @query(f"SELECT paper_type, section, CAST(greatest(120, least(coalesce(hi, 250), 350)) AS BIGINT) AS target FROM {P.values(L.templates(), 'paper_type, ord, section, lo, hi')}")
 def section_targets(spark, sf_dir):
     from inkwell.operators.prompts import section_limits
