@@ -937,3 +937,32 @@ def user_sessions(spark, sf_dir):
 
     found = sessions(table(spark, sf_dir, "events").where("user_id is not null and ts is not null"), "user_id")
     return found.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "events")
+
+
+_JUDGED = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(" + listed(L.REFERENCE_STOP_WORDS) + ", w)))"
+
+
+@query(rf"""WITH {P.DOCS}, c AS (SELECT i, weight, {_JUDGED.format('content')} AS want FROM {P.values([(i, w, c) for i, (w, c) in enumerate(L.RUBRIC)], 'i, weight, content')}),
+t AS (SELECT doc_id, {_JUDGED.format("substr(text, 1, 12000)")} AS have FROM docs WHERE trim(coalesce(text, '')) <> ''),
+s AS (SELECT doc_id, weight, (100 * len(list_filter(want, lambda w: list_contains(have, w)))) // greatest(1, len(want)) AS score FROM t, c)
+SELECT doc_id, round(sum(score * weight::DOUBLE) / sum(weight::DOUBLE), 6) AS total, count(*) AS scored, 0 AS skipped FROM s GROUP BY doc_id""")
+def review_totals(spark, sf_dir):
+    """Each document scored by the default rubric with the offline judge, from prompts to weighted totals."""
+    from inkwell.operators import review as E
+    from inkwell.sources.providers import WordJudge
+
+    docs = papers(spark, sf_dir)
+    items = E.score_items(docs, E.rubrics(docs), WordJudge())
+    return E.totals(items).select("doc_id", "total", "scored", "skipped")
+
+
+@query()
+def prompt_repairs(spark, sf_dir):
+    """User turns and documents, taken as prompts, repaired offline: passes, what is left of banned terms, and the text's digest."""
+    from inkwell.operators import review as E
+    from inkwell.sources.providers import Scrubber
+
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("id"), F.col("text").alias("prompt"))
+    rows = turns.unionByName(papers(spark, sf_dir).select(F.concat_ws("-", F.lit("doc"), "doc_id").alias("id"), F.col("text").alias("prompt")))
+    return E.repaired(rows, Scrubber()).select("id", F.md5("prompt").alias("prompt_md5"), F.col("passes").cast("long").alias("passes"), "residual", "warning")
+

@@ -92,3 +92,49 @@ def search_catalogue(queries: DataFrame, catalogue: DataFrame, rows: int = 8) ->
     shared = q.join(c, "t").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "id"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= max(1, min(25, rows)))
+
+
+class Scrubber:
+    """An offline backend for repairs: it deletes the listed items from the prompt it is asked to rewrite."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [self.rewritten(p) for p in prompts]
+
+    @staticmethod
+    def rewritten(prompt: str) -> str:
+        import re
+
+        from inkwell.functions.lexicons import PLACEHOLDER
+
+        found = re.search(r'(?s)\nListed items: ([^\n]*)\n.*?Prompt:\n"""(.*)"""', prompt)
+        if found is None:
+            return ""
+        text = found[2]
+        for item in found[1].split(", "):
+            if item == "placeholder token":
+                text = re.sub(PLACEHOLDER, " ", text)
+            elif "dash" not in item:
+                text = re.sub(rf"(?i)(?<!\w){re.escape(item)}(?!\w)", "", text)
+        return text
+
+
+class WordJudge:
+    """An offline judge: the share of a criterion's content words that stand in the paper, in hundredths, rounded down."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [self.judged(p) for p in prompts]
+
+    @staticmethod
+    def judged(prompt: str) -> str:
+        import json
+        import re
+
+        from inkwell.functions.lexicons import REFERENCE_STOP_WORDS
+
+        found = re.search(r'(?s)\nCriterion: ([^\n]*)\n.*?\n"""\n(.*)\n"""', prompt)
+        if found is None:
+            return ""
+        content = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 2 and w not in REFERENCE_STOP_WORDS}
+        wanted = content(found[1])
+        there = wanted & content(found[2])
+        return json.dumps({"reasoning": f"{len(there)} of {len(wanted)} words", "score": 100 * len(there) // max(1, len(wanted)), "evidence": " ".join(sorted(there)), "location": "", "severity": "", "fix": ""})
