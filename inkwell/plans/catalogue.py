@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -514,6 +515,21 @@ def recent_turns(spark, sf_dir):
     return f(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), "back")
 
 
+@query("SELECT conv_id, turn, role, length(text) AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 3 AND trim(coalesce(text, '')) <> ''")
+def recent_turns_stream(spark, sf_dir):
+    """The same from a stream of the table with keyed state, whose changes are kept in a new folder of the shared one."""
+    from inkwell.operators.tables import shared_folder
+    from inkwell.streaming import turns as E
+    from inkwell.streaming.incremental import stream_table
+
+    folder = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    E.use_state_store(spark)
+    # a pattern, since a stream of a path without one takes folders only
+    stream = E.recent_turns_stream(stream_table(spark, f"{sf_dir}/conversations.parque[t]"))
+    E.keep_current(stream, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    return E.current(spark, f"{folder}/changes").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), "back")
+
+
 # structure and terms
 
 _SECTION = f"""ln AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM docs)),
