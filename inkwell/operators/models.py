@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from inkwell.functions.lexicons import STOP_WORDS
 
 
-def featurizer(text_col: str = "text", features: int = 1 << 12, n_max: int = 2, min_df: int = 2) -> list:
-    """Stages from text to TF-IDF of one- to n-word terms, hashed."""
+def featurizer(text_col: str = "text", features: int = 1 << 12, n_max: int = 2, min_df: int = 2, counted: bool = False) -> list:
+    """Stages from text to TF-IDF of one- to n-word terms, hashed, or ``counted``: the ``features`` most frequent ones of those in ``min_df`` texts."""
     words = [RegexTokenizer(inputCol=text_col, outputCol="_raw", pattern=r"(?U)[\p{L}\p{N}_]{2,}", gaps=False), StopWordsRemover(inputCol="_raw", outputCol="_w1", stopWords=STOP_WORDS, locale="en_US")]
     words += [NGram(n=n, inputCol="_w1", outputCol=f"_w{n}") for n in range(2, n_max + 1)]
     joined = SQLTransformer(statement=f"SELECT *, concat({', '.join(f'_w{n}' for n in range(1, n_max + 1))}) AS _terms FROM __THIS__")
+    if counted:
+        return [*words, joined, CountVectorizer(vocabSize=features, minDF=min_df, inputCol="_terms", outputCol="_tf"), IDF(inputCol="_tf", outputCol="features")]
     return [*words, joined, HashingTF(numFeatures=features, inputCol="_terms", outputCol="_tf"), IDF(minDocFreq=min_df, inputCol="_tf", outputCol="features")]
 
 
@@ -80,6 +82,54 @@ def cross_validate(rows: DataFrame, label_col: str, kind: str, folds: int = 2, i
     return out
 
 
+def counted_forest(rows: DataFrame, label_col: str, text_col: str = "text", features: int = 1000, n_max: int = 3, trees: int = 200) -> PipelineModel:
+    """A forest on a counted vocabulary of 1- to 3-word terms; the driver sees the vocabulary, which ``features`` bounds, and the trees."""
+    index = StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, seed=42)
+    return Pipeline(stages=[index, *featurizer(text_col, features, n_max, counted=True), forest]).fit(rows)
+
+
+def fold_accuracies(rows: DataFrame, label_col: str, folds: int = 5, id_col: str = "doc_id", group: str | None = None, **forest) -> DataFrame:
+    """``(fold, label, rows, correct)`` of counted forests, each fitted on all folds but one and scored on that.
+
+    Folds are exactly stratified. With ``group``, folds are dealt to the groups by hash instead, so that related rows (an original and its paraphrase)
+    stay in one. Null labels take no part.
+    """
+    from inkwell.operators.tables import stored
+    from inkwell.operators.voting import stratified_folds
+
+    known = rows.where(F.col(label_col).isNotNull()).withColumn("_expected", F.col(label_col).cast("string")).drop(label_col)
+    label_col = "_expected"
+    if group:
+        known = stored(known.withColumn("fold", F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds)).cast("int")), "folds")
+    else:
+        known = stored(stratified_folds(stored(known, "labelled"), label_col, id_col, folds), "folds")
+    out = None
+    for i in range(folds):
+        model = counted_forest(known.where(F.col("fold") != i).drop("fold"), label_col, **forest)
+        names = F.array(*[F.lit(n) for n in model.stages[0].labels])
+        said = PipelineModel(model.stages[1:]).transform(known.where(F.col("fold") == i)).select(F.col("_expected").alias("label"), "prediction")
+        right = F.element_at(names, F.col("prediction").cast("int") + 1) == F.col("label")
+        one = said.groupBy("label").agg(F.count("*").alias("rows"), F.count_if(right).alias("correct")).select(F.lit(i).cast("long").alias("fold"), "label", "rows", "correct")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def evaluate_bands(results: DataFrame, bands: list[tuple[str, float | None, float | None]], keys: list[str]) -> DataFrame:
+    """By ``keys``: accuracy, mean confidence, mean seconds, score accuracy and rows of ``predicted, expected, confidence, seconds, score``.
+
+    A score is right if it lies in the band of the expected label: from the second value on, below the third; a missing bound is open and a label
+    without a band is never right. The top band takes its lower bound alone. Nulls in a measure are left out of its mean.
+    """
+    inside = F.lit(False)
+    for label, low, high in bands:
+        here = F.col("expected") == label
+        inside = inside | (here & (F.lit(True) if low is None else F.col("score") >= low) & (F.lit(True) if high is None else F.col("score") < high))
+    return results.groupBy(*keys).agg(
+        F.avg(F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False)).cast("double")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"), F.avg("seconds").alias("mean_seconds"),
+        F.avg(F.coalesce(inside, F.lit(False)).cast("double")).alias("score_accuracy"), F.count("*").alias("rows"))
+
+
 def score_with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document's predicted quality, by logistic regression fitted on the labelled rows outside the held-out split."""
     rows = docs.join(labels.select("doc_id", "quality"), "doc_id").select("doc_id", "text", "quality").where(~held_out())

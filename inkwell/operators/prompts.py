@@ -67,3 +67,26 @@ def framed(idea: Column, framework: str, clauses: Column) -> Column:
     """A prompt outline in a framework's parts, with the conditional clauses an idea calls for."""
     parts = K.FRAMEWORKS.get(framework, K.FRAMEWORKS["rtf"])
     return F.concat(F.lit("".join(f"{p}: …\n" for p in parts)), F.lit("Idea: "), T.typographic(idea), F.lit("\n"), F.array_join(clauses, "\n"))
+
+
+def overviews(docs: DataFrame, provider: Generator | None = None, questions: int = 4, id_col: str = "doc_id", text_col: str = "text", chunks: int = 6, limit: int = 4000) -> DataFrame:
+    """``(id, summary, questions, error)``: what a document is about, and questions that it answers.
+
+    The prompt holds the first ``chunks`` chunks, cut at ``limit`` characters. A reply without a summary part is its own summary, up to 400
+    characters; list items count as questions if they end in a question mark or have four words. A document without
+    text, and a failed backend, give an error.
+    """
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("chunk_id") < chunks, F.struct("chunk_id", "chunk")))), lambda c: c["chunk"]), "\n\n")
+    heads = T.chunks(docs.where(F.col(text_col).isNotNull()), id_col, text_col).groupBy(id_col).agg(F.substring(first, 1, limit).alias("_head"))
+    rows = docs.select(id_col).distinct().join(heads, id_col, "left")
+    ask = F.concat(F.lit(f"Say in two or three sentences what the document that begins below is about. Then list exactly {questions} questions that it answers.\nAnswer in this form:\nSUMMARY: <summary>\nQUESTIONS:\n- <question>\n\nDocument:\n"), T.neutralise(F.col("_head")))
+    said = generate(rows.select(id_col, ask.alias("_ask")), "_ask", provider, "_reply")
+    reply = F.coalesce("_reply", F.lit(""))
+    none = F.col("_ask").isNull()
+    error = F.when(none, "No document loaded.").when(unavailable(F.col("_reply")), reply)
+    part = F.trim(F.regexp_extract(reply, r"(?is)SUMMARY:\s*(.+?)(?:\n\s*QUESTIONS:|$)", 1))
+    listed = F.filter(F.transform(F.split(reply, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^(?:[-*•]|\d+[.)])"))
+    asked = F.filter(F.transform(listed, lambda x: F.trim(F.regexp_replace(x, r"^[-•*\d.)\s]+", ""))), lambda q: (q != "") & (q.endswith("?") | (T.words(q) >= 4)))
+    ok = F.col("error").isNull()
+    said = said.withColumn("error", error)
+    return said.select(id_col, F.when(ok, F.when(part != "", part).otherwise(F.substring(F.trim(reply), 1, 400))).otherwise("").alias("summary"), F.when(ok, F.slice(asked, 1, questions)).otherwise(F.array().cast("array<string>")).alias("questions"), "error")

@@ -52,6 +52,16 @@ def topic_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select(id_col, "predicted", F.when(F.col("n") == 0, 0.0).otherwise(F.round(confidence, 6)).alias("confidence"), F.round(strength, 6).alias("density"), F.round("complexity", 6).alias("complexity"), "specificity", "methodology", "analysis", "field", F.round("approach", 6).alias("approach"))
 
 
+def keyword_densities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, <type>_density …)``: for each of the ten types, how many of its keywords stand in the text, by its number of words.
+
+    A text without words, or a null one, has densities of 0.
+    """
+    low = F.lower(F.coalesce(text_col, F.lit("")))
+    rows = docs.select(id_col, low.alias("low"), T.words(low).alias("n"))
+    return rows.select(id_col, *[F.when(F.col("n") == 0, 0.0).otherwise(F.round(hits(F.col("low"), ws) / F.col("n"), 6)).alias(f"{k}_density") for k, ws in K.TOPIC_TYPES.items()])
+
+
 def enhanced_words(c: Column) -> Column:
     """Words of the lower-case text without citations, stock phrases and short or stop words; known terms abbreviated."""
     c = F.lower(c)

@@ -982,3 +982,18 @@ def prompt_repairs(spark, sf_dir):
     rows = turns.unionByName(papers(spark, sf_dir).select(F.concat_ws("-", F.lit("doc"), "doc_id").alias("id"), F.col("text").alias("prompt")))
     return E.repaired(rows, Scrubber()).select("id", F.md5("prompt").alias("prompt_md5"), F.col("passes").cast("long").alias("passes"), "residual", "warning")
 
+
+_DENSITIES = ", ".join(f"CASE WHEN n = 0 THEN 0 ELSE round({_HITS(ws)}::DOUBLE / n, 6) END AS {k}_density" for k, ws in K.TOPIC_TYPES.items())
+
+
+@query(f"WITH {P.DOCS}, {_LOW}, a AS (SELECT doc_id, lo, {words_sql('lo')} AS n FROM lw) SELECT doc_id, {_DENSITIES} FROM a")
+def topic_keyword_densities(spark, sf_dir):
+    return V.keyword_densities(papers(spark, sf_dir))
+
+
+@query()
+def forest_fold_accuracies(spark, sf_dir):
+    """Languages by forests of 200 trees on a counted vocabulary of 1- to 3-word terms: rows and hits of each label in each stratified fold."""
+    from inkwell.operators.models import fold_accuracies
+
+    return fold_accuracies(table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where("text IS NOT NULL"), "lang", folds=3)

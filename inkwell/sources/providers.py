@@ -64,6 +64,42 @@ def generate(rows: DataFrame, prompt_col: str, provider: Generator | None = None
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias(out_col)).schema)
 
 
+class InOrder:
+    """Backends by name, asked one after the other: what one answers with a sentinel, or fails on, goes to the next.
+
+    What none answers keeps the last sentinel.
+    """
+
+    def __init__(self, backends: list[tuple[str, Generator]]):
+        self.backends = backends
+
+    @staticmethod
+    def failed(reply: str | None) -> bool:
+        from inkwell.functions.lexicons import UNAVAILABLE
+
+        low = (reply or "").strip().lower()
+        return not low or low.startswith(tuple(UNAVAILABLE))
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        out = [OFFLINE] * len(prompts)
+        open_ = list(range(len(prompts)))
+        for name, backend in self.backends:
+            if not open_:
+                break
+            try:
+                said = backend.generate([prompts[i] for i in open_])
+            except Exception as e:  # a backend is another's code: whatever it raises, the next one is asked
+                said = [f"Error: backend '{name}': {e}"] * len(open_)
+            for i, reply in zip(open_, said, strict=True):
+                out[i] = reply or OFFLINE
+            open_ = [i for i in open_ if self.failed(out[i])]
+        return out
+
+    def status(self) -> dict[str, bool]:
+        """Which backends say that they are available; one that can't tell counts as available."""
+        return {name: bool(getattr(b, "available", lambda: True)()) for name, b in self.backends}
+
+
 def embed(rows: DataFrame, text_col: str, provider: Embedder | None = None, batch: int = 16) -> DataFrame:
     """Adds ``embedding`` (null without a provider)."""
     if provider is None:
