@@ -10,6 +10,11 @@ from inkwell.functions import text as T
 from inkwell.functions.lexicons import REFERENCE_STOP_WORDS
 
 REFERENCE = "id long, title string, authors array<struct<given:string,family:string>>, year string, journal string, publisher string, doi string, url string"
+#: The ways a page names what it is (fixed values): ``citation_author`` as well as ``author``, and so on.
+META = r'(?i)<meta\s+name="(?:citation_)?%s"\s+content="([^"]*)"'
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+HOST = r"^[a-z][a-z0-9+.-]*://([^/?#]+)"
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 DOI = r"(?i)10\.\d{4,9}/[^\s,;\])]+"
 
 
@@ -53,6 +58,27 @@ def formatted(style: str) -> Column:
     return F.concat(line, F.when(link != "", F.concat(F.lit(" "), link)).otherwise(""))
 
 
+def cited_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Web pages as references: title, authors, year, journal and DOI as a page's head states them, its host as the publisher.
+
+    What a page does not state is empty, for a null page all of it. The last word of an author's name is the family's.
+    """
+
+    def plain(c: Column) -> Column:
+        for entity, char in ENTITIES:
+            c = F.replace(c, F.lit(entity), F.lit(char))
+        return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+    html, url = F.coalesce(html_col, F.lit("")), F.coalesce(url_col, F.lit(""))
+    meta = lambda name: plain(F.regexp_extract(html, META % name, 1))
+    names = F.filter(F.transform(F.regexp_extract_all(html, F.lit(META % "author"), F.lit(1)), plain), lambda n: n != "")
+    authors = F.transform(names, lambda n: F.struct(F.trim(F.regexp_replace(n, r"\S+$", "")).alias("given"), F.regexp_extract(n, r"\S+$", 0).alias("family")))
+    year = F.regexp_extract(meta("(?:publication_)?date"), r"(?:19|20)\d\d", 0)
+    return pages.select(
+        F.col(id_col).alias("id"), plain(F.regexp_extract(html, TITLE, 1)).alias("title"), authors.alias("authors"), year.alias("year"), meta("journal_title").alias("journal"),
+        F.regexp_extract(F.lower(url), HOST, 1).alias("publisher"), F.regexp_replace(F.regexp_extract(meta("doi"), DOI, 0), r"\.+$", "").alias("doi"), url.alias("url"))
+
+
 def best_records(refs: DataFrame, id_col: str = "id") -> DataFrame:
     """One record for each title key, with a DOI first, then most authors, then the earliest; at the key's first place.
 

@@ -140,6 +140,26 @@ def parsed_score(raw: Column) -> Column:
     return clamp_score(F.coalesce(obj, last))
 
 
+def covered_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Items of the default rubric (``id, index, score, weight, severity, unavailable``) scored by the share of their words that a text has.
+
+    Under 20 percent an item is critical, under 40 major, under 60 minor. A text that is null or blank can't be judged: its items score 0
+    and are unavailable.
+    """
+    have = T.content_tokens(F.col(text_col), L.REFERENCE_STOP_WORDS)
+    blank = F.trim(F.coalesce(text_col, F.lit(""))) == ""
+
+    def item(i: int, weight: float, content: str) -> Column:
+        want = T.content_tokens(F.lit(content), L.REFERENCE_STOP_WORDS)
+        share = F.floor(100 * F.size(F.array_intersect(want, "_have")) / F.greatest(F.size(want), F.lit(1)))
+        return F.struct(F.lit(i).alias("index"), F.when(F.col("_blank"), 0.0).otherwise(share.cast("double")).alias("score"), F.lit(float(weight)).alias("weight"))
+
+    rows = docs.select(id_col, have.alias("_have"), blank.alias("_blank"))
+    rows = rows.select(id_col, "_blank", F.explode(F.array(*[item(i, w, c) for i, (w, c) in enumerate(L.RUBRIC)])).alias("i")).select(id_col, "i.*", F.col("_blank").alias("unavailable"))
+    level = F.when(F.col("score") < 20, "Critical").when(F.col("score") < 40, "Major").when(F.col("score") < 60, "Minor").otherwise("None")
+    return rows.select(id_col, "index", "score", "weight", level.alias("severity"), "unavailable")
+
+
 def rubric_total(items: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted mean of scored items (``score, weight, unavailable``); a plain mean if all weights are 0.
 

@@ -105,6 +105,12 @@ def paper_types(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(id_col, rank.cast("long").alias("rank"), "s.paper_type", "s.score", F.round(F.least(F.col("s.score") / 5, F.lit(0.95)), 6).alias("confidence"))
 
 
+def of_type(docs: DataFrame, per_type: list[tuple], columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of a small table by type (its first column ``paper_type``) for each text's likeliest type; a null text counts as empty."""
+    kinds = paper_types(docs.withColumn(text_col, F.coalesce(text_col, F.lit(""))), id_col, text_col, top=1).select(id_col, "paper_type")
+    return kinds.join(F.broadcast(docs.sparkSession.createDataFrame(per_type, f"paper_type string, {columns}")), "paper_type").select(id_col, "paper_type", *[c.split()[0] for c in columns.split(", ")])
+
+
 def first_match(text: Column, chain: list[tuple[str, list[str]]], otherwise: str) -> Column:
     """The first label of a chain of which a keyword stands in the text."""
     out = None

@@ -694,24 +694,51 @@ def lemmatised_forms(spark, sf_dir):
     return put.groupBy("doc_id").agg(F.count_if(F.col("lemma") != F.col("word")).alias("n_changed"), F.md5(M.in_order()).alias("lemmas_md5"))
 
 
-@query(f"SELECT paper_type, section, CAST(greatest(120, least(coalesce(hi, 250), 350)) AS BIGINT) AS target FROM {P.values(L.templates(), 'paper_type, ord, section, lo, hi')}")
+_OF_TYPE = f"WITH {P.DOCS}, lo AS (SELECT doc_id, coalesce(lower(text), '') AS t FROM docs), ty AS ({_TYPES}), kd AS (SELECT doc_id, arg_max(paper_type, score * 100 - o) AS paper_type FROM ty GROUP BY doc_id)"
+
+
+@query(f"{_OF_TYPE} SELECT doc_id, paper_type, section, CAST(greatest(120, least(coalesce(hi, 250), 350)) AS BIGINT) AS target FROM kd JOIN {P.values(L.templates(), 'paper_type, ord, section, lo, hi')} USING (paper_type)")
 def section_targets(spark, sf_dir):
+    """Sections that a document of its likeliest type should have, and the words to write for each."""
     from inkwell.operators.prompts import section_limits
 
-    return spark.createDataFrame(section_limits(), "paper_type string, section string, target long")
+    return X.of_type(papers(spark, sf_dir), section_limits(), "section string, target long")
+
 
+_GUIDANCE = [(k, s, ", ".join(x)) for k, (s, x) in K.GUIDANCE.items()]
 
-@query(f"SELECT * FROM {P.values([(k, s, ', '.join(x)) for k, (s, x) in K.GUIDANCE.items()], 'paper_type, content_style, key_sections')}")
+
+@query(f"{_OF_TYPE} SELECT doc_id, paper_type, content_style, key_sections FROM kd JOIN {P.values(_GUIDANCE, 'paper_type, content_style, key_sections')} USING (paper_type)")
 def type_guidance(spark, sf_dir):
-    return spark.createDataFrame([(k, s, ", ".join(x)) for k, (s, x) in K.GUIDANCE.items()], "paper_type string, content_style string, key_sections string")
+    """What to heed in a document of its likeliest type."""
+    return X.of_type(papers(spark, sf_dir), _GUIDANCE, "content_style string, key_sections string")
 
 
 # references and review
 
-@query(rf"""WITH r AS (SELECT *, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) AS k0 FROM {P.values(P.REFERENCES, 'id, title, authors, year, journal, publisher, doi, url')}), k AS (SELECT *, CASE WHEN k0 = '' THEN '#' || id ELSE k0 END AS k FROM r)
+def _plain_sql(x: str) -> str:
+    for entity, char in B.ENTITIES:
+        x = f"replace({x}, {P.literal(entity)}, {P.literal(char)})"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+_META = lambda name: _plain_sql(f"regexp_extract(h, {quoted(B.META % name)}, 1)")
+#: Inline references, below the pages' ids, and the pages as references.
+_RECORDS = rf"""(SELECT -id AS id, title, authors, year, journal, publisher, doi, url FROM {P.values(P.REFERENCES, 'id, title, authors, year, journal, publisher, doi, url')} UNION ALL
+SELECT page_id, {_plain_sql(f"regexp_extract(h, {quoted(B.TITLE)}, 1)")}, list_transform(list_filter(list_transform(regexp_extract_all(h, {quoted(B.META % 'author')}, 1), lambda n: {_plain_sql('n')}), lambda n: n <> ''), lambda n: {{'given': trim(regexp_replace(n, '\S+$', '')), 'family': regexp_extract(n, '\S+$')}}),
+regexp_extract({_META('(?:publication_)?date')}, '(?:19|20)\d\d'), {_META('journal_title')}, regexp_extract(lower(u), {quoted(B.HOST)}, 1), regexp_replace(regexp_extract({_META('doi')}, {quoted(B.DOI)}), '\.+$', ''), u FROM (SELECT page_id, coalesce(html, '') AS h, coalesce(url, '') AS u FROM pages))"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as references, and the inline ones."""
+    inline = spark.createDataFrame(P.REFERENCES, B.REFERENCE).withColumn("id", -F.col("id"))
+    return B.cited_pages(table(spark, sf_dir, "pages")).unionByName(inline)
+
+
+@query(rf"""WITH r AS (SELECT *, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) AS k0 FROM {_RECORDS}), k AS (SELECT *, CASE WHEN k0 = '' THEN '#' || id ELSE k0 END AS k FROM r)
 SELECT id, min(id) OVER (PARTITION BY k) AS place FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doi <> '' DESC, len(authors) DESC, id) = 1""")
 def dedupe_best_record(spark, sf_dir):
-    return B.best_records(spark.createDataFrame(P.REFERENCES, B.REFERENCE))
+    return B.best_records(records(spark, sf_dir))
 
 
 @query("SELECT min(doc_id) AS id, min(doc_id) AS place FROM documents GROUP BY CASE WHEN trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) = '' THEN '#' || doc_id ELSE trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) END")
@@ -727,7 +754,7 @@ _LISTED = lambda n, last: f"CASE WHEN len({n}) = 0 THEN '' WHEN len({n}) > 6 THE
 _WHOLE = lambda a: f"regexp_replace(trim(coalesce({a}.family, '') || ', ' || coalesce({a}.given, '')), ',+$', '')"
 
 
-@query(f"""WITH r AS (SELECT id, coalesce(title, '') AS title, coalesce(year, '') AS yr, coalesce(doi, '') AS doi, coalesce(url, '') AS url, CASE WHEN coalesce(journal, '') <> '' THEN journal ELSE coalesce(publisher, '') END AS src, authors, list_filter(authors, lambda a: coalesce(a.family, '') <> '') AS named FROM {P.values(P.REFERENCES, 'id, title, authors, year, journal, publisher, doi, url')}),
+@query(f"""WITH r AS (SELECT id, coalesce(title, '') AS title, coalesce(year, '') AS yr, coalesce(doi, '') AS doi, coalesce(url, '') AS url, CASE WHEN coalesce(journal, '') <> '' THEN journal ELSE coalesce(publisher, '') END AS src, authors, list_filter(authors, lambda a: coalesce(a.family, '') <> '') AS named FROM {_RECORDS}),
 n AS (SELECT *, CASE WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE url END AS link, list_transform(named, lambda a: regexp_replace(trim(a.family || ', ' || {_INITIALS}), ',+$', '')) AS apa_n, list_transform(named, lambda a: trim({_INITIALS} || ' ' || a.family)) AS ieee_n,
 CASE WHEN len(authors) = 0 THEN '' WHEN len(authors) = 1 THEN {_WHOLE('authors[1]')} WHEN len(authors) = 2 THEN {_WHOLE('authors[1]')} || ', and ' || {_PARTED('authors[2].given', 'authors[2].family')} ELSE {_WHOLE('authors[1]')} || ', et al.' END AS mla_n FROM r),
 f AS (SELECT *, {_LISTED('apa_n', ', & ')} AS apa_a, {_LISTED('ieee_n', ', ')} AS ieee_a FROM n)
@@ -735,59 +762,86 @@ SELECT id, {_PARTED('apa_a', "CASE WHEN yr <> '' THEN '(' || yr || ').' END", "t
 {_PARTED(_END('ieee_a', ','), "'" + '"' + "' || title || CASE WHEN src <> '' OR yr <> '' THEN '," + '"' + "' ELSE '." + '"' + "' END", "CASE WHEN src <> '' THEN src || CASE WHEN yr <> '' THEN ',' ELSE '.' END END", _END('yr', '.'))} || CASE WHEN doi <> '' THEN ' doi: ' || doi || '.' WHEN url <> '' THEN ' [Online]. Available: ' || url || '.' ELSE '' END AS ieee,
 {_PARTED(_END('mla_n', '.'), "'" + '"' + "' || title || '." + '"' + "'", _END('src', ','), _END('yr', '.'))} || CASE WHEN link <> '' THEN ' ' || link || '.' ELSE '' END AS mla FROM f""")
 def reference_formats(spark, sf_dir):
-    return spark.createDataFrame(P.REFERENCES, B.REFERENCE).select("id", *[B.formatted(s).alias(s.lower()) for s in ("APA", "IEEE", "MLA")])
+    return records(spark, sf_dir).select("id", *[B.formatted(s).alias(s.lower()) for s in ("APA", "IEEE", "MLA")])
 
 
 _RTOK = lambda c: rf"list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({listed(L.REFERENCE_STOP_WORDS)}, t)))"
 
 
-_VERDICTS = lambda entries: rf"""e AS (SELECT entry_id, lower(regexp_replace(regexp_extract(entry, '(?i)10\.\d{{4,9}}/[^\s,;\])]+'), '\.+$', '')) AS ed, {_RTOK('entry')} AS et FROM {entries}),
-c AS (SELECT id, lower(coalesce(doi, '')) AS fd, {_RTOK('title')} AS tt FROM {P.values(P.REFERENCES, 'id, title, authors, year, journal, publisher, doi, url')}),
-m AS (SELECT entry_id, id, fd, 1.0::DOUBLE AS f1, len(tt) AS nt, true AS by_doi FROM e JOIN c ON ed = fd AND ed <> '' UNION ALL SELECT entry_id, id, fd, round(2.0::DOUBLE * len(list_intersect(et, tt)) / (len(tt) + greatest(len(et), 1)), 6), len(tt), false FROM e JOIN c ON len(list_intersect(et, tt)) > 0),
+_INLINE_RECORDS = P.values(P.REFERENCES, "id, title, authors, year, journal, publisher, doi, url")
+_VERDICTS = lambda entries, catalogue: rf"""e AS (SELECT entry_id, lower(regexp_replace(regexp_extract(entry, '(?i)10\.\d{{4,9}}/[^\s,;\])]+'), '\.+$', '')) AS ed, {_RTOK('entry')} AS et FROM {entries}),
+c AS (SELECT id, lower(coalesce(doi, '')) AS fd, {_RTOK('title')} AS tt FROM {catalogue}),
+sh AS (SELECT entry_id, id, fd, ne, nt, count(*) AS o FROM (SELECT entry_id, len(et) AS ne, unnest(et) AS t FROM e) JOIN (SELECT id, fd, len(tt) AS nt, unnest(tt) AS t FROM c) USING (t) GROUP BY ALL),
+m AS (SELECT entry_id, id, fd, 1.0::DOUBLE AS f1, len(tt) AS nt, true AS by_doi FROM e JOIN c ON ed = fd AND ed <> '' UNION ALL SELECT entry_id, id, fd, round(2.0::DOUBLE * o / (nt + greatest(ne, 1)), 6), nt, false FROM sh),
 b AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY by_doi DESC, f1 DESC, id) AS r FROM m QUALIFY r = 1),
 v AS (SELECT e.entry_id, ed, id, fd, coalesce(f1, 0) AS f1, nt, coalesce(by_doi, false) AS bd FROM e LEFT JOIN b USING (entry_id)), w AS (SELECT *, CASE WHEN bd OR (f1 >= 0.7 AND nt >= 4) THEN 'Verified' WHEN f1 >= 0.4 THEN 'Possible match' ELSE 'Not found' END AS verdict FROM v)"""
 
 
-@query(f"""WITH {P.DOCS}, {_ENTRIES}, fi AS (SELECT doc_id * 20 + pos AS entry_id, entry FROM ent WHERE pos < 20), {_VERDICTS('fi')}, sz AS (SELECT doc_id, count(*) AS entries FROM ent GROUP BY doc_id)
+@query(f"""WITH {P.DOCS}, {_ENTRIES}, fi AS (SELECT doc_id * 20 + pos AS entry_id, entry FROM ent WHERE pos < 20), {_VERDICTS('fi', _INLINE_RECORDS)}, sz AS (SELECT doc_id, count(*) AS entries FROM ent GROUP BY doc_id)
 SELECT sz.doc_id, any_value(entries) AS entries, count(*) FILTER (WHERE verdict = 'Verified') AS verified, count(*) FILTER (WHERE verdict = 'Possible match') AS possible, count(*) FILTER (WHERE verdict = 'Not found') AS not_found, any_value(entries) > 20 AS truncated FROM sz JOIN w ON CAST(floor(entry_id / 20) AS BIGINT) = sz.doc_id GROUP BY sz.doc_id""")
 def checked_lists(spark, sf_dir):
     return B.checked_lists(papers(spark, sf_dir), spark.createDataFrame(P.REFERENCES, B.REFERENCE))
 
 
-@query(rf"""WITH {_VERDICTS(P.values(P.ENTRIES, 'entry_id, entry'))}
+@query(rf"""WITH {_VERDICTS(f"(SELECT -entry_id AS entry_id, entry FROM {P.values(P.ENTRIES, 'entry_id, entry')} UNION ALL SELECT item_id, text FROM benchmark)", _RECORDS)}
 SELECT entry_id, verdict, f1 AS confidence, id AS matched_id, coalesce(verdict = 'Verified' AND NOT bd AND ed <> '' AND fd <> '' AND ed <> fd, false) AS doi_mismatch FROM w""")
 def reference_verdicts(spark, sf_dir):
-    return B.verdicts(spark.createDataFrame(P.ENTRIES, "entry_id long, entry string"), spark.createDataFrame(P.REFERENCES, B.REFERENCE))
+    """Which passages of the benchmark cite a known reference: inline ones and pages."""
+    entries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), F.col("text").alias("entry"))
+    inline = spark.createDataFrame(P.ENTRIES, "entry_id long, entry string").withColumn("entry_id", -F.col("entry_id"))
+    return B.verdicts(entries.unionByName(inline), records(spark, sf_dir))
 
 
 ITEM = "paper long, index int, score double, weight double, severity string, unavailable boolean"
-_ITEMS = P.values(P.ITEMS, "paper, index, score, weight, severity, unavailable")
+_WORDS_OF = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(" + listed(L.REFERENCE_STOP_WORDS) + ", w)))"
+#: Inline items, below the documents' ids, and the default rubric scored for each document.
+_ITEMS = rf"""(SELECT -paper AS paper, index, score::DOUBLE AS score, weight::DOUBLE AS weight, severity, unavailable FROM {P.values(P.ITEMS, "paper, index, score, weight, severity, unavailable")} UNION ALL
+SELECT doc_id, i, score::DOUBLE, weight, CASE WHEN score < 20 THEN 'Critical' WHEN score < 40 THEN 'Major' WHEN score < 60 THEN 'Minor' ELSE 'None' END, blank FROM (SELECT doc_id, i, weight::DOUBLE AS weight, blank, CASE WHEN blank THEN 0 ELSE (100 * len(list_intersect(want, have))) // greatest(1, len(want)) END AS score
+FROM (SELECT doc_id, {_WORDS_OF.format("coalesce(text, '')")} AS have, trim(coalesce(text, '')) = '' AS blank FROM documents), (SELECT i, weight, {_WORDS_OF.format('content')} AS want FROM {P.values([(i, w, c) for i, (w, c) in enumerate(L.RUBRIC)], 'i, weight, content')})))"""
+
+
+def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default rubric scored for each document, and the inline items."""
+    inline = spark.createDataFrame(P.ITEMS, ITEM).withColumn("paper", -F.col("paper"))
+    return R.covered_items(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "paper").unionByName(inline)
 
 
 @query(f"""WITH i AS (SELECT *, CASE WHEN weight IS NULL THEN 1.0 WHEN weight < 0 THEN 0 ELSE weight END::DOUBLE AS w FROM {_ITEMS}), g AS (SELECT paper, coalesce(sum(score * w) FILTER (WHERE NOT unavailable), 0) AS sw, coalesce(sum(w) FILTER (WHERE NOT unavailable), 0) AS s, avg(score) FILTER (WHERE NOT unavailable) AS p, count(*) FILTER (WHERE NOT unavailable) AS scored, count(*) FILTER (WHERE unavailable) AS skipped FROM i GROUP BY ALL)
 SELECT paper, round(CASE WHEN s > 0 THEN sw / s ELSE coalesce(p, 0) END, 6)::DOUBLE AS total, scored, skipped FROM g""")
 def rubric_total(spark, sf_dir):
-    return R.rubric_total(spark.createDataFrame(P.ITEMS, ITEM), ["paper"])
+    return R.rubric_total(scored_items(spark, sf_dir), ["paper"])
 
 
 @query(f"""SELECT paper, row_number() OVER (PARTITION BY paper ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'Major' THEN 1 WHEN 'Minor' THEN 2 WHEN 'None' THEN 4 ELSE 3 END, coalesce(weight, 0) * (100 - score) DESC, index) AS place, index, severity, score::DOUBLE AS score FROM {_ITEMS} WHERE NOT unavailable AND (severity IN ('Critical', 'Major', 'Minor') OR score < 60) QUALIFY place <= 6""")
 def revision_plan(spark, sf_dir):
-    return R.revision_plan(spark.createDataFrame(P.ITEMS, ITEM), ["paper"])
+    return R.revision_plan(scored_items(spark, sf_dir), ["paper"])
 
 
-@query(f"SELECT i AS item, weight::DOUBLE AS weight, content FROM {P.values([(i, w, c) for i, (w, c) in enumerate(L.RUBRIC)], 'i, weight, content')}")
+@query(f"SELECT doc_id, i AS item, weight::DOUBLE AS weight, content FROM documents, {P.values([(i, w, c) for i, (w, c) in enumerate(L.RUBRIC)], 'i, weight, content')} WHERE trim(coalesce(text, '')) <> ''")
 def default_rubric(spark, sf_dir):
-    return spark.createDataFrame([(i, w, c) for i, (w, c) in enumerate(L.RUBRIC)], "item int, weight double, content string")
+    """The rubric that stands in for each document when no backend writes one."""
+    from inkwell.operators.review import rubrics
+
+    return rubrics(table(spark, sf_dir, "documents")).select("doc_id", F.col("index").alias("item"), "weight", "content")
+
+
+#: Inline replies as turns of a conversation -1, and the assistant's turns.
+_REPLIES = lambda inline: f"(SELECT -1 AS conv_id, turn, raw FROM {P.values(inline, 'turn, raw')} UNION ALL SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')"
+
+
+def replies(spark: SparkSession, sf_dir: str, inline: list[tuple]) -> DataFrame:
+    """The assistant's turns of all conversations, and inline ones."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("raw"))
+    return turns.unionByName(spark.createDataFrame(inline, "turn long, raw string").withColumn("conv_id", F.lit(-1).cast("long")))
 
 
 _SENTINEL = " OR ".join(f"starts_with(lower(trim(coalesce(raw, ''))), {P.literal(p)})" for p in L.UNAVAILABLE)
 
 
-@query(rf"""WITH r AS (SELECT *, json_extract_string(CASE WHEN regexp_extract(raw, '(?s)\{{[^{{}}]*"score"[^{{}}]*\}}') <> '' THEN regexp_extract(raw, '(?s)\{{[^{{}}]*"score"[^{{}}]*\}}') END, '$.score') AS o, regexp_extract_all(raw, '(?i)"?score"?\s*[:=]\s*(\d{{1,3}})', 1) AS s, regexp_extract_all(raw, '(?i)score\D{{0,6}}(\d{{1,3}})', 1) AS l FROM {P.values(P.REPLIES, 'reply_id, raw')})
-SELECT reply_id, CAST(greatest(0, least(100, trunc(coalesce(try_cast(coalesce(o, CASE WHEN len(s) > 0 THEN s[-1] WHEN len(l) > 0 THEN l[-1] END) AS DOUBLE), 0)))) AS BIGINT) AS score, trim(coalesce(raw, '')) = '' OR {_SENTINEL} AS unavailable FROM r""")
+@query(rf"""WITH r AS (SELECT *, json_extract_string(CASE WHEN regexp_extract(raw, '(?s)\{{[^{{}}]*"score"[^{{}}]*\}}') <> '' THEN regexp_extract(raw, '(?s)\{{[^{{}}]*"score"[^{{}}]*\}}') END, '$.score') AS o, regexp_extract_all(raw, '(?i)"?score"?\s*[:=]\s*(\d{{1,3}})', 1) AS s, regexp_extract_all(raw, '(?i)score\D{{0,6}}(\d{{1,3}})', 1) AS l FROM {_REPLIES(P.REPLIES)})
+SELECT conv_id, turn, CAST(greatest(0, least(100, trunc(coalesce(try_cast(coalesce(o, CASE WHEN len(s) > 0 THEN s[-1] WHEN len(l) > 0 THEN l[-1] END) AS DOUBLE), 0)))) AS BIGINT) AS score, trim(coalesce(raw, '')) = '' OR {_SENTINEL} AS unavailable FROM r""")
 def score_replies(spark, sf_dir):
-    rows = spark.createDataFrame(P.REPLIES, "reply_id long, raw string")
-    return rows.select("reply_id", R.parsed_score(F.col("raw")).alias("score"), R.unavailable(F.col("raw")).alias("unavailable"))
+    return replies(spark, sf_dir, P.REPLIES).select("conv_id", "turn", R.parsed_score(F.col("raw")).alias("score"), R.unavailable(F.col("raw")).alias("unavailable"))
 
 
 def _word_count(text: str, word: str) -> str:
@@ -857,11 +911,11 @@ def text_repairs(spark, sf_dir):
 REPLIED = [(1, "```python\nx = 1\n```"), (2, "```\nplain\nlines\n```"), (3, "no fence"), (4, "## Results:\nThe body."), (5, "Results\nThe body."), (6, "Results of it\nThe body.")]
 
 
-@query(rf"""SELECT id, CASE WHEN regexp_matches(trim(text), '(?s)^```[A-Za-z0-9_-]*\s*\n.*```$') THEN regexp_extract(trim(text), '(?s)^```[A-Za-z0-9_-]*\s*\n(.*?)\n?```$', 1) ELSE trim(text) END AS bare,
-CASE WHEN {heading_sql("string_split(ltrim(text), chr(10))[1]")} = 'results' THEN trim(substr(ltrim(text), length(string_split(ltrim(text), chr(10))[1]) + 2)) ELSE text END AS body FROM {P.values(REPLIED, 'id, text')}""")
+@query(rf"""SELECT conv_id, turn, md5(CASE WHEN regexp_matches(trim(raw), '(?s)^```[A-Za-z0-9_-]*\s*\n.*```$') THEN regexp_extract(trim(raw), '(?s)^```[A-Za-z0-9_-]*\s*\n(.*?)\n?```$', 1) ELSE trim(raw) END) AS bare_md5,
+md5(CASE WHEN {heading_sql("string_split(ltrim(raw), chr(10))[1]")} = 'results' THEN trim(substr(ltrim(raw), length(string_split(ltrim(raw), chr(10))[1]) + 2)) ELSE raw END) AS body_md5 FROM {_REPLIES(REPLIED)}""")
 def reply_repairs(spark, sf_dir):
-    rows = spark.createDataFrame(REPLIED, "id long, text string")
-    return rows.select("id", T.strip_fence(F.col("text")).alias("bare"), T.drop_echoed_heading(F.col("text"), F.lit("Results")).alias("body"))
+    rows = replies(spark, sf_dir, REPLIED)
+    return rows.select("conv_id", "turn", F.md5(T.strip_fence(F.col("raw"))).alias("bare_md5"), F.md5(T.drop_echoed_heading(F.col("raw"), F.lit("Results"))).alias("body_md5"))
 
 
 @query(f"WITH {P.DOCS}, a AS (SELECT doc_id, coalesce(lower(text), '') AS lo FROM docs) SELECT doc_id, {', '.join(f'{_present(ws)} <> {P.literal(str())} AS {k}' for k, ws in L.INTENTS.items())} FROM a")
@@ -910,13 +964,13 @@ def applicability_errors(spark, sf_dir):
     return Y.gate_errors(papers(spark, sf_dir))
 
 
-@query(f"""WITH un AS (SELECT text FROM benchmark UNION SELECT text FROM documents WHERE doc_id < 100), nu AS (SELECT row_number() OVER () AS item_id, text FROM un), {_clean_cte('cp', 'nu', 'item_id')}
+@query(f"""WITH un AS (SELECT text FROM benchmark UNION SELECT text FROM documents), nu AS (SELECT row_number() OVER () AS item_id, text FROM un), {_clean_cte('cp', 'nu', 'item_id')}
 SELECT (SELECT count(*) FROM un) AS documents, (SELECT count(*) FROM cp) AS sentences""")
 def corpus_summary(spark, sf_dir):
-    """Size of the reference corpus with the first hundred documents added, repeats dropped."""
+    """Size of the reference corpus with all documents added, repeats dropped."""
     from inkwell.operators.corpus import reference_corpus
 
-    both = reference_corpus(table(spark, sf_dir, "documents").where("doc_id < 100").select("text"), table(spark, sf_dir, "benchmark").select("text"), distinct=True)
+    both = reference_corpus(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("text"), distinct=True)
     return S.corpus_statistics(both.withColumn("item_id", F.monotonically_increasing_id()))
 
 
