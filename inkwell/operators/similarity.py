@@ -20,6 +20,8 @@ from inkwell.operators.tables import stored
 
 #: Queries and vectors of a block of the dense search, and vectors multiplied at once.
 QUERY_BLOCK, VECTOR_BLOCK, STRIP = 1024, 16384, 1024
+#: Most queries whose vectors are broadcast, 16 MB of 256 doubles each.
+BROADCAST_QUERIES = 8192
 TECHNICAL = ["ML", "AI", "DL", "NN", "NLP", "CV", "RL"]
 
 
@@ -222,10 +224,20 @@ def pair_similarity(pairs: DataFrame, pair_id: str, left: str, right: str) -> Da
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Dot products of all vectors with each other vector of a few given queries, which are broadcast."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    dot = F.aggregate(F.zip_with("q", vector_col, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    return vectors.join(F.broadcast(q), F.col("query_id") != F.col(id_col)).select("query_id", id_col, F.round(dot, 6).alias("similarity"))
+    """Dot products of all vectors with each other vector of a given set of queries.
+
+    Queries are packed into blocks of about ``QUERY_BLOCK``, and each vector meets each block by an equi-join. Blocks are broadcast
+    if there are at most ``BROADCAST_QUERIES`` queries. Null vectors have a null product; repeated rows stay.
+    """
+    n = queries.count()
+    blocks = max(1, math.ceil(n / QUERY_BLOCK))
+    packed = queries.select(F.struct(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_block"))
+    packed = packed.groupBy("_block").agg(F.collect_list("_q").alias("_qs"))
+    packed = F.broadcast(packed) if n <= BROADCAST_QUERIES else packed
+    rows = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).join(packed, "_block")
+    rows = rows.select(id_col, "_v", F.explode("_qs").alias("_q")).where(F.col("_q.query_id") != F.col(id_col))
+    dot = F.aggregate(F.zip_with("_q.q", "_v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    return rows.select("_q.query_id", id_col, F.round(dot, 6).alias("similarity"))
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
