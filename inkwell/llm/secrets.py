@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.scratch import Scratch
+from inkwell.llm.scratch import Scratch, with_group
 
 RULE_VERSION = "2025.1"
 BASE_KINDS = ("assign", "access", "hex")
@@ -88,7 +88,7 @@ def scan_paths(paths: DataFrame, path_col: str = "doc_id", text_col: str = "text
 
     Only hashes are aggregated to find the unseen blobs. One path of each unseen blob is its carrier;
     texts move at most once, dealt by path, which spreads evenly even if one blob has a third of all
-    paths. The join back is an equi-join on the blob, whose hot keys Spark may split.
+    paths. Rows of hot blobs stay where they are in the join back: what was found in those blobs, a bounded number, goes to them.
 
     Null text counts as empty; texts of any length are scanned whole. A null path is kept; its blob is scanned if it has no other path too.
     Repeated rows stay, one output row each. Other columns are ignored; an empty table gives an empty
@@ -100,7 +100,8 @@ def scan_paths(paths: DataFrame, path_col: str = "doc_id", text_col: str = "text
     rows = paths.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("blob", F.sha2("text", 256))
     addressed = scratch.save(rows.select("path", "blob"), "addressed")
-    unseen = addressed.groupBy("blob").agg(F.min("path").alias("path"))
+    blobs = scratch.save(addressed.groupBy("blob").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("_n")), "blobs")
+    unseen = blobs.select("blob", "path")
     if ledger is not None:
         done = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
         unseen = unseen.join(done, "blob", "left_anti")
@@ -111,5 +112,7 @@ def scan_paths(paths: DataFrame, path_col: str = "doc_id", text_col: str = "text
     # a row that is repeated under one path is scanned with it; the ledger has a blob once
     new = scratch.save(new.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"), "ledger")
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select(new.columns))
-    found = addressed.join(known.drop("rule_version"), "blob")
+    sized = scratch.save(known.drop("rule_version").join(blobs.select("blob", "_n"), "blob"), "findings")
+    scratch.drop(blobs)
+    found = with_group(addressed, sized, ["blob"])
     return found.select(F.col("path").cast(kind).alias(path_col), "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"), new

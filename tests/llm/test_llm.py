@@ -479,6 +479,16 @@ def test_ledger_is_incremental(spark):
     assert secrets.scan_paths(docs(spark, []))[0].count() == 0
 
 
+def test_secrets_of_a_hot_blob(spark):
+    hot, cold = SECRET_TEXTS[1], "nothing to see"
+    rows = [(i, hot if i % 3 == 0 else f"{cold} {i}") for i in range(1200)] + [(0, hot), (None, hot)]
+    found, new = secrets.scan_paths(docs(spark, rows))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in found.collect())
+    assert got == sorted((-1 if i is None else i, secrets._joined(secrets.find_spans(t))) for i, t in rows)
+    again, none = secrets.scan_paths(docs(spark, rows), ledger=new)
+    assert again.count() == len(rows) and none.count() == 0
+
+
 def test_media_round_trip(spark):
     rows = [(1, "abc é"), (2, None), (3, ""), (4, "x" * 192), (5, "x" * 193), (6, "abc é"), (None, "🙂" * 100000)]
     got = {r.doc_id: r for r in media.media_features(media.store_texts(docs(spark, rows))).collect()}
