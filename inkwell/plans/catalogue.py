@@ -880,7 +880,16 @@ def hygiene_issues(spark, sf_dir):
     return R.hygiene_issues(papers(spark, sf_dir))
 
 
-@query()
+_AROUND = "CASE WHEN position > 50 THEN '...' ELSE '' END || substr(text, greatest(position - 50, 0) + 1, least(position + length(original) + 50, length(text)) - greatest(position - 50, 0)) || CASE WHEN position + length(original) + 50 < length(text) THEN '...' ELSE '' END"
+#: (key, match, length of what stands between it and the one before) of a rule of punctuation.
+_SPACED = " UNION ALL ".join(f"SELECT doc_id, {len(L.GRAMMAR_WORDS) + i} AS rule, generate_subscripts(m, 1) AS k, unnest(m) AS original, unnest(list_transform(p[1:len(m)], lambda x: length(x))) AS gap FROM (SELECT doc_id, regexp_extract_all(text, {quoted(x)}) AS m, string_split_regex(text, {quoted(x)}) AS p FROM docs) WHERE len(m) > 0" for i, x in enumerate(L.GRAMMAR_PUNCTUATION))
+
+
+@query(rf"""WITH {P.DOCS}, ru AS (SELECT * FROM {P.values([(i, w, fix, kind) for i, (w, fix, kind) in enumerate(L.GRAMMAR_WORDS)], 'rule, word, fix, kind')}),
+ps AS (SELECT doc_id, generate_subscripts(a, 1) AS k, unnest(a) AS original FROM (SELECT doc_id, regexp_extract_all(text, '{W}+|{NW}+') AS a FROM docs)), pl AS (SELECT doc_id, original, CAST(sum(length(original)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - length(original) AS position FROM ps),
+sp AS (SELECT doc_id, rule, original, CAST(sum(gap + length(original)) OVER (PARTITION BY doc_id, rule ORDER BY k) AS BIGINT) - length(original) AS position FROM ({_SPACED})),
+al AS (SELECT doc_id, rule, kind, position, original, fix AS corrected FROM pl JOIN ru ON lower(original) = word UNION ALL SELECT doc_id, rule, 'Punctuation', position, original, regexp_replace(original, '^\s+([.!?,;:])\s*', '\1 ') FROM sp)
+SELECT doc_id, rule, kind, position, original, corrected, {_AROUND} AS context FROM al JOIN docs USING (doc_id)""")
 def grammar_changes(spark, sf_dir):
     return R.grammar_changes(papers(spark, sf_dir))
 
