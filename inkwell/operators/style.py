@@ -135,7 +135,9 @@ def noisy_or(signals: list[tuple[Column, float]]) -> Column:
 
 def perplexity_score(p: Column) -> Column:
     """100 at a perplexity of 10 or less, 0 at 60 or more, linear between; null where there is none."""
-    return F.round(100 * clamp((60 - p) / 50), 1)
+    # perplexities have four places, so that halves of the last place are common: tenths are made whole before they are rounded, which the
+    # last bit of a quotient (54.949999999999996 for 54.95) doesn't change
+    return F.round(100 * clamp((60 - p) / 50) * 10) / 10
 
 
 def citation_markers(c: Column) -> Column:

@@ -64,6 +64,12 @@ def test_noisy_or_and_perplexity(spark):
     assert (row.p5, row.p35, row.p60) == (100.0, 50.0, 0.0)
 
 
+def test_perplexity_score_rounds_halves_up(spark):
+    # halves of the last place whose quotients lie one bit below them
+    rows = spark.createDataFrame([(32.525, 55.0), (32.775, 54.5), (33.025, 54.0), (35.0249, 50.0), (9.0, 100.0), (61.0, 0.0)], "p double, expected double")
+    assert rows.where(Y.perplexity_score(F.col("p")) != F.col("expected")).count() == 0
+
+
 def test_longer_phrase_suppresses_shorter(spark):
     text = "we delve into x. we delve , y " + "word " * 30 + "."
     assert Y.machine_style(docs(spark, text)).first().hits == 1
