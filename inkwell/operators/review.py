@@ -139,21 +139,23 @@ def score_items(papers: DataFrame, checklist: DataFrame, provider: Generator | N
     One prompt for each paper and item. Items that the backend could not judge are sent again in at most ``passes`` passes in all; what fails then
     stays with a score of 0 and ``unavailable``. Replies come back to their item by its position.
     """
-    rows = checklist.join(papers.select(id_col, T.neutralise(F.col(text_col)).alias("_t")), id_col)
+    # a written checklist packs to a few bytes a paper, so that its size on disk would pass for one that may be broadcast
+    rows = checklist.hint("merge").join(papers.select(id_col, T.neutralise(F.col(text_col)).alias("_t")), id_col)
     seen = F.when(F.coalesce("type", F.lit("text")) == "image", "This item is about a figure, which can't be seen: judge it by what the text says of it.\n").otherwise("") if "type" in checklist.columns else F.lit("")
     ask = F.concat(F.lit("Judge the paper by one criterion.\nCriterion: "), F.col("content"), F.lit("\n"), seen, F.lit('Answer as JSON with "reasoning", "score" (0 to 100), "evidence", "location", "severity" and "fix".\n"""\n'), F.substring("_t", 1, limit), F.lit('\n"""'))
-    open_, done = stored(rows.select(id_col, "index", ask.alias("_ask")), "judge"), []
+    open_, done = rows.select(id_col, "index", ask.alias("_ask")), []
     got = ["score", "reasoning", "evidence", "severity", "fix", "unavailable"]
     for n in range(1, passes + 1):
         said = P.judged(generate(open_, "_ask", provider, "_reply"), "_reply").withColumn("passes", F.lit(n))
-        said = stored(said.select(id_col, "index", "_ask", *got, "passes"), f"judged-{n}")
+        # only prompts that are sent again are kept: there is one for each paper and item, each with the paper's text
+        said = stored(said.select(id_col, "index", F.when(F.col("unavailable"), F.col("_ask")).alias("_ask"), *got, "passes"), f"judged-{n}")
         done.append(said if n == passes else said.where("NOT unavailable"))
         open_ = said.where("unavailable").select(id_col, "index", "_ask")
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
     whole = whole.withColumn("score", F.when(F.col("unavailable"), 0).otherwise(F.col("score")).cast("long"))
-    return checklist.join(whole.drop("_ask"), [id_col, "index"])
+    return checklist.hint("merge").join(whole.drop("_ask"), [id_col, "index"])
 
 
 def totals(items: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -127,6 +127,14 @@ def test_items_that_fail_are_sent_again_and_come_back_by_position(spark, tmp_pat
     assert down[1].error is not None and down[1].total == 0
 
 
+def test_checklists_are_not_broadcast(spark):
+    # one reply for all papers: its table packs to some bytes a paper, its seven items and their criteria don't
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('the method of paper ', id) AS text")
+    items = E.score_items(docs, E.rubrics(docs), WordJudge())
+    assert "BroadcastHashJoin" not in items._jdf.queryExecution().executedPlan().toString()
+    assert E.totals(items).where("scored = 7").count() == 500
+
+
 def test_offline_judge():
     prompt = 'Judge.\nCriterion: Clear writing matters\nAnswer\n"""\nThe writing is clear\n"""'
     assert json.loads(WordJudge.judged(prompt))["score"] == 66
