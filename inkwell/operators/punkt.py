@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.operators.tables import small, stored
 
@@ -90,7 +89,11 @@ def _initial() -> Column:
 
 def _first_breaks(pairs: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Adds ``abbr`` and ``sure``: an end by its mark alone, abbreviations apart."""
-    rows = pairs.join(small(abbreviations.select("typ", F.lit(True).alias("abbr"))), "typ", "left").withColumn("abbr", F.coalesce("abbr", F.lit(False)))
+    table = abbreviations.select("typ", F.lit(True).alias("abbr"))
+    known, none = small(table), F.lit(False)
+    meet = lambda some: some.join(known, "typ", "left").withColumn("abbr", F.coalesce("abbr", none))
+    # an abbreviation matters to tokens with a period only: beyond a broadcast the others, and with them the commonest words, meet no table
+    rows = meet(pairs) if known is not table else meet(pairs.where("per")).unionByName(pairs.where("NOT per").withColumn("abbr", none))
     return rows.withColumn("sure", F.col("ends").isin("!", "?") | (F.col("per") & ~F.col("abbr") & ~F.col("dots")))
 
 
@@ -124,33 +127,59 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     return Model(counts, abbreviations, stored(starters.select("n_typ", "score"), "punkt-starters"), stored(pair.select("typ", "n_typ", "score"), "punkt-pairs"), seen.select("n_typ", "low", "cap", "mid_cap", "low_after"))
 
 
-def breaks(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, pos, tok, breaks)`` of every token: whether a sentence ends with it and another begins."""
-    rows = _first_breaks(token_pairs(docs, id_col, text_col), model.abbreviations)
-    # only tokens that may end a sentence ask for what follows them
-    asks = F.when(F.col("ends") == ".", F.col("n_typ"))
-    rows = rows.withColumn("asked", asks)
-    rows = rows.join(small(model.spellings.withColumnRenamed("n_typ", "asked")), "asked", "left")
-    rows = rows.join(small(model.starters.select(F.col("n_typ").alias("asked"), F.lit(True).alias("starter"))), "asked", "left")
-    rows = rows.join(small(model.collocations.select("typ", F.col("n_typ").alias("asked"), F.lit(True).alias("tied"))), ["typ", "asked"], "left")
+def _asking(pairs: DataFrame, model: Model) -> DataFrame:
+    """Rows of tokens with a final period, with ``brk``: whether a sentence ends there.
+
+    Tables beyond a broadcast meet these few tokens by the type that follows, which is null only at the end of a text.
+    """
+    rows = pairs.where((F.col("ends") == ".") & F.col("n_typ").isNotNull())
+    rows = _first_breaks(rows, model.abbreviations)
+    rows = rows.join(small(model.spellings), "n_typ", "left")
+    rows = rows.join(small(model.starters.select("n_typ", F.lit(True).alias("starter"))), "n_typ", "left")
+    rows = rows.join(small(model.collocations.select("typ", "n_typ", F.lit(True).alias("tied"))), ["typ", "n_typ"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     begins = yes("n_cap") & yes("low") & ~yes("mid_cap")
     goes_on = ~yes("n_word") | (yes("n_low") & (yes("cap") | ~yes("low_after")))
     initial = _initial()
     brk = (
-        F.when(F.col("n_typ").isNull() | (F.col("ends") == ""), False)
-        .when(F.col("ends") != ".", True)
-        .when(yes("tied"), False)
+        F.when(yes("tied"), False)
         .when((F.col("abbr") | F.col("dots")) & ~initial, begins | (yes("n_cap") & yes("starter")))
         .when(initial | (F.col("typ") == IS_NUMBER), begins | (~goes_on & ~(initial & yes("n_cap") & ~yes("low"))))
         .otherwise(True)
     )
-    return rows.select(id_col, "pos", "tok", brk.alias("breaks"))
+    return rows.withColumn("brk", brk)
+
+
+def _ends_apart(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """``(id, ends)``: of each text with such, the ascending places of the tokens that end a sentence by a period."""
+    asking = _asking(token_pairs(docs, id_col, text_col), model)
+    return asking.where("brk").groupBy(id_col).agg(F.sort_array(F.collect_list("pos")).alias("ends"))
+
+
+def _tokens_and_breaks(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """``(id, toks, ends)``: a text's tokens and the places of all that end a sentence. Tokens stay in the row of their text."""
+    found = F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), F.lit(0))
+    rows = docs.select(id_col, F.col(text_col)).join(_ends_apart(docs, model, id_col, text_col), id_col, "left")
+    marked = lambda ts: F.filter(F.transform(ts, lambda t, i: F.when((i < F.size(ts) - 1) & F.regexp_replace(t, CLOSERS, "").rlike("[!?]$"), i)), lambda i: i.isNotNull())
+    rows = rows.select(id_col, found.alias("toks"), F.coalesce("ends", F.array().cast("array<int>")).alias("by_period")).where(F.size("toks") > 0)
+    return rows.select(id_col, "toks", F.array_sort(F.concat(F.get(F.transform(F.array("toks"), marked), 0), "by_period")).alias("ends"))
+
+
+def _sentence_tokens(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """``(id, pos, start, toks, final)``: the tokens of each sentence, the place of its first one, and whether it is the text's last."""
+    rows = _tokens_and_breaks(docs, model, id_col, text_col).select(id_col, "toks", F.concat(F.array(F.lit(-1)), "ends", F.array(F.size("toks") - 1)).alias("edges"))
+    own = F.transform(F.arrays_zip(F.slice("edges", 1, F.size("edges") - 1).alias("a"), F.slice("edges", 2, F.size("edges") - 1).alias("b")), lambda z: F.struct((z["a"] + 1).alias("start"), F.slice("toks", z["a"] + 2, z["b"] - z["a"]).alias("toks"), (z["b"] == F.size("toks") - 1).alias("final")))
+    return rows.select(id_col, F.posexplode(own).alias("pos", "s")).select(id_col, "pos", "s.*")
+
+
+def breaks(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, pos, tok, breaks)`` of every token: whether a sentence ends with it and another begins."""
+    rows = _sentence_tokens(docs, model, id_col, text_col)
+    rows = rows.select(id_col, "start", "final", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "tok"))
+    return rows.select(id_col, (F.col("start") + F.col("k")).alias("pos"), "tok", ((F.col("k") == F.col("n") - 1) & ~F.col("final")).alias("breaks"))
 
 
 def sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, pos, n_words, sent)``: sentences in order, white space inside them collapsed; ids must not repeat."""
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = breaks(docs, model, id_col, text_col).withColumn("at", F.coalesce(F.sum(F.col("breaks").cast("long")).over(before), F.lit(0)))
-    own = F.sort_array(F.collect_list(F.struct("pos", "tok")))["tok"]
-    return rows.groupBy(id_col, "at").agg(own.alias("toks")).select(id_col, F.col("at").alias("pos"), F.size("toks").cast("long").alias("n_words"), F.array_join("toks", " ").alias("sent"))
+    rows = _sentence_tokens(docs, model, id_col, text_col)
+    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.size("toks").cast("long").alias("n_words"), F.array_join("toks", " ").alias("sent"))

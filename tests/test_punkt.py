@@ -51,3 +51,20 @@ def test_scores_by_hand(spark):
     want = -2 * (lean(3, 3, b / n) - lean(3, 3, 0.99)) * math.exp(-3)
     assert (want >= 0.3) == ("fig" in {r.typ for r in model.abbreviations.collect()}) and abs(want - 0.3251) < 0.005
     assert punkt.fit(docs.limit(0)).abbreviations.count() == 0
+
+
+def test_tables_beyond_a_broadcast_meet_asking_tokens_only(spark, monkeypatch):
+    from inkwell.operators import punkt
+
+    text = "He met Dr. Smith at noon. They talked of fig. 3 and left! Was it 1990. Then they went home (really?) and slept."
+    docs = spark.createDataFrame([(i, text) for i in range(30)] + [(90, "one"), (91, " "), (92, None)], "doc_id long, text string")
+    model = punkt.fit(docs)
+    want = sorted(punkt.sentences(docs, model).collect())
+    monkeypatch.setattr(punkt, "small", lambda t: t)
+    rows = punkt.sentences(docs, punkt.fit(docs))
+    assert sorted(rows.collect()) == want and {r.doc_id for r in want} == {*range(30), 90}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # no table of tokens is dealt by a type that is null for most of them, none is sorted by place
+    assert "asked" not in plan and "Window" not in plan
+    at = {(r.pos, r.tok) for r in punkt.breaks(docs, model).where("doc_id = 0 AND breaks").collect()}
+    assert (12, "left!") in at and len(at) == len([r for r in want if r.doc_id == 0]) - 1
