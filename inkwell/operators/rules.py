@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,8 +71,12 @@ def grammar_corrected(c: Column) -> Column:
 
 def found_terms(low: Column, terms: list[str]) -> Column:
     """Sorted terms that stand in lower-case text as whole words."""
-    hits = [F.when(low.rlike(whole(t)), F.lit(t)) for t in sorted(terms)]
-    return F.array_compact(F.array(*hits))
+    return F.array_compact(F.array(*[F.when(stands(low, t), F.lit(t)) for t in sorted(terms)]))
+
+
+def stands(low: Column, term: str) -> Column:
+    """Whether a term stands in lower-case text as a whole word; the pattern only runs where its characters stand at all."""
+    return low.contains(term) & low.rlike(whole(term))
 
 
 def hygiene(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,8 +110,8 @@ def hygiene_issues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def intents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Which conditional clauses a task's words call for."""
-    low = F.lower(text_col)
-    return docs.select(id_col, *[(F.size(found_terms(low, ws)) > 0).alias(k) for k, ws in L.INTENTS.items()])
+    rows = docs.select(id_col, F.coalesce(F.lower(text_col), F.lit("")).alias("_low"))
+    return rows.select(id_col, *[reduce(Column.__or__, [stands(F.col("_low"), t) for t in ws]).alias(k) for k, ws in L.INTENTS.items()])
 
 
 def unavailable(c: Column) -> Column:
