@@ -77,8 +77,13 @@ def acronyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def term_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 20) -> DataFrame:
     """Spellings with and without hyphens of one term: ``(id, term, variants, total, rank)``."""
-    surface = F.explode(F.regexp_extract_all(text := F.col(text_col), F.lit(r"[A-Za-z][A-Za-z\-]+[A-Za-z]"), F.lit(0)))
-    rows = docs.select(id_col, surface.alias("s")).select(id_col, F.lower("s").alias("s")).withColumn("term", F.replace(F.col("s"), F.lit("-"), F.lit(""))).where(F.length("term") >= 4)
+    spelt = F.regexp_extract_all(F.col(text_col), F.lit(r"[A-Za-z][A-Za-z\-]+[A-Za-z]"), F.lit(0))
+    bare = lambda w: F.replace(F.lower(w), F.lit("-"), F.lit(""))
+    # of two spellings of a term one has a hyphen; only terms so written anywhere in a document are counted in its texts
+    hyphened = docs.where(F.col(text_col).contains("-")).select(id_col, F.explode(spelt).alias("s")).where(F.col("s").contains("-"))
+    wanted = hyphened.select(id_col, bare(F.col("s")).alias("term")).where(F.length("term") >= 4).groupBy(id_col).agg(F.collect_set("term").alias("_terms"))
+    own = docs.join(wanted.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
+    rows = own.select(id_col, "_terms", F.explode(spelt).alias("s")).withColumn("term", bare(F.col("s"))).where(F.array_contains("_terms", F.col("term"))).select(id_col, "term", F.lower("s").alias("s"))
     rows = rows.groupBy(id_col, "term", "s").agg(F.count("*").alias("n")).groupBy(id_col, "term").agg(F.count("*").alias("variants"), F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("total"), "term"))
     return rows.where("variants > 1 and total >= 3").withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit)
