@@ -7,6 +7,9 @@ can be frequent, are joined by a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +73,42 @@ def with_lemmas(rows: DataFrame, lemmas: DataFrame, word_col: str = "word", freq
     return late.unionByName(done).withColumn("lemma", F.coalesce("_lemma", "_late", word_col)).drop("_lemma", "_late", "_k")
 
 
-def placed(docs: DataFrame, words: Column, lemmas: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(id, at, word, lemma)`` of an array column's words; a document without words has one row of nulls.
+def may_change(w: Column) -> Column:
+    """Whether a word ends like a plural or is an irregular one; no other word can be in a fitted table."""
+    return w.rlike(f"({'|'.join(sorted({a for a, _ in SUFFIXES}))})$") | w.isin(*IRREGULAR)
+
+
+def gathered(docs: DataFrame, words: Column, id_col: str = "doc_id") -> DataFrame:
+    """``(id, _ws)``, written: an array of each row's words, of all rows of an id. Words are made and shuffled once, with their document."""
+    return stored(docs.groupBy(id_col).agg(F.collect_list(words).alias("_ws")), "words")
 
-    Each distinct word of a document meets the table once and takes its places along.
-    """
-    each = docs.select(id_col, F.posexplode_outer(words).alias("at", "word")).groupBy(id_col, "word").agg(F.collect_list("at").alias("places"))
-    return with_lemmas(each, lemmas).select(id_col, F.explode_outer("places").alias("at"), "word", "lemma")
 
+def _put(id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = [], []
+            for rows, known in zip(batch.column("_ws").to_pylist(), batch.column("_known").to_pylist()):
+                base = {k["word"]: k["lemma"] for k in known or ()}
+                if len(rows) > 1:  # places of an id's rows are merged
+                    pairs = [(w, lemma) for _, lemma, w in sorted((at, base.get(w, w), w) for row in rows for at, w in enumerate(row))]
+                else:
+                    pairs = [(w, base.get(w, w)) for row in rows for w in row]
+                texts.append(" ".join(x for _, x in pairs))
+                changed.append(sum(w != x for w, x in pairs))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string()), pa.array(changed, pa.int64())], names=[id_col, "lemmas", "n_changed"])
 
-def in_order() -> Column:
-    """Aggregate of placed words: base forms in their order, joined by spaces."""
-    return F.array_join(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "lemma"))))["lemma"], " ")
+    return run
+
+
+def in_texts(own: DataFrame, lemmas: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, lemmas, n_changed)`` of ``gathered`` words: base forms in the words' order, joined by spaces, and how many differ.
+
+    Only the distinct words of a document that end like plurals leave its row, to meet the table.
+    """
+    each = own.select(id_col, F.explode(F.array_distinct(F.filter(F.flatten("_ws"), may_change))).alias("word"))
+    found = with_lemmas(each, lemmas).where("lemma <> word").groupBy(id_col).agg(F.collect_list(F.struct("word", "lemma")).alias("_known"))
+    rows = own.join(found.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, "_ws", "_known")
+    return rows.mapInArrow(_put(id_col), f"{id_col} {own.schema[id_col].dataType.simpleString()}, lemmas string, n_changed long")
 
 
 def lemmatised(docs: DataFrame, words: Column, lemmas: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -89,4 +116,4 @@ def lemmatised(docs: DataFrame, words: Column, lemmas: DataFrame, id_col: str =
 
     Rows that repeat an id are taken as one document.
     """
-    return placed(docs, words, lemmas, id_col).groupBy(id_col).agg(in_order().alias("lemmas"))
+    return in_texts(gathered(docs, words, id_col), lemmas, id_col).select(id_col, "lemmas")
