@@ -18,23 +18,30 @@ def clamp(c: Column) -> Column:
 
 def word_stats(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Adds ``words``, ``syllables``, ``hard`` (3 or more syllables) and ``letters`` of a text column."""
-    got = F.filter(T.tokens(F.col(column)), lambda w: w.rlike("[A-Za-z0-9]"))
-    rows = rows.withColumn("_syl", F.transform(got, T.syllables))
+    count = lambda c, x: (F.length(c) - F.length(F.replace(c, F.lit(x)))).cast("long")
+    # each is computed once and passed on: a filter on plain columns would be moved below them and count everything twice
+    once = lambda rows, *cs: rows.select("*", F.inline(F.array(F.struct(*cs))))
+    names, c = rows.columns, F.col(column)
+    rows = once(rows, T.ascii_words(c).alias("_words"))
+    rows = once(rows, F.regexp_replace(F.lower("_words"), "[0123456789]+", "").alias("_letters"), count(F.col("_words"), " ").alias("words"))
+    rows = once(rows, T.syllable_marks(F.col("_letters")).alias("_marks"))
+    # two letters beyond ASCII stand as ASCII ones in the words
+    exact = F.length(F.regexp_replace(c, f"[^{T.LETTERS}{T.LETTERS.upper()}]+", ""))
     stats = F.struct(
-        F.size("_syl").cast("long").alias("words"),
-        F.aggregate("_syl", F.lit(0), lambda a, x: a + x).cast("long").alias("syllables"),
-        F.size(F.filter("_syl", lambda x: x >= 3)).cast("long").alias("hard"),
-        F.regexp_count(F.col(column), F.lit("[A-Za-z]")).cast("long").alias("letters"),
+        "words",
+        count(F.col("_marks"), "a").alias("syllables"),
+        # three marks at the beginning of a word
+        ((F.length("_marks") - F.length(F.regexp_replace("_marks", "(?<!a)aaa", ""))) / 3).cast("long").alias("hard"),
+        F.when(c.contains("\u0130") | c.contains("\u212A"), exact).otherwise(F.length("_letters") - F.col("words")).cast("long").alias("letters"),
     )
-    # a filter on plain columns would be moved below them and count everything twice
-    return rows.select(*rows.columns, F.inline(F.array(stats))).drop("_syl")
+    return rows.select(*names, F.inline(F.array(stats)))
 
 
 def readability(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Flesch, Flesch-Kincaid and Fog scores; documents without words or sentences have null scores."""
-    rows = word_stats(docs.select(id_col, F.col(text_col).alias("text")), [id_col], "text")
-    n = F.size(F.filter(T.sentence_array(F.col("text")), lambda s: F.trim(s) != "")).cast("long")
-    rows = rows.withColumn("sentences", n).where("words > 0 and sentences > 0")
+    rows = docs.select(id_col, F.col(text_col).alias("text"))
+    rows = rows.select("*", F.inline(F.array(F.struct(T.sentence_count(F.col("text")).cast("long").alias("sentences")))))
+    rows = word_stats(rows, [id_col], "text").where("words > 0 and sentences > 0")
     w, s, y, h = (F.col(c).cast("double") for c in ("words", "sentences", "syllables", "hard"))
     flesch = F.lit(206.835) - 1.015 * w / s - 84.6 * y / w
     band = F.when(flesch >= 90, "very easy").when(flesch >= 80, "easy").when(flesch >= 70, "fairly easy").when(flesch >= 60, "standard").when(flesch >= 50, "fairly difficult").when(flesch >= 30, "difficult").otherwise("very difficult")

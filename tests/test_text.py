@@ -30,6 +30,22 @@ def test_readability(spark):
     assert (r.flesch, r.grade, r.fog) == (pytest.approx(12.425), pytest.approx(12.52), pytest.approx(16.6))
 
 
+def test_words_and_syllables_of_whole_texts(spark):
+    texts = ["co-operate the whale, tree o'clock 42 a1b rhythm agree", "Ünder_lined éale \u212A \u212Aab \u0130x ½ 漢-a", "a. b.\n c?\t", " . a", "\n", "", None, "\U0001d49c.Al -x- x--y the eeee blue make"]
+    syllables = F.transform(F.filter(T.tokens(F.col("text")), lambda w: w.rlike("[A-Za-z0-9]")), T.syllables)
+    wanted = F.struct(F.size(syllables).cast("long"), F.aggregate(syllables, F.lit(0), lambda a, x: a + x).cast("long"), F.size(F.filter(syllables, lambda x: x >= 3)).cast("long"), F.regexp_count("text", F.lit("[A-Za-z]")).cast("long"))
+    rows = Y.word_stats(docs(spark, *texts).where("text IS NOT NULL").withColumn("w", wanted), ["doc_id"], "text")
+    for r in rows.collect():
+        assert (r.words, r.syllables, r.hard, r.letters) == tuple(r.w), r.text
+    parts = F.size(F.filter(T.sentence_array(F.col("text")), lambda s: F.trim(s) != ""))
+    assert one(spark, T.sentence_count(F.col("text")), *texts) == one(spark, F.when(F.col("text").isNotNull(), parts), *texts)
+
+
+def test_word_stats_cut_no_words(spark):
+    rows = Y.readability(docs(spark, "One. Two."))
+    assert not any(f in rows._jdf.queryExecution().optimizedPlan().toString() for f in ("regexp_extract_all", "transform(regexp"))
+
+
 def test_passive_finds_only_the_first(spark):
     got = Y.passive_sentences(docs(spark, "The model was tested. We measured accuracy carefully."))
     assert [r.pos for r in got.collect()] == [0]
