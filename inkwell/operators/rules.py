@@ -80,14 +80,18 @@ def stands(low: Column, term: str) -> Column:
 
 
 def hygiene(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    c, low = F.col(text_col), F.lower(text_col)
+    """Signs and terms of machine prose and unfinished text; a pattern only runs where its characters stand at all."""
+    # a column of its own: inside the functions of hard_terms, lower() would run again for each term
+    docs, c, low = docs.withColumn("_low", F.lower(text_col)), F.col(text_col), F.col("_low")
+    any_of = lambda t, parts: reduce(Column.__or__, [t.contains(p) for p in parts])
+    tells = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(L.AI_TELLS), F.lit(0)))), "|")
     ranges = F.regexp_replace(c, r"\d\s*–\s*\d", "")
     return docs.select(
         id_col,
         c.contains("—").alias("em_dash"),
-        ranges.rlike(r"\s–|–\s").alias("en_dash"),
-        c.rlike(L.PLACEHOLDER).alias("placeholders"),
-        F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(L.AI_TELLS), F.lit(0)))), "|").alias("ai_tells"),
+        (c.contains("–") & ranges.rlike(r"\s–|–\s")).alias("en_dash"),
+        (any_of(c, L.PLACEHOLDER_SIGNS) & c.rlike(L.PLACEHOLDER)).alias("placeholders"),
+        F.when(any_of(low, L.AI_TELL_STEMS), tells).when(c.isNotNull(), "").alias("ai_tells"),
         F.array_join(found_terms(low, L.ESCAPE_HATCHES), "|").alias("escape_hatches"),
         F.array_join(found_terms(low, L.HOLLOW_ADVERBS), "|").alias("hollow"),
         F.array_join(found_terms(low, L.VAGUE_QUANTIFIERS), "|").alias("vague"),

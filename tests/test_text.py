@@ -46,6 +46,21 @@ def test_word_stats_cut_no_words(spark):
     assert not any(f in rows._jdf.queryExecution().optimizedPlan().toString() for f in ("regexp_extract_all", "transform(regexp"))
 
 
+def test_hygiene_patterns_run_where_their_characters_stand(spark):
+    from inkwell.functions import lexicons as L
+
+    tells = ["it's important to note", "Its important to note", "it is important to note", "it's worth noting", "its worth noting", "it is worth noting", "this ensures", "This Allows", "in order to", "needless to say", "it should be noted", "as previously mentioned", "moving forward", "essentially", "basically", "fundamentally", "arguably", "comprehensive", "comprehensively",
+             *[s + e for s in ("leverag", "utiliz", "delv", "facilitat", "streamlin") for e in ("e", "es", "ed", "ing")]]
+    signs = ["<NAME>", "${x y}", "{NAME_1}", "a TBD b", "XXX", "[insert here]", "[INSERT]", "...", "and .... so", "a – b", "a –", "1 – 2", "1 – 2 – b", "<name>", "XXXX", "a...b", "delve", "delver", "plain", "", None]
+    rows = R.hygiene(docs(spark, *[f"We {t} x." for t in tells], *signs).withColumn("k", F.struct("doc_id", "text")), "k").selectExpr("k.*", "en_dash", "placeholders", "ai_tells")
+    low, ranges = F.lower("text"), F.regexp_replace("text", r"\d\s*–\s*\d", "")
+    wanted = F.struct(ranges.rlike(r"\s–|–\s"), F.col("text").rlike(L.PLACEHOLDER), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(L.AI_TELLS), F.lit(0)))), "|"))
+    got = rows.withColumn("w", wanted).collect()
+    assert all((r.en_dash, r.placeholders, r.ai_tells) == tuple(r.w) for r in got) and all(r.ai_tells for r in got if r.doc_id < len(tells))
+    terms = R.hard_terms(R.hygiene(docs(spark, *signs)))
+    assert terms._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+
+
 def test_passive_finds_only_the_first(spark):
     got = Y.passive_sentences(docs(spark, "The model was tested. We measured accuracy carefully."))
     assert [r.pos for r in got.collect()] == [0]
