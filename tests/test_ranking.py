@@ -25,3 +25,14 @@ def test_bounds_prune_and_edges(spark):
     assert got[5].item_id == 7 and got[5].threshold == 0.75 and got[5].scored <= 32  # others can't come near the list
     assert all(got[i].maximum == 0 and got[i]["rank"] is None and got[i].category == "none" for i in (2, 3))
     assert ranking.ranked_references(docs, refs.limit(0)).count() == 5 and ranking.ranked_references(docs.limit(0), refs).count() == 0
+
+
+def test_complexity_cuts_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from inkwell.operators import similarity
+
+    rows = spark.createDataFrame([(1, "One model. Two data models!"), (2, ""), (3, None), (4, "?!")], "doc_id long, text string")
+    got = rows.select("doc_id", similarity.complexity(F.col("text")).alias("c"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r.doc_id: r.c for r in got.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
