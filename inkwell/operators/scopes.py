@@ -156,6 +156,27 @@ def scored_terms(rows: list[list[bytes]]) -> tuple[np.ndarray, list[pa.Array]]:
     return r.row, [r.text(np.arange(len(r.row))), pa.array(r.millionths / 1e6), pa.array(place_in_row(r.row) + 1)]
 
 
+def chosen_terms(top: int) -> Callable:
+    """The first ``top`` terms of each row whose words don't all stand in one chosen before."""
+
+    def work(rows: list[list[bytes]]) -> tuple[np.ndarray, list[pa.Array]]:
+        r = Ranked(rows)
+        kept: list[int] = []
+        starts = np.flatnonzero(np.diff(r.row, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(r.row)]):
+            chosen: list[tuple[int, int]] = []
+            for i, x, y in zip(range(a, b), r.first[a:b].tolist(), r.second[a:b].tolist()):
+                if len(chosen) == top:
+                    break
+                if not any(x in k and (y < 0 or y in k) for k in chosen):
+                    chosen.append((x, y))
+                    kept.append(i)
+        at = np.array(kept, np.int64)
+        return r.row[at], [pa.array(place_in_row(r.row[at])), r.text(at)]
+
+    return work
+
+
 def by_rows(docs: DataFrame, id_col: str, text_col: str, work: Callable, columns: str) -> DataFrame:
     """``(id, columns)``: what ``work`` makes of lists of the texts of each id, slice by slice: the place of the row in its list, and the columns.
 

@@ -45,6 +45,14 @@ def ranked(texts):
     return [(t, round(sums[t], 6), k) for k, t in enumerate(order, 1)]
 
 
+def folded(terms, top):
+    chosen = []
+    for t in terms:
+        if len(chosen) < top and not any(set(t.split()) <= set(k.split()) for k in chosen):
+            chosen.append(t)
+    return list(enumerate(chosen))
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(5)
@@ -62,9 +70,13 @@ def test_slices_give_what_the_whole_gives(spark, monkeypatch, texts, size):
         got[r.doc_id].append((r.term, r.score, r["rank"]))
     want = {i: rows for i, ts in texts.items() if (rows := ranked(ts))}
     assert got == want
+    best = defaultdict(list)
+    for r in S.keywords(docs, top=4).orderBy("doc_id", "place").collect():
+        best[r.doc_id].append((r.place, r.term))
+    assert best == {i: folded([x[0] for x in rows], 4) for i, rows in want.items()}
 
 
-@pytest.mark.parametrize("work", [scopes.scored_terms])
+@pytest.mark.parametrize("work", [scopes.scored_terms, scopes.chosen_terms(8)])
 def test_a_task_works_on_slices_of_its_batches(spark, work):
     """Batches of any number of rows: neither what is worked on nor what is returned at once grows with them."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("alpha beta gamma delta. " * 100).alias("text")).coalesce(1)
@@ -75,6 +87,6 @@ def test_a_task_works_on_slices_of_its_batches(spark, work):
             seen.add(1)
         return work(rows)
 
-    columns = "term string, score double, rank long"
+    columns = "term string, score double, rank long" if work is scopes.scored_terms else "place long, term string"
     assert scopes.by_rows(docs, "doc_id", "text", counted, columns).select("doc_id").distinct().count() == 3000
     assert seen.value == 0 and "ArrowEvalPython" not in S.keyword_scores(docs)._jdf.queryExecution().executedPlan().toString()
