@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.lexicons import STOP_WORDS
+from inkwell.functions.lexicons import CONNECTORS, STOP_WORDS
 from inkwell.operators.tables import small_batches
 
 #: Bytes of text that are worked on at once.
 SLICE = 2_000_000
 #: On bytes, so that white space is that of ``T.sentence_array`` and ``T.words``.
-SENTENCE_END = re.compile(rb"[.!?]\s+")
+SENTENCE_END, BLANK_LINE, SPACE = re.compile(rb"[.!?]\s+"), re.compile(rb"\n\s*\n"), re.compile(rb"\s+")
 
 
 @cache
@@ -177,6 +177,52 @@ def chosen_terms(top: int) -> Callable:
     return work
 
 
+def paragraphs_of(text: bytes) -> list[tuple[int, bytes]]:
+    """Position and text of the paragraphs, as ``T.paragraph_array`` has them."""
+    text = text.strip(b" ")
+    long = lambda parts: [p for p in (x.strip(b" ") for x in parts) if len(p.split(None, 5)) >= 5]
+    found = long(BLANK_LINE.split(text))
+    return list(enumerate(found if len(found) > 1 else long(text.split(b"\n"))))
+
+
+_LINKS = [f" {c} " for c in CONNECTORS]
+
+
+def _linked(paragraph: bytes) -> bool:
+    """Whether a connector stands among the first six words."""
+    head = b" ".join(x.strip(b".,;:") for x in SPACE.split(paragraph.strip(b" "), maxsplit=6)[:6])
+    head = f" {head.decode().lower()} "
+    return any(c in head for c in _LINKS)
+
+
+def transitions(floor: float) -> Callable:
+    """Of each paragraph but the last of a row: position, similarity to the next, threshold, whether a connector opens the next, whether the step is weak."""
+
+    def work(rows: list[list[bytes]]) -> tuple[np.ndarray, list[pa.Array]]:
+        units = Units(rows, paragraphs_of)
+        words, codes, unit = numbered_words(units.texts)
+        kinds = len(words)
+        keys, w, _, _ = weights(units, units.place[unit], codes, kinds)
+        # the same term at the next position of the row
+        at = np.minimum(np.searchsorted(keys, keys + kinds), max(len(keys) - 1, 0))
+        place = keys // max(kinds, 1)
+        follows = np.append((units.row_of_place[1:] == units.row_of_place[:-1]) & (units.pos_of_place[1:] == units.pos_of_place[:-1] + 1), False)
+        both = np.flatnonzero((keys[at] == keys + kinds) & follows[place])
+        dots = np.bincount(place[both], w[both] * w[at[both]], minlength=len(units.row_of_place))
+        edge = np.flatnonzero(units.row[1:] == units.row[:-1])
+        row, q = units.row[edge], whole(dots[units.place[edge]] * 1e6)
+        linked = np.fromiter(map(_linked, units.texts.take(pa.array(edge + 1)).cast(pa.binary()).to_pylist()), bool, len(edge))
+        level = np.full(len(rows), floor)
+        starts = np.flatnonzero(np.diff(row, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(row)]):
+            n, total, squares = b - a, int(q[a:b].sum()), int((q[a:b] * q[a:b]).sum())  # whole millionths: exact in any order
+            level[row[a]] = max(floor, (float(total) - 0.75 * float(n * squares - total * total) ** 0.5) / (n * 1e6))
+        similarity, threshold = q / 1e6, whole(level * 1e6)[row] / 1e6
+        return row, [pa.array(units.pos[edge]), pa.array(similarity), pa.array(threshold), pa.array(linked), pa.array((similarity < threshold) & ~linked)]
+
+    return work
+
+
 def by_rows(docs: DataFrame, id_col: str, text_col: str, work: Callable, columns: str) -> DataFrame:
     """``(id, columns)``: what ``work`` makes of lists of the texts of each id, slice by slice: the place of the row in its list, and the columns.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.functions.lexicons import STOP_WORDS
+from inkwell.functions.lexicons import CONNECTORS, STOP_WORDS
 from inkwell.operators import scopes
 from inkwell.operators import similarity as S
 
@@ -76,6 +76,42 @@ def test_slices_give_what_the_whole_gives(spark, monkeypatch, texts, size):
     assert best == {i: folded([x[0] for x in rows], 4) for i, rows in want.items()}
 
 
+def stepped(texts, floor=0.05):
+    """Transitions of one text's paragraphs by the definition."""
+    paras = [p.decode() for _, p in scopes.paragraphs_of(texts.encode())]
+    bags = [Counter(w for w in "".join(c if c.isalnum() or c == "_" else " " for c in p.lower()).split() if len(w) > 1 and w not in STOP_WORDS) for p in paras]
+    df = Counter(t for c in bags for t in c)
+    vectors = [{t: tf * (math.log((1 + len(bags)) / (1 + df[t])) + 1) for t, tf in c.items()} for c in bags]
+    norm = [math.sqrt(sum(x * x for x in v.values())) or 1 for v in vectors]
+    q = [round(1e6 * sum(w * b.get(t, 0) for t, w in a.items()) / m / n) for a, b, m, n in zip(vectors, vectors[1:], norm, norm[1:])]
+    if not q:
+        return []
+    level = round(max(floor, (sum(q) - 0.75 * math.sqrt(len(q) * sum(x * x for x in q) - sum(q) ** 2)) / (len(q) * 1e6)), 6)
+    linked = [any(f" {c} " in " " + " ".join(x.strip(".,;:").lower() for x in p.split()[:6]) + " " for c in CONNECTORS) for p in paras[1:]]
+    return [(i, x / 1e6, level, on, x / 1e6 < level and not on) for i, (x, on) in enumerate(zip(q, linked))]
+
+
+@pytest.mark.parametrize("size", [1, 2_000_000])
+def test_transitions_by_the_definition(spark, monkeypatch, size):
+    monkeypatch.setattr(scopes, "SLICE", size)
+    rng = random.Random(8)
+    words = [*"alpha beta größe the of However, Moreover; result".split(), *(f"w{k}" for k in range(9))]
+    para = lambda: " ".join(rng.choices(words, k=rng.randint(3, 12)))
+    texts = [rng.choice(["\n", "\n\n", " \n \t\n "]).join(para() for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    texts += ["", " \n\n ", "one two three four five", "the of and to in\n\nthe of and to in", "  alpha beta w1 w2 w3 \n\n\tHowever, alpha beta w1 w2"]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in S.cohesion(docs).orderBy("doc_id", "pos").collect():
+        got[r.doc_id].append((r.pos, r.similarity, r.threshold, r.linked, r.weak))
+    assert got == {i: rows for i, t in enumerate(texts) if (rows := stepped(t))}
+
+
+def test_cohesion_is_one_pass_in_tasks(spark, monkeypatch):
+    """No paragraph, connector or term is an expression of the plan, and batches are worked on in slices."""
+    plan = S.cohesion(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "however" not in plan.lower()
+
+
 @pytest.mark.parametrize("work", [scopes.scored_terms, scopes.chosen_terms(8)])
 def test_a_task_works_on_slices_of_its_batches(spark, work):
     """Batches of any number of rows: neither what is worked on nor what is returned at once grows with them."""
