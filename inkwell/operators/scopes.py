@@ -34,20 +34,23 @@ def _word_characters() -> np.ndarray:
     return found
 
 
-def word_runs(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
-    """Runs of two or more word characters of the texts in lower case, and the place of the text that each is in."""
+def code_points(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """Of the texts in lower case, one behind the other: bytes, code points, how many bytes each of these has (None if one each), and at which each text begins."""
     low = pc.utf8_lower(texts)
     off = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64) if len(low) else np.zeros(1, np.int64)
     raw = memoryview(low.buffers()[2] or b"")[off[0] : off[-1]]
     data, off = np.frombuffer(raw, np.uint8), off - off[0]
-    plain = not len(data) or data.max() < 0x80
-    points = data if plain else np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
-    n = len(points)
-    if plain:
-        width, first = np.ones(n, np.uint8), off[:-1]
-    else:
-        width = 1 + (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
-        first = np.searchsorted(np.cumsum(width, dtype=np.int64) - width, off[:-1])
+    if not len(data) or data.max() < 0x80:
+        return data, data, None, off[:-1]
+    points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
+    width = 1 + (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+    return data, points, width, np.searchsorted(np.cumsum(width, dtype=np.int64) - width, off[:-1])
+
+
+def word_runs(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Runs of two or more word characters of the texts in lower case, and the place of the text that each is in."""
+    data, points, width, first = code_points(texts)
+    n, plain = len(points), width is None
     word = _word_characters()[points]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
