@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.kneser import DISCOUNT, START, TOKENS
-from inkwell.operators.scopes import _slices, _word_characters, code_points, whole
+from inkwell.operators.scopes import _word_characters, code_points, slices, whole
 from inkwell.operators.tables import small_batches, stored
 
 #: Least words of a chunk and least entries of a bucket; entries of a row where the corpus asks for more of both.
@@ -126,7 +126,7 @@ def _chunks(rows: DataFrame, most: int, least_words: int) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(1)
-            for a, b in _slices(np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])):
+            for a, b in slices(np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])):
                 hashes, lens, runs, text = tokens(texts.slice(a, b - a))
                 for p, x in zip(parts, (batch.column(0).slice(a, b - a), hashes, lens, runs >= least_words, np.bincount(text, minlength=b - a))):
                     p.append(x)

@@ -3,49 +3,119 @@
 Three likelihood ratios over counts of the whole corpus make the model: words that go with a period more than chance
 has it are abbreviations; words that follow sure ends too often are sentence starters; pairs of a number or an
 initial with a following word that stand together too often don't part. How a word is spelled elsewhere, small or large,
-decides the rest. Every count is one aggregation, combined before its shuffle; the model is tables of word types.
+decides the rest. Texts are cut in tasks, slice by slice: what a token looks like is found once for each distinct one of a slice, and counts
+are combined before their shuffle. The model is tables of word types.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.tables import small, stored
+from inkwell.operators.scopes import slices
+from inkwell.operators.tables import small, small_batches, stored
 
 # The published thresholds
 ABBREVIATION, STARTER, COLLOCATION, SURE = 0.3, 30.0, 7.88, 0.99
 
+#: Bytes of text that are cut at once: the more, the fewer distinct tokens there are for their number.
+SLICE = 8_000_000
+
 CLOSERS = "[\"'’”»)\\]}]+$"
 OPENERS = r"^[^\p{L}\p{N}]+"
 NUMBER = r"^[0-9]+([.,][0-9]+)*$"
 
 
-def _type(core: Column) -> Column:
-    """A word type: lower case, without a final period; numbers are one type."""
-    bare = F.regexp_replace(core, r"\.$", "")
-    return F.when(bare.rlike(NUMBER), "##").otherwise(bare)
-
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-def _core(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(token), CLOSERS, ""), OPENERS, "")
 
+class Tokens:
+    """Runs of non-space characters of some texts: ``kind``, the number of each among the distinct ones, ``text``, the place of its text, and ``pos``, its place there.
 
-def token_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each run of non-space characters and what follows it.
-
-    ``(id, pos, tok, typ, per, dots, ends, n_typ, n_cap, n_low, n_word)``: ``per`` says that a period ends it, ``dots`` that several do, ``ends`` is its last
-    mark of ``.!?`` if any; ``n_`` columns describe the next token and are null at the end.
+    Of the distinct ones: ``typ``, the word type, in lower case and without a final period, numbers being one type, as a number among ``types``; ``per`` says
+    that a period ends it, ``dots`` that several do, ``bang`` and ``stop`` that its last mark is one of ``!?`` or a period; ``odd`` that the type is a number or one letter; ``cap``,
+    ``low`` and ``word`` how it begins.
     """
-    found = F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), F.lit(0))
-    pairs = lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("tok"), F.get(ts, i + 1).alias("nxt")))
-    # bound to a variable, so that the tokens are cut once and not for each use
-    rows = docs.select(id_col, F.posexplode(F.get(F.transform(F.array(found), pairs), 0)).alias("pos", "p")).select(id_col, "pos", "p.tok", "p.nxt")
-    core, bare = _core(F.col("tok")), F.regexp_replace(F.col("nxt"), OPENERS, "")
-    rows = rows.withColumns({"core": core, "ends": F.regexp_extract(F.regexp_replace("tok", CLOSERS, ""), "([.!?])$", 1)})
-    return rows.select(id_col, "pos", "tok", _type(F.col("core")).alias("typ"), F.col("core").endswith(".").alias("per"), F.col("core").endswith("..").alias("dots"), "ends", _type(_core(F.col("nxt"))).alias("n_typ"), bare.rlike(r"^\p{Lu}").alias("n_cap"), bare.rlike(r"^\p{Ll}").alias("n_low"), bare.rlike(r"^[\p{L}\p{N}]").alias("n_word"))
+
+    def __init__(self, texts: pa.StringArray):
+        off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        first = off[:-1] - off[0]
+        inside = ~_SPACE[data]
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1]
+        heads = first[first < len(data)]
+        opens[heads] = inside[heads]
+        at, ends = np.flatnonzero(opens), np.cumsum(inside, dtype=np.int64)
+        offsets = np.append(ends[at] - 1, ends[-1] if len(ends) else 0).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+        self.kind, self.text = found.indices.to_numpy().astype(np.int64), np.searchsorted(first, at, "right") - 1
+        self.pos = np.arange(len(at)) - np.searchsorted(self.text, self.text)
+        cut = lambda x, pattern: pc.replace_substring_regex(x, pattern, "")
+        is_ = lambda x: x.to_numpy(zero_copy_only=False)
+        token = found.dictionary
+        bare, last, core = cut(token, OPENERS), cut(token, CLOSERS), cut(cut(pc.utf8_lower(token), CLOSERS), OPENERS)
+        self.stop, self.bang = is_(pc.ends_with(last, ".")), is_(pc.or_(pc.ends_with(last, "!"), pc.ends_with(last, "?")))
+        self.per, self.dots = is_(pc.ends_with(core, ".")), is_(pc.ends_with(core, ".."))
+        typ = cut(core, r"\.$")
+        typ = pc.if_else(pc.match_substring_regex(typ, NUMBER), IS_NUMBER, typ).dictionary_encode()
+        self.typ, self.types = typ.indices.to_numpy().astype(np.int64), typ.dictionary
+        self.odd = is_(pc.or_(pc.equal(self.types, IS_NUMBER), pc.match_substring_regex(self.types, r"^\p{L}$")))[self.typ]
+        self.cap, self.low, self.word = (is_(pc.match_substring_regex(bare, p)) for p in (r"^\p{Lu}", r"^\p{Ll}", r"^[\p{L}\p{N}]"))
+
+    def named(self, typ: np.ndarray) -> pa.StringArray:
+        return self.types.take(pa.array(typ))
+
+
+def _each_slice(docs: DataFrame, columns: list, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on slices of the rows with a text, which is the last of ``columns``."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False), SLICE):
+                yield from work(batch.slice(a, b - a)).to_batches()
+
+    return docs.select(*columns).where(F.col(docs.select(*columns).columns[-1]).isNotNull()).mapInArrow(run, schema)
+
+
+COUNTS = "typ string, n_typ string, per long, plain long, n long, low boolean, cap boolean, mid_cap boolean, low_after boolean, after long, starts long"
+
+
+def _counts(batch: pa.RecordBatch) -> pa.Table:
+    """Two kinds of rows: of each type, as ``n_typ`` with a null ``typ``, how often it stands with a period and without, and what is known of it as a following
+    type without the abbreviations; of two types, where a period ends the former, what its being an abbreviation decides."""
+    t = Tokens(batch.column(0))
+    names, kinds = [c.split()[0] for c in COUNTS.split(", ")], len(t.types)
+    count = lambda at, x=None, n=kinds: np.bincount(at, x, minlength=n).astype(np.int64)
+
+    def rows(**columns) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        kept = {"per": np.zeros(n, np.int64), "plain": np.zeros(n, np.int64), "n": np.zeros(n, np.int64), "after": np.zeros(n, np.int64), "starts": np.zeros(n, np.int64)} | {c: np.zeros(n, bool) for c in ("low", "cap", "mid_cap", "low_after")} | columns
+        return pa.table([pa.array(kept[c]) if c in kept else pa.nulls(n, pa.string()) for c in names], names=names)
+
+    typ = t.typ[t.kind]
+    every, per = count(typ), count(typ, t.per[t.kind])
+    near = np.flatnonzero(t.text[1:] == t.text[:-1])
+    a, b = t.kind[near], t.kind[near + 1]
+    asks = t.per[a] & ~t.dots[a]
+    x, y = a[~asks], b[~asks]
+    to = t.typ[y]
+    some = lambda flags: count(to, flags) > 0
+    alone = rows(n_typ=t.types, per=per, plain=every - per, low=some(t.low[y]), cap=some(t.cap[y]), mid_cap=some(t.cap[y] & ~t.stop[x] & ~t.bang[x]), low_after=some(t.low[y] & t.bang[x]), after=count(to, t.bang[x]), starts=count(to, t.bang[x] & ~t.odd[x]))
+    x, y = a[asks], b[asks]
+    pairs, place, n = np.unique(t.typ[x] * kinds + t.typ[y], return_inverse=True, return_counts=True)
+    some = lambda flags: count(place, flags, len(pairs)) > 0
+    own, to = np.divmod(pairs, max(kinds, 1))
+    both = rows(typ=t.named(own), n_typ=t.named(to), n=n, low=some(t.low[y]), cap=some(t.cap[y]))
+    return pa.concat_tables([alone, both])
 
 
 def _lean(n: Column, ab: Column, p: Column) -> Column:
@@ -87,53 +157,51 @@ def _initial() -> Column:
     return F.col("typ").rlike(r"^\p{L}$")
 
 
-def _first_breaks(pairs: DataFrame, abbreviations: DataFrame) -> DataFrame:
-    """Adds ``abbr`` and ``sure``: an end by its mark alone, abbreviations apart."""
-    table = abbreviations.select("typ", F.lit(True).alias("abbr"))
-    known, none = small(table), F.lit(False)
-    meet = lambda some: some.join(known, "typ", "left").withColumn("abbr", F.coalesce("abbr", none))
-    # an abbreviation matters to tokens with a period only: beyond a broadcast the others, and with them the commonest words, meet no table
-    rows = meet(pairs) if known is not table else meet(pairs.where("per")).unionByName(pairs.where("NOT per").withColumn("abbr", none))
-    return rows.withColumn("sure", F.col("ends").isin("!", "?") | (F.col("per") & ~F.col("abbr") & ~F.col("dots")))
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts over all documents; null texts count for nothing, a corpus without a period has no abbreviation."""
-    pairs = token_pairs(docs, id_col, text_col)
-    counts = stored(pairs.groupBy("typ").agg(F.count_if("per").alias("per"), F.count_if(~F.col("per")).alias("plain")), "punkt-types")
+    some, total = ("low", "cap", "mid_cap", "low_after"), ("per", "plain", "n", "after", "starts")
+    every = _each_slice(docs, [F.col(text_col).cast("string")], _counts, COUNTS).groupBy("typ", "n_typ")
+    every = stored(every.agg(*[F.sum(c).alias(c) for c in total], *[F.max(c).alias(c) for c in some]), "punkt-counts")
+    counts = every.where("typ IS NULL").select(F.col("n_typ").alias("typ"), "per", "plain")
     tokens, periods = counts.agg(F.sum(F.col("per") + F.col("plain")), F.sum("per")).first()
     tokens, periods = tokens or 0, periods or 0
     n = F.lit(tokens)
     score = F.round(abbreviation_score(F.col("per"), F.col("plain"), F.col("typ"), F.lit(periods), n), 6)
     abbreviations = counts.where((F.col("per") > 0) & F.col("typ").rlike(r"\p{L}") & F.lit(0 < periods < tokens)).withColumn("score", score).where(F.col("score") >= ABBREVIATION)
     abbreviations = stored(abbreviations.select("typ", "score"), "punkt-abbreviations")
-    rows = _first_breaks(pairs, abbreviations).where(F.col("n_typ").isNotNull())
     odd = (F.col("typ") == IS_NUMBER) | _initial()
-    # one pass: for each following type how often it is spelled small and large, and how often it follows a sure end
-    large = F.col("n_cap")
-    seen = rows.groupBy("n_typ").agg(
-        F.max("n_low").alias("low"), F.max("n_cap").alias("cap"), F.max(large & (F.col("ends") == "") & ~F.col("sure")).alias("mid_cap"),
-        F.max(F.col("n_low") & F.col("sure")).alias("low_after"), F.count_if("sure").alias("after"), F.count_if(F.col("sure") & ~odd).alias("starts"))
+    # after a period an end is sure unless the type is an abbreviation
+    rows = every.where("typ IS NOT NULL").join(small(abbreviations.select("typ", F.lit(True).alias("abbr"))), "typ", "left")
+    rows = rows.withColumn("sure", F.col("abbr").isNull())
+    known = rows.select("n_typ", "low", "cap", F.lit(False).alias("mid_cap"), (F.col("low") & F.col("sure")).alias("low_after"), F.when(F.col("sure"), F.col("n")).otherwise(0).alias("after"), F.when(F.col("sure") & ~odd, F.col("n")).otherwise(0).alias("starts"))
+    # for each following type how often it is spelled small and large, and how often it follows a sure end
+    seen = every.where("typ IS NULL").select(known.columns).unionByName(known).groupBy("n_typ").agg(*[F.max(c).alias(c) for c in some], F.sum("after").alias("after"), F.sum("starts").alias("starts"))
     seen = stored(seen, "punkt-spellings")
     ends = seen.agg(F.sum("after")).first()[0] or 0
     known = counts.select(F.col("typ").alias("n_typ"), (F.col("per") + F.col("plain")).alias("uses"))
     starters = seen.where((F.col("starts") > 0) & F.col("n_typ").rlike(r"\p{L}")).join(known, "n_typ").where((F.col("uses") >= F.col("starts")) & F.lit(0 < ends < tokens))
     starters = starters.withColumn("score", F.round(together(F.lit(ends), F.col("uses"), F.col("starts"), n), 6))
     starters = starters.where((F.col("score") >= STARTER) & (n * F.col("starts") > F.col("uses") * ends))
-    pair = rows.where(F.col("per") & F.col("sure") & odd & (F.col("n_typ") != "")).groupBy("typ", "n_typ").agg(F.count(F.lit(1)).alias("both")).where("both > 1")
+    pair = rows.where(F.col("sure") & odd & (F.col("n_typ") != "")).select("typ", "n_typ", F.col("n").alias("both")).where("both > 1")
     pair = pair.join(known.select(F.col("n_typ").alias("typ"), F.col("uses").alias("a")), "typ").join(known.withColumnRenamed("uses", "b"), "n_typ")
     pair = pair.where("both <= least(a, b)").withColumn("score", F.round(together(F.col("a"), F.col("b"), F.col("both"), n), 6))
     pair = pair.where((F.col("score") >= COLLOCATION) & (n * F.col("both") > F.col("a") * F.col("b")))
     return Model(counts, abbreviations, stored(starters.select("n_typ", "score"), "punkt-starters"), stored(pair.select("typ", "n_typ", "score"), "punkt-pairs"), seen.select("n_typ", "low", "cap", "mid_cap", "low_after"))
 
 
-def _asking(pairs: DataFrame, model: Model) -> DataFrame:
-    """Rows of tokens with a final period, with ``brk``: whether a sentence ends there.
+def _asking(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """Rows of tokens with a final period and another behind them, with ``brk``: whether a sentence ends there. The tables meet these few tokens only."""
 
-    Tables beyond a broadcast meet these few tokens by the type that follows, which is null only at the end of a text.
-    """
-    rows = pairs.where((F.col("ends") == ".") & F.col("n_typ").isNotNull())
-    rows = _first_breaks(rows, model.abbreviations)
+    def work(batch: pa.RecordBatch) -> pa.Table:
+        t = Tokens(batch.column(1))
+        at = np.flatnonzero((t.text[1:] == t.text[:-1]) & t.stop[t.kind[:-1]])
+        a, b = t.kind[at], t.kind[at + 1]
+        columns = [batch.column(0).take(pa.array(t.text[at])), pa.array(t.pos[at], pa.int32()), t.named(t.typ[a]), pa.array(t.dots[a]), t.named(t.typ[b]), *(pa.array(x[b]) for x in (t.cap, t.low, t.word))]
+        return pa.table(columns, names=[id_col, "pos", "typ", "dots", "n_typ", "n_cap", "n_low", "n_word"])
+
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, pos int, typ string, dots boolean, n_typ string, n_cap boolean, n_low boolean, n_word boolean"
+    rows = _each_slice(docs, [F.col(id_col), F.col(text_col).cast("string").alias("_t")], work, schema)
+    rows = rows.join(small(model.abbreviations.select("typ", F.lit(True).alias("abbr"))), "typ", "left")
     rows = rows.join(small(model.spellings), "n_typ", "left")
     rows = rows.join(small(model.starters.select("n_typ", F.lit(True).alias("starter"))), "n_typ", "left")
     rows = rows.join(small(model.collocations.select("typ", "n_typ", F.lit(True).alias("tied"))), ["typ", "n_typ"], "left")
@@ -143,7 +211,7 @@ def _asking(pairs: DataFrame, model: Model) -> DataFrame:
     initial = _initial()
     brk = (
         F.when(yes("tied"), False)
-        .when((F.col("abbr") | F.col("dots")) & ~initial, begins | (yes("n_cap") & yes("starter")))
+        .when((yes("abbr") | F.col("dots")) & ~initial, begins | (yes("n_cap") & yes("starter")))
         .when(initial | (F.col("typ") == IS_NUMBER), begins | (~goes_on & ~(initial & yes("n_cap") & ~yes("low"))))
         .otherwise(True)
     )
@@ -152,7 +220,7 @@ def _asking(pairs: DataFrame, model: Model) -> DataFrame:
 
 def _ends_apart(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     """``(id, ends)``: of each text with such, the ascending places of the tokens that end a sentence by a period."""
-    asking = _asking(token_pairs(docs, id_col, text_col), model)
+    asking = _asking(docs, model, id_col, text_col)
     return asking.where("brk").groupBy(id_col).agg(F.sort_array(F.collect_list("pos")).alias("ends"))
 
 
@@ -179,7 +247,34 @@ def breaks(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.select(id_col, (F.col("start") + F.col("k")).alias("pos"), "tok", ((F.col("k") == F.col("n") - 1) & ~F.col("final")).alias("breaks"))
 
 
+_MARKED = re.compile(r"[!?][\"'’”»)\]}]*$")
+
+
+def _parts(text: bytes, ends: list[int]) -> Iterator[list[bytes]]:
+    """The tokens of each sentence; ``ends`` are the places of those that end one by a period."""
+    toks = text.split()
+    if not toks:
+        return
+    marked = [i for i, t in enumerate(toks[:-1]) if (b"!" in t or b"?" in t) and _MARKED.search(t.decode())] if b"!" in text or b"?" in text else []
+    at = 0
+    for end in [*sorted([*ends, *marked]), len(toks) - 1]:
+        yield toks[at : end + 1]
+        at = end + 1
+
+
 def sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, pos, n_words, sent)``: sentences in order, white space inside them collapsed; ids must not repeat."""
-    rows = _sentence_tokens(docs, model, id_col, text_col)
-    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.size("toks").cast("long").alias("n_words"), F.array_join("toks", " ").alias("sent"))
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_t")).join(_ends_apart(docs, model, id_col, text_col), id_col, "left")
+
+    def work(batch: pa.RecordBatch) -> pa.Table:
+        row, pos, n, sent = [], [], [], []
+        for i, (ends, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())):
+            for k, toks in enumerate(_parts(text, ends or [])):
+                row.append(i)
+                pos.append(k)
+                n.append(len(toks))
+                sent.append(b" ".join(toks))
+        return pa.table([batch.column(0).take(pa.array(row, pa.int64())), pa.array(pos, pa.int64()), pa.array(n, pa.int64()), pa.array(sent, pa.binary()).cast(pa.string())], names=[id_col, "pos", "n_words", "sent"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _each_slice(rows, [F.col(id_col), F.col("ends"), F.col("_t")], work, f"{id_col} {kind}, pos long, n_words long, sent string")

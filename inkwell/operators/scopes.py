@@ -238,7 +238,7 @@ def by_rows(docs: DataFrame, id_col: str, text_col: str, work: Callable, columns
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = batch.column(0), batch.column(1).cast(pa.list_(pa.binary()))
-            for a, b in _slices(_sizes(lists)):
+            for a, b in slices(_sizes(lists)):
                 row, found = work(lists.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(row)), *found], names=names)
 
@@ -252,11 +252,12 @@ def _sizes(lists: pa.ListArray) -> np.ndarray:
     return each[off[1:]] - each[off[:-1]]
 
 
-def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``SLICE`` bytes."""
+def slices(size: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` bytes, by default ``SLICE``."""
+    most = most or SLICE
     a, held = 0, 0
     for i, n in enumerate(size.tolist(), 1):
         held += n
-        if held >= SLICE or i == len(size):
+        if held >= most or i == len(size):
             yield a, i
             a, held = i, 0
